@@ -1,0 +1,35 @@
+"""Join helpers: broadcast only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Default bound for an explicit broadcast (rows).  Dimension rows are a few narrow
+# columns, so this keeps a broadcast side in the tens of megabytes.
+DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
+_CONF_KEY = "lakestar.broadcast.maxRows"
+
+
+def max_broadcast_rows(df: DataFrame) -> int:
+    try:
+        return int(df.sparkSession.conf.get(_CONF_KEY, str(DEFAULT_MAX_BROADCAST_ROWS)))
+    except Exception:  # noqa: BLE001
+        return DEFAULT_MAX_BROADCAST_ROWS
+
+
+def has_at_most(df: DataFrame, n: int) -> bool:
+    """True when ``df`` has at most ``n`` rows; reads at most ``n + 1`` of them."""
+    return df.limit(n + 1).count() <= n
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
+    """``broadcast(df)`` when its row count is proven to be within the bound.
+
+    Otherwise the frame is returned unchanged and the join stays a shuffle join, which AQE
+    may still turn into a broadcast once it has measured the real size.
+    """
+    bound = max_broadcast_rows(df) if max_rows is None else max_rows
+    if has_at_most(df, bound):
+        return F.broadcast(df), True
+    return df, False
