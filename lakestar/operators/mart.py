@@ -43,8 +43,12 @@ def mart_source(gold_versions: DataFrame, table: str, dedup: str = "rownum") ->
 
 
 def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.SID,),
-           strategy: str = "auto") -> DataFrame:
-    """Matched sid -> overwrite the business columns; new sid -> insert; nothing deleted."""
+           strategy: str = "auto", check_unique: bool = True) -> DataFrame:
+    """Matched sid -> overwrite the business columns; new sid -> insert; nothing deleted.
+
+    A sid that repeats in the source fails the upsert (``check_unique``), unless the
+    caller reduced the source to one row per sid (:func:`mart_source` does).
+    """
     business = [c for c in source.columns if c not in on]
     return merge(
         target,
@@ -54,20 +58,25 @@ def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.S
         insert_values=source.columns,
         columns=source.columns,
         strategy=strategy,
-        check_unique=True,
+        check_unique=check_unique,
     )
 
 
-def with_unknown_member(dim: DataFrame, sid_col: str = S.SID) -> DataFrame:
-    """Adds the ``sid = -1`` member (NULL attributes) unless the dimension has one."""
-    unknown = dim.sparkSession.range(1).select(
+def unknown_member_row(dim: DataFrame, sid_col: str = S.SID) -> DataFrame:
+    """One row shaped like ``dim``: ``sid = -1``, every attribute NULL."""
+    return dim.sparkSession.range(1).select(
         *[
-            (F.lit(S.UNKNOWN_SID) if c == sid_col else F.lit(None)).cast(dim.schema[c].dataType).alias(c)
+            (F.lit(S.UNKNOWN_SID) if c == sid_col else F.lit(None))
+            .cast(dim.schema[c].dataType).alias(c)
             for c in dim.columns
         ]
     )
+
+
+def with_unknown_member(dim: DataFrame, sid_col: str = S.SID) -> DataFrame:
+    """Adds the ``sid = -1`` member (NULL attributes) unless the dimension has one."""
     present = dim.filter(F.col(sid_col) == S.UNKNOWN_SID).select(sid_col)
-    return dim.unionByName(unknown.join(present, sid_col, "left_anti"))
+    return dim.unionByName(unknown_member_row(dim, sid_col).join(present, sid_col, "left_anti"))
 
 
 def fk_orphans(

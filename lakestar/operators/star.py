@@ -26,6 +26,7 @@ from lakestar.operators.joins import broadcast_if_small, has_at_most, max_broadc
 from lakestar.operators.keys import assign_sid, next_sid
 from lakestar.operators.merge import merge
 from lakestar.operators.quality import first_per_key
+from lakestar.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -95,14 +96,17 @@ def source_rows(rows: DataFrame, spec: TableSpec, mode: str = EXACT) -> DataFram
     return _with_hashes(rows.select(*spec.business, *_RUN), spec, mode)
 
 
-def unmatched(source: DataFrame, target: DataFrame, on: Sequence[str]) -> DataFrame:
+def unmatched(source: DataFrame, target: DataFrame, on: Sequence[str],
+              small: bool | None = None) -> DataFrame:
     """Source rows whose key is absent from the target.
 
     With a bounded source the target's key columns are streamed against the broadcast
     source keys (no shuffle of the target); otherwise a shuffle anti-join.
     """
     keys = list(on)
-    if has_at_most(source, max_broadcast_rows(source)):
+    if small is None:
+        small = has_at_most(source, max_broadcast_rows(source))
+    if small:
         matched = target.select(*keys).join(F.broadcast(source.select(*keys)), keys, "left_semi")
         return source.join(F.broadcast(matched), keys, "left_anti")
     return source.join(target.select(*keys), keys, "left_anti")
@@ -114,18 +118,25 @@ def merge_star(
     spec: TableSpec,
     strategy: str = "auto",
 ) -> DataFrame:
-    """New content of a gold table after merging a de-duplicated ``source`` (a delta)."""
+    """New content of a gold table after merging a de-duplicated ``source`` (a delta).
+
+    The delta is materialised once in the shared checkpoint folder: its size decides the
+    join shapes, and the key lookup, the numbering and the merge all read it instead of
+    recomputing the slice.
+    """
     out_cols = [f.name for f in spec.schema.fields]
     order = [F.col(c).asc_nulls_first() for c in spec.key] + [F.col(S.KEY_HASH).asc_nulls_first()]
-    src = source.select(*[c for c in out_cols if c != S.SID])
+    src = cut_lineage(source.select(*[c for c in out_cols if c != S.SID]))
+    small = has_at_most(src, max_broadcast_rows(src))
+    if strategy == "auto":
+        strategy = "broadcast" if small else "shuffle"
     if target is None:
-        numbered = assign_sid(src, order, start=S.SID_START)
-        return _conform(numbered, spec.schema)
-    new_keys = unmatched(src, target, [S.KEY_HASH])
-    numbered = assign_sid(new_keys, order, start=next_sid(target))
+        return _conform(assign_sid(src, order, start=S.SID_START, small=small), spec.schema)
+    new_keys = unmatched(src, target, [S.KEY_HASH], small=small)
+    numbered = assign_sid(new_keys, order, start=next_sid(target), small=small)
     sids = numbered.select(S.KEY_HASH, S.SID)
-    sids, _ = broadcast_if_small(sids)
-    src = src.join(sids, S.KEY_HASH, "left")
+    # At most as many rows as the delta: broadcast exactly when the delta passed the check.
+    src = src.join(F.broadcast(sids) if small else sids, S.KEY_HASH, "left")
     merged = merge(
         target,
         src,

@@ -32,6 +32,7 @@ from lakestar.session import fresh_workspace
 from lakestar.sources import feed as FD
 from lakestar.sources import files as FS
 from lakestar.sources import tables as TB
+from lakestar import streaming as ST
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -370,7 +371,9 @@ for _t in ("dim_names", "dim_years", "dim_locations", "fact"):
 def assign_sid(spark, sf_dir):
     """Dense ordered ids over every natural key of silver."""
     keys = _sc(spark, sf_dir).silver(2).select(*S.NATURAL_KEY)
-    return K.assign_sid(keys, list(S.NATURAL_KEY))
+    # The distributed path (range partitions + offsets), whatever the input size.
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return K.assign_sid(keys, list(S.NATURAL_KEY), num_partitions=n)
 
 
 @query
@@ -472,6 +475,19 @@ def run_bronze(spark, sf_dir):
     return P.read_bronze(spark, layout).select(*S.LANDING_COLUMNS, S.PROCESSING_DATE, S.RUN_ID)
 
 
+@query
+def stream_bronze(spark, sf_dir):
+    """Incremental ingest: run 1 reads the first landing file, run 2 only the new one."""
+    feed = FD.names_feed(spark, sf_dir)
+    base = fresh_workspace(spark, "stream_ingest")
+    landing, bronze, ckpt = f"{base}/landing", f"{base}/bronze", f"{base}/_checkpoint"
+    for ctx, name in ((FD.RUN_1, FD.FILE_1), (FD.RUN_2, FD.FILE_2)):
+        FS.write_landing(FD.landing_rows(FD.run_rows(feed, ctx)), f"{landing}/{name}")
+        ST.ingest_landing(spark, f"{landing}/*", bronze, ckpt, ctx, timeout_sec=600)
+    return TB.read_log(spark, bronze, S.BRONZE_SCHEMA).select(
+        *S.LANDING_COLUMNS, S.PROCESSING_DATE, S.RUN_ID)
+
+
 @query
 def run_silver(spark, sf_dir):
     """Silver after both runs."""

@@ -32,6 +32,7 @@ from lakestar.operators import star as G
 from lakestar.operators.merge import ACTION, merge
 from lakestar.sources import files as FS
 from lakestar.sources import tables as TB
+from lakestar.session import cut_lineage
 
 SILVER_SCHEMA = T.StructType(
     [T.StructField(S.MEASURE if f.name == S.MEASURE_RAW else f.name, f.dataType)
@@ -132,8 +133,9 @@ def silver_merge(current: DataFrame | None, survivors: DataFrame, with_action: b
 def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
                      previous: int | None, version: int) -> StepReport:
     slice_df = Q.rename_measure(TB.read_log_day(spark, layout.bronze, S.BRONZE_SCHEMA, ctx.day))
-    survivors, errors = Q.clean(slice_df)
-    TB.append_by_day(errors, layout.errors)
+    # Survivors feed both the quarantine and the merge: materialise them once.
+    survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
+    TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
     current = None if previous is None else read_silver(spark, layout, previous)
     merged, obs = _observe(silver_merge(current, survivors, with_action=True), "silver_merge")
     TB.write_snapshot(merged.drop(ACTION), layout.silver, version)
@@ -185,14 +187,27 @@ def read_mart(spark: SparkSession, layout: Layout, table: str, version: int) ->
     return TB.read_snapshot(spark, layout.mart(table), version, MART_SCHEMAS[table])
 
 
-def gold_to_mart(spark: SparkSession, layout: Layout, gold_version: int,
+def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_version: int,
                  previous: int | None, version: int, unknown_member: bool = True) -> StepReport:
+    """Publish the gold rows this run changed into the previous mart snapshot.
+
+    A gold row carries the processing date of its last change, so the run's day slice of
+    gold is exactly what is new or different since the previous publish; the rest of the
+    mart is carried over unchanged.  The first publish has no previous mart and takes the
+    whole gold table.
+    """
     for table in GOLD_TABLES:
-        source = M.mart_source(read_gold(spark, layout, table, gold_version), table)
-        current = None if previous is None else read_mart(spark, layout, table, previous)
-        new = M.upsert(current, source)
+        gold = read_gold(spark, layout, table, gold_version)
+        changed = gold if previous is None else TB.day_slice(gold, ctx.day)
+        source = M.mart_source(changed, table)
         if unknown_member and table != G.FACT.name:
-            new = M.with_unknown_member(new)
+            # Gold sids start at 0, so -1 never clashes; an existing -1 row is matched
+            # and rewritten with the same NULL attributes.
+            source = source.unionByName(M.unknown_member_row(source))
+        # The source is read by the size check and up to three join inputs.
+        source = cut_lineage(source)
+        current = None if previous is None else read_mart(spark, layout, table, previous)
+        new = M.upsert(current, source, check_unique=False)  # one row per sid already
         TB.write_snapshot(new, layout.mart(table), version)
     return StepReport("gold_to_mart")
 
@@ -217,5 +232,5 @@ def run_all(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
         append_bronze(bronze_rows, layout)
     reports.append(bronze_to_silver(spark, layout, ctx, previous, version))
     reports.append(silver_to_gold(spark, layout, ctx, version, previous, version))
-    reports.append(gold_to_mart(spark, layout, version, previous, version))
+    reports.append(gold_to_mart(spark, layout, ctx, version, previous, version))
     return reports

@@ -474,6 +474,7 @@ oracle("compact_preserves_rows", "SELECT * FROM silver2")
 
 # The flow
 oracle("run_bronze", f"SELECT {LANDING}, _processing_date, _pipeline_run_id FROM feed")
+oracle("stream_bronze", f"SELECT {LANDING}, _processing_date, _pipeline_run_id FROM feed")
 oracle("run_silver", "SELECT * FROM silver2")
 oracle("run_errors", "SELECT * FROM err1 UNION ALL SELECT * FROM err2")
 oracle("run_dims", """
