@@ -12,7 +12,7 @@ from lakestar.operators.mart import (
     upsert,
     with_unknown_member,
 )
-from lakestar.operators.merge import ambiguous_keys, check_unique_keys, merge, merge_metrics
+from lakestar.operators.merging import ambiguous_keys, check_unique_keys, merge, merge_metrics
 from lakestar.operators.quality import (
     clean,
     latest_per_key,

@@ -13,7 +13,7 @@ from lakestar.functions.casting import Mapping as ColumnMapping
 from lakestar.functions.casting import copy_mapped
 from lakestar.operators.dedup import distinct_rows, one_per_sid
 from lakestar.operators.joins import broadcast_if_small
-from lakestar.operators.merge import merge
+from lakestar.operators.merging import merge
 
 MAPPINGS: dict[str, ColumnMapping] = {
     "dim_names": S.MART_DIM_NAMES,

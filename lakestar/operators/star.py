@@ -24,7 +24,7 @@ from lakestar.functions.hashing import COMPAT, EXACT, sha256_of
 from lakestar.operators.dedup import newest_first_order
 from lakestar.operators.joins import broadcast_if_small, has_at_most, max_broadcast_rows
 from lakestar.operators.keys import assign_sid, next_sid
-from lakestar.operators.merge import merge
+from lakestar.operators.merging import merge
 from lakestar.operators.quality import first_per_key
 from lakestar.session import cut_lineage
 

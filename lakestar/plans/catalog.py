@@ -24,8 +24,8 @@ from lakestar.operators import mart as M
 from lakestar.operators import quality as Q
 from lakestar.operators import reports as R
 from lakestar.operators import star as G
-from lakestar.operators.merge import ambiguous_keys as _ambiguous_keys
-from lakestar.operators.merge import merge_metrics as _merge_metrics
+from lakestar.operators.merging import ambiguous_keys as _ambiguous_keys
+from lakestar.operators.merging import merge_metrics as _merge_metrics
 from lakestar.plans import medallion as P
 from lakestar.plans.scenario import Scenario
 from lakestar.session import fresh_workspace

@@ -29,7 +29,7 @@ from lakestar.functions.dates import RunContext
 from lakestar.operators import mart as M
 from lakestar.operators import quality as Q
 from lakestar.operators import star as G
-from lakestar.operators.merge import ACTION, merge
+from lakestar.operators.merging import ACTION, merge
 from lakestar.sources import files as FS
 from lakestar.sources import tables as TB
 from lakestar.session import cut_lineage

@@ -85,7 +85,8 @@ def read_modified_since(
 
     Partition discovery is off, as with a recursive file listing.  This is a raw file
     scan: it sees every file written in the window, including superseded ones, so the
-    result needs a one-row-per-key step before it is loaded anywhere.
+    result needs a one-row-per-key step before it is loaded anywhere.  Give ``schema``:
+    an empty window has no file to infer one from.
     """
     reader = (
         spark.read.option("recursiveFileLookup", "true")
