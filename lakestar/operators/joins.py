@@ -1,21 +1,57 @@
-"""Join helpers: broadcast only behind a checked size bound."""
+"""Join helpers: broadcast only behind a measured size bound.
+
+A side is broadcast only after one bounded job has read at most ``max_rows + 1`` of its
+rows and found both their number and their bytes (strings by UTF-8 length, fixed-width
+types by width) within the bounds.  Beyond the bound the caller keeps a shuffle join,
+which AQE may still turn into a broadcast once it has measured the real size.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# Default bound for an explicit broadcast (rows).  Dimension rows are a few narrow
-# columns, so this keeps a broadcast side in the tens of megabytes.
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
-_CONF_KEY = "lakestar.broadcast.maxRows"
+DEFAULT_MAX_BROADCAST_BYTES = 64 << 20
+_ROWS_KEY = "lakestar.broadcast.maxRows"
+_BYTES_KEY = "lakestar.broadcast.maxBytes"
+_ROW_OVERHEAD = 16  # per-row bookkeeping in a hashed relation, roughly
 
+_FIXED = {
+    T.BooleanType: 1, T.ByteType: 1, T.ShortType: 2, T.IntegerType: 4, T.LongType: 8,
+    T.FloatType: 4, T.DoubleType: 8, T.DateType: 4, T.TimestampType: 8, T.TimestampNTZType: 8,
+}
 
-def max_broadcast_rows(df: DataFrame) -> int:
+
+def _conf_int(df: DataFrame, key: str, default: int) -> int:
     try:
-        return int(df.sparkSession.conf.get(_CONF_KEY, str(DEFAULT_MAX_BROADCAST_ROWS)))
+        return int(df.sparkSession.conf.get(key, str(default)))
     except Exception:  # noqa: BLE001
-        return DEFAULT_MAX_BROADCAST_ROWS
+        return default
+
+
+def max_broadcast_rows(df: DataFrame) -> int:
+    return _conf_int(df, _ROWS_KEY, DEFAULT_MAX_BROADCAST_ROWS)
+
+
+def max_broadcast_bytes(df: DataFrame) -> int:
+    return _conf_int(df, _BYTES_KEY, DEFAULT_MAX_BROADCAST_BYTES)
+
+
+def _field_bytes(field: T.StructField) -> Column:
+    c = F.col(f"`{field.name}`")
+    for typ, width in _FIXED.items():
+        if isinstance(field.dataType, typ):
+            return F.lit(width)
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0))
+    if isinstance(field.dataType, T.DecimalType):
+        return F.lit(16)
+    # Nested values: the length of their JSON text bounds their in-memory size loosely.
+    return F.coalesce(F.octet_length(F.to_json(c)), F.lit(0))
 
 
 def has_at_most(df: DataFrame, n: int) -> bool:
@@ -23,13 +59,24 @@ def has_at_most(df: DataFrame, n: int) -> bool:
     return df.limit(n + 1).count() <= n
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int | None = None) -> tuple[DataFrame, bool]:
-    """``broadcast(df)`` when its row count is proven to be within the bound.
+def proven_small(df: DataFrame, max_rows: int | None = None, max_bytes: int | None = None) -> bool:
+    """True when ``df`` has at most ``max_rows`` rows of at most ``max_bytes`` in total.
 
-    Otherwise the frame is returned unchanged and the join stays a shuffle join, which AQE
-    may still turn into a broadcast once it has measured the real size.
+    One job over at most ``max_rows + 1`` rows.
     """
-    bound = max_broadcast_rows(df) if max_rows is None else max_rows
-    if has_at_most(df, bound):
+    rows = max_broadcast_rows(df) if max_rows is None else max_rows
+    limit = max_broadcast_bytes(df) if max_bytes is None else max_bytes
+    sizes = [_field_bytes(f) for f in df.schema.fields] or [F.lit(0)]
+    row_bytes = reduce(lambda a, b: a + b, sizes) + F.lit(_ROW_OVERHEAD)
+    probe = df.limit(rows + 1).agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row_bytes), F.lit(0)).alias("b")
+    ).first()
+    return probe["n"] <= rows and probe["b"] <= limit
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int | None = None,
+                       max_bytes: int | None = None) -> tuple[DataFrame, bool]:
+    """``broadcast(df)`` when :func:`proven_small`; otherwise ``df`` unchanged."""
+    if proven_small(df, max_rows, max_bytes):
         return F.broadcast(df), True
     return df, False

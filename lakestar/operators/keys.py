@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestar import schemas as S
-from lakestar.operators.joins import has_at_most, max_broadcast_rows
+from lakestar.operators.joins import proven_small
 from lakestar.session import cut_lineage
 
 _PID, _MID = "__pid", "__mid"
@@ -56,7 +56,7 @@ def assign_sid(
     spark = df.sparkSession
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     if small is None:
-        small = num_partitions is None and has_at_most(df, max_broadcast_rows(df))
+        small = num_partitions is None and proven_small(df)
     if small and num_partitions is None:
         rank = F.row_number().over(Window.orderBy(*cols))
         return df.select((rank - 1 + F.lit(start)).cast("long").alias(sid_col), *df.columns)

@@ -85,14 +85,20 @@ def fk_orphans(
     foreign_keys: Sequence[tuple[str, str]] = S.MART_FOREIGN_KEYS,
     sid_col: str = S.SID,
 ) -> DataFrame:
-    """Per foreign key: the number of fact rows whose value has no row in the dimension."""
+    """Per foreign key: the number of fact rows whose value has no row in the dimension.
+
+    The fact is first reduced to (value, rows) per foreign-key value; the partial
+    aggregation collapses a hot value (say the unknown member) before any shuffle, and
+    only distinct values meet the dimension.
+    """
     parts = []
     for fk, table in foreign_keys:
+        per_value = fact.groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
         d = dims[table].select(F.col(sid_col).alias(fk)).distinct()
         d, _ = broadcast_if_small(d)
-        orphans = fact.select(fk).join(d, fk, "left_anti")
+        orphans = per_value.join(d, fk, "left_anti")
         parts.append(
-            orphans.agg(F.count(F.lit(1)).alias("orphan_rows")).select(
+            orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orphan_rows")).select(
                 F.lit(fk).alias("fk_column"), F.lit(table).alias("dim_table"), "orphan_rows"
             )
         )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakestar.operators.joins import broadcast_if_small, has_at_most, max_broadcast_rows
+from lakestar.operators.joins import broadcast_if_small, has_at_most, proven_small
 
 Side = Callable[[str], Column]
 Guard = Callable[[Side, Side], Column]
@@ -163,7 +163,7 @@ def _join(t: DataFrame, s: DataFrame, on: Sequence[str], target: DataFrame,
         lambda a, b: a & b, [left[f"__k{i}"] == right[f"__j{i}"] for i in range(n)]
     )
     if strategy == "auto":
-        strategy = "broadcast" if has_at_most(source, max_broadcast_rows(source)) else "shuffle"
+        strategy = "broadcast" if proven_small(source) else "shuffle"
     if strategy == "shuffle":
         return t.join(s, cond(t, s), "full_outer")
     if strategy != "broadcast":

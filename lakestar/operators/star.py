@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from lakestar import schemas as S
 from lakestar.functions.hashing import COMPAT, EXACT, sha256_of
 from lakestar.operators.dedup import newest_first_order
-from lakestar.operators.joins import broadcast_if_small, has_at_most, max_broadcast_rows
+from lakestar.operators.joins import broadcast_if_small, proven_small
 from lakestar.operators.keys import assign_sid, next_sid
 from lakestar.operators.merging import merge
 from lakestar.operators.quality import first_per_key
@@ -105,7 +105,7 @@ def unmatched(source: DataFrame, target: DataFrame, on: Sequence[str],
     """
     keys = list(on)
     if small is None:
-        small = has_at_most(source, max_broadcast_rows(source))
+        small = proven_small(source)
     if small:
         matched = target.select(*keys).join(F.broadcast(source.select(*keys)), keys, "left_semi")
         return source.join(F.broadcast(matched), keys, "left_anti")
@@ -127,7 +127,7 @@ def merge_star(
     out_cols = [f.name for f in spec.schema.fields]
     order = [F.col(c).asc_nulls_first() for c in spec.key] + [F.col(S.KEY_HASH).asc_nulls_first()]
     src = cut_lineage(source.select(*[c for c in out_cols if c != S.SID]))
-    small = has_at_most(src, max_broadcast_rows(src))
+    small = proven_small(src)
     if strategy == "auto":
         strategy = "broadcast" if small else "shuffle"
     if target is None:

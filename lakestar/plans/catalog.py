@@ -73,10 +73,11 @@ def scan_csv(spark, sf_dir):
 
 @query
 def scan_table(spark, sf_dir):
-    """Whole bronze table through a registered name."""
+    """Whole bronze table through its catalog name (external table over the folder)."""
     sc = _sc(spark, sf_dir)
-    TB.register(spark, "bronze_new_york_baby_names", sc.bronze())
-    return spark.read.table("bronze_new_york_baby_names")
+    name = P.register_bronze(spark, sc.layout)
+    TB.require_table(spark, name)
+    return spark.read.table(name).select(*S.BRONZE_COLUMNS)
 
 
 @query

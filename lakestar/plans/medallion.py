@@ -111,6 +111,13 @@ def read_bronze(spark: SparkSession, layout: Layout) -> DataFrame:
     return TB.read_log(spark, layout.bronze, S.BRONZE_SCHEMA)
 
 
+def register_bronze(spark: SparkSession, layout: Layout, database: str = "bronze",
+                    table: str = "new_york_baby_names") -> str:
+    """Declare the bronze folder as an external catalog table (schema under the root)."""
+    return TB.register_external(spark, database, table, layout.bronze, S.BRONZE_SCHEMA,
+                                (S.PROCESSING_DAY,), f"{layout.root}/catalog/{database}.db")
+
+
 # ---------------------------------------------------------------------------
 # P2: bronze -> silver + errors
 # ---------------------------------------------------------------------------
@@ -138,7 +145,7 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
     current = None if previous is None else read_silver(spark, layout, previous)
     merged, obs = _observe(silver_merge(current, survivors, with_action=True), "silver_merge")
-    TB.write_snapshot(merged.drop(ACTION), layout.silver, version)
+    TB.write_snapshot(merged.drop(ACTION), layout.silver, version, cluster_by=(S.PROCESSING_DATE,))
     return StepReport("bronze_to_silver", obs.get)
 
 
@@ -169,7 +176,8 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
     current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
     facts = G.fact_rows(silver_slice, dims)
     new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT)
-    TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version)
+    TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
+                      cluster_by=(S.PROCESSING_DATE,))
     return StepReport("silver_to_gold")
 
 

@@ -59,9 +59,16 @@ def day_slice(df: DataFrame, day: date, ts_col: str = S.PROCESSING_DATE) -> Data
 
 
 def write_snapshot(df: DataFrame, base: str, version: int,
-                   partition_by: tuple[str, ...] = ()) -> str:
-    """Write one snapshot version (overwrite: a re-run rewrites the same version)."""
+                   partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = ()) -> str:
+    """Write one snapshot version (overwrite: a re-run rewrites the same version).
+
+    ``cluster_by``: rows are sorted inside each task before writing, so Parquet row-group
+    statistics on those columns are tight and a later range filter (the day slice on
+    ``_processing_date``) skips the row groups of other days.  A local sort, no shuffle.
+    """
     path = snapshot_path(base, version)
+    if cluster_by:
+        df = df.sortWithinPartitions(*cluster_by)
     writer = df.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -84,6 +91,42 @@ def read_snapshot(spark: SparkSession, base: str, version: int,
         raise FileNotFoundError(f"table snapshot {path} not found") from exc
 
 
+def register_external(spark: SparkSession, database: str, table: str, path: str,
+                      schema: T.StructType, partition_by: tuple[str, ...] = (),
+                      db_location: str | None = None) -> str:
+    """Register a table folder in the catalog: ``CREATE SCHEMA`` + external ``CREATE TABLE``.
+
+    The table is declared over its location (nothing is copied); new partition folders
+    written by later appends are picked up with ``RECOVER PARTITIONS``.
+    """
+    where = f" LOCATION '{db_location}'" if db_location else ""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{database}`{where}")
+    fields = list(schema.fields) + [
+        T.StructField(p, T.DateType()) for p in partition_by if p not in schema.fieldNames()
+    ]
+    cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    name = f"`{database}`.`{table}`"
+    if spark.catalog.tableExists(f"{database}.{table}") and _location(spark, name) != _norm(path):
+        # Same name over another folder: re-point it (external: only metadata is dropped).
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{parts} LOCATION '{path}'")
+    if partition_by:
+        spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
+    return f"{database}.{table}"
+
+
+def _norm(path: str) -> str:
+    return path[len("file:"):] if path.startswith("file:") else path.rstrip("/")
+
+
+def _location(spark: SparkSession, name: str) -> str | None:
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect():
+        if r["col_name"] == "Location":
+            return _norm(r["data_type"])
+    return None
+
+
 def register(spark: SparkSession, name: str, df: DataFrame) -> None:
     """Expose a layer table to SQL under ``name`` (session-scoped view, no catalog files)."""
     df.createOrReplaceTempView(name)
