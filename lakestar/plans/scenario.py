@@ -20,7 +20,7 @@ from lakestar.sources import feed as FD
 from lakestar.sources import tables as TB
 
 _LOCK = threading.Lock()
-_CACHE: dict[tuple[str, str], Scenario] = {}
+_CACHE: dict[tuple, Scenario] = {}
 
 
 class Scenario:
@@ -32,7 +32,10 @@ class Scenario:
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Scenario:
-        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+        # The broadcast bounds choose between physical shapes, so they are part of the key.
+        bounds = tuple(spark.conf.get(k, "") for k in
+                       ("lakestar.broadcast.maxRows", "lakestar.broadcast.maxBytes"))
+        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), bounds)
         with _LOCK:
             sc = _CACHE.get(key)
             if sc is None:
