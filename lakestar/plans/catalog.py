@@ -82,18 +82,23 @@ def scan_table(spark, sf_dir):
 
 @query
 def file_lineage(spark, sf_dir):
-    """Landing files of both runs with each row's source file and modification time."""
+    """Landing files of both runs: each row's source file (from its path) and file time."""
     feed = FD.names_feed(spark, sf_dir)
     base = fresh_workspace(spark, "lineage")
     for ctx, name in ((FD.RUN_1, FD.FILE_1), (FD.RUN_2, FD.FILE_2)):
         FS.write_landing(FD.landing_rows(FD.run_rows(feed, ctx)), f"{base}/{name}")
     rows = FS.with_file_lineage(FS.read_landing(spark, f"{base}/*/*.csv"))
-    return rows.select(*S.LANDING_COLUMNS, S.INPUT_FILENAME, S.INPUT_MODIFIED)
+    # The landing file is the folder the part file sits in; the time is the file system's.
+    return rows.select(
+        *S.LANDING_COLUMNS,
+        F.regexp_extract(S.INPUT_FILENAME, r"/([^/]+)/[^/]+$", 1).alias("landing_file"),
+        F.col(S.INPUT_MODIFIED).isNotNull().alias("has_file_time"),
+    )
 
 
 @query
 def scan_modified_since(spark, sf_dir):
-    """Raw Parquet files of the fact folder written within the last day (all versions)."""
+    """Raw Parquet files of the fact folder written within the last day: every version."""
     sc = _sc(spark, sf_dir)
     since = datetime.now(timezone.utc).replace(tzinfo=None) - timedelta(days=1)
     return FS.read_modified_since(spark, sc.layout.gold("fact"), since, schema=S.FACT_SCHEMA)

@@ -307,6 +307,9 @@ BRONZE = (LANDING + ", _processing_date, _pipeline_run_id, _input_filename, "
 # Sources and sinks
 oracle("scan_csv", f"SELECT {LANDING} FROM feed")
 oracle("scan_table", f"SELECT {BRONZE} FROM feed")
+oracle("file_lineage", f"SELECT {LANDING}, _input_filename AS landing_file, TRUE AS has_file_time "
+       "FROM feed")
+oracle("scan_modified_since", "SELECT * FROM fact_v1 UNION ALL SELECT * FROM fact_v2")
 oracle("incremental_slice", f"SELECT {BRONZE} FROM feed WHERE "
        f"{day_range('_processing_date', DAY2, DAY3)}")
 oracle("bronze_append", f"SELECT {BRONZE} FROM feed")

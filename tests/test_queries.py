@@ -18,10 +18,8 @@ def con():
     return duck(SF0001)
 
 
-def test_every_query_is_registered_with_an_oracle_or_rows_only():
-    rows_only = set(QUERIES) - set(ORACLES)
-    assert rows_only == {"file_lineage", "scan_modified_since"}
-    assert set(ORACLES) <= set(QUERIES)
+def test_every_query_is_registered_with_an_oracle():
+    assert set(ORACLES) == set(QUERIES)
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
