@@ -47,7 +47,7 @@ def main() -> None:
         return out
 
     t_start = time.perf_counter()
-    layout = P.Layout(fresh_workspace(spark, "bench"))
+    layout = P.new_layout(spark, fresh_workspace(spark, "bench"))
     feed_path = f"{layout.root}/feed"
     timed("feed", lambda: FD.names_feed(spark, sf_dir).write.mode("overwrite").parquet(feed_path))
     feed = spark.read.parquet(feed_path)

@@ -21,7 +21,7 @@ from lakestar.operators.quality import (
     quarantine_reason,
     rename_measure,
 )
-from lakestar.operators.star import DIMS, FACT, build_gold, delta, lookup_sids, merge_star
+from lakestar.operators.star import DIMS, FACT, delta, lookup_sids, merge_star
 
 __all__ = [
     "DIMS",
@@ -29,7 +29,6 @@ __all__ = [
     "ambiguous_keys",
     "assign_sid",
     "broadcast_if_small",
-    "build_gold",
     "check_unique_keys",
     "clean",
     "compacted",

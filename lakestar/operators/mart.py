@@ -43,7 +43,8 @@ def mart_source(gold_versions: DataFrame, table: str, dedup: str = "rownum") ->
 
 
 def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.SID,),
-           strategy: str = "auto", check_unique: bool = True) -> DataFrame:
+           strategy: str = "auto", check_unique: bool = True,
+           target_buckets: int | None = None) -> DataFrame:
     """Matched sid -> overwrite the business columns; new sid -> insert; nothing deleted.
 
     A sid that repeats in the source fails the upsert (``check_unique``), unless the
@@ -59,6 +60,7 @@ def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.S
         columns=source.columns,
         strategy=strategy,
         check_unique=check_unique,
+        target_buckets=target_buckets,
     )
 
 

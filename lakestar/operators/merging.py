@@ -15,6 +15,12 @@ Two physical shapes, same result:
   rows whose key did not match are the inserts.  The target is never shuffled.
 
 ``auto`` picks ``broadcast`` when the source passes the size check.
+
+``target_buckets``: the target is read hash-bucketed on the key into that many buckets
+(see ``lakestar.sources.tables.Bucketing``).  The shuffle shape then hash-partitions only
+the source into the same buckets, so the sort-merge join reads the target in place; the
+broadcast shape buckets the inserted rows, so the new version keeps one file per bucket
+per side.
 """
 
 from __future__ import annotations
@@ -24,9 +30,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from lakestar.operators.joins import broadcast_if_small, has_at_most, proven_small
+from lakestar.operators.joins import has_at_most, proven_small
 
 Side = Callable[[str], Column]
 Guard = Callable[[Side, Side], Column]
@@ -93,6 +98,7 @@ def merge(
     strategy: str = "auto",
     check_unique: bool = True,
     with_action: bool = False,
+    target_buckets: int | None = None,
 ) -> DataFrame:
     """New target content after merging ``source`` on key columns ``on``.
 
@@ -130,7 +136,9 @@ def merge(
 
     t = target.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)],
                       F.struct(*target.columns).alias(_T))
-    joined = _join(t, s, on, target, source, strategy)
+    if strategy == "auto":
+        strategy = "broadcast" if proven_small(source) else "shuffle"
+    joined = _join(t, s, on, strategy, target_buckets)
     has_t = F.col(_T).isNotNull()
     has_s = F.col(_S).isNotNull()
 
@@ -156,26 +164,29 @@ def merge(
     return staged.select(*[project(c) for c in out_cols], *extra)
 
 
-def _join(t: DataFrame, s: DataFrame, on: Sequence[str], target: DataFrame,
-          source: DataFrame, strategy: str) -> DataFrame:
+def _join(t: DataFrame, s: DataFrame, on: Sequence[str], strategy: str,
+          target_buckets: int | None) -> DataFrame:
     n = len(on)
+    src_keys = [f"__j{i}" for i in range(n)]
     cond = lambda left, right: reduce(
         lambda a, b: a & b, [left[f"__k{i}"] == right[f"__j{i}"] for i in range(n)]
     )
-    if strategy == "auto":
-        strategy = "broadcast" if proven_small(source) else "shuffle"
     if strategy == "shuffle":
+        if target_buckets:
+            s = s.repartition(int(target_buckets), *src_keys)
         return t.join(s, cond(t, s), "full_outer")
     if strategy != "broadcast":
         raise ValueError(f"unknown merge strategy {strategy!r}")
     small_s = F.broadcast(s)
     kept = t.join(small_s, cond(t, small_s), "left")
-    src_keys = F.broadcast(s.select(*[f"__j{i}" for i in range(n)]))
+    skeys = F.broadcast(s.select(*src_keys))
     tkeys = t.select(*[f"__k{i}" for i in range(n)])
-    matched_keys = tkeys.join(src_keys, cond(tkeys, src_keys), "left_semi")
+    matched_keys = tkeys.join(skeys, cond(tkeys, skeys), "left_semi")
     # Bounded by the source size (checked above): safe to broadcast.
     mk = F.broadcast(matched_keys)
     inserted = s.join(mk, cond(mk, s), "left_anti")
+    if target_buckets:
+        inserted = inserted.repartition(int(target_buckets), *src_keys)
     null_t = F.lit(None).cast(t.schema[_T].dataType)
     inserted = inserted.select(*[F.lit(None).cast(t.schema[f"__k{i}"].dataType).alias(f"__k{i}")
                                  for i in range(n)], null_t.alias(_T), *s.columns)
@@ -201,7 +212,6 @@ __all__ = [
     "UNCHANGED",
     "UPDATE",
     "ambiguous_keys",
-    "broadcast_if_small",
     "check_unique_keys",
     "merge",
     "merge_metrics",

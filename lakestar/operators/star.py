@@ -117,6 +117,7 @@ def merge_star(
     source: DataFrame,
     spec: TableSpec,
     strategy: str = "auto",
+    target_buckets: int | None = None,
 ) -> DataFrame:
     """New content of a gold table after merging a de-duplicated ``source`` (a delta).
 
@@ -146,6 +147,7 @@ def merge_star(
         insert_values=out_cols,
         strategy=strategy,
         check_unique=False,  # the delta is one row per key by construction
+        target_buckets=target_buckets,
     )
     return _conform(merged, spec.schema)
 
@@ -180,22 +182,3 @@ def lookup_sids(
 def fact_rows(rows: DataFrame, dims: Mapping[str, DataFrame]) -> DataFrame:
     """Silver rows as fact rows: the three SIDs, the measure and the run columns."""
     return lookup_sids(rows, dims).select(*FACT.key, *FACT.measures, *_RUN)
-
-
-def build_gold(
-    silver_slice: DataFrame,
-    current: Mapping[str, DataFrame | None],
-    mode: str = EXACT,
-) -> dict[str, DataFrame]:
-    """Merge one silver slice into the three dimensions, then the fact.
-
-    ``current`` maps table name -> current content (``None`` before the first run).  The
-    new dimensions are returned lazily; the caller materialises them before the fact
-    lookup reads them (see ``lakestar.plans.medallion``).
-    """
-    out: dict[str, DataFrame] = {}
-    for spec in DIMS:
-        out[spec.name] = merge_star(current.get(spec.name), delta(silver_slice, spec, mode), spec)
-    facts = fact_rows(silver_slice, out)
-    out[FACT.name] = merge_star(current.get(FACT.name), delta(facts, FACT, mode), FACT)
-    return out

@@ -325,7 +325,7 @@ def merge_newer_wins(spark, sf_dir):
     """Silver of run 1 merged with the survivors of run 2 (newer file wins)."""
     sc = _sc(spark, sf_dir)
     _, survivors = _survivors(sc, FD.RUN_2)
-    return P.silver_merge(sc.silver(1), survivors)
+    return P.silver_merge(sc.silver(1), survivors, target_buckets=sc.layout.buckets or None)
 
 
 @query
@@ -355,14 +355,16 @@ def merge_fact(spark, sf_dir):
     """Hash-change merge of run 2's facts into the run-1 fact."""
     sc = _sc(spark, sf_dir)
     facts = G.fact_rows(sc.silver_day(2, FD.RUN_2), sc.gold_dims(2))
-    return G.merge_star(sc.gold("fact", 1), G.delta(facts, G.FACT), G.FACT)
+    return G.merge_star(sc.gold("fact", 1), G.delta(facts, G.FACT), G.FACT,
+                        target_buckets=sc.layout.buckets or None)
 
 
 def _upsert(table):
     def run(spark, sf_dir):
         sc = _sc(spark, sf_dir)
         changed = TB.day_slice(sc.gold(table, 2), FD.RUN_2.day)
-        return M.upsert(sc.mart(table, 1), M.mart_source(changed, table))
+        buckets = (sc.layout.buckets or None) if table == "fact" else None
+        return M.upsert(sc.mart(table, 1), M.mart_source(changed, table), target_buckets=buckets)
 
     run.__name__ = f"upsert_{table}"
     run.__doc__ = f"Mart {table} of run 1 upserted with the gold rows changed by run 2."

@@ -44,9 +44,29 @@ GOLD_TABLES = tuple(GOLD_SCHEMAS)
 
 @dataclass(frozen=True)
 class Layout:
-    """Where every table lives under one root folder."""
+    """Where every table lives under one root folder.
+
+    ``buckets`` > 0: silver, the gold fact and the mart fact are bucketed by their merge
+    key into that many buckets (fixed for the layout's lifetime); 0: plain snapshots.
+    """
 
     root: str
+    buckets: int = 0
+
+    def _bucketing(self, keys: tuple[str, ...], sort_by: tuple[str, ...] = ()):
+        return TB.Bucketing(tuple(keys), self.buckets, sort_by) if self.buckets else None
+
+    @property
+    def silver_bucketing(self):
+        return self._bucketing(S.NATURAL_KEY, (S.PROCESSING_DATE,))
+
+    @property
+    def fact_bucketing(self):
+        return self._bucketing((S.KEY_HASH,), (S.PROCESSING_DATE,))
+
+    @property
+    def mart_fact_bucketing(self):
+        return self._bucketing((S.SID,))
 
     def landing(self, filename: str) -> str:
         return f"{self.root}/landing/{filename}"
@@ -70,6 +90,14 @@ class Layout:
         return f"{self.root}/mart/{table}"
 
 
+def new_layout(spark: SparkSession, root: str, buckets: int | None = None) -> Layout:
+    """A layout whose bucket count comes from ``lakestar.buckets`` (default: the shuffle
+    partition count)."""
+    n = buckets if buckets is not None else int(
+        spark.conf.get("lakestar.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
+    return Layout(root, n)
+
+
 @dataclass
 class StepReport:
     step: str
@@ -122,7 +150,7 @@ def register_bronze(spark: SparkSession, layout: Layout, database: str = "bronze
 # P2: bronze -> silver + errors
 # ---------------------------------------------------------------------------
 def silver_merge(current: DataFrame | None, survivors: DataFrame, with_action: bool = False,
-                 strategy: str = "auto") -> DataFrame:
+                 strategy: str = "auto", target_buckets: int | None = None) -> DataFrame:
     """Newer-wins merge: a matched row is replaced only by a strictly newer file."""
     return merge(
         current,
@@ -134,6 +162,7 @@ def silver_merge(current: DataFrame | None, survivors: DataFrame, with_action: b
         strategy=strategy,
         check_unique=False,  # survivors are one row per key by construction
         with_action=with_action,
+        target_buckets=target_buckets,
     )
 
 
@@ -144,13 +173,17 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
     TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
     current = None if previous is None else read_silver(spark, layout, previous)
-    merged, obs = _observe(silver_merge(current, survivors, with_action=True), "silver_merge")
-    TB.write_snapshot(merged.drop(ACTION), layout.silver, version, cluster_by=(S.PROCESSING_DATE,))
+    merged, obs = _observe(
+        silver_merge(current, survivors, with_action=True, target_buckets=layout.buckets or None),
+        "silver_merge")
+    TB.write_snapshot(merged.drop(ACTION), layout.silver, version, cluster_by=(S.PROCESSING_DATE,),
+                      bucketing=layout.silver_bucketing)
     return StepReport("bronze_to_silver", obs.get)
 
 
 def read_silver(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
-    return TB.read_snapshot(spark, layout.silver, version, SILVER_SCHEMA)
+    return TB.read_snapshot(spark, layout.silver, version, SILVER_SCHEMA,
+                            bucketing=layout.silver_bucketing)
 
 
 def read_errors(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -161,7 +194,9 @@ def read_errors(spark: SparkSession, layout: Layout) -> DataFrame:
 # P3: silver -> gold
 # ---------------------------------------------------------------------------
 def read_gold(spark: SparkSession, layout: Layout, table: str, version: int) -> DataFrame:
-    return TB.read_snapshot(spark, layout.gold(table), version, GOLD_SCHEMAS[table])
+    bucketing = layout.fact_bucketing if table == G.FACT.name else None
+    return TB.read_snapshot(spark, layout.gold(table), version, GOLD_SCHEMAS[table],
+                            bucketing=bucketing)
 
 
 def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_version: int,
@@ -175,9 +210,10 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
         dims[spec.name] = read_gold(spark, layout, spec.name, version)
     current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
     facts = G.fact_rows(silver_slice, dims)
-    new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT)
+    new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT,
+                            target_buckets=layout.buckets or None)
     TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
-                      cluster_by=(S.PROCESSING_DATE,))
+                      cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing)
     return StepReport("silver_to_gold")
 
 
@@ -192,7 +228,9 @@ MART_SCHEMAS = {
 
 
 def read_mart(spark: SparkSession, layout: Layout, table: str, version: int) -> DataFrame:
-    return TB.read_snapshot(spark, layout.mart(table), version, MART_SCHEMAS[table])
+    bucketing = layout.mart_fact_bucketing if table == G.FACT.name else None
+    return TB.read_snapshot(spark, layout.mart(table), version, MART_SCHEMAS[table],
+                            bucketing=bucketing)
 
 
 def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_version: int,
@@ -215,8 +253,11 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
         # The source is read by the size check and up to three join inputs.
         source = cut_lineage(source)
         current = None if previous is None else read_mart(spark, layout, table, previous)
-        new = M.upsert(current, source, check_unique=False)  # one row per sid already
-        TB.write_snapshot(new, layout.mart(table), version)
+        is_fact = table == G.FACT.name
+        new = M.upsert(current, source, check_unique=False,  # one row per sid already
+                       target_buckets=(layout.buckets or None) if is_fact else None)
+        TB.write_snapshot(new, layout.mart(table), version,
+                          bucketing=layout.mart_fact_bucketing if is_fact else None)
     return StepReport("gold_to_mart")
 
 

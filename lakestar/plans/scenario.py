@@ -27,7 +27,7 @@ class Scenario:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.layout = P.Layout(fresh_workspace(spark, "history"))
+        self.layout = P.new_layout(spark, fresh_workspace(spark, "history"))
         self.reports: list = []
 
     @classmethod

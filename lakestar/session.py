@@ -7,7 +7,6 @@ tests, the smoke check) gets a private folder under the system temp directory.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -49,6 +48,9 @@ def get_session(
     return spark
 
 
+_PRIVATE_KEY = "lakestar.shared.dir"
+
+
 def _is_local(spark: SparkSession) -> bool:
     return spark.sparkContext.master.startswith("local")
 
@@ -57,8 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster-wide folder for checkpoints and intermediate tables.
 
     Reads ``spark.checkpoint.dir`` from the session.  When it is unset, a local-mode
-    session gets a fresh folder under the temp directory; any other session fails, since a
-    machine-local folder is not visible to executors.
+    session gets one private folder under the temp directory (kept for the session); any
+    other session fails, since a machine-local folder is not visible to executors.
     """
     sc = spark.sparkContext
     configured = sc.getConf().get("spark.checkpoint.dir", None)
@@ -68,20 +70,18 @@ def shared_dir(spark: SparkSession) -> str:
         except Exception:  # noqa: BLE001 - unset static conf
             configured = None
     if not configured:
-        current = sc.getCheckpointDir()
-        if current:
-            # A checkpoint dir was set programmatically: use its parent folder.
-            configured = current.rsplit("/", 1)[0]
-        elif _is_local(spark):
-            configured = tempfile.mkdtemp(prefix="lakestar-shared-")
-        else:
+        configured = spark.conf.get(_PRIVATE_KEY, None)
+    if not configured:
+        if not _is_local(spark):
             raise RuntimeError(
                 "spark.checkpoint.dir is not set; point it at a folder every executor can reach"
             )
-        spark.conf.set("lakestar.shared.dir", configured)
+        configured = tempfile.mkdtemp(prefix="lakestar-shared-")
+        spark.conf.set(_PRIVATE_KEY, configured)
+    configured = configured.rstrip("/")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(configured.rstrip("/") + "/checkpoints")
-    return configured.rstrip("/")
+        sc.setCheckpointDir(configured + "/checkpoints")
+    return configured
 
 
 def workspace(spark: SparkSession, *parts: str) -> str:
@@ -109,10 +109,3 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def local_path(path: str) -> str:
     """Strip a ``file:`` scheme so the path can be used with ``os`` in tests."""
     return path[len("file:"):] if path.startswith("file:") else path
-
-
-def ensure_parent(path: str) -> None:
-    """Create the parent of a local path (no-op for remote schemes)."""
-    if "://" in path and not path.startswith("file:"):
-        return
-    os.makedirs(os.path.dirname(local_path(path)) or ".", exist_ok=True)

@@ -7,10 +7,17 @@
   (``.../v=000002``).  The previous snapshot is only read, never overwritten, so a failed
   run leaves the last good version in place, and re-running a run rewrites its own
   version.
+* The large tables (silver, gold fact, mart fact) are written *bucketed* by their merge
+  key (:class:`Bucketing`) and read back through a catalog entry that declares the
+  buckets.  The next merge then finds the target already hash-partitioned on the key and
+  shuffles only the source to match: the table that grows with history is never
+  shuffled again.
 """
 
 from __future__ import annotations
 
+import hashlib
+from dataclasses import dataclass
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,6 +27,23 @@ from pyspark.errors import AnalysisException
 
 from lakestar import schemas as S
 from lakestar.functions.dates import day_literal, day_predicate
+from lakestar.session import shared_dir
+
+SNAPSHOT_DB = "lakestar_snapshots"
+
+
+@dataclass(frozen=True)
+class Bucketing:
+    """Hash buckets of a snapshot: ``buckets`` files per version, by ``keys``.
+
+    The bucket count is fixed for a table's lifetime (merges need target and source on
+    the same count); size it to about 0.5-1 GB of data per bucket.  ``sort_by`` orders
+    rows inside each bucket file (e.g. by processing date, for row-group skipping).
+    """
+
+    keys: tuple[str, ...]
+    buckets: int
+    sort_by: tuple[str, ...] = ()
 
 
 def snapshot_path(base: str, version: int) -> str:
@@ -58,15 +82,43 @@ def day_slice(df: DataFrame, day: date, ts_col: str = S.PROCESSING_DATE) -> Data
     return df.filter(day_predicate(ts_col, day))
 
 
+def snapshot_table(base: str, version: int) -> str:
+    """Catalog name of a bucketed snapshot (derived from its location)."""
+    digest = hashlib.sha1(_norm(base).encode()).hexdigest()[:12]
+    return f"{SNAPSHOT_DB}.s{digest}_v{int(version):06d}"
+
+
+def _ensure_snapshot_db(spark: SparkSession) -> None:
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{SNAPSHOT_DB}` "
+              f"LOCATION '{shared_dir(spark)}/catalog/{SNAPSHOT_DB}.db'")
+
+
 def write_snapshot(df: DataFrame, base: str, version: int,
-                   partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = ()) -> str:
+                   partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = (),
+                   bucketing: Bucketing | None = None) -> str:
     """Write one snapshot version (overwrite: a re-run rewrites the same version).
 
     ``cluster_by``: rows are sorted inside each task before writing, so Parquet row-group
     statistics on those columns are tight and a later range filter (the day slice on
     ``_processing_date``) skips the row groups of other days.  A local sort, no shuffle.
+    ``bucketing``: hash-bucketed by key, registered in the catalog (external table).
     """
     path = snapshot_path(base, version)
+    if bucketing is not None:
+        spark = df.sparkSession
+        _ensure_snapshot_db(spark)
+        name = snapshot_table(base, version)
+        if spark.catalog.tableExists(name):
+            spark.sql(f"DROP TABLE {name}")  # external: the files stay until overwritten
+        sort_by = bucketing.sort_by or cluster_by or bucketing.keys
+        (
+            df.write.mode("overwrite")
+            .bucketBy(bucketing.buckets, *bucketing.keys)
+            .sortBy(*sort_by)
+            .option("path", path)
+            .saveAsTable(name)
+        )
+        return path
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
     writer = df.write.mode("overwrite")
@@ -77,35 +129,56 @@ def write_snapshot(df: DataFrame, base: str, version: int,
 
 
 def read_snapshot(spark: SparkSession, base: str, version: int,
-                  schema: T.StructType | None = None) -> DataFrame:
-    """One snapshot version; fails with a clear message when it does not exist."""
+                  schema: T.StructType | None = None,
+                  bucketing: Bucketing | None = None) -> DataFrame:
+    """One snapshot version; fails with a clear message when it does not exist.
+
+    A bucketed snapshot is read through its catalog entry (declared again when this
+    application has not seen it), so the scan reports its hash partitioning.
+    """
     path = snapshot_path(base, version)
     try:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.parquet(path)
-        if schema is not None:
-            df = df.select(*schema.fieldNames())
         df.schema  # noqa: B018 - resolve now so a missing path fails here
-        return df
     except AnalysisException as exc:
         raise FileNotFoundError(f"table snapshot {path} not found") from exc
+    if bucketing is not None:
+        if schema is None:
+            schema = df.schema
+        _ensure_snapshot_db(spark)
+        name = snapshot_table(base, version)
+        db, table = name.split(".")
+        sort_by = bucketing.sort_by or bucketing.keys
+        register_external(spark, db, table, path, schema,
+                          clustered=(bucketing.keys, sort_by, bucketing.buckets))
+        df = spark.read.table(name)
+    if schema is not None:
+        df = df.select(*schema.fieldNames())
+    return df
 
 
 def register_external(spark: SparkSession, database: str, table: str, path: str,
                       schema: T.StructType, partition_by: tuple[str, ...] = (),
-                      db_location: str | None = None) -> str:
+                      db_location: str | None = None,
+                      clustered: tuple[tuple[str, ...], tuple[str, ...], int] | None = None) -> str:
     """Register a table folder in the catalog: ``CREATE SCHEMA`` + external ``CREATE TABLE``.
 
     The table is declared over its location (nothing is copied); new partition folders
     written by later appends are picked up with ``RECOVER PARTITIONS``.
     """
     where = f" LOCATION '{db_location}'" if db_location else ""
-    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{database}`{where}")
+    if db_location or not spark.catalog.databaseExists(database):
+        spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{database}`{where}")
     fields = list(schema.fields) + [
         T.StructField(p, T.DateType()) for p in partition_by if p not in schema.fieldNames()
     ]
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""
+    if clustered:
+        keys, sort_by, buckets = clustered
+        parts += (f" CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(sort_by)})"
+                  f" INTO {int(buckets)} BUCKETS")
     name = f"`{database}`.`{table}`"
     if spark.catalog.tableExists(f"{database}.{table}") and _location(spark, name) != _norm(path):
         # Same name over another folder: re-point it (external: only metadata is dropped).

@@ -42,3 +42,36 @@ def test_large_merge_plan_is_a_sort_merge_full_outer_join(forced_large):
     survivors = Q.latest_per_key(Q.quality_filter(Q.rename_measure(sc.bronze_day(FD.RUN_2))))
     df = silver_merge(sc.silver(1), survivors)
     assert "Join FullOuter" in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _ancestors(plan: str, marker: str) -> list[str]:
+    """Operator lines above the first line containing ``marker`` (nearest first)."""
+    lines = plan.split("== Initial Plan ==")[0].splitlines()
+    idx = next(i for i, line in enumerate(lines) if marker in line)
+    depth = len(lines[idx]) - len(lines[idx].lstrip(" :|+-"))
+    out = []
+    for line in reversed(lines[:idx]):
+        d = len(line) - len(line.lstrip(" :|+-"))
+        if d < depth:
+            out.append(line.strip(" :|+-"))
+            depth = d
+    return out
+
+
+def test_bucketed_target_is_read_in_place(forced_large):
+    from lakestar.operators import quality as Q
+    from lakestar.plans.medallion import silver_merge
+    from lakestar.plans.scenario import Scenario
+    from lakestar.sources import feed as FD
+
+    sc = Scenario.of(forced_large, SF0001)
+    assert sc.layout.buckets > 0
+    survivors = Q.latest_per_key(Q.quality_filter(Q.rename_measure(sc.bronze_day(FD.RUN_2))))
+    df = silver_merge(sc.silver(1), survivors, strategy="shuffle",
+                      target_buckets=sc.layout.buckets)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Bucketed: true" in plan
+    path = _ancestors(plan, "Bucketed: true")
+    join = next(i for i, op in enumerate(path) if "SortMergeJoin" in op)
+    assert not any("Exchange" in op for op in path[:join]), path[:join]
