@@ -32,6 +32,7 @@ from lakestar.operators import star as G
 from lakestar.operators.merging import ACTION, merge
 from lakestar.sources import files as FS
 from lakestar.sources import tables as TB
+from lakestar.operators.joins import proven_small
 from lakestar.session import cut_lineage
 
 SILVER_SCHEMA = T.StructType(
@@ -171,10 +172,13 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     slice_df = Q.rename_measure(TB.read_log_day(spark, layout.bronze, S.BRONZE_SCHEMA, ctx.day))
     # Survivors feed both the quarantine and the merge: materialise them once.
     survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
+    small = proven_small(survivors)  # cheap: reads the checkpoint
     TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
     current = None if previous is None else read_silver(spark, layout, previous)
     merged, obs = _observe(
-        silver_merge(current, survivors, with_action=True, target_buckets=layout.buckets or None),
+        silver_merge(current, survivors, with_action=True,
+                     strategy="broadcast" if small else "shuffle",
+                     target_buckets=layout.buckets or None),
         "silver_merge")
     TB.write_snapshot(merged.drop(ACTION), layout.silver, version, cluster_by=(S.PROCESSING_DATE,),
                       bucketing=layout.silver_bucketing)
