@@ -99,6 +99,7 @@ def merge(
     check_unique: bool = True,
     with_action: bool = False,
     target_buckets: int | None = None,
+    new_key_flag: str | None = None,
 ) -> DataFrame:
     """New target content after merging ``source`` on key columns ``on``.
 
@@ -106,7 +107,10 @@ def merge(
     columns that take a new value on update (names copy the source column of the same
     name).  ``insert_values``: value of each target column for an inserted row (default:
     the source column of the same name; ``None`` -> NULL).  ``columns``: output columns
-    when there is no target yet (first load).
+    when there is no target yet (first load).  ``new_key_flag``: a boolean source column
+    that is already known to be true exactly for keys absent from the target (the caller
+    probed the target); the broadcast shape then takes the inserts from it instead of
+    probing the target's keys again.
     """
     if check_unique:
         check_unique_keys(source, on)
@@ -138,7 +142,7 @@ def merge(
                       F.struct(*target.columns).alias(_T))
     if strategy == "auto":
         strategy = "broadcast" if proven_small(source) else "shuffle"
-    joined = _join(t, s, on, strategy, target_buckets)
+    joined = _join(t, s, on, strategy, target_buckets, new_key_flag)
     has_t = F.col(_T).isNotNull()
     has_s = F.col(_S).isNotNull()
 
@@ -165,7 +169,7 @@ def merge(
 
 
 def _join(t: DataFrame, s: DataFrame, on: Sequence[str], strategy: str,
-          target_buckets: int | None) -> DataFrame:
+          target_buckets: int | None, new_key_flag: str | None = None) -> DataFrame:
     n = len(on)
     src_keys = [f"__j{i}" for i in range(n)]
     cond = lambda left, right: reduce(
@@ -179,12 +183,15 @@ def _join(t: DataFrame, s: DataFrame, on: Sequence[str], strategy: str,
         raise ValueError(f"unknown merge strategy {strategy!r}")
     small_s = F.broadcast(s)
     kept = t.join(small_s, cond(t, small_s), "left")
-    skeys = F.broadcast(s.select(*src_keys))
-    tkeys = t.select(*[f"__k{i}" for i in range(n)])
-    matched_keys = tkeys.join(skeys, cond(tkeys, skeys), "left_semi")
-    # Bounded by the source size (checked above): safe to broadcast.
-    mk = F.broadcast(matched_keys)
-    inserted = s.join(mk, cond(mk, s), "left_anti")
+    if new_key_flag is not None:
+        inserted = s.filter(F.coalesce(F.col(_S)[new_key_flag], F.lit(False)))
+    else:
+        skeys = F.broadcast(s.select(*src_keys))
+        tkeys = t.select(*[f"__k{i}" for i in range(n)])
+        matched_keys = tkeys.join(skeys, cond(tkeys, skeys), "left_semi")
+        # Bounded by the source size (checked above): safe to broadcast.
+        mk = F.broadcast(matched_keys)
+        inserted = s.join(mk, cond(mk, s), "left_anti")
     if target_buckets:
         inserted = inserted.repartition(int(target_buckets), *src_keys)
     null_t = F.lit(None).cast(t.schema[_T].dataType)

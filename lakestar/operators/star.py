@@ -51,6 +51,7 @@ class TableSpec:
 
 
 _RUN = (S.RUN_ID, S.PROCESSING_DATE)
+_NEW = "__new_key"
 
 DIM_NAMES = TableSpec("dim_names", ("first_name", "sex"), _RUN, (), S.DIM_NAMES_SCHEMA, "nameSid")
 DIM_YEARS = TableSpec("dim_years", ("year",), _RUN, (), S.DIM_YEARS_SCHEMA, "yearSid")
@@ -97,11 +98,12 @@ def source_rows(rows: DataFrame, spec: TableSpec, mode: str = EXACT) -> DataFram
 
 
 def unmatched(source: DataFrame, target: DataFrame, on: Sequence[str],
-              small: bool | None = None) -> DataFrame:
+              small: bool | None = None, target_buckets: int | None = None) -> DataFrame:
     """Source rows whose key is absent from the target.
 
     With a bounded source the target's key columns are streamed against the broadcast
-    source keys (no shuffle of the target); otherwise a shuffle anti-join.
+    source keys (no shuffle of the target); otherwise an anti-join, in which a target
+    bucketed on the key is read in place and only the source is hash-partitioned.
     """
     keys = list(on)
     if small is None:
@@ -109,6 +111,8 @@ def unmatched(source: DataFrame, target: DataFrame, on: Sequence[str],
     if small:
         matched = target.select(*keys).join(F.broadcast(source.select(*keys)), keys, "left_semi")
         return source.join(F.broadcast(matched), keys, "left_anti")
+    if target_buckets:
+        source = source.repartition(int(target_buckets), *keys)
     return source.join(target.select(*keys), keys, "left_anti")
 
 
@@ -133,11 +137,13 @@ def merge_star(
         strategy = "broadcast" if small else "shuffle"
     if target is None:
         return _conform(assign_sid(src, order, start=S.SID_START, small=small), spec.schema)
-    new_keys = unmatched(src, target, [S.KEY_HASH], small=small)
+    new_keys = unmatched(src, target, [S.KEY_HASH], small=small, target_buckets=target_buckets)
     numbered = assign_sid(new_keys, order, start=next_sid(target), small=small)
     sids = numbered.select(S.KEY_HASH, S.SID)
     # At most as many rows as the delta: broadcast exactly when the delta passed the check.
     src = src.join(F.broadcast(sids) if small else sids, S.KEY_HASH, "left")
+    # A numbered row is a key the target lacks: the merge need not probe the target again.
+    src = src.withColumn(_NEW, F.col(S.SID).isNotNull())
     merged = merge(
         target,
         src,
@@ -148,6 +154,7 @@ def merge_star(
         strategy=strategy,
         check_unique=False,  # the delta is one row per key by construction
         target_buckets=target_buckets,
+        new_key_flag=_NEW,
     )
     return _conform(merged, spec.schema)
 
