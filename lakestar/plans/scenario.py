@@ -2,46 +2,95 @@
 
 Run 1 lands the first batch of the derived feed and takes it through every layer; run 2
 lands the second batch the next day and merges it into what run 1 wrote.  The history is
-written once per Spark application and input folder into the shared folder, then every
-query reads the snapshots it needs (its work still grows with the input tables).
+written once into the shared folder, then every query reads the snapshots it needs (its
+work still grows with the input tables).
+
+A completed history is published by a marker written after its last snapshot, under a
+key made of the input folder, a digest of this package's source and the settings that
+choose physical shapes; any application with the same key reuses it, any code change
+gets a new one.  Concurrent builders each build their own folder, so they never write
+into each other's tables.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 import threading
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lakestar import schemas as S
 from lakestar.plans import medallion as P
-from lakestar.session import fresh_workspace
+from lakestar.session import shared_dir
 from lakestar.sources import feed as FD
 from lakestar.sources import tables as TB
 
 _LOCK = threading.Lock()
 _CACHE: dict[tuple, Scenario] = {}
+_DIGEST: list[str] = []
+
+
+def _code_digest() -> str:
+    """Digest of the package's Python source (computed once per process)."""
+    if not _DIGEST:
+        pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        h = hashlib.sha1()
+        for root, _, files in sorted(os.walk(pkg)):
+            for name in sorted(f for f in files if f.endswith(".py")):
+                path = os.path.join(root, name)
+                h.update(os.path.relpath(path, pkg).encode())
+                with open(path, "rb") as fh:
+                    h.update(fh.read())
+        _DIGEST.append(h.hexdigest()[:16])
+    return _DIGEST[0]
+
+
+def _history_key(spark: SparkSession, sf_dir: str) -> str:
+    # Bucket count and broadcast bounds choose physical shapes: part of the key.
+    settings = [spark.conf.get(k, "") for k in
+                ("lakestar.buckets", "lakestar.broadcast.maxRows", "lakestar.broadcast.maxBytes")]
+    settings.append(spark.conf.get("spark.sql.shuffle.partitions"))
+    raw = "|".join([os.path.abspath(sf_dir), _code_digest(), *settings])
+    return hashlib.sha1(raw.encode()).hexdigest()[:16]
+
+
+def _read_marker(spark: SparkSession, base: str) -> str | None:
+    try:
+        rows = spark.read.text(f"{base}/_complete").collect()
+    except Exception:  # noqa: BLE001 - no completed history yet
+        return None
+    return rows[0]["value"] if rows else None
+
+
+def _write_marker(spark: SparkSession, base: str, root: str) -> None:
+    (spark.createDataFrame([(root,)], "value string").coalesce(1)
+     .write.mode("overwrite").text(f"{base}/_complete"))
 
 
 class Scenario:
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, layout: P.Layout):
         self.spark = spark
         self.sf_dir = sf_dir
-        self.layout = P.new_layout(spark, fresh_workspace(spark, "history"))
+        self.layout = layout
         self.reports: list = []
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Scenario:
-        # The broadcast bounds choose between physical shapes, so they are part of the key.
-        bounds = tuple(spark.conf.get(k, "") for k in
-                       ("lakestar.broadcast.maxRows", "lakestar.broadcast.maxBytes"))
-        key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), bounds)
+        key = _history_key(spark, sf_dir)
         with _LOCK:
-            sc = _CACHE.get(key)
+            sc = _CACHE.get((spark.sparkContext.applicationId, key))
             if sc is None:
-                sc = cls(spark, sf_dir)
-                sc._build()
-                _CACHE[key] = sc
+                base = f"{shared_dir(spark)}/lakestar/history/{key}"
+                root = _read_marker(spark, base)
+                if root is None:
+                    sc = cls(spark, sf_dir, P.new_layout(spark, f"{base}/{uuid.uuid4().hex[:12]}"))
+                    sc._build()
+                    _write_marker(spark, base, sc.layout.root)
+                else:
+                    sc = cls(spark, sf_dir, P.new_layout(spark, root))
+                _CACHE[(spark.sparkContext.applicationId, key)] = sc
             return sc
 
     def feed(self) -> DataFrame:
