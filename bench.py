@@ -34,7 +34,7 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     spark = get_session(f"local[{cpus}]", shuffle_partitions=cpus,
-                        conf={"spark.driver.memory": "8g",
+                        conf={"spark.driver.memory": "4g",
                               # Local disk: opening a file is cheap, so small inputs split
                               # over all cores instead of packing into 4 MB splits.
                               "spark.sql.files.openCostInBytes": str(1 << 20)})
