@@ -128,25 +128,48 @@ def landing_to_bronze(spark: SparkSession, layout: Layout, ctx: RunContext,
     rows = FS.require_columns(FS.read_landing(spark, landing_path))
     bronze = FS.with_audit(FS.with_file_lineage(rows), ctx).select(*S.BRONZE_COLUMNS)
     TB.append_by_day(bronze, layout.bronze)
+    register_bronze(spark, layout)
     return StepReport("landing_to_bronze")
 
 
 def append_bronze(bronze_rows: DataFrame, layout: Layout) -> None:
     """Append rows that already carry the bronze columns (lineage known upstream)."""
     TB.append_by_day(bronze_rows.select(*S.BRONZE_COLUMNS), layout.bronze)
+    register_bronze(bronze_rows.sparkSession, layout)
 
 
 def read_bronze(spark: SparkSession, layout: Layout) -> DataFrame:
     return TB.read_log(spark, layout.bronze, S.BRONZE_SCHEMA)
 
 
-def register_bronze(spark: SparkSession, layout: Layout, database: str = "bronze",
-                    table: str = "new_york_baby_names") -> str:
+def register_bronze(spark: SparkSession, layout: Layout) -> str:
     """Declare the bronze folder as an external catalog table (schema under the root)."""
+    database, table = S.BRONZE_TABLE
     return TB.register_external(spark, database, table, layout.bronze, S.BRONZE_SCHEMA,
                                 (S.PROCESSING_DAY,), f"{layout.root}/catalog/{database}.db")
 
 
+def publish(spark: SparkSession, layout: Layout, name: tuple[str, str], path: str,
+            schema: T.StructType, bucketing=None, partition_by: tuple[str, ...] = ()) -> str:
+    """Point a catalog name at a table folder (the last step of a layer's run).
+
+    Snapshot layers re-point the name at the version just written, so readers switch to
+    it only after it is complete; a failed run leaves the name on the previous version.
+    """
+    database, table = name
+    clustered = ((bucketing.keys, bucketing.sort_by or bucketing.keys, bucketing.buckets)
+                 if bucketing else None)
+    return TB.register_external(spark, database, table, path, schema, partition_by,
+                                f"{layout.root}/catalog/{database}.db", clustered=clustered)
+
+
+def register_errors(spark: SparkSession, layout: Layout) -> str:
+    """Declare the errors folder as an external catalog table, for analysts."""
+    database, table = S.ERRORS_TABLE
+    return TB.register_external(spark, database, table, layout.errors, SILVER_SCHEMA,
+                                (S.PROCESSING_DAY,), f"{layout.root}/catalog/{database}.db")
+
+
 # ---------------------------------------------------------------------------
 # P2: bronze -> silver + errors
 # ---------------------------------------------------------------------------
@@ -180,8 +203,10 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
                      strategy="broadcast" if small else "shuffle",
                      target_buckets=layout.buckets or None),
         "silver_merge")
-    TB.write_snapshot(merged.drop(ACTION), layout.silver, version, cluster_by=(S.PROCESSING_DATE,),
-                      bucketing=layout.silver_bucketing)
+    path = TB.write_snapshot(merged.drop(ACTION), layout.silver, version,
+                             cluster_by=(S.PROCESSING_DATE,), bucketing=layout.silver_bucketing)
+    register_errors(spark, layout)
+    publish(spark, layout, S.SILVER_TABLE, path, SILVER_SCHEMA, layout.silver_bucketing)
     return StepReport("bronze_to_silver", obs.get)
 
 
@@ -210,14 +235,17 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
     for spec in G.DIMS:
         current = None if previous is None else read_gold(spark, layout, spec.name, previous)
         new = G.merge_star(current, G.delta(silver_slice, spec, mode), spec)
-        TB.write_snapshot(new, layout.gold(spec.name), version)
+        path = TB.write_snapshot(new, layout.gold(spec.name), version)
         dims[spec.name] = read_gold(spark, layout, spec.name, version)
+        publish(spark, layout, S.GOLD_TABLE_NAMES[spec.name], path, spec.schema)
     current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
     facts = G.fact_rows(silver_slice, dims)
     new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT,
                             target_buckets=layout.buckets or None)
-    TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
-                      cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing)
+    path = TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
+                             cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing)
+    publish(spark, layout, S.GOLD_TABLE_NAMES[G.FACT.name], path, G.FACT.schema,
+            layout.fact_bucketing)
     return StepReport("silver_to_gold")
 
 

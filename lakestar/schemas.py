@@ -44,6 +44,17 @@ BRONZE_COLUMNS = tuple(f.name for f in BRONZE_SCHEMA.fields)
 # Partition column of bronze and the errors table (derived, dropped on read).
 PROCESSING_DAY = "_processing_day"
 
+# Catalog names of the layer tables (database, table).
+BRONZE_TABLE = ("bronze", "new_york_baby_names")
+SILVER_TABLE = ("silver", "new_york_baby_names")
+ERRORS_TABLE = ("silver", "new_york_baby_names_errors")
+GOLD_TABLE_NAMES = {
+    "dim_names": ("gold", "reference_dim_names"),
+    "dim_years": ("gold", "reference_dim_years"),
+    "dim_locations": ("gold", "reference_dim_locations"),
+    "fact": ("gold", "fact_baby_names"),
+}
+
 # Silver renames the measure.
 MEASURE_RAW = "name_count"
 MEASURE = "count"

@@ -58,3 +58,12 @@ def test_run_needs_its_predecessor(spark, tmp_dir):
     layout = P.new_layout(spark, tmp_dir)
     with pytest.raises(FileNotFoundError):
         P.gold_to_mart(spark, layout, FD.RUN_1, 1, None, 1)
+
+
+def test_layers_are_published_under_their_catalog_names(spark, flow):
+    layout, _ = flow
+    assert spark.read.table("bronze.new_york_baby_names").count() == P.read_bronze(spark, layout).count()
+    assert spark.read.table("silver.new_york_baby_names").count() == P.read_silver(spark, layout, 2).count()
+    assert spark.read.table("silver.new_york_baby_names_errors").count() == P.read_errors(spark, layout).count()
+    for table, (db, name) in S.GOLD_TABLE_NAMES.items():
+        assert spark.read.table(f"{db}.{name}").count() == P.read_gold(spark, layout, table, 2).count()
