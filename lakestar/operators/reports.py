@@ -2,7 +2,9 @@
 
 Each report is the SQL an analyst would run, with the tables passed as DataFrames and
 values as named parameters.  Ties in a top-k are broken by name, so the k rows are the
-same on every run.
+same on every run.  The most selective dimension is joined first (one year; one name):
+on a fact partitioned by year, the year join also prunes the fact's directories
+(dynamic partition pruning).
 """
 
 from __future__ import annotations
@@ -12,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 _TOP_NAMES = """
 SELECT n.first_name, SUM(f.`count`) AS total_count
 FROM {fact} f
-JOIN {names} n ON f.nameSid = n.sid
 JOIN {years} y ON f.yearSid = y.sid
+JOIN {names} n ON f.nameSid = n.sid
 WHERE {sex_pred} AND y.year = :year
 GROUP BY n.first_name
 ORDER BY total_count DESC, n.first_name ASC

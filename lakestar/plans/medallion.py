@@ -54,8 +54,11 @@ class Layout:
     root: str
     buckets: int = 0
 
-    def _bucketing(self, keys: tuple[str, ...], sort_by: tuple[str, ...] = ()):
-        return TB.Bucketing(tuple(keys), self.buckets, sort_by) if self.buckets else None
+    def _bucketing(self, keys: tuple[str, ...], sort_by: tuple[str, ...] = (),
+                   partition_by: tuple[str, ...] = ()):
+        if not self.buckets:
+            return None
+        return TB.Bucketing(tuple(keys), self.buckets, sort_by, partition_by)
 
     @property
     def silver_bucketing(self):
@@ -67,7 +70,8 @@ class Layout:
 
     @property
     def mart_fact_bucketing(self):
-        return self._bucketing((S.SID,))
+        # Year directories: a report about one year reads one directory (dynamic pruning).
+        return self._bucketing((S.SID,), partition_by=("yearSid",))
 
     def landing(self, filename: str) -> str:
         return f"{self.root}/landing/{filename}"
@@ -196,7 +200,7 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     # Survivors feed both the quarantine and the merge: materialise them once.
     survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
     small = proven_small(survivors)  # cheap: reads the checkpoint
-    TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
+    TB.append_by_day(Q.quarantine(slice_df, survivors, broadcast=small), layout.errors)
     current = None if previous is None else read_silver(spark, layout, previous)
     merged, obs = _observe(
         silver_merge(current, survivors, with_action=True,

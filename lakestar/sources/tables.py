@@ -39,11 +39,14 @@ class Bucketing:
     The bucket count is fixed for a table's lifetime (merges need target and source on
     the same count); size it to about 0.5-1 GB of data per bucket.  ``sort_by`` orders
     rows inside each bucket file (e.g. by processing date, for row-group skipping).
+    ``partition_by``: partition directories above the buckets, for pruning (a filter or
+    a dynamic-pruning join on those columns reads only the matching directories).
     """
 
     keys: tuple[str, ...]
     buckets: int
     sort_by: tuple[str, ...] = ()
+    partition_by: tuple[str, ...] = ()
 
 
 def snapshot_path(base: str, version: int) -> str:
@@ -111,9 +114,11 @@ def write_snapshot(df: DataFrame, base: str, version: int,
         if spark.catalog.tableExists(name):
             spark.sql(f"DROP TABLE {name}")  # external: the files stay until overwritten
         sort_by = bucketing.sort_by or cluster_by or bucketing.keys
+        writer = df.write.mode("overwrite")
+        if bucketing.partition_by:
+            writer = writer.partitionBy(*bucketing.partition_by)
         (
-            df.write.mode("overwrite")
-            .bucketBy(bucketing.buckets, *bucketing.keys)
+            writer.bucketBy(bucketing.buckets, *bucketing.keys)
             .sortBy(*sort_by)
             .option("path", path)
             .saveAsTable(name)
@@ -150,7 +155,7 @@ def read_snapshot(spark: SparkSession, base: str, version: int,
         name = snapshot_table(base, version)
         db, table = name.split(".")
         sort_by = bucketing.sort_by or bucketing.keys
-        register_external(spark, db, table, path, schema,
+        register_external(spark, db, table, path, schema, bucketing.partition_by,
                           clustered=(bucketing.keys, sort_by, bucketing.buckets))
         df = spark.read.table(name)
     if schema is not None:

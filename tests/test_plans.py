@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from conftest import SF0001
 from helpers import T1, T2, row, silver_rows
 from lakestar.operators import quality as Q
@@ -44,12 +46,18 @@ def test_dimension_lookups_broadcast_checked_dims(spark):
     assert final.count("BroadcastHashJoin") == 3 and "SortMergeJoin" not in final
 
 
-def test_quarantine_deduplicates_before_the_anti_join(spark):
-    df = silver_rows(spark, [row(), row(), row(count=0)])
-    errors = Q.quarantine(df, Q.latest_per_key(Q.quality_filter(df)))
-    logical = errors._jdf.queryExecution().optimizedPlan().toString()
-    anti = logical.index("Join LeftAnti")
-    assert "Aggregate" in logical[anti:]  # the distinct sits under the anti join
+def test_quarantine_collapses_copies_before_its_only_shuffle(spark):
+    df = silver_rows(spark, [row(), row(), row(count=0), row(count=0)])
+    errors = Q.quarantine(df, Q.latest_per_key(Q.quality_filter(df)), broadcast=True)
+    final = plan_of(errors).split("== Initial Plan ==")[0]
+    assert "BroadcastHashJoin" in final and "LeftAnti" in final
+    # The anti join needs no shuffle; the only exchange of the slice (the distinct's) sits
+    # above its partial aggregation.
+    lines = [re.sub(r"#\d+L?", "", line) for line in final.splitlines()]
+    anti = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
+    above = [i for i in range(anti) if "Exchange hashpartitioning" in lines[i]]
+    assert len(above) == 1 and "HashAggregate" in lines[above[0] + 1]
+    assert sorted(r["count"] for r in errors.collect()) == [0]
 
 
 def test_feed_prunes_columns_and_pushes_run_filter(spark):
@@ -66,3 +74,16 @@ def test_top_report_is_a_top_k(spark):
     df = R.top_names(spark, fact, names, years, "R", 1998, 10)
     assert "TakeOrderedAndProject" in plan_of(df)
     assert [tuple(r) for r in df.collect()] == [("A", 5)]
+
+
+def test_one_year_report_prunes_the_fact_by_year(spark):
+    from lakestar.plans.scenario import Scenario
+
+    sc = Scenario.of(spark, SF0001)
+    df = R.top_names(spark, sc.mart("fact", 2), sc.mart("dim_names", 2), sc.mart("dim_years", 2),
+                     "R", 1998, 10)
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    fact_scan = next(line for line in final.splitlines()
+                     if "FileScan" in line and "yearSid" in line and "nameSid" in line)
+    assert "PartitionFilters: [isnotnull(yearSid" in fact_scan
+    assert "dynamicpruning" in final
