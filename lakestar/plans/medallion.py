@@ -14,11 +14,18 @@ survive the loss of any executor.
   into the previous mart snapshot; the mart dimensions carry the unknown member.
 * :func:`run_all` - the whole chain for one run, each step only after the previous one
   succeeded.
+
+Independent tables of a step (the three dimensions) are processed as concurrent Spark
+jobs from threads of the same session; the fact follows once its dimensions are written.
+``lakestar.flow.parallel=false`` runs them one after the other.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -109,6 +116,15 @@ class StepReport:
     metrics: dict = field(default_factory=dict)
 
 
+def _parallel(spark: SparkSession, tasks: list[Callable]) -> list:
+    """Run independent steps as concurrent jobs; the first failure is raised."""
+    if len(tasks) <= 1 or spark.conf.get("lakestar.flow.parallel", "true").lower() != "true":
+        return [task() for task in tasks]
+    with ThreadPoolExecutor(max_workers=len(tasks), thread_name_prefix="lakestar") as pool:
+        futures = [pool.submit(task) for task in tasks]
+        return [f.result() for f in futures]
+
+
 def _observe(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     """Action counts collected while the merge result is written (no extra pass)."""
     obs = Observation(name)
@@ -200,18 +216,27 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     # Survivors feed both the quarantine and the merge: materialise them once.
     survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
     small = proven_small(survivors)  # cheap: reads the checkpoint
-    TB.append_by_day(Q.quarantine(slice_df, survivors, broadcast=small), layout.errors)
-    current = None if previous is None else read_silver(spark, layout, previous)
-    merged, obs = _observe(
-        silver_merge(current, survivors, with_action=True,
-                     strategy="broadcast" if small else "shuffle",
-                     target_buckets=layout.buckets or None),
-        "silver_merge")
-    path = TB.write_snapshot(merged.drop(ACTION), layout.silver, version,
-                             cluster_by=(S.PROCESSING_DATE,), bucketing=layout.silver_bucketing)
-    register_errors(spark, layout)
-    publish(spark, layout, S.SILVER_TABLE, path, SILVER_SCHEMA, layout.silver_bucketing)
-    return StepReport("bronze_to_silver", obs.get)
+
+    def quarantine() -> None:
+        TB.append_by_day(Q.quarantine(slice_df, survivors, broadcast=small), layout.errors)
+        register_errors(spark, layout)
+
+    def merge_silver() -> dict:
+        current = None if previous is None else read_silver(spark, layout, previous)
+        merged, obs = _observe(
+            silver_merge(current, survivors, with_action=True,
+                         strategy="broadcast" if small else "shuffle",
+                         target_buckets=layout.buckets or None),
+            "silver_merge")
+        path = TB.write_snapshot(merged.drop(ACTION), layout.silver, version,
+                                 cluster_by=(S.PROCESSING_DATE,),
+                                 bucketing=layout.silver_bucketing)
+        publish(spark, layout, S.SILVER_TABLE, path, SILVER_SCHEMA, layout.silver_bucketing)
+        return obs.get
+
+    # Both read the same survivors and write different tables: concurrent jobs.
+    _, metrics = _parallel(spark, [quarantine, merge_silver])
+    return StepReport("bronze_to_silver", metrics)
 
 
 def read_silver(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
@@ -235,13 +260,15 @@ def read_gold(spark: SparkSession, layout: Layout, table: str, version: int) ->
 def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_version: int,
                    previous: int | None, version: int, mode: str = "exact") -> StepReport:
     silver_slice = TB.day_slice(read_silver(spark, layout, silver_version), ctx.day)
-    dims = {}
-    for spec in G.DIMS:
+
+    def dimension(spec: G.TableSpec) -> tuple[str, DataFrame]:
         current = None if previous is None else read_gold(spark, layout, spec.name, previous)
         new = G.merge_star(current, G.delta(silver_slice, spec, mode), spec)
         path = TB.write_snapshot(new, layout.gold(spec.name), version)
-        dims[spec.name] = read_gold(spark, layout, spec.name, version)
         publish(spark, layout, S.GOLD_TABLE_NAMES[spec.name], path, spec.schema)
+        return spec.name, read_gold(spark, layout, spec.name, version)
+
+    dims = dict(_parallel(spark, [partial(dimension, spec) for spec in G.DIMS]))
     current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
     facts = G.fact_rows(silver_slice, dims)
     new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT,
@@ -278,7 +305,7 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
     mart is carried over unchanged.  The first publish has no previous mart and takes the
     whole gold table.
     """
-    for table in GOLD_TABLES:
+    def publish_table(table: str) -> None:
         gold = read_gold(spark, layout, table, gold_version)
         changed = gold if previous is None else TB.day_slice(gold, ctx.day)
         source = M.mart_source(changed, table)
@@ -294,6 +321,11 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
                        target_buckets=(layout.buckets or None) if is_fact else None)
         TB.write_snapshot(new, layout.mart(table), version,
                           bucketing=layout.mart_fact_bucketing if is_fact else None)
+
+    # Dimensions first (in parallel), then the fact: a fact row is never published
+    # before the members it references.
+    _parallel(spark, [partial(publish_table, t) for t in GOLD_TABLES if t != G.FACT.name])
+    publish_table(G.FACT.name)
     return StepReport("gold_to_mart")
 
 
