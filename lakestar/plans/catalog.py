@@ -8,7 +8,6 @@ on the inputs they need (read from the two-run history in the shared folder, see
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import datetime, timedelta, timezone
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,10 +97,10 @@ def file_lineage(spark, sf_dir):
 
 @query
 def scan_modified_since(spark, sf_dir):
-    """Raw Parquet files of the fact folder written within the last day: every version."""
+    """Raw Parquet files of the fact folder written since the history began: every version."""
     sc = _sc(spark, sf_dir)
-    since = datetime.now(timezone.utc).replace(tzinfo=None) - timedelta(days=1)
-    return FS.read_modified_since(spark, sc.layout.gold("fact"), since, schema=S.FACT_SCHEMA)
+    return FS.read_modified_since(spark, sc.layout.gold("fact"), sc.written_since,
+                                  schema=S.FACT_SCHEMA)
 
 
 @query

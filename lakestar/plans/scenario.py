@@ -18,6 +18,7 @@ import hashlib
 import os
 import threading
 import uuid
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,26 +57,40 @@ def _history_key(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
-def _read_marker(spark: SparkSession, base: str) -> str | None:
+def _now() -> datetime:
+    return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
+def _read_marker(spark: SparkSession, base: str) -> tuple[str, datetime] | None:
     try:
         rows = spark.read.text(f"{base}/_complete").collect()
     except Exception:  # noqa: BLE001 - no completed history yet
         return None
-    return rows[0]["value"] if rows else None
+    if not rows or "\t" not in rows[0]["value"]:
+        return None
+    root, started = rows[0]["value"].split("\t", 1)
+    return root, datetime.fromisoformat(started)
 
 
-def _write_marker(spark: SparkSession, base: str, root: str) -> None:
-    (spark.createDataFrame([(root,)], "value string").coalesce(1)
+def _write_marker(spark: SparkSession, base: str, root: str, started: datetime) -> None:
+    (spark.createDataFrame([(f"{root}\t{started.isoformat()}",)], "value string").coalesce(1)
      .write.mode("overwrite").text(f"{base}/_complete"))
 
 
 class Scenario:
-    def __init__(self, spark: SparkSession, sf_dir: str, layout: P.Layout):
+    def __init__(self, spark: SparkSession, sf_dir: str, layout: P.Layout,
+                 started: datetime | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
         self.layout = layout
+        self.started = started or _now()  # before any file of the history was written
         self.reports: list = []
 
+    @property
+    def written_since(self) -> datetime:
+        """A cut-off that every file of this history is newer than (UTC)."""
+        return self.started - timedelta(hours=1)
+
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Scenario:
         key = _history_key(spark, sf_dir)
@@ -83,13 +98,14 @@ class Scenario:
             sc = _CACHE.get((spark.sparkContext.applicationId, key))
             if sc is None:
                 base = f"{shared_dir(spark)}/lakestar/history/{key}"
-                root = _read_marker(spark, base)
-                if root is None:
+                found = _read_marker(spark, base)
+                if found is None:
                     sc = cls(spark, sf_dir, P.new_layout(spark, f"{base}/{uuid.uuid4().hex[:12]}"))
                     sc._build()
-                    _write_marker(spark, base, sc.layout.root)
+                    _write_marker(spark, base, sc.layout.root, sc.started)
                 else:
-                    sc = cls(spark, sf_dir, P.new_layout(spark, root))
+                    root, started = found
+                    sc = cls(spark, sf_dir, P.new_layout(spark, root), started)
                 _CACHE[(spark.sparkContext.applicationId, key)] = sc
             return sc
 
