@@ -1,21 +1,41 @@
-"""Small-file compaction of a snapshot."""
+"""Small-file compaction."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def compacted(df: DataFrame, num_files: int, cluster_by: Sequence[str]) -> DataFrame:
     """``df`` laid out as ``num_files`` range-clustered, sorted partitions.
 
     Range clustering keeps rows with near keys in the same file, so later key filters skip
-    whole files through Parquet min/max statistics.  Rows are unchanged.
+    whole files through Parquet min/max statistics.  A per-row id is the last range key:
+    a key (or a group of identical rows) holding a large share of the data is split over
+    several files instead of one oversized task.  Rows are unchanged.
     """
-    return df.repartitionByRange(int(num_files), *cluster_by).sortWithinPartitions(*cluster_by)
+    rid = "__row_id"
+    keyed = df.withColumn(rid, F.monotonically_increasing_id())
+    return (
+        keyed.repartitionByRange(int(num_files), *cluster_by, rid)
+        .sortWithinPartitions(*cluster_by, rid)
+        .drop(rid)
+    )
 
 
 def target_files(total_bytes: int, file_bytes: int = 256 << 20) -> int:
     """Number of files for ``total_bytes`` of data at about ``file_bytes`` each."""
     return max(1, -(-int(total_bytes) // int(file_bytes)))
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Total size of the files a file-based frame reads (from the hidden ``_metadata``)."""
+    row = (
+        df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b"))
+        .distinct()
+        .agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
+        .first()
+    )
+    return int(row["b"])

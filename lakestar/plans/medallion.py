@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 
 from lakestar import schemas as S
 from lakestar.functions.dates import RunContext
+from lakestar.operators import maintenance as MT
 from lakestar.operators import mart as M
 from lakestar.operators import quality as Q
 from lakestar.operators import star as G
@@ -329,6 +330,26 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
     return StepReport("gold_to_mart")
 
 
+def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
+                file_bytes: int = 256 << 20) -> int:
+    """Rewrite one day of an append-only table (bronze or errors) as few, full files.
+
+    Every run appends its own files to the day's directory; this maintenance step reads
+    the directory, sizes the output from the bytes it holds (``_metadata.file_size``),
+    materialises the range-clustered rows in the shared checkpoint folder and swaps only
+    that day's directory.  Rows are unchanged.  Returns the number of files written.
+    """
+    path, schema = {"bronze": (layout.bronze, S.BRONZE_SCHEMA),
+                    "errors": (layout.errors, SILVER_SCHEMA)}[table]
+    day_rows = TB.read_log_partition(spark, path, schema, day)
+    n = MT.target_files(MT.input_bytes(day_rows), file_bytes)
+    keys = [c for c in S.NATURAL_KEY if c in schema.fieldNames()] + [S.PROCESSING_DATE]
+    # Cut from the files first: the write replaces the directory it was read from.
+    staged = cut_lineage(MT.compacted(day_rows, n, keys))
+    TB.replace_day(staged, path)
+    return n
+
+
 def mart_checks(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
     """Foreign-key orphan counts of a mart snapshot."""
     dims = {t: read_mart(spark, layout, t, version) for t in GOLD_TABLES if t != G.FACT.name}

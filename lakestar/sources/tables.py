@@ -80,6 +80,24 @@ def read_log_day(spark: SparkSession, path: str, schema: T.StructType, day: date
         .select(*schema.fieldNames())
 
 
+def read_log_partition(spark: SparkSession, path: str, schema: T.StructType,
+                       day: date) -> DataFrame:
+    """One day directory of an append-only table, partition column included."""
+    return spark.read.schema(_with_day(schema)).parquet(path).filter(
+        F.col(S.PROCESSING_DAY) == day_literal(day))
+
+
+def replace_day(df: DataFrame, path: str) -> None:
+    """Overwrite only the day directories present in ``df`` (dynamic partition overwrite,
+    set on this write so a session default of static overwrite cannot drop other days)."""
+    (
+        df.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(S.PROCESSING_DAY)
+        .parquet(path)
+    )
+
+
 def day_slice(df: DataFrame, day: date, ts_col: str = S.PROCESSING_DATE) -> DataFrame:
     """Rows of any frame whose timestamp falls on ``day``."""
     return df.filter(day_predicate(ts_col, day))

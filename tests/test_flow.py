@@ -67,3 +67,26 @@ def test_layers_are_published_under_their_catalog_names(spark, flow):
     assert spark.read.table("silver.new_york_baby_names_errors").count() == P.read_errors(spark, layout).count()
     for table, (db, name) in S.GOLD_TABLE_NAMES.items():
         assert spark.read.table(f"{db}.{name}").count() == P.read_gold(spark, layout, table, 2).count()
+
+
+def test_compact_day_keeps_rows_and_other_days(spark, tmp_dir):
+    import os
+
+    from lakestar.session import local_path
+
+    layout = P.new_layout(spark, tmp_dir)
+    feed = FD.names_feed(spark, SF0001)
+    for ctx in FD.RUNS:
+        rows = FD.run_rows(feed, ctx)
+        for part in range(3):  # several small appends on the same day
+            P.append_bronze(rows.filter(F.col("year") % 3 == part), layout)
+    before = {r[0]: r[1] for r in P.read_bronze(spark, layout).groupBy(S.RUN_ID).count().collect()}
+    day_dir = os.path.join(local_path(layout.bronze), f"{S.PROCESSING_DAY}={FD.RUN_2.day}")
+    files_before = [f for f in os.listdir(day_dir) if f.endswith(".parquet")]
+
+    written = P.compact_day(spark, layout, FD.RUN_2.day)
+
+    files_after = [f for f in os.listdir(day_dir) if f.endswith(".parquet")]
+    after = {r[0]: r[1] for r in P.read_bronze(spark, layout).groupBy(S.RUN_ID).count().collect()}
+    assert after == before  # both days intact, nothing lost or doubled
+    assert len(files_after) == written < len(files_before)

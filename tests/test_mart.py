@@ -73,3 +73,17 @@ def test_unknown_member_added_once(spark):
     once = M.with_unknown_member(d)
     twice = M.with_unknown_member(once)
     assert as_set(twice) == {(0, "K"), (-1, None)}
+
+
+def test_compaction_splits_a_hot_key(spark):
+    from pyspark.sql import functions as F
+
+    from lakestar.operators.maintenance import compacted
+
+    # One key holds 60% of the rows.
+    df = spark.range(0, 1000).select(
+        F.when(F.col("id") < 600, F.lit(0)).otherwise(F.col("id")).alias("k"), "id")
+    out = compacted(df, 4, ["k"])
+    sizes = [r["n"] for r in out.groupBy(F.spark_partition_id().alias("p"))
+             .agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 600
