@@ -10,14 +10,18 @@ survive the loss of any executor.
 * :func:`silver_to_gold` - day slice of silver; hash-change merge of the three dimensions
   (new keys numbered after the current maximum), then the fact, whose SIDs are looked
   up in the dimension snapshots just written.
-* :func:`gold_to_mart` - typed copy of the current gold snapshots, one row per sid, upsert
-  into the previous mart snapshot; the mart dimensions carry the unknown member.
+* :func:`gold_to_mart` - typed copy of the gold rows the run changed, one row per sid,
+  upsert into the previous mart snapshot; the mart dimensions carry the unknown member.
 * :func:`run_all` - the whole chain for one run, each step only after the previous one
   succeeded.
-
-Independent tables of a step (the three dimensions) are processed as concurrent Spark
-jobs from threads of the same session; the fact follows once its dimensions are written.
-``lakestar.flow.parallel=false`` runs them one after the other.
+* :func:`compact_day` - maintenance: one day of an append-only table rewritten as few
+  files.
+
+Each layer is published under its catalog name once its snapshot is complete.
+Independent tables of a step (the three dimensions; the quarantine next to the silver
+merge) are processed as concurrent Spark jobs from threads of the same session; the fact
+follows once its dimensions are written.  ``lakestar.flow.parallel=false`` runs them one
+after the other.
 """
 
 from __future__ import annotations
@@ -37,11 +41,11 @@ from lakestar.operators import maintenance as MT
 from lakestar.operators import mart as M
 from lakestar.operators import quality as Q
 from lakestar.operators import star as G
+from lakestar.operators.joins import proven_small
 from lakestar.operators.merging import ACTION, merge
+from lakestar.session import cut_lineage
 from lakestar.sources import files as FS
 from lakestar.sources import tables as TB
-from lakestar.operators.joins import proven_small
-from lakestar.session import cut_lineage
 
 SILVER_SCHEMA = T.StructType(
     [T.StructField(S.MEASURE if f.name == S.MEASURE_RAW else f.name, f.dataType)
