@@ -90,3 +90,23 @@ def test_compact_day_keeps_rows_and_other_days(spark, tmp_dir):
     after = {r[0]: r[1] for r in P.read_bronze(spark, layout).groupBy(S.RUN_ID).count().collect()}
     assert after == before  # both days intact, nothing lost or doubled
     assert len(files_after) == written < len(files_before)
+
+
+def test_command_line_runs_and_reports(spark, tmp_dir):
+    from lakestar.__main__ import main
+
+    feed = FD.names_feed(spark, SF0001)
+    for version, (ctx, name) in enumerate(((FD.RUN_1, FD.FILE_1), (FD.RUN_2, FD.FILE_2)), start=1):
+        landing = f"{tmp_dir}/landing/{name}"
+        FS.write_landing(FD.landing_rows(FD.run_rows(feed, ctx)), landing)
+        steps = main(["run", "--root", f"{tmp_dir}/root", "--landing", landing,
+                      "--run-id", ctx.run_id, "--processing-date", ctx.timestamp_param,
+                      "--version", str(version)], spark=spark)
+        assert [s["step"] for s in steps] == ["landing_to_bronze", "bronze_to_silver",
+                                             "silver_to_gold", "gold_to_mart"]
+    top = main(["report", "top-names", "--root", f"{tmp_dir}/root", "--version", "2",
+                "--sex", "R", "--year", "1998"], spark=spark)
+    assert 0 < len(top) <= 10 and set(top[0]) == {"first_name", "total_count"}
+    by_year = main(["report", "name-by-year", "--root", f"{tmp_dir}/root", "--version", "2",
+                    "--name", "RED WIDGET", "--case-insensitive"], spark=spark)
+    assert by_year and all(r["total_count"] > 0 for r in by_year)
