@@ -32,10 +32,10 @@ def target_files(total_bytes: int, file_bytes: int = 256 << 20) -> int:
 
 def input_bytes(df: DataFrame) -> int:
     """Total size of the files a file-based frame reads (from the hidden ``_metadata``)."""
-    row = (
-        df.select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_size").alias("b"))
-        .distinct()
-        .agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
-        .first()
-    )
+    return input_bytes_of(df.select("_metadata.file_path", "_metadata.file_size"))
+
+
+def input_bytes_of(files: DataFrame) -> int:
+    """Total of ``(file_path, file_size)`` rows, each file counted once."""
+    row = files.toDF("p", "b").distinct().agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     return int(row["b"])

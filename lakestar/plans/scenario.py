@@ -22,7 +22,10 @@ from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 
+from functools import reduce
+
 from lakestar import schemas as S
+from lakestar.operators import maintenance as MT
 from lakestar.plans import medallion as P
 from lakestar.session import shared_dir
 from lakestar.sources import feed as FD
@@ -57,6 +60,23 @@ def _history_key(spark: SparkSession, sf_dir: str) -> str:
     return hashlib.sha1(raw.encode()).hexdigest()[:16]
 
 
+FEED_TABLES = ("lineitem", "orders", "customer", "nation", "part")
+BYTES_PER_BUCKET = 128 << 20
+
+
+def bucket_count(spark: SparkSession, sf_dir: str) -> int:
+    """Buckets of the history's large tables: ``lakestar.buckets`` when set, otherwise
+    about one per 128 MB of input, at most the shuffle partition count."""
+    configured = spark.conf.get("lakestar.buckets", None)
+    if configured:
+        return int(configured)
+    files = [FD.read_table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size")
+             for t in FEED_TABLES]
+    size = MT.input_bytes_of(reduce(lambda a, b: a.unionByName(b), files))
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, MT.target_files(size, BYTES_PER_BUCKET)))
+
+
 def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -100,12 +120,14 @@ class Scenario:
                 base = f"{shared_dir(spark)}/lakestar/history/{key}"
                 found = _read_marker(spark, base)
                 if found is None:
-                    sc = cls(spark, sf_dir, P.new_layout(spark, f"{base}/{uuid.uuid4().hex[:12]}"))
+                    root = f"{base}/{uuid.uuid4().hex[:12]}"
+                    sc = cls(spark, sf_dir, P.new_layout(spark, root, bucket_count(spark, sf_dir)))
                     sc._build()
                     _write_marker(spark, base, sc.layout.root, sc.started)
                 else:
                     root, started = found
-                    sc = cls(spark, sf_dir, P.new_layout(spark, root), started)
+                    layout = P.new_layout(spark, root, bucket_count(spark, sf_dir))
+                    sc = cls(spark, sf_dir, layout, started)
                 _CACHE[(spark.sparkContext.applicationId, key)] = sc
             return sc
 
