@@ -92,6 +92,18 @@ def delta(rows: DataFrame, spec: TableSpec, mode: str = EXACT) -> DataFrame:
     raise ValueError(mode)
 
 
+def _member_columns(specs: Sequence[TableSpec]) -> list[str]:
+    return list(dict.fromkeys(c for spec in specs for c in spec.key))
+
+
+def dimension_members(rows: DataFrame, specs: Sequence[TableSpec] = DIMS) -> DataFrame:
+    """One row per member of every dimension, with its newest ``(date, run)`` and the
+    grouping id telling which dimension it belongs to (one GROUPING SETS aggregation)."""
+    newest = F.max(F.struct(F.col(S.PROCESSING_DATE).alias("d"), F.col(S.RUN_ID).alias("r")))
+    return rows.groupingSets([list(spec.key) for spec in specs], *_member_columns(specs)).agg(
+        F.grouping_id().alias("__gid"), newest.alias("__newest"))
+
+
 def dimension_deltas(rows: DataFrame, specs: Sequence[TableSpec] = DIMS) -> dict[str, DataFrame]:
     """Every dimension's delta from one scan and one shuffle (exact hash mode).
 
@@ -103,10 +115,8 @@ def dimension_deltas(rows: DataFrame, specs: Sequence[TableSpec] = DIMS) -> dict
     The aggregate (one row per dimension member) is materialised once; each dimension's
     delta reads it, so the slice is scanned once rather than once per dimension.
     """
-    cols = list(dict.fromkeys(c for spec in specs for c in spec.key))
-    newest = F.max(F.struct(F.col(S.PROCESSING_DATE).alias("d"), F.col(S.RUN_ID).alias("r")))
-    grouped = cut_lineage(rows.groupingSets([list(spec.key) for spec in specs], *cols).agg(
-        F.grouping_id().alias("__gid"), newest.alias("__newest")))
+    cols = _member_columns(specs)
+    grouped = cut_lineage(dimension_members(rows, specs))
     out = {}
     for spec in specs:
         # grouping_id: one bit per grouping column, set when the column is rolled up.
