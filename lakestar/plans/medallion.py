@@ -107,11 +107,30 @@ class Layout:
         return f"{self.root}/mart/{table}"
 
 
+def _stored_buckets(spark: SparkSession, root: str) -> int | None:
+    try:
+        rows = spark.read.text(f"{root}/_layout").collect()
+    except Exception:  # noqa: BLE001 - a root that has not been used yet
+        return None
+    return int(rows[0]["value"]) if rows else None
+
+
 def new_layout(spark: SparkSession, root: str, buckets: int | None = None) -> Layout:
-    """A layout whose bucket count comes from ``lakestar.buckets`` (default: the shuffle
-    partition count)."""
+    """The layout of a root folder.
+
+    The bucket count is recorded in the root on first use and read back afterwards, so
+    every run of the same root agrees on it whatever its session settings.  A new root
+    takes ``buckets``, else ``lakestar.buckets``, else the shuffle partition count.
+    """
+    stored = _stored_buckets(spark, root)
+    if stored is not None:
+        if buckets is not None and buckets != stored:
+            raise ValueError(f"{root} is bucketed into {stored}, not {buckets}")
+        return Layout(root, stored)
     n = buckets if buckets is not None else int(
         spark.conf.get("lakestar.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
+    spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite") \
+        .text(f"{root}/_layout")
     return Layout(root, n)
 
 

@@ -110,3 +110,15 @@ def test_command_line_runs_and_reports(spark, tmp_dir):
     by_year = main(["report", "name-by-year", "--root", f"{tmp_dir}/root", "--version", "2",
                     "--name", "RED WIDGET", "--case-insensitive"], spark=spark)
     assert by_year and all(r["total_count"] > 0 for r in by_year)
+
+
+def test_layout_keeps_its_bucket_count(spark, tmp_dir):
+    first = P.new_layout(spark, tmp_dir, 3)
+    spark.conf.set("lakestar.buckets", "5")
+    try:
+        again = P.new_layout(spark, tmp_dir)
+    finally:
+        spark.conf.unset("lakestar.buckets")
+    assert first.buckets == again.buckets == 3
+    with pytest.raises(ValueError):
+        P.new_layout(spark, tmp_dir, 4)
