@@ -7,7 +7,8 @@
     python -m lakestar report top-names-silver --root ROOT --version 1
 
 ``--version`` numbers the runs of a root folder (1 for the first run; run N merges into
-the snapshots of run N - 1).  ``--buckets`` must stay the same for a root folder.
+the snapshots of run N - 1).  The bucket count of a root is fixed by its first run
+(``--buckets``, else sized from the first landing input) and recorded in the root.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import json
 import sys
 
 from lakestar.functions.dates import RunContext
+from lakestar.operators import maintenance as MT
 from lakestar.operators import reports as R
 from lakestar.plans import medallion as P
 from lakestar.session import get_session
@@ -51,7 +53,12 @@ def _parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None, spark=None) -> list[dict]:
     args = _parser().parse_args(argv)
     spark = spark or get_session()
-    layout = P.new_layout(spark, args.root, args.buckets)
+    if args.command == "run":
+        # A new root is bucketed by the size of its first landing input.
+        sized = P.buckets_for(spark, MT.input_bytes(spark.read.text(args.landing)))
+        layout = P.new_layout(spark, args.root, args.buckets, default_buckets=sized)
+    else:
+        layout = P.new_layout(spark, args.root, args.buckets)
     if args.command == "run":
         ctx = RunContext.from_params(args.run_id, args.processing_date)
         reports = P.run_all(spark, layout, ctx, args.version, landing_path=args.landing)

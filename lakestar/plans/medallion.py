@@ -115,20 +115,35 @@ def _stored_buckets(spark: SparkSession, root: str) -> int | None:
     return int(rows[0]["value"]) if rows else None
 
 
-def new_layout(spark: SparkSession, root: str, buckets: int | None = None) -> Layout:
+def buckets_for(spark: SparkSession, input_bytes: int, bytes_per_bucket: int = 128 << 20) -> int:
+    """About one bucket per ``bytes_per_bucket`` of input, at most the shuffle partitions."""
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(cap, MT.target_files(input_bytes, bytes_per_bucket)))
+
+
+def new_layout(spark: SparkSession, root: str, buckets: int | None = None,
+               default_buckets: int | None = None) -> Layout:
     """The layout of a root folder.
 
     The bucket count is recorded in the root on first use and read back afterwards, so
     every run of the same root agrees on it whatever its session settings.  A new root
-    takes ``buckets``, else ``lakestar.buckets``, else the shuffle partition count.
+    takes ``buckets``, else ``lakestar.buckets``, else ``default_buckets`` (e.g. sized
+    from the first input), else the shuffle partition count.
     """
     stored = _stored_buckets(spark, root)
     if stored is not None:
         if buckets is not None and buckets != stored:
             raise ValueError(f"{root} is bucketed into {stored}, not {buckets}")
         return Layout(root, stored)
-    n = buckets if buckets is not None else int(
-        spark.conf.get("lakestar.buckets", spark.conf.get("spark.sql.shuffle.partitions")))
+    configured = spark.conf.get("lakestar.buckets", None)
+    if buckets is not None:
+        n = buckets
+    elif configured:
+        n = int(configured)
+    elif default_buckets is not None:
+        n = default_buckets
+    else:
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite") \
         .text(f"{root}/_layout")
     return Layout(root, n)

@@ -73,8 +73,7 @@ def bucket_count(spark: SparkSession, sf_dir: str) -> int:
     files = [FD.read_table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size")
              for t in FEED_TABLES]
     size = MT.input_bytes_of(reduce(lambda a, b: a.unionByName(b), files))
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, MT.target_files(size, BYTES_PER_BUCKET)))
+    return P.buckets_for(spark, size, BYTES_PER_BUCKET)
 
 
 def _now() -> datetime:
