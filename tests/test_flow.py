@@ -122,3 +122,10 @@ def test_layout_keeps_its_bucket_count(spark, tmp_dir):
     assert first.buckets == again.buckets == 3
     with pytest.raises(ValueError):
         P.new_layout(spark, tmp_dir, 4)
+
+
+def test_bucket_sizing_rule(spark):
+    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert P.buckets_for(spark, 0) == 1
+    assert P.buckets_for(spark, 300 << 20) == min(cap, 3)  # ~128 MB per bucket
+    assert P.buckets_for(spark, 1 << 50) == cap            # never above the shuffle partitions
