@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakestar.llm import language_id, quality_fm, token_count
+from lakestar.llm import language_id, quality_fm, secret_ledger, soft_mix, token_count
 from lakestar.llm.common import read_table
 
 
@@ -21,6 +21,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
                                     public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document; the run starts from an empty ledger."""
+    return secret_ledger.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op6_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Domain posteriors and mixing rate of every document."""
+    return soft_mix.mix_rates(read_table(spark, sf_dir, "documents"),
+                              read_table(spark, sf_dir, "labels"))
+
+
 def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
     return quality_fm.assess(read_table(spark, sf_dir, "documents"),
@@ -28,6 +39,7 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_language_unigrams, op3_token_counts, op7_quality_fm)}
+    op2_language_unigrams, op3_token_counts, op4_secret_ledger, op6_soft_mix,
+    op7_quality_fm)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_secret_ledger": secret_ledger.oracle()}
