@@ -5,10 +5,24 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakestar.llm import language_id, quality_fm, secret_ledger, soft_mix, token_count
+from lakestar.llm import (
+    collision_ann,
+    language_id,
+    license_scan,
+    paragraph_sketch,
+    quality_fm,
+    secret_ledger,
+    soft_mix,
+    token_count,
+)
 from lakestar.llm.common import read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License of every document."""
+    return license_scan.scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
 def op2_language_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return language_id.identify(read_table(spark, sf_dir, "documents"),
@@ -38,8 +52,18 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
                              read_table(spark, sf_dir, "labels"))
 
 
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return collision_ann.nearest(read_table(spark, sf_dir, "embeddings"))
+
+
+def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return paragraph_sketch.fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_language_unigrams, op3_token_counts, op4_secret_ledger, op6_soft_mix,
-    op7_quality_fm)}
+    op1_license_scan, op2_language_unigrams, op3_token_counts, op4_secret_ledger, op6_soft_mix,
+    op7_quality_fm, op9_collision_ann, op10_paragraph_sketch)}
 
 ORACLES: dict[str, str] = {"op4_secret_ledger": secret_ledger.oracle()}
