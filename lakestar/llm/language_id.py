@@ -22,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -299,6 +300,27 @@ def predict(docs: DataFrame, path: str, model: Model | None) -> DataFrame:
         score, f"doc_id {ids}, held_out boolean, lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, path: str, model: Model | None, least: float) -> DataFrame:
+    """The rows of ``docs`` (all columns) whose predicted language has a posterior >= ``least``.
+
+    Rows are filtered where they are read: nothing is joined or shuffled.
+    """
+    ship(docs.sparkSession)
+    if model is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(_pieces(path), shared.value)
+        for frame in frames:
+            for at in range(0, len(frame), 256):
+                part = frame.slice(at, 256)
+                _, scores = scorer.score([t or "" for t in part.column("text").to_pylist()])
+                yield part.filter(pa.array([s > 0 and s >= least for s in scores], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def identify(docs: DataFrame, path: str) -> DataFrame:
     """Learn from the rows outside the held-out fold, predict every row."""
     return predict(docs, path, learn(

@@ -6,9 +6,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from lakestar.llm import (
+    best_fit,
     collision_ann,
     language_id,
     license_scan,
+    order_minhash,
     paragraph_sketch,
     quality_fm,
     secret_ledger,
@@ -40,6 +42,11 @@ def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.scan(read_table(spark, sf_dir, "documents"))
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return order_minhash.duplicate_classes(read_table(spark, sf_dir, "documents"))
+
+
 def op6_soft_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Domain posteriors and mixing rate of every document."""
     return soft_mix.mix_rates(read_table(spark, sf_dir, "documents"),
@@ -52,6 +59,12 @@ def op7_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
                              read_table(spark, sf_dir, "labels"))
 
 
+def op8_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packing of every document."""
+    return best_fit.pack(read_table(spark, sf_dir, "documents"),
+                         public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest vectors of every twentieth vector."""
     return collision_ann.nearest(read_table(spark, sf_dir, "embeddings"))
@@ -63,7 +76,8 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_license_scan, op2_language_unigrams, op3_token_counts, op4_secret_ledger, op6_soft_mix,
-    op7_quality_fm, op9_collision_ann, op10_paragraph_sketch)}
+    op1_license_scan, op2_language_unigrams, op3_token_counts, op4_secret_ledger,
+    op5_order_minhash, op6_soft_mix, op7_quality_fm, op8_best_fit,
+    op9_collision_ann, op10_paragraph_sketch)}
 
 ORACLES: dict[str, str] = {"op4_secret_ledger": secret_ledger.oracle()}

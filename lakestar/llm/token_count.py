@@ -32,7 +32,7 @@ MEMO = 300_000
 _GONE = 0xFFFFF
 
 # Unicode White_Space (Python's str.split also cuts at U+001C..U+001F).
-_SPACE = re.compile(r"[\t-\r \x85\xa0  -     　]+")
+_SPACE = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 
 
