@@ -173,12 +173,12 @@ def redacted(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]",
 
     Keeps all columns; ``n_chars`` is counted anew where the table has it.
     """
-    found = blob_findings(ledger, rules).select(F.col("blob").alias("__blob"),
-                                                F.col("spans").alias("__spans"))
-    rows = docs.withColumn("__key", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+    found = blob_findings(ledger, rules)
+    rows = docs.select(F.struct("*").alias("row"), F.sha2(
+        F.coalesce("text", F.lit("")).cast("binary"), 256).alias("blob"))
     # Blobs with findings are few and narrow: the hashed side.
-    rows = rows.join(found.hint("shuffle_hash"), F.col("__key") == F.col("__blob"), "left")
-    text = F.col("text")
+    rows = rows.join(found.hint("shuffle_hash"), "blob", "left")
+    text = F.col("row.text")
 
     def step(state: Column, s: Column) -> Column:
         before = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
@@ -188,12 +188,13 @@ def redacted(docs: DataFrame, ledger: DataFrame, mark: str = "[SECRET]",
             s["end"].alias("at"), part.alias("out"))).otherwise(state)
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda state: F.concat(
+    clean = F.aggregate("spans", start, step, lambda state: F.concat(
         state["out"], F.substring(text, state["at"] + 1, F.length(text))))
-    rows = rows.withColumn("text", F.when(F.size("__spans") > 0, clean).otherwise(text))
+    rows = rows.select("row", F.when(F.size("spans") > 0, clean).otherwise(text).alias("clean"))
+    new = {"text": F.col("clean")}
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*docs.columns)
+        new["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def oracle(table: str = "documents") -> str:

@@ -80,17 +80,17 @@ class Memberships:
         return F.aggregate(words(text), zero, step)
 
     def posteriors(self, rows: DataFrame, text: Column) -> DataFrame:
-        """``rows`` with __t (tokens) and __p (posterior array)."""
-        rows = rows.withColumn("__s", self.evidence(text))
-        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("__s.n"), F.lit(1)))
-        logits = [F.lit(self.priors[d]) + scale * F.col(f"__s.w{d}")
+        """row (all columns of ``rows`` as one struct), tokens and p (posterior array)."""
+        rows = rows.select(F.struct("*").alias("row"), self.evidence(text).alias("s"))
+        scale = F.least(F.lit(1.0), F.lit(EVIDENCE) / F.greatest(F.col("s.n"), F.lit(1)))
+        logits = [F.lit(self.priors[d]) + scale * F.col(f"s.w{d}")
                   for d in range(len(self.domains))]
-        rows = rows.withColumn("__z", F.array(*logits))
-        rows = rows.withColumn("__e", F.transform("__z", lambda z: F.exp(z - F.array_max("__z"))))
-        total = F.aggregate("__e", F.lit(0.0), lambda a, b: a + b)
-        return (rows.withColumn("__t", F.col("__s.n").cast("long"))
-                .withColumn("__p", F.transform("__e", lambda e: e / total))
-                .drop("__s", "__z", "__e"))
+        rows = rows.select("row", F.col("s.n").cast("long").alias("tokens"),
+                           F.array(*logits).alias("z"))
+        rows = rows.select("row", "tokens", F.transform(
+            "z", lambda z: F.exp(z - F.array_max("z"))).alias("e"))
+        total = F.aggregate("e", F.lit(0.0), lambda a, b: a + b)
+        return rows.select("row", "tokens", F.transform("e", lambda e: e / total).alias("p"))
 
 
 def learn(docs: DataFrame, labels: DataFrame, domains: list[str],
@@ -131,28 +131,27 @@ def rate(p: Column, history: list[list[float]]) -> Column:
 
 @dataclass
 class Mix:
-    """A classifier, the posteriors it gave, and the steps that fix every document's rate."""
+    """Rows with their posteriors (a written table), and the steps that fix every rate."""
 
-    members: Memberships
-    narrow: DataFrame
+    domains: list[str]
+    rows: DataFrame
     history: list[list[float]]
     targets: list[float]
     reached: list[float]
 
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with __t, __p and __rate; a narrow pass."""
-        rows = self.members.posteriors(docs, F.col("text"))
-        return rows.withColumn("__rate", rate(F.col("__p"), self.history))
+    def rated(self) -> DataFrame:
+        """row, tokens, p and rate."""
+        return self.rows.withColumn("rate", rate(F.col("p"), self.history))
 
 
 def solve(memberships: DataFrame, shares: list[float], rounds: int = ROUNDS,
           tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float], list[float]]:
-    """Projected-gradient rounds over (__t, __p): history of steps, targets, reached sums."""
+    """Projected-gradient rounds over (tokens, p): history of steps, targets, reached sums."""
     n = len(shares)
 
     def sums(r: Column) -> list[float]:
         row = memberships.agg(*[
-            F.coalesce(F.sum(F.col("__t") * F.col("__p")[d] * r), F.lit(0.0)).alias(f"s{d}")
+            F.coalesce(F.sum(F.col("tokens") * F.col("p")[d] * r), F.lit(0.0)).alias(f"s{d}")
             for d in range(n)]).first()
         return [row[d] for d in range(n)]
 
@@ -166,38 +165,42 @@ def solve(memberships: DataFrame, shares: list[float], rounds: int = ROUNDS,
         if total == 0 or max(map(abs, gaps)) <= tolerance * total:
             break
         history.append([g / m if m > 0 else 0.0 for g, m in zip(gaps, natural, strict=True)])
-        reached = sums(rate(F.col("__p"), history))
+        reached = sums(rate(F.col("p"), history))
     return history, targets, reached
 
 
-def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> Mix:
-    """Learn the classifier, write the narrow posteriors once, run the rounds over them."""
+def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None,
+        keep: list[str] | None = None) -> Mix:
+    """Learn the classifier, write rows (columns ``keep``) and posteriors, run the rounds.
+
+    A round reads the token and posterior columns of that table alone.
+    """
     targets = targets or TARGETS
     members = learn(docs, labels, list(targets))
-    narrow = stored(members.posteriors(docs.select("doc_id", "text"), F.col("text"))
-                    .select("doc_id", "__t", "__p"), "soft_mix")
-    return Mix(members, narrow, *solve(narrow, list(targets.values())))
+    keep = keep or docs.columns
+    rows = members.posteriors(docs, F.col("text"))
+    rows = stored(rows.select(F.struct(*[F.col("row")[c].alias(c) for c in keep]).alias("row"),
+                              "tokens", "p"), "soft_mix")
+    return Mix(list(targets), rows, *solve(rows, list(targets.values())))
 
 
 def mix_rates(docs: DataFrame, labels: DataFrame,
               targets: dict[str, float] | None = None) -> DataFrame:
     """doc_id, n_tokens, one p_<domain> each, and rate, for every row of ``docs``."""
-    mix = fit(docs, labels, targets)
-    return mix.narrow.select(
-        "doc_id", F.col("__t").alias("n_tokens"),
-        *[F.col("__p")[d].alias(f"p_{name}") for d, name in enumerate(mix.members.domains)],
-        rate(F.col("__p"), mix.history).alias("rate"))
+    mix = fit(docs, labels, targets, ["doc_id"])
+    return mix.rated().select(
+        "row.doc_id", F.col("tokens").alias("n_tokens"),
+        *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(mix.domains)], "rate")
 
 
 def mixed(docs: DataFrame, labels: DataFrame,
           targets: dict[str, float] | None = None) -> DataFrame:
     """The mixed corpus: each row as often as its rate says, the fraction by an id hash.
 
-    Keeps the columns of ``docs``; rates are evaluated beside the text, nothing is joined.
+    Keeps the columns of ``docs``; texts are written beside their posteriors, not joined.
     """
-    rows = fit(docs, labels, targets).apply(docs)
-    chance = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    copies = F.floor("__rate") + (chance < F.col("__rate") - F.floor("__rate")).cast("int")
-    return (rows.withColumn("__copies", copies.cast("int")).where("__copies > 0")
-            .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies"))))
-            .select(*docs.columns))
+    rows = fit(docs, labels, targets).rated()
+    chance = F.pmod(F.xxhash64("row.doc_id", F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    copies = F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")
+    return (rows.select("row", copies.cast("int").alias("copies")).where("copies > 0")
+            .select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*"))
