@@ -2,7 +2,7 @@
 
 Every step is a DataFrame -> DataFrame operator; reading and writing happen only at the
 edges (``lakestar.sources``).  Nothing here needs a transactional table format: merges are
-full-outer (or checked-broadcast) joins, surrogate keys are range-partitioned numbering, and
+full-outer joins, surrogate keys are range-partitioned numbering, and
 each layer is written as a fresh snapshot directory.
 """
 

@@ -54,7 +54,7 @@ def main(argv: list[str] | None = None, spark=None) -> list[dict]:
     args = _parser().parse_args(argv)
     spark = spark or get_session()
     if args.command == "run":
-        # A new root is bucketed by the size of its first landing input.
+        # Buckets grow with the largest landing input seen so far.
         sized = P.buckets_for(spark, MT.input_bytes(spark.read.text(args.landing)))
         layout = P.new_layout(spark, args.root, args.buckets, default_buckets=sized)
     else:

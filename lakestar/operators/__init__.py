@@ -1,7 +1,6 @@
 """DataFrame -> DataFrame operators of the pipeline."""
 
 from lakestar.operators.dedup import distinct_rows, one_per_key, one_per_sid
-from lakestar.operators.joins import broadcast_if_small, has_at_most, proven_small
 from lakestar.operators.keys import assign_sid, next_sid
 from lakestar.operators.maintenance import compacted
 from lakestar.operators.mart import (
@@ -28,15 +27,12 @@ __all__ = [
     "FACT",
     "ambiguous_keys",
     "assign_sid",
-    "broadcast_if_small",
     "check_unique_keys",
     "clean",
     "compacted",
     "delta",
     "distinct_rows",
     "fk_orphans",
-    "has_at_most",
-    "proven_small",
     "latest_per_key",
     "lookup_sids",
     "mart_copy",

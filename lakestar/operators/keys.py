@@ -13,20 +13,18 @@
 The work is spread over ``n`` tasks; only the ``n`` partition counts reach the driver.
 The result equals ``row_number() over (order by ...) - 1 + start``.
 
-When the input is proven small (row count checked against the broadcast bound), the same
-numbering is one ordered window in a single task: no sampling, checkpoint or count jobs.
+The same steps run at every size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakestar import schemas as S
-from lakestar.operators.joins import proven_small
 from lakestar.session import cut_lineage
 
 _PID, _MID = "__pid", "__mid"
@@ -46,20 +44,10 @@ def assign_sid(
     start: int = S.SID_START,
     sid_col: str = S.SID,
     num_partitions: int | None = None,
-    small: bool | None = None,
 ) -> DataFrame:
-    """``df`` with ``sid_col`` first: ``start + rank - 1`` in ``order`` (must be total).
-
-    ``small``: the caller already knows whether ``df`` is within the row bound (``None``:
-    check it here).
-    """
+    """``df`` with ``sid_col`` first: ``start + rank - 1`` in ``order`` (must be total)."""
     spark = df.sparkSession
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
-    if small is None:
-        small = num_partitions is None and proven_small(df)
-    if small and num_partitions is None:
-        rank = F.row_number().over(Window.orderBy(*cols))
-        return df.select((rank - 1 + F.lit(start)).cast("long").alias(sid_col), *df.columns)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     ranged = cut_lineage(df.repartitionByRange(n, *cols).sortWithinPartitions(*cols))
     tagged = ranged.select(

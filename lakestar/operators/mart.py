@@ -12,7 +12,6 @@ from lakestar import schemas as S
 from lakestar.functions.casting import Mapping as ColumnMapping
 from lakestar.functions.casting import copy_mapped
 from lakestar.operators.dedup import distinct_rows, one_per_sid
-from lakestar.operators.joins import broadcast_if_small
 from lakestar.operators.merging import merge
 
 MAPPINGS: dict[str, ColumnMapping] = {
@@ -43,7 +42,7 @@ def mart_source(gold_versions: DataFrame, table: str, dedup: str = "rownum") ->
 
 
 def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.SID,),
-           strategy: str = "auto", check_unique: bool = True,
+           check_unique: bool = True,
            target_buckets: int | None = None) -> DataFrame:
     """Matched sid -> overwrite the business columns; new sid -> insert; nothing deleted.
 
@@ -58,7 +57,6 @@ def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.S
         update_set=business,
         insert_values=source.columns,
         columns=source.columns,
-        strategy=strategy,
         check_unique=check_unique,
         target_buckets=target_buckets,
     )
@@ -89,15 +87,16 @@ def fk_orphans(
 ) -> DataFrame:
     """Per foreign key: the number of fact rows whose value has no row in the dimension.
 
+    A NULL value passes, as in a foreign-key constraint.
+
     The fact is first reduced to (value, rows) per foreign-key value; the partial
     aggregation collapses a hot value (say the unknown member) before any shuffle, and
     only distinct values meet the dimension.
     """
     parts = []
     for fk, table in foreign_keys:
-        per_value = fact.groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
+        per_value = fact.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
         d = dims[table].select(F.col(sid_col).alias(fk)).distinct()
-        d, _ = broadcast_if_small(d)
         orphans = per_value.join(d, fk, "left_anti")
         parts.append(
             orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("orphan_rows")).select(

@@ -4,23 +4,13 @@
 over) plus the inserted source rows.  Keys match with plain ``=`` (a NULL key never
 matches), and a NULL update guard means "no update".
 
-Two physical shapes, same result:
-
-* ``shuffle`` - one full-outer equi-join.  Both sides are hash-partitioned on the key; the
-  keys are unique on both sides (the source is checked or de-duplicated by construction),
-  so the join has no hot key.  Spillable, no size limit.
-* ``broadcast`` - used when the source has a proven row bound.  The target is streamed
-  once against the broadcast source (left join: updates and carried rows) and its key
-  columns once more (semi join: matched keys, at most as many as source rows); the source
-  rows whose key did not match are the inserts.  The target is never shuffled.
-
-``auto`` picks ``broadcast`` when the source passes the size check.
+One physical shape at every size: a full-outer equi-join.  Both sides are hash-partitioned on
+the key; keys are unique on both sides (the source is checked or de-duplicated by
+construction), so the join has no hot key, and it spills instead of failing.
 
 ``target_buckets``: the target is read hash-bucketed on the key into that many buckets
-(see ``lakestar.sources.tables.Bucketing``).  The shuffle shape then hash-partitions only
-the source into the same buckets, so the sort-merge join reads the target in place; the
-broadcast shape buckets the inserted rows, so the new version keeps one file per bucket
-per side.
+(see ``lakestar.sources.tables.Bucketing``).  Only the source is then hash-partitioned, into
+the same buckets, and the sort-merge join reads the target in place.
 """
 
 from __future__ import annotations
@@ -31,8 +21,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakestar.operators.joins import has_at_most, proven_small
-
 Side = Callable[[str], Column]
 Guard = Callable[[Side, Side], Column]
 Value = Callable[[Side, Side], Column]
@@ -80,7 +68,7 @@ def ambiguous_keys(source: DataFrame, on: Sequence[str]) -> DataFrame:
 
 def check_unique_keys(source: DataFrame, on: Sequence[str]) -> None:
     """Fail when a source key repeats: one target row cannot take two updates."""
-    if not has_at_most(ambiguous_keys(source, on), 0):
+    if not ambiguous_keys(source, on).isEmpty():
         raise ValueError(
             f"merge source has repeated keys on {list(on)}; reduce it to one row per key first"
         )
@@ -95,11 +83,9 @@ def merge(
     update_set: Mapping[str, Value | str] | Sequence[str] | None = None,
     insert_values: Mapping[str, Value | str | None] | Sequence[str] | None = None,
     columns: Sequence[str] | None = None,
-    strategy: str = "auto",
     check_unique: bool = True,
     with_action: bool = False,
     target_buckets: int | None = None,
-    new_key_flag: str | None = None,
 ) -> DataFrame:
     """New target content after merging ``source`` on key columns ``on``.
 
@@ -107,10 +93,7 @@ def merge(
     columns that take a new value on update (names copy the source column of the same
     name).  ``insert_values``: value of each target column for an inserted row (default:
     the source column of the same name; ``None`` -> NULL).  ``columns``: output columns
-    when there is no target yet (first load).  ``new_key_flag``: a boolean source column
-    that is already known to be true exactly for keys absent from the target (the caller
-    probed the target); the broadcast shape then takes the inserts from it instead of
-    probing the target's keys again.
+    when there is no target yet (first load).
     """
     if check_unique:
         check_unique_keys(source, on)
@@ -140,9 +123,10 @@ def merge(
 
     t = target.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(on)],
                       F.struct(*target.columns).alias(_T))
-    if strategy == "auto":
-        strategy = "broadcast" if proven_small(source) else "shuffle"
-    joined = _join(t, s, on, strategy, target_buckets, new_key_flag)
+    if target_buckets:
+        s = s.repartition(int(target_buckets), *[f"__j{i}" for i in range(len(on))])
+    same = reduce(lambda a, b: a & b, [t[f"__k{i}"] == s[f"__j{i}"] for i in range(len(on))])
+    joined = t.join(s, same, "full_outer")
     has_t = F.col(_T).isNotNull()
     has_s = F.col(_S).isNotNull()
 
@@ -168,38 +152,6 @@ def merge(
     return staged.select(*[project(c) for c in out_cols], *extra)
 
 
-def _join(t: DataFrame, s: DataFrame, on: Sequence[str], strategy: str,
-          target_buckets: int | None, new_key_flag: str | None = None) -> DataFrame:
-    n = len(on)
-    src_keys = [f"__j{i}" for i in range(n)]
-    cond = lambda left, right: reduce(
-        lambda a, b: a & b, [left[f"__k{i}"] == right[f"__j{i}"] for i in range(n)]
-    )
-    if strategy == "shuffle":
-        if target_buckets:
-            s = s.repartition(int(target_buckets), *src_keys)
-        return t.join(s, cond(t, s), "full_outer")
-    if strategy != "broadcast":
-        raise ValueError(f"unknown merge strategy {strategy!r}")
-    small_s = F.broadcast(s)
-    kept = t.join(small_s, cond(t, small_s), "left")
-    if new_key_flag is not None:
-        inserted = s.filter(F.coalesce(F.col(_S)[new_key_flag], F.lit(False)))
-    else:
-        skeys = F.broadcast(s.select(*src_keys))
-        tkeys = t.select(*[f"__k{i}" for i in range(n)])
-        matched_keys = tkeys.join(skeys, cond(tkeys, skeys), "left_semi")
-        # Bounded by the source size (checked above): safe to broadcast.
-        mk = F.broadcast(matched_keys)
-        inserted = s.join(mk, cond(mk, s), "left_anti")
-    if target_buckets:
-        inserted = inserted.repartition(int(target_buckets), *src_keys)
-    null_t = F.lit(None).cast(t.schema[_T].dataType)
-    inserted = inserted.select(*[F.lit(None).cast(t.schema[f"__k{i}"].dataType).alias(f"__k{i}")
-                                 for i in range(n)], null_t.alias(_T), *s.columns)
-    return kept.unionByName(inserted)
-
-
 def merge_metrics(merged: DataFrame) -> DataFrame:
     """One row of action counts of a merge result produced with ``with_action=True``."""
     a = F.col(ACTION)

@@ -65,25 +65,18 @@ def latest_per_key(df: DataFrame, keys: Sequence[str] = S.NATURAL_KEY) -> DataFr
     return first_per_key(df, keys, latest_order(df.columns, keys))
 
 
-def quarantine(slice_df: DataFrame, survivors: DataFrame, broadcast: bool = False) -> DataFrame:
+def quarantine(slice_df: DataFrame, survivors: DataFrame) -> DataFrame:
     """Every distinct slice row that is not a survivor (EXCEPT DISTINCT, NULL-safe).
 
-    Exact copies collapse to one row, and a copy equal to the kept row disappears.  Written
-    as the plan EXCEPT becomes (null-safe anti join on every column, then distinct) so a
-    broadcast hint survives.  ``broadcast`` (the caller proved the survivors small): the
-    anti join streams the slice without a shuffle and the distinct's partial aggregation
-    collapses copies before the only exchange, so a group of identical rows never reaches
-    one task whole.  Otherwise the anti join is a sort-merge join whose skewed partitions
-    AQE splits.
+    Exact copies collapse to one row, and a copy equal to the kept row disappears.  Both sides
+    are grouped together, so NULLs compare as equal, and the partial aggregation collapses
+    copies before the only shuffle: a group of identical rows never reaches a task whole.
     """
     cols = slice_df.columns
-    left = slice_df.alias("_l")
-    right = survivors.select(*cols).alias("_r")
-    if broadcast:
-        right = F.broadcast(right)
-    cond = reduce(lambda a, b: a & b,
-                  [F.col(f"_l.`{c}`").eqNullSafe(F.col(f"_r.`{c}`")) for c in cols])
-    return left.join(right, cond, "left_anti").select(*cols).distinct()
+    kept = "__kept"
+    both = slice_df.withColumn(kept, F.lit(0)).unionByName(
+        survivors.select(*cols).withColumn(kept, F.lit(1)))
+    return both.groupBy(*cols).agg(F.max(kept).alias(kept)).where(F.col(kept) == 0).select(*cols)
 
 
 def quarantine_reason(errors: DataFrame, rule: Column | None = None) -> DataFrame:
@@ -94,7 +87,7 @@ def quarantine_reason(errors: DataFrame, rule: Column | None = None) -> DataFram
     )
 
 
-def clean(slice_df: DataFrame, broadcast: bool = False) -> tuple[DataFrame, DataFrame]:
+def clean(slice_df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Split a renamed slice into (survivors, errors)."""
     survivors = latest_per_key(quality_filter(slice_df))
-    return survivors, quarantine(slice_df, survivors, broadcast)
+    return survivors, quarantine(slice_df, survivors)

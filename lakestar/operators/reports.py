@@ -1,67 +1,49 @@
-"""Analyst reports over the mart (and one straight from silver), as Spark SQL.
+"""Analyst reports over the mart (and one straight from silver).
 
-Each report is the SQL an analyst would run, with the tables passed as DataFrames and
-values as named parameters.  Ties in a top-k are broken by name, so the k rows are the
-same on every run.  The most selective dimension is joined first (one year; one name):
-on a fact partitioned by year, the year join also prunes the fact's directories
-(dynamic partition pruning).
+A report filters its dimensions, joins them to the fact, and sums.  The filtered year comes
+first: on a fact partitioned by year it prunes directories (dynamic partition pruning).
+Ties in a top-k are broken by name, so the k rows are the same on every run.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-_TOP_NAMES = """
-SELECT n.first_name, SUM(f.`count`) AS total_count
-FROM {fact} f
-JOIN {years} y ON f.yearSid = y.sid
-JOIN {names} n ON f.nameSid = n.sid
-WHERE {sex_pred} AND y.year = :year
-GROUP BY n.first_name
-ORDER BY total_count DESC, n.first_name ASC
-LIMIT {k}
-"""
 
-_NAME_BY_YEAR = """
-SELECT y.year, SUM(f.`count`) AS total_count
-FROM {fact} f
-JOIN {names} n ON f.nameSid = n.sid
-JOIN {years} y ON f.yearSid = y.sid
-WHERE {name_pred}
-GROUP BY y.year
-ORDER BY total_count DESC, y.year ASC
-"""
+def _equals(column: str, value: str, case_insensitive: bool) -> Column:
+    col = F.collate(F.col(column), "UTF8_LCASE") if case_insensitive else F.col(column)
+    return col == F.lit(value)
 
-_TOP_SILVER = """
-SELECT first_name, SUM(`count`) AS cnt
-FROM {silver}
-GROUP BY first_name
-ORDER BY cnt DESC, first_name ASC
-LIMIT {k}
-"""
+
+def _totals(fact: DataFrame, years: DataFrame, names: DataFrame, by: str) -> DataFrame:
+    """Total count per ``by`` of the fact rows whose year and name are among those given."""
+    years = years.select(F.col("sid").alias("yearSid"), "year")
+    names = names.select(F.col("sid").alias("nameSid"), "first_name")
+    return (fact.select("yearSid", "nameSid", "count").join(years, "yearSid")
+            .join(names, "nameSid").groupBy(by).agg(F.sum("count").alias("total_count")))
 
 
-def _eq(column: str, param: str, case_insensitive: bool) -> str:
-    if case_insensitive:
-        return f"collate({column}, 'UTF8_LCASE') = :{param}"
-    return f"{column} = :{param}"
+def _top(totals: DataFrame, value: str, key: str, k: int) -> DataFrame:
+    return totals.orderBy(F.desc(value), F.asc(key)).limit(int(k))
 
 
 def top_names(spark: SparkSession, fact: DataFrame, names: DataFrame, years: DataFrame,
               sex: str, year: int, k: int = 10, case_insensitive: bool = False) -> DataFrame:
     """Top ``k`` names of one sex in one year by total count."""
-    sql = _TOP_NAMES.replace("{sex_pred}", _eq("n.sex", "sex", case_insensitive))
-    sql = sql.replace("{k}", str(int(k)))
-    return spark.sql(sql, args={"sex": sex, "year": int(year)}, fact=fact, names=names, years=years)
+    chosen = names.where(_equals("sex", sex, case_insensitive))
+    totals = _totals(fact, years.where(F.col("year") == int(year)), chosen, "first_name")
+    return _top(totals, "total_count", "first_name", k)
 
 
 def name_by_year(spark: SparkSession, fact: DataFrame, names: DataFrame, years: DataFrame,
                  name: str, case_insensitive: bool = False) -> DataFrame:
     """Total count of one name per year, largest first."""
-    sql = _NAME_BY_YEAR.replace("{name_pred}", _eq("n.first_name", "name", case_insensitive))
-    return spark.sql(sql, args={"name": name}, fact=fact, names=names, years=years)
+    chosen = names.where(_equals("first_name", name, case_insensitive))
+    return _totals(fact, years, chosen, "year").orderBy(F.desc("total_count"), F.asc("year"))
 
 
 def top_names_silver(spark: SparkSession, silver: DataFrame, k: int = 10) -> DataFrame:
     """Top ``k`` names overall, straight from silver (no join)."""
-    return spark.sql(_TOP_SILVER.replace("{k}", str(int(k))), silver=silver)
+    totals = silver.groupBy("first_name").agg(F.sum("count").alias("cnt"))
+    return _top(totals, "cnt", "first_name", k)

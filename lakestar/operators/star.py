@@ -22,7 +22,6 @@ from pyspark.sql import types as T
 from lakestar import schemas as S
 from lakestar.functions.hashing import COMPAT, EXACT, sha256_of
 from lakestar.operators.dedup import newest_first_order
-from lakestar.operators.joins import broadcast_if_small, proven_small
 from lakestar.operators.keys import assign_sid, next_sid
 from lakestar.operators.merging import merge
 from lakestar.operators.quality import first_per_key
@@ -51,7 +50,6 @@ class TableSpec:
 
 
 _RUN = (S.RUN_ID, S.PROCESSING_DATE)
-_NEW = "__new_key"
 
 DIM_NAMES = TableSpec("dim_names", ("first_name", "sex"), _RUN, (), S.DIM_NAMES_SCHEMA, "nameSid")
 DIM_YEARS = TableSpec("dim_years", ("year",), _RUN, (), S.DIM_YEARS_SCHEMA, "yearSid")
@@ -136,19 +134,12 @@ def source_rows(rows: DataFrame, spec: TableSpec, mode: str = EXACT) -> DataFram
 
 
 def unmatched(source: DataFrame, target: DataFrame, on: Sequence[str],
-              small: bool | None = None, target_buckets: int | None = None) -> DataFrame:
-    """Source rows whose key is absent from the target.
+              target_buckets: int | None = None) -> DataFrame:
+    """Source rows whose key is absent from the target (an anti-join).
 
-    With a bounded source the target's key columns are streamed against the broadcast
-    source keys (no shuffle of the target); otherwise an anti-join, in which a target
-    bucketed on the key is read in place and only the source is hash-partitioned.
+    A target bucketed on the key is read in place; only the source is hash-partitioned.
     """
     keys = list(on)
-    if small is None:
-        small = proven_small(source)
-    if small:
-        matched = target.select(*keys).join(F.broadcast(source.select(*keys)), keys, "left_semi")
-        return source.join(F.broadcast(matched), keys, "left_anti")
     if target_buckets:
         source = source.repartition(int(target_buckets), *keys)
     return source.join(target.select(*keys), keys, "left_anti")
@@ -158,30 +149,23 @@ def merge_star(
     target: DataFrame | None,
     source: DataFrame,
     spec: TableSpec,
-    strategy: str = "auto",
     target_buckets: int | None = None,
 ) -> DataFrame:
     """New content of a gold table after merging a de-duplicated ``source`` (a delta).
 
-    The delta is materialised once in the shared checkpoint folder: its size decides the
-    join shapes, and the key lookup, the numbering and the merge all read it instead of
-    recomputing the slice.
+    The delta is materialised once in the shared checkpoint folder: the key lookup and the
+    merge both read it instead of recomputing the slice.  Only the keys of the unmatched rows
+    are numbered, the measures do not travel through the range sort.
     """
     out_cols = [f.name for f in spec.schema.fields]
     order = [F.col(c).asc_nulls_first() for c in spec.key] + [F.col(S.KEY_HASH).asc_nulls_first()]
     src = cut_lineage(source.select(*[c for c in out_cols if c != S.SID]))
-    small = proven_small(src)
-    if strategy == "auto":
-        strategy = "broadcast" if small else "shuffle"
     if target is None:
-        return _conform(assign_sid(src, order, start=S.SID_START, small=small), spec.schema)
-    new_keys = unmatched(src, target, [S.KEY_HASH], small=small, target_buckets=target_buckets)
-    numbered = assign_sid(new_keys, order, start=next_sid(target), small=small)
-    sids = numbered.select(S.KEY_HASH, S.SID)
-    # At most as many rows as the delta: broadcast exactly when the delta passed the check.
-    src = src.join(F.broadcast(sids) if small else sids, S.KEY_HASH, "left")
-    # A numbered row is a key the target lacks: the merge need not probe the target again.
-    src = src.withColumn(_NEW, F.col(S.SID).isNotNull())
+        return _conform(assign_sid(src, order, start=S.SID_START), spec.schema)
+    new_keys = unmatched(src.select(*spec.key, S.KEY_HASH), target, [S.KEY_HASH],
+                         target_buckets=target_buckets)
+    sids = assign_sid(new_keys, order, start=next_sid(target)).select(S.KEY_HASH, S.SID)
+    src = src.join(sids, S.KEY_HASH, "left")
     merged = merge(
         target,
         src,
@@ -189,10 +173,8 @@ def merge_star(
         update_when=lambda t, s: s(S.VALUE_HASH) != t(S.VALUE_HASH),
         update_set=list(spec.update_set),
         insert_values=out_cols,
-        strategy=strategy,
         check_unique=False,  # the delta is one row per key by construction
         target_buckets=target_buckets,
-        new_key_flag=_NEW,
     )
     return _conform(merged, spec.schema)
 
@@ -209,13 +191,12 @@ def lookup_sids(
 ) -> DataFrame:
     """Left-join each dimension on its business key and add its sid as ``sid_alias``.
 
-    A missing member gets ``unknown`` (-1).  A dimension is broadcast only after its row
-    count has been checked against the bound; a larger one joins by shuffle.
+    A missing member gets ``unknown`` (-1).  The planner broadcasts a dimension whose measured
+    size allows it; a larger one joins by shuffle, where AQE splits a popular member's rows.
     """
     out = rows
     for spec in specs:
         d = dims[spec.name].select(*spec.key, F.col(S.SID).alias(spec.sid_alias))
-        d, _ = broadcast_if_small(d)
         out = out.join(d, list(spec.key), "left")
         if unknown is not None:
             out = out.withColumn(

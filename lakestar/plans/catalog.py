@@ -97,12 +97,22 @@ def file_lineage(spark, sf_dir):
 
 @query
 def scan_modified_since(spark, sf_dir):
-    """Raw Parquet files of the fact folder written since the history began: every version."""
+    """Raw Parquet files of the fact folder written since the second run began."""
     sc = _sc(spark, sf_dir)
-    return FS.read_modified_since(spark, sc.layout.gold("fact"), sc.written_since,
+    return FS.read_modified_since(spark, sc.layout.gold("fact"), sc.second_run_began,
                                   schema=S.FACT_SCHEMA)
 
 
+@query
+def scan_mart_by_name(spark, sf_dir):
+    """The published mart fact, read through its catalog name."""
+    sc = _sc(spark, sf_dir)
+    database, table = S.MART_TABLE_NAMES["fact"]
+    name = f"{sc.layout.namespace}{database}.{table}"
+    TB.require_table(spark, name)
+    return spark.read.table(name).select(*P.MART_SCHEMAS["fact"].fieldNames())
+
+
 @query
 def incremental_slice(spark, sf_dir):
     """Bronze rows processed on the second run's day."""
@@ -204,9 +214,10 @@ for _spec in G.DIMS:
 
 @query
 def quarantine(spark, sf_dir):
-    """First run: every distinct slice row that did not survive."""
-    slice_df, survivors = _survivors(_sc(spark, sf_dir), FD.RUN_1)
-    return Q.quarantine(slice_df, survivors)
+    """Both runs, each by itself: every distinct slice row that did not survive."""
+    sc = _sc(spark, sf_dir)
+    parts = [Q.quarantine(*_survivors(sc, ctx)) for ctx in FD.RUNS]
+    return parts[0].unionByName(parts[1])
 
 
 @query
@@ -324,7 +335,8 @@ def merge_newer_wins(spark, sf_dir):
     """Silver of run 1 merged with the survivors of run 2 (newer file wins)."""
     sc = _sc(spark, sf_dir)
     _, survivors = _survivors(sc, FD.RUN_2)
-    return P.silver_merge(sc.silver(1), survivors, target_buckets=sc.layout.buckets or None)
+    buckets = sc.layout.target_buckets(spark, sc.layout.silver, 1)
+    return P.silver_merge(sc.silver(1), survivors, target_buckets=buckets)
 
 
 @query
@@ -355,14 +367,15 @@ def merge_fact(spark, sf_dir):
     sc = _sc(spark, sf_dir)
     facts = G.fact_rows(sc.silver_day(2, FD.RUN_2), sc.gold_dims(2))
     return G.merge_star(sc.gold("fact", 1), G.delta(facts, G.FACT), G.FACT,
-                        target_buckets=sc.layout.buckets or None)
+                        target_buckets=sc.layout.target_buckets(spark, sc.layout.gold("fact"), 1))
 
 
 def _upsert(table):
     def run(spark, sf_dir):
         sc = _sc(spark, sf_dir)
         changed = TB.day_slice(sc.gold(table, 2), FD.RUN_2.day)
-        buckets = (sc.layout.buckets or None) if table == "fact" else None
+        buckets = (sc.layout.target_buckets(spark, sc.layout.mart(table), 1)
+                   if table == "fact" else None)
         return M.upsert(sc.mart(table, 1), M.mart_source(changed, table), target_buckets=buckets)
 
     run.__name__ = f"upsert_{table}"
@@ -378,9 +391,7 @@ for _t in ("dim_names", "dim_years", "dim_locations", "fact"):
 def assign_sid(spark, sf_dir):
     """Dense ordered ids over every natural key of silver."""
     keys = _sc(spark, sf_dir).silver(2).select(*S.NATURAL_KEY)
-    # The distributed path (range partitions + offsets), whatever the input size.
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return K.assign_sid(keys, list(S.NATURAL_KEY), num_partitions=n)
+    return K.assign_sid(keys, list(S.NATURAL_KEY))
 
 
 @query
@@ -418,9 +429,9 @@ def hash_keys(spark, sf_dir):
 
 @query
 def hash_collisions(spark, sf_dir):
-    """Distinct fact keys vs distinct exact / unseparated key hashes (run 1)."""
+    """Distinct fact keys vs distinct exact / unseparated key hashes (all of silver)."""
     sc = _sc(spark, sf_dir)
-    facts = G.fact_rows(sc.silver(1), sc.gold_dims(1))
+    facts = G.fact_rows(sc.silver(2), sc.gold_dims(2))
     return facts.agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.count_distinct(sha256_of(G.FACT.key, EXACT)).alias("n_exact_hashes"),
@@ -460,10 +471,10 @@ def run_parameters(spark, sf_dir):
 # ---------------------------------------------------------------------------
 @query
 def compact_preserves_rows(spark, sf_dir):
-    """Silver rewritten as 4 range-clustered files and read back."""
+    """Silver rewritten as few range-clustered files, sized by its bytes, and read back."""
     silver = _sc(spark, sf_dir).silver(2)
     path = fresh_workspace(spark, "compact")
-    MT.compacted(silver, 4, list(S.NATURAL_KEY)).write.mode("overwrite").parquet(path)
+    MT.compacted(silver, MT.target_files(MT.input_bytes(silver)), list(S.NATURAL_KEY)).write.mode("overwrite").parquet(path)
     return spark.read.schema(P.SILVER_SCHEMA).parquet(path)
 
 
@@ -490,7 +501,7 @@ def stream_bronze(spark, sf_dir):
     landing, bronze, ckpt = f"{base}/landing", f"{base}/bronze", f"{base}/_checkpoint"
     for ctx, name in ((FD.RUN_1, FD.FILE_1), (FD.RUN_2, FD.FILE_2)):
         FS.write_landing(FD.landing_rows(FD.run_rows(feed, ctx)), f"{landing}/{name}")
-        ST.ingest_landing(spark, f"{landing}/*", bronze, ckpt, ctx, timeout_sec=600)
+        ST.ingest_landing(spark, f"{landing}/*", bronze, ckpt, ctx)
     return TB.read_log(spark, bronze, S.BRONZE_SCHEMA).select(
         *S.LANDING_COLUMNS, S.PROCESSING_DATE, S.RUN_ID)
 

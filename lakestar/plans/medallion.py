@@ -28,7 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import partial
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -41,7 +41,6 @@ from lakestar.operators import maintenance as MT
 from lakestar.operators import mart as M
 from lakestar.operators import quality as Q
 from lakestar.operators import star as G
-from lakestar.operators.joins import proven_small
 from lakestar.operators.merging import ACTION, merge
 from lakestar.session import cut_lineage
 from lakestar.sources import files as FS
@@ -59,12 +58,15 @@ GOLD_TABLES = tuple(GOLD_SCHEMAS)
 class Layout:
     """Where every table lives under one root folder.
 
-    ``buckets`` > 0: silver, the gold fact and the mart fact are bucketed by their merge
-    key into that many buckets (fixed for the layout's lifetime); 0: plain snapshots.
+    ``buckets`` > 0: new snapshots of silver, the gold fact and the mart fact are bucketed by
+    their merge key into that many buckets (each snapshot remembers its own count);
+    0: plain snapshots.  ``namespace`` is put before the catalog's database names, so that
+    roots that should not share names (tests, the queries' history) do not.
     """
 
     root: str
     buckets: int = 0
+    namespace: str = ""
 
     def _bucketing(self, keys: tuple[str, ...], sort_by: tuple[str, ...] = (),
                    partition_by: tuple[str, ...] = ()):
@@ -85,6 +87,12 @@ class Layout:
         # Year directories: a report about one year reads one directory (dynamic pruning).
         return self._bucketing((S.SID,), partition_by=("yearSid",))
 
+    def target_buckets(self, spark: SparkSession, base: str, version: int | None) -> int | None:
+        """The bucket count of the snapshot a merge reads."""
+        if version is None or not self.buckets:
+            return None
+        return TB.stored_buckets(spark, base, version)
+
     def landing(self, filename: str) -> str:
         return f"{self.root}/landing/{filename}"
 
@@ -107,46 +115,35 @@ class Layout:
         return f"{self.root}/mart/{table}"
 
 
-def _stored_buckets(spark: SparkSession, root: str) -> int | None:
-    try:
-        rows = spark.read.text(f"{root}/_layout").collect()
-    except Exception:  # noqa: BLE001 - a root that has not been used yet
-        return None
-    return int(rows[0]["value"]) if rows else None
-
-
 def buckets_for(spark: SparkSession, input_bytes: int, bytes_per_bucket: int = 128 << 20) -> int:
-    """About one bucket per ``bytes_per_bucket`` of input, at most the shuffle partitions."""
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, min(cap, MT.target_files(input_bytes, bytes_per_bucket)))
+    """About one bucket per ``bytes_per_bucket`` of input, at least the shuffle partitions."""
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, MT.target_files(input_bytes, bytes_per_bucket))
 
 
 def new_layout(spark: SparkSession, root: str, buckets: int | None = None,
-               default_buckets: int | None = None) -> Layout:
+               default_buckets: int | None = None, namespace: str = "") -> Layout:
     """The layout of a root folder.
 
-    The bucket count is recorded in the root on first use and read back afterwards, so
-    every run of the same root agrees on it whatever its session settings.  A new root
-    takes ``buckets``, else ``lakestar.buckets``, else ``default_buckets`` (e.g. sized
-    from the first input), else the shuffle partition count.
+    New snapshots take ``buckets``, else ``lakestar.buckets``, else at least
+    ``default_buckets`` (e.g. sized from a run's input), else the shuffle partition count.  The
+    count is recorded in the root and never shrinks: a later run that needs more buckets takes
+    a multiple, and its merges write the next snapshots with it.
     """
-    stored = _stored_buckets(spark, root)
-    if stored is not None:
-        if buckets is not None and buckets != stored:
-            raise ValueError(f"{root} is bucketed into {stored}, not {buckets}")
-        return Layout(root, stored)
+    stored = TB.read_number(spark, f"{root}/_layout")
     configured = spark.conf.get("lakestar.buckets", None)
-    if buckets is not None:
-        n = buckets
-    elif configured:
-        n = int(configured)
-    elif default_buckets is not None:
-        n = default_buckets
+    asked = buckets or (int(configured) if configured else None)
+    if stored is None:
+        n = asked or default_buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    elif asked is None:
+        n = stored * max(1, -(-(default_buckets or 0) // stored))
+    elif asked % stored:
+        raise ValueError(f"{root} has {stored} buckets; {asked} is no multiple of it")
     else:
-        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spark.createDataFrame([(str(n),)], "value string").coalesce(1).write.mode("overwrite") \
-        .text(f"{root}/_layout")
-    return Layout(root, n)
+        n = asked
+    if n != stored:
+        TB.write_number(spark, f"{root}/_layout", n)
+    return Layout(root, n, namespace)
 
 
 @dataclass
@@ -204,8 +201,8 @@ def read_bronze(spark: SparkSession, layout: Layout) -> DataFrame:
 def register_bronze(spark: SparkSession, layout: Layout) -> str:
     """Declare the bronze folder as an external catalog table (schema under the root)."""
     database, table = S.BRONZE_TABLE
-    return TB.register_external(spark, database, table, layout.bronze, S.BRONZE_SCHEMA,
-                                (S.PROCESSING_DAY,), f"{layout.root}/catalog/{database}.db")
+    return _register(spark, layout, database, table, layout.bronze, S.BRONZE_SCHEMA,
+                     (S.PROCESSING_DAY,))
 
 
 def publish(spark: SparkSession, layout: Layout, name: tuple[str, str], path: str,
@@ -218,22 +215,28 @@ def publish(spark: SparkSession, layout: Layout, name: tuple[str, str], path: st
     database, table = name
     clustered = ((bucketing.keys, bucketing.sort_by or bucketing.keys, bucketing.buckets)
                  if bucketing else None)
-    return TB.register_external(spark, database, table, path, schema, partition_by,
-                                f"{layout.root}/catalog/{database}.db", clustered=clustered)
+    return _register(spark, layout, database, table, path, schema, partition_by, clustered)
 
 
 def register_errors(spark: SparkSession, layout: Layout) -> str:
     """Declare the errors folder as an external catalog table, for analysts."""
     database, table = S.ERRORS_TABLE
-    return TB.register_external(spark, database, table, layout.errors, SILVER_SCHEMA,
-                                (S.PROCESSING_DAY,), f"{layout.root}/catalog/{database}.db")
+    return _register(spark, layout, database, table, layout.errors, SILVER_SCHEMA,
+                     (S.PROCESSING_DAY,))
+
+
+def _register(spark: SparkSession, layout: Layout, database: str, table: str, path: str,
+              schema: T.StructType, partition_by: tuple[str, ...] = (), clustered=None) -> str:
+    database = layout.namespace + database
+    return TB.register_external(spark, database, table, path, schema, partition_by,
+                                f"{layout.root}/catalog/{database}.db", clustered=clustered)
 
 
 # ---------------------------------------------------------------------------
 # P2: bronze -> silver + errors
 # ---------------------------------------------------------------------------
 def silver_merge(current: DataFrame | None, survivors: DataFrame, with_action: bool = False,
-                 strategy: str = "auto", target_buckets: int | None = None) -> DataFrame:
+                 target_buckets: int | None = None) -> DataFrame:
     """Newer-wins merge: a matched row is replaced only by a strictly newer file."""
     return merge(
         current,
@@ -242,7 +245,6 @@ def silver_merge(current: DataFrame | None, survivors: DataFrame, with_action: b
         update_when=lambda t, s: t(S.INPUT_MODIFIED) < s(S.INPUT_MODIFIED),
         update_set=[S.MEASURE, S.PROCESSING_DATE, S.RUN_ID, S.INPUT_FILENAME, S.INPUT_MODIFIED],
         columns=list(SILVER_SCHEMA.fieldNames()),
-        strategy=strategy,
         check_unique=False,  # survivors are one row per key by construction
         with_action=with_action,
         target_buckets=target_buckets,
@@ -254,22 +256,21 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     slice_df = Q.rename_measure(TB.read_log_day(spark, layout.bronze, S.BRONZE_SCHEMA, ctx.day))
     # Survivors feed both the quarantine and the merge: materialise them once.
     survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
-    small = proven_small(survivors)  # cheap: reads the checkpoint
 
     def quarantine() -> None:
-        TB.append_by_day(Q.quarantine(slice_df, survivors, broadcast=small), layout.errors)
+        TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
         register_errors(spark, layout)
 
     def merge_silver() -> dict:
         current = None if previous is None else read_silver(spark, layout, previous)
+        buckets = layout.target_buckets(spark, layout.silver, previous)
         merged, obs = _observe(
-            silver_merge(current, survivors, with_action=True,
-                         strategy="broadcast" if small else "shuffle",
-                         target_buckets=layout.buckets or None),
+            silver_merge(current, survivors, with_action=True, target_buckets=buckets),
             "silver_merge")
         path = TB.write_snapshot(merged.drop(ACTION), layout.silver, version,
                                  cluster_by=(S.PROCESSING_DATE,),
-                                 bucketing=layout.silver_bucketing)
+                                 bucketing=layout.silver_bucketing,
+                                 deal=buckets != layout.buckets)
         publish(spark, layout, S.SILVER_TABLE, path, SILVER_SCHEMA, layout.silver_bucketing)
         return obs.get
 
@@ -280,7 +281,11 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
 
 def read_silver(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
     return TB.read_snapshot(spark, layout.silver, version, SILVER_SCHEMA,
-                            bucketing=layout.silver_bucketing)
+                            bucketing=_as_stored(layout.silver_bucketing))
+
+
+def _as_stored(bucketing: TB.Bucketing | None) -> TB.Bucketing | None:
+    return bucketing and replace(bucketing, buckets=None)
 
 
 def read_errors(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -293,7 +298,7 @@ def read_errors(spark: SparkSession, layout: Layout) -> DataFrame:
 def read_gold(spark: SparkSession, layout: Layout, table: str, version: int) -> DataFrame:
     bucketing = layout.fact_bucketing if table == G.FACT.name else None
     return TB.read_snapshot(spark, layout.gold(table), version, GOLD_SCHEMAS[table],
-                            bucketing=bucketing)
+                            bucketing=_as_stored(bucketing))
 
 
 def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_version: int,
@@ -313,10 +318,11 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
     dims = dict(_parallel(spark, [partial(dimension, spec) for spec in G.DIMS]))
     current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
     facts = G.fact_rows(silver_slice, dims)
-    new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT,
-                            target_buckets=layout.buckets or None)
+    buckets = layout.target_buckets(spark, layout.gold(G.FACT.name), previous)
+    new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT, target_buckets=buckets)
     path = TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
-                             cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing)
+                             cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing,
+                             deal=buckets != layout.buckets)
     publish(spark, layout, S.GOLD_TABLE_NAMES[G.FACT.name], path, G.FACT.schema,
             layout.fact_bucketing)
     return StepReport("silver_to_gold")
@@ -335,7 +341,7 @@ MART_SCHEMAS = {
 def read_mart(spark: SparkSession, layout: Layout, table: str, version: int) -> DataFrame:
     bucketing = layout.mart_fact_bucketing if table == G.FACT.name else None
     return TB.read_snapshot(spark, layout.mart(table), version, MART_SCHEMAS[table],
-                            bucketing=bucketing)
+                            bucketing=_as_stored(bucketing))
 
 
 def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_version: int,
@@ -345,9 +351,10 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
     A gold row carries the processing date of its last change, so the run's day slice of
     gold is exactly what is new or different since the previous publish; the rest of the
     mart is carried over unchanged.  The first publish has no previous mart and takes the
-    whole gold table.
+    whole gold table.  The new version's primary and foreign keys are checked before its
+    names are switched to it: a broken mart fails the run and is never published.
     """
-    def publish_table(table: str) -> None:
+    def write_table(table: str) -> None:
         gold = read_gold(spark, layout, table, gold_version)
         changed = gold if previous is None else TB.day_slice(gold, ctx.day)
         source = M.mart_source(changed, table)
@@ -355,22 +362,42 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
             # Gold sids start at 0, so -1 never clashes; an existing -1 row is matched
             # and rewritten with the same NULL attributes.
             source = source.unionByName(M.unknown_member_row(source))
-        # The source is read by the size check and up to three join inputs.
-        source = cut_lineage(source)
         current = None if previous is None else read_mart(spark, layout, table, previous)
         is_fact = table == G.FACT.name
+        buckets = layout.target_buckets(spark, layout.mart(table), previous) if is_fact else None
         new = M.upsert(current, source, check_unique=False,  # one row per sid already
-                       target_buckets=(layout.buckets or None) if is_fact else None)
+                       target_buckets=buckets)
         TB.write_snapshot(new, layout.mart(table), version,
-                          bucketing=layout.mart_fact_bucketing if is_fact else None)
+                          bucketing=layout.mart_fact_bucketing if is_fact else None,
+                          deal=is_fact and buckets != layout.buckets)
 
-    # Dimensions first (in parallel), then the fact: a fact row is never published
-    # before the members it references.
-    _parallel(spark, [partial(publish_table, t) for t in GOLD_TABLES if t != G.FACT.name])
-    publish_table(G.FACT.name)
+    _parallel(spark, [partial(write_table, t) for t in GOLD_TABLES])
+    require_sound_mart(spark, layout, version)
+    for table in sorted(GOLD_TABLES, key=G.FACT.name.__eq__):  # the fact after its members
+        is_fact = table == G.FACT.name
+        publish(spark, layout, S.MART_TABLE_NAMES[table], TB.snapshot_path(layout.mart(table), version),
+                MART_SCHEMAS[table], _published(spark, layout, version) if is_fact else None,
+                layout.mart_fact_bucketing.partition_by if is_fact and layout.buckets else ())
     return StepReport("gold_to_mart")
 
 
+def _published(spark: SparkSession, layout: Layout, version: int) -> TB.Bucketing | None:
+    if not layout.buckets:
+        return None
+    n = TB.stored_buckets(spark, layout.mart(G.FACT.name), version)
+    return replace(layout.mart_fact_bucketing, buckets=n)
+
+
+def require_sound_mart(spark: SparkSession, layout: Layout, version: int) -> None:
+    """Fail on a repeated sid, or on a fact row whose key has no member (NULL passes)."""
+    for table in GOLD_TABLES:
+        if not M.pk_violations(read_mart(spark, layout, table, version)).isEmpty():
+            raise ValueError(f"mart {table} version {version}: repeated sid")
+    orphans = [r for r in mart_checks(spark, layout, version).collect() if r["orphan_rows"]]
+    if orphans:
+        raise ValueError(f"mart version {version}: fact rows without member: {orphans}")
+
+
 def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
                 file_bytes: int = 256 << 20) -> int:
     """Rewrite one day of an append-only table (bronze or errors) as few, full files.
@@ -378,15 +405,19 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     Every run appends its own files to the day's directory; this maintenance step reads
     the directory, sizes the output from the bytes it holds (``_metadata.file_size``),
     materialises the range-clustered rows in the shared checkpoint folder and swaps only
-    that day's directory.  Rows are unchanged.  Returns the number of files written.
+    that day's directory.  Rows are unchanged.  Refuses when another writer has added files
+    meanwhile.  Returns the number of files written.
     """
     path, schema = {"bronze": (layout.bronze, S.BRONZE_SCHEMA),
                     "errors": (layout.errors, SILVER_SCHEMA)}[table]
     day_rows = TB.read_log_partition(spark, path, schema, day)
+    before = TB.file_names(day_rows)
     n = MT.target_files(MT.input_bytes(day_rows), file_bytes)
     keys = [c for c in S.NATURAL_KEY if c in schema.fieldNames()] + [S.PROCESSING_DATE]
     # Cut from the files first: the write replaces the directory it was read from.
     staged = cut_lineage(MT.compacted(day_rows, n, keys))
+    if TB.file_names(TB.read_log_partition(spark, path, schema, day)) != before:
+        raise RuntimeError(f"{path}: files of {day} changed while they were compacted")
     TB.replace_day(staged, path)
     return n
 

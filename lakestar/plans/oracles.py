@@ -49,27 +49,30 @@ def cte(name: str, body: str) -> None:
 # ---------------------------------------------------------------------------
 # Feed, bronze, silver
 # ---------------------------------------------------------------------------
+RUN2 = ("l_orderkey % 3 = 0 OR length(p_name) % 5 = 0 OR n_nationkey = 7 "
+        "OR year(o_orderdate) = 1996")
 cte("feed", """
 SELECT
   CASE WHEN l_orderkey % 101 = 0 THEN NULL ELSE CAST(year(o_orderdate) AS INTEGER) END AS year,
-  CASE WHEN l_orderkey % 97 = 0 THEN NULL ELSE p_name END AS first_name,
+  CASE WHEN l_orderkey % 97 = 0 THEN NULL WHEN l_partkey % 61 = 0 THEN repeat(p_name, 40)
+       ELSE p_name END AS first_name,
   CASE WHEN l_partkey % 89 = 0 THEN NULL ELSE n_name END AS county,
   CASE WHEN l_suppkey % 83 = 0 AND l_linenumber = 1 THEN NULL ELSE l_returnflag END AS sex,
   CASE WHEN l_linenumber = 7 AND l_quantity > 40 THEN 0
        WHEN l_linenumber = 6 AND l_quantity > 45 THEN -1
        WHEN l_linenumber = 5 AND l_quantity > 45 THEN NULL
        ELSE CAST(trunc(l_quantity) AS INTEGER) END AS name_count,
-  CASE WHEN l_orderkey % 3 = 0 THEN TIMESTAMP '2024-05-22 10:00:00'
+  CASE WHEN {run2} THEN TIMESTAMP '2024-05-22 10:00:00'
        ELSE TIMESTAMP '2024-05-21 10:00:00' END AS _processing_date,
-  CASE WHEN l_orderkey % 3 = 0 THEN 'run-2' ELSE 'run-1' END AS _pipeline_run_id,
-  CASE WHEN l_orderkey % 3 = 0 THEN 'feed-2.csv' ELSE 'feed-1.csv' END AS _input_filename,
+  CASE WHEN {run2} THEN 'run-2' ELSE 'run-1' END AS _pipeline_run_id,
+  CASE WHEN {run2} THEN 'feed-2.csv' ELSE 'feed-1.csv' END AS _input_filename,
   CAST(l_shipdate AS TIMESTAMP) AS _input_file_modification_date
 FROM lineitem
 JOIN orders   ON l_orderkey = o_orderkey
 JOIN customer ON o_custkey = c_custkey
 JOIN nation   ON c_nationkey = n_nationkey
 JOIN part     ON l_partkey = p_partkey
-""")
+""".replace("{run2}", RUN2))
 
 cte("silver_all", f"""
 SELECT year, first_name, county, sex, name_count AS "count", _processing_date, _pipeline_run_id,
@@ -309,7 +312,8 @@ oracle("scan_csv", f"SELECT {LANDING} FROM feed")
 oracle("scan_table", f"SELECT {BRONZE} FROM feed")
 oracle("file_lineage", f"SELECT {LANDING}, _input_filename AS landing_file, TRUE AS has_file_time "
        "FROM feed")
-oracle("scan_modified_since", "SELECT * FROM fact_v1 UNION ALL SELECT * FROM fact_v2")
+oracle("scan_modified_since", "SELECT * FROM fact_v2")
+oracle("scan_mart_by_name", "SELECT * FROM mart_fact_v2")
 oracle("incremental_slice", f"SELECT {BRONZE} FROM feed WHERE "
        f"{day_range('_processing_date', DAY2, DAY3)}")
 oracle("bronze_append", f"SELECT {BRONZE} FROM feed")
@@ -344,16 +348,17 @@ oracle("lookup_year_sid", "SELECT s.*, y.sid AS yearSid FROM silver2 s "
        "LEFT JOIN dim_years_v1 y ON s.year = y.year")
 oracle("lookup_location_sid", "SELECT s.*, l.sid AS locationSid FROM silver2 s "
        "LEFT JOIN dim_locations_v1 l ON s.county = l.county")
-oracle("quarantine", "SELECT * FROM err1")
+oracle("quarantine", "SELECT * FROM err1 UNION ALL SELECT * FROM err2")
 _FK = ("nameSid", "dim_names", "dim_names_v1"), ("yearSid", "dim_years", "dim_years_v1"), \
       ("locationSid", "dim_locations", "dim_locations_v1")
 cte("fk_facts", fact_rows("silver2_d2", "v1"))
 oracle("fk_orphans", "\nUNION ALL\n".join(
     f"SELECT '{fk}' AS fk_column, '{dim}' AS dim_table, count(*) AS orphan_rows FROM fk_facts f "
-    f"WHERE NOT EXISTS (SELECT 1 FROM {tbl} d WHERE d.sid = f.{fk})" for fk, dim, tbl in _FK))
+    f"WHERE f.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {tbl} d WHERE d.sid = f.{fk})" for fk, dim, tbl in _FK))
 oracle("fk_check_mart", "\nUNION ALL\n".join(
     f"SELECT '{fk}' AS fk_column, '{dim}' AS dim_table, count(*) AS orphan_rows FROM mart_fact_v2 f "
-    f"WHERE NOT EXISTS (SELECT 1 FROM mart_{dim[4:]}_v2 d WHERE d.sid = f.{fk})"
+    f"WHERE f.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM mart_{dim[4:]}_v2 d "
+    f"WHERE d.sid = f.{fk})"
     for fk, dim, _ in _FK))
 
 # Aggregations
@@ -382,28 +387,32 @@ SELECT {MART_COPY['fact']} FROM (
   FROM (SELECT * FROM fact_v1 UNION ALL SELECT * FROM fact_v2)) WHERE rn = 1
 """)
 
-# Reports
-_STAR = ("FROM mart_fact_v2 f JOIN mart_names_v2 n ON f.nameSid = n.sid "
-         "JOIN mart_years_v2 y ON f.yearSid = y.sid")
-oracle("report_top10_f", f"""
-SELECT n.first_name, CAST(SUM(f."count") AS BIGINT) AS total_count {_STAR}
-WHERE n.sex = 'R' AND y.year = 1998 GROUP BY n.first_name
-ORDER BY total_count DESC, n.first_name ASC LIMIT 10
-""")
-oracle("report_name_by_year", f"""
-SELECT y.year, CAST(SUM(f."count") AS BIGINT) AS total_count {_STAR}
-WHERE n.first_name = 'red widget' GROUP BY y.year
-""")
-oracle("report_top3_m", f"""
-SELECT n.first_name, CAST(SUM(f."count") AS BIGINT) AS total_count {_STAR}
-WHERE n.sex = 'A' AND y.year = 1999 GROUP BY n.first_name
-ORDER BY total_count DESC, n.first_name ASC LIMIT 3
-""")
-oracle("report_top10_all", """
-SELECT first_name, CAST(SUM("count") AS BIGINT) AS cnt FROM silver2 GROUP BY first_name
-ORDER BY cnt DESC, first_name ASC LIMIT 10
+# Reports: plain aggregates over the mart as one flat table
+cte("mart_flat", """
+SELECT f."count" AS n, d.first_name, d.sex, t.year FROM mart_fact_v2 f, mart_names_v2 d, mart_years_v2 t
+WHERE f.nameSid = d.sid AND f.yearSid = t.sid
 """)
 
+
+def top_of(k: int, key: str, value: str, source: str) -> str:
+    """The k keys with the largest totals, ties by key."""
+    return f"""
+SELECT {key}, total AS {value} FROM (
+  SELECT {key}, total, row_number() OVER (ORDER BY total DESC, {key}) AS place
+  FROM (SELECT {key}, CAST(sum(n) AS BIGINT) AS total FROM ({source}) GROUP BY {key}))
+WHERE place <= {k}
+"""
+
+
+oracle("report_top10_f", top_of(10, "first_name", "total_count",
+                                "SELECT * FROM mart_flat WHERE sex = 'R' AND year = 1998"))
+oracle("report_top3_m", top_of(3, "first_name", "total_count",
+                               "SELECT * FROM mart_flat WHERE sex = 'A' AND year = 1999"))
+oracle("report_name_by_year", "SELECT year, CAST(sum(n) AS BIGINT) AS total_count FROM mart_flat "
+       "WHERE first_name = 'red widget' GROUP BY year")
+oracle("report_top10_all", top_of(10, "first_name", "cnt",
+                                  'SELECT first_name, "count" AS n FROM silver2'))
+
 # Merge, upsert, identity
 oracle("merge_newer_wins", "SELECT * FROM silver2")
 oracle("merge_metrics", """
@@ -453,7 +462,7 @@ SELECT count(*) AS n_rows,
   count(DISTINCT {hash_of(*FACT_KEY)}) AS n_exact_hashes,
   count(DISTINCT sha256(concat(CAST(nameSid AS VARCHAR), CAST(yearSid AS VARCHAR),
                                CAST(locationSid AS VARCHAR)))) AS n_compat_hashes
-FROM ({fact_rows('silver1', 'v1')})
+FROM fact_rows_all
 """)
 oracle("parse_dates", """
 SELECT _processing_date,

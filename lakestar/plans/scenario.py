@@ -2,133 +2,74 @@
 
 Run 1 lands the first batch of the derived feed and takes it through every layer; run 2
 lands the second batch the next day and merges it into what run 1 wrote.  The history is
-written once into the shared folder, then every query reads the snapshots it needs (its
-work still grows with the input tables).
-
-A completed history is published by a marker written after its last snapshot, under a
-key made of the input folder, a digest of this package's source and the settings that
-choose physical shapes; any application with the same key reuses it, any code change
-gets a new one.  Concurrent builders each build their own folder, so they never write
-into each other's tables.
+written into the shared folder once per application and state of the input files: a query
+that finds any input file replaced, added or removed builds a new one.
 """
 
 from __future__ import annotations
 
-import hashlib
-import os
 import threading
 import uuid
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-
-from functools import reduce
+from pyspark.sql import functions as F
 
 from lakestar import schemas as S
-from lakestar.operators import maintenance as MT
 from lakestar.plans import medallion as P
-from lakestar.session import shared_dir
+from lakestar.session import workspace
 from lakestar.sources import feed as FD
 from lakestar.sources import tables as TB
 
 _LOCK = threading.Lock()
 _CACHE: dict[tuple, Scenario] = {}
-_DIGEST: list[str] = []
-
-
-def _code_digest() -> str:
-    """Digest of the package's Python source (computed once per process)."""
-    if not _DIGEST:
-        pkg = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-        h = hashlib.sha1()
-        for root, _, files in sorted(os.walk(pkg)):
-            for name in sorted(f for f in files if f.endswith(".py")):
-                path = os.path.join(root, name)
-                h.update(os.path.relpath(path, pkg).encode())
-                with open(path, "rb") as fh:
-                    h.update(fh.read())
-        _DIGEST.append(h.hexdigest()[:16])
-    return _DIGEST[0]
-
-
-def _history_key(spark: SparkSession, sf_dir: str) -> str:
-    # Bucket count and broadcast bounds choose physical shapes: part of the key.
-    settings = [spark.conf.get(k, "") for k in
-                ("lakestar.buckets", "lakestar.broadcast.maxRows", "lakestar.broadcast.maxBytes")]
-    settings.append(spark.conf.get("spark.sql.shuffle.partitions"))
-    raw = "|".join([os.path.abspath(sf_dir), _code_digest(), *settings])
-    return hashlib.sha1(raw.encode()).hexdigest()[:16]
-
 
 FEED_TABLES = ("lineitem", "orders", "customer", "nation", "part")
-BYTES_PER_BUCKET = 128 << 20
 
 
-def bucket_count(spark: SparkSession, sf_dir: str) -> int:
-    """Buckets of the history's large tables: ``lakestar.buckets`` when set, otherwise
-    about one per 128 MB of input, at most the shuffle partition count."""
-    configured = spark.conf.get("lakestar.buckets", None)
-    if configured:
-        return int(configured)
-    files = [FD.read_table(spark, sf_dir, t).select("_metadata.file_path", "_metadata.file_size")
+def input_state(spark: SparkSession, sf_dir: str) -> tuple[int, int, int]:
+    """(files, bytes, digest of paths, sizes and times) of the feed's input files.
+
+    A listing only: no file is opened, and one row reaches the driver.
+    """
+    files = [spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+             .load(f"{sf_dir.rstrip('/')}/{t}.parquet").select("path", "length", "modificationTime")
              for t in FEED_TABLES]
-    size = MT.input_bytes_of(reduce(lambda a, b: a.unionByName(b), files))
-    return P.buckets_for(spark, size, BYTES_PER_BUCKET)
+    row = reduce(DataFrame.unionByName, files).agg(
+        F.count("*").alias("n"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"),
+        F.coalesce(F.bit_xor(F.xxhash64("path", "length", "modificationTime")), F.lit(0)).alias("d"),
+    ).first()
+    return row["n"], row["bytes"], row["d"]
 
 
 def _now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
 
-def _read_marker(spark: SparkSession, base: str) -> tuple[str, datetime] | None:
-    try:
-        rows = spark.read.text(f"{base}/_complete").collect()
-    except Exception:  # noqa: BLE001 - no completed history yet
-        return None
-    if not rows or "\t" not in rows[0]["value"]:
-        return None
-    root, started = rows[0]["value"].split("\t", 1)
-    return root, datetime.fromisoformat(started)
-
-
-def _write_marker(spark: SparkSession, base: str, root: str, started: datetime) -> None:
-    (spark.createDataFrame([(f"{root}\t{started.isoformat()}",)], "value string").coalesce(1)
-     .write.mode("overwrite").text(f"{base}/_complete"))
-
-
 class Scenario:
-    def __init__(self, spark: SparkSession, sf_dir: str, layout: P.Layout,
-                 started: datetime | None = None):
+    def __init__(self, spark: SparkSession, sf_dir: str, layout: P.Layout):
         self.spark = spark
         self.sf_dir = sf_dir
         self.layout = layout
-        self.started = started or _now()  # before any file of the history was written
         self.reports: list = []
-
-    @property
-    def written_since(self) -> datetime:
-        """A cut-off that every file of this history is newer than (UTC)."""
-        return self.started - timedelta(hours=1)
+        #: When the second run began: every file of run 1 is older (UTC).
+        self.second_run_began: datetime | None = None
 
     @classmethod
     def of(cls, spark: SparkSession, sf_dir: str) -> Scenario:
-        key = _history_key(spark, sf_dir)
+        state = input_state(spark, sf_dir)
+        key = (spark.sparkContext.applicationId, sf_dir, state)
         with _LOCK:
-            sc = _CACHE.get((spark.sparkContext.applicationId, key))
-            if sc is None:
-                base = f"{shared_dir(spark)}/lakestar/history/{key}"
-                found = _read_marker(spark, base)
-                if found is None:
-                    root = f"{base}/{uuid.uuid4().hex[:12]}"
-                    sc = cls(spark, sf_dir, P.new_layout(spark, root, bucket_count(spark, sf_dir)))
-                    sc._build()
-                    _write_marker(spark, base, sc.layout.root, sc.started)
-                else:
-                    root, started = found
-                    layout = P.new_layout(spark, root, bucket_count(spark, sf_dir))
-                    sc = cls(spark, sf_dir, layout, started)
-                _CACHE[(spark.sparkContext.applicationId, key)] = sc
-            return sc
+            if key not in _CACHE:
+                name = uuid.uuid4().hex[:12]
+                layout = P.new_layout(spark, workspace(spark, "history", name),
+                                      default_buckets=P.buckets_for(spark, state[1]),
+                                      namespace=f"h{name}_")
+                sc = cls(spark, sf_dir, layout)
+                sc._build()
+                _CACHE[key] = sc
+            return _CACHE[key]
 
     def feed(self) -> DataFrame:
         return FD.names_feed(self.spark, self.sf_dir)
@@ -136,6 +77,7 @@ class Scenario:
     def _build(self) -> None:
         feed = self.feed()
         for version, ctx in enumerate(FD.RUNS, start=1):
+            self.second_run_began = _now()
             self.reports += P.run_all(self.spark, self.layout, ctx, version,
                                       bronze_rows=FD.run_rows(feed, ctx))
 

@@ -55,6 +55,13 @@ GOLD_TABLE_NAMES = {
     "fact": ("gold", "fact_baby_names"),
 }
 
+MART_TABLE_NAMES = {
+    "dim_names": ("mart", "dim_names"),
+    "dim_years": ("mart", "dim_years"),
+    "dim_locations": ("mart", "dim_locations"),
+    "fact": ("mart", "fact_babynames"),
+}
+
 # Silver renames the measure.
 MEASURE_RAW = "name_count"
 MEASURE = "count"

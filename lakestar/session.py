@@ -21,8 +21,6 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Snapshot writes replace only the partitions present in the written frame.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    # MIN/MAX/COUNT without filters answered from Parquet footers (e.g. max(sid)).
-    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

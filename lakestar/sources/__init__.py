@@ -14,7 +14,6 @@ from lakestar.sources.tables import (
     read_log,
     read_log_day,
     read_snapshot,
-    register,
     snapshot_path,
     write_snapshot,
 )
@@ -29,7 +28,6 @@ __all__ = [
     "read_modified_since",
     "read_snapshot",
     "read_table",
-    "register",
     "snapshot_path",
     "with_audit",
     "with_file_lineage",

@@ -8,8 +8,12 @@ order key, and invalid rows are injected by key arithmetic so every quality bran
 
 Join order is chosen for size: the orders-sized side (orders ⋈ customer ⋈ nation) and the
 lineitem-sized side (lineitem ⋈ part) are built separately and joined once on the order
-key, so lineitem is shuffled twice instead of three times.  ``nation`` is broadcast only
-after its size check; the other joins are left to the planner and AQE.
+key, so lineitem is shuffled twice instead of three times.  Broadcasts are left to
+the planner and AQE, which know the measured sizes.
+
+Run 2 also brings what run 1 lacks: names of one length class, one county and one year come
+in run 2 only, so dimensions grow, lookups in run 1's dimensions miss, and keys are orphans
+there.  Some names are longer than the mart's text columns, so the typed copy truncates.
 """
 
 from __future__ import annotations
@@ -21,7 +25,6 @@ from pyspark.sql import functions as F
 
 from lakestar import schemas as S
 from lakestar.functions.dates import RunContext
-from lakestar.operators.joins import broadcast_if_small
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings "
@@ -45,8 +48,14 @@ def _null_if(cond: Column, value: Column) -> Column:
 
 
 def in_run_2() -> Column:
-    """Rows of the second run (by order key)."""
-    return F.col("l_orderkey") % 3 == 0
+    """Rows of the second run: a third of the orders, and the members only it brings."""
+    return ((F.col("l_orderkey") % 3 == 0) | (F.length("p_name") % 5 == 0)
+            | (F.col("n_nationkey") == 7) | (F.year("o_orderdate") == 1996))
+
+
+def long_name() -> Column:
+    """The part name, for some parts repeated beyond the mart's text length."""
+    return F.when(F.col("l_partkey") % 61 == 0, F.repeat("p_name", 40)).otherwise(F.col("p_name"))
 
 
 def names_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,14 +67,12 @@ def names_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customer = read_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    nation, _ = broadcast_if_small(
-        read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), 10_000
-    )
+    nation = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
     order_side = (
         orders.join(customer, orders.o_custkey == customer.c_custkey)
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select("o_orderkey", "o_orderdate", "n_name")
+        .select("o_orderkey", "o_orderdate", "n_nationkey", "n_name")
     )
     line_side = li.join(part, li.l_partkey == part.p_partkey)
     rows = line_side.join(order_side, line_side.l_orderkey == order_side.o_orderkey)
@@ -81,7 +88,7 @@ def names_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     run2 = in_run_2()
     return rows.select(
         _null_if(F.col("l_orderkey") % 101 == 0, F.year("o_orderdate").cast("int")).alias("year"),
-        _null_if(F.col("l_orderkey") % 97 == 0, F.col("p_name")).alias("first_name"),
+        _null_if(F.col("l_orderkey") % 97 == 0, long_name()).alias("first_name"),
         _null_if(F.col("l_partkey") % 89 == 0, F.col("n_name")).alias("county"),
         _null_if((F.col("l_suppkey") % 83 == 0) & (ln == 1), F.col("l_returnflag")).alias("sex"),
         count.cast("int").alias(S.MEASURE_RAW),

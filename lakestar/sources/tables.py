@@ -36,19 +36,52 @@ SNAPSHOT_DB = "lakestar_snapshots"
 class Bucketing:
     """Hash buckets of a snapshot: ``buckets`` files per version, by ``keys``.
 
-    The bucket count is fixed for a table's lifetime (merges need target and source on
-    the same count); size it to about 0.5-1 GB of data per bucket.  ``sort_by`` orders
+    The count belongs to the snapshot: it is recorded with the files when they are written
+    and read back from there, so a table may grow by writing its next snapshot with more
+    buckets.  ``buckets=None`` (reading): whatever the snapshot has; another count than the
+    recorded one is refused, since rows would silently go missing.  ``sort_by`` orders
     rows inside each bucket file (e.g. by processing date, for row-group skipping).
     ``partition_by``: partition directories above the buckets, for pruning (a filter or
     a dynamic-pruning join on those columns reads only the matching directories).
     """
 
     keys: tuple[str, ...]
-    buckets: int
+    buckets: int | None
     sort_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
 
 
+def path_missing(error: AnalysisException) -> bool:
+    """Whether a read failed because its path does not exist (any other failure is real)."""
+    return (error.getCondition() or "").startswith("PATH_NOT_FOUND")
+
+
+def write_number(spark: SparkSession, path: str, number: int) -> None:
+    """One number as a small text file."""
+    (spark.createDataFrame([(str(int(number)),)], "value string").coalesce(1)
+     .write.mode("overwrite").text(path))
+
+
+def read_number(spark: SparkSession, path: str) -> int | None:
+    """The number written to ``path``; None when there is none."""
+    try:
+        rows = spark.read.text(path).collect()
+    except AnalysisException as error:
+        if path_missing(error):
+            return None
+        raise
+    return int(rows[0]["value"])
+
+
+def stored_buckets(spark: SparkSession, base: str, version: int) -> int:
+    """The bucket count recorded with a snapshot."""
+    path = snapshot_path(base, version)
+    n = read_number(spark, f"{path}/_buckets")
+    if n is None:
+        raise FileNotFoundError(f"table snapshot {path} not found, or written without buckets")
+    return n
+
+
 def snapshot_path(base: str, version: int) -> str:
     return f"{base.rstrip('/')}/v={int(version):06d}"
 
@@ -87,6 +120,11 @@ def read_log_partition(spark: SparkSession, path: str, schema: T.StructType,
         F.col(S.PROCESSING_DAY) == day_literal(day))
 
 
+def file_names(df: DataFrame) -> set[str]:
+    """The files of one day that a frame reads (a listing for maintenance, not data)."""
+    return {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+
+
 def replace_day(df: DataFrame, path: str) -> None:
     """Overwrite only the day directories present in ``df`` (dynamic partition overwrite,
     set on this write so a session default of static overwrite cannot drop other days)."""
@@ -116,13 +154,16 @@ def _ensure_snapshot_db(spark: SparkSession) -> None:
 
 def write_snapshot(df: DataFrame, base: str, version: int,
                    partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = (),
-                   bucketing: Bucketing | None = None) -> str:
+                   bucketing: Bucketing | None = None, deal: bool = False) -> str:
     """Write one snapshot version (overwrite: a re-run rewrites the same version).
 
     ``cluster_by``: rows are sorted inside each task before writing, so Parquet row-group
     statistics on those columns are tight and a later range filter (the day slice on
     ``_processing_date``) skips the row groups of other days.  A local sort, no shuffle.
-    ``bucketing``: hash-bucketed by key, registered in the catalog (external table).
+    ``bucketing``: hash-bucketed by key, registered in the catalog (external table), the
+    count recorded with the files once they are complete.  ``deal``: the rows are not yet
+    partitioned like the buckets (a first load, or a new count); they are shuffled once so
+    that every task writes one bucket rather than a piece of all.
     """
     path = snapshot_path(base, version)
     if bucketing is not None:
@@ -132,6 +173,8 @@ def write_snapshot(df: DataFrame, base: str, version: int,
         if spark.catalog.tableExists(name):
             spark.sql(f"DROP TABLE {name}")  # external: the files stay until overwritten
         sort_by = bucketing.sort_by or cluster_by or bucketing.keys
+        if deal:
+            df = df.repartition(bucketing.buckets, *bucketing.keys)
         writer = df.write.mode("overwrite")
         if bucketing.partition_by:
             writer = writer.partitionBy(*bucketing.partition_by)
@@ -141,6 +184,7 @@ def write_snapshot(df: DataFrame, base: str, version: int,
             .option("path", path)
             .saveAsTable(name)
         )
+        write_number(spark, f"{path}/_buckets", bucketing.buckets)
         return path
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
@@ -165,8 +209,13 @@ def read_snapshot(spark: SparkSession, base: str, version: int,
         df = reader.parquet(path)
         df.schema  # noqa: B018 - resolve now so a missing path fails here
     except AnalysisException as exc:
-        raise FileNotFoundError(f"table snapshot {path} not found") from exc
+        if path_missing(exc):
+            raise FileNotFoundError(f"table snapshot {path} not found") from exc
+        raise
     if bucketing is not None:
+        buckets = stored_buckets(spark, base, version)
+        if bucketing.buckets not in (None, buckets):
+            raise ValueError(f"{path} has {buckets} buckets, not {bucketing.buckets}")
         if schema is None:
             schema = df.schema
         _ensure_snapshot_db(spark)
@@ -174,7 +223,7 @@ def read_snapshot(spark: SparkSession, base: str, version: int,
         db, table = name.split(".")
         sort_by = bucketing.sort_by or bucketing.keys
         register_external(spark, db, table, path, schema, bucketing.partition_by,
-                          clustered=(bucketing.keys, sort_by, bucketing.buckets))
+                          clustered=(bucketing.keys, sort_by, buckets))
         df = spark.read.table(name)
     if schema is not None:
         df = df.select(*schema.fieldNames())
@@ -203,9 +252,13 @@ def register_external(spark: SparkSession, database: str, table: str, path: str,
         parts += (f" CLUSTERED BY ({', '.join(keys)}) SORTED BY ({', '.join(sort_by)})"
                   f" INTO {int(buckets)} BUCKETS")
     name = f"`{database}`.`{table}`"
-    if spark.catalog.tableExists(f"{database}.{table}") and _location(spark, name) != _norm(path):
-        # Same name over another folder: re-point it (external: only metadata is dropped).
-        spark.sql(f"DROP TABLE {name}")
+    if spark.catalog.tableExists(f"{database}.{table}"):
+        location, buckets = _declared(spark, name)
+        if buckets != (clustered[2] if clustered else None):
+            spark.sql(f"DROP TABLE {name}")  # another bucket count: declared anew
+        elif location != _norm(path):
+            # Same name, next version: switched in place, readers never miss the table.
+            spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{parts} LOCATION '{path}'")
     if partition_by:
         spark.sql(f"ALTER TABLE {name} RECOVER PARTITIONS")
@@ -216,16 +269,13 @@ def _norm(path: str) -> str:
     return path[len("file:"):] if path.startswith("file:") else path.rstrip("/")
 
 
-def _location(spark: SparkSession, name: str) -> str | None:
-    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect():
-        if r["col_name"] == "Location":
-            return _norm(r["data_type"])
-    return None
-
-
-def register(spark: SparkSession, name: str, df: DataFrame) -> None:
-    """Expose a layer table to SQL under ``name`` (session-scoped view, no catalog files)."""
-    df.createOrReplaceTempView(name)
+def _declared(spark: SparkSession, name: str) -> tuple[str | None, int | None]:
+    """Location and bucket count of a catalog table."""
+    rows = {r["col_name"]: r["data_type"]
+            for r in spark.sql(f"DESCRIBE TABLE EXTENDED {name}").collect()}
+    buckets = rows.get("Num Buckets")
+    return (_norm(rows["Location"]) if "Location" in rows else None,
+            int(buckets) if buckets else None)
 
 
 def require_table(spark: SparkSession, name: str) -> None:

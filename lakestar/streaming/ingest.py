@@ -1,27 +1,44 @@
 """Landing -> bronze as incremental file ingestion (Structured Streaming).
 
 Each pipeline run must ingest the landing files that arrived since the previous run, once.
-The streaming file source keeps the list of files it has read in its checkpoint, and the
-Parquet file sink commits every micro-batch in its own log (``_spark_metadata``): a run
-that fails half-way is re-run from the checkpoint, and readers never see a partial batch.
+The streaming file source keeps the list of files it has read in its checkpoint.  Every
+micro-batch is appended by the same writer that batch runs use, so both kinds of run share
+one folder, its catalog entry and its compaction; files that an interrupted attempt of the
+batch has already appended for this run are left out when the batch is repeated.
 ``trigger(availableNow=True)`` makes each run a bounded job: read what is there, stop.
-
-The bronze table written here is read with :func:`lakestar.sources.tables.read_log` like
-the batch one (a batch read of a streaming sink folder honours its commit log).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from lakestar import schemas as S
 from lakestar.functions.dates import RunContext
+from lakestar.sources import tables as TB
 from lakestar.sources.files import CSV_OPTIONS, with_audit, with_file_lineage
 
 
+def _append_new_files(bronze_path: str, ctx: RunContext):
+    """A micro-batch writer: rows of files that this run has not appended yet."""
+
+    def append(batch: DataFrame, _: int) -> None:
+        try:
+            today = TB.read_log_day(batch.sparkSession, bronze_path, S.BRONZE_SCHEMA, ctx.day)
+        except AnalysisException as error:
+            if not TB.path_missing(error):
+                raise
+        else:
+            done = today.where(F.col(S.RUN_ID) == ctx.run_id).select(S.INPUT_FILENAME).distinct()
+            batch = batch.join(done, S.INPUT_FILENAME, "left_anti").select(*S.BRONZE_COLUMNS)
+        TB.append_by_day(batch, bronze_path)
+
+    return append
+
+
 def start_landing_ingest(
     spark: SparkSession,
     landing_dir: str,
@@ -35,19 +52,12 @@ def start_landing_ingest(
     reader = spark.readStream.schema(schema).options(**CSV_OPTIONS)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", int(max_files_per_trigger))
-    rows = reader.csv(landing_dir)
-    bronze = (
-        with_audit(with_file_lineage(rows), ctx)
-        .select(*S.BRONZE_COLUMNS)
-        .withColumn(S.PROCESSING_DAY, F.to_date(F.col(S.PROCESSING_DATE)))
-    )
+    rows = with_audit(with_file_lineage(reader.csv(landing_dir)), ctx).select(*S.BRONZE_COLUMNS)
     return (
-        bronze.writeStream.format("parquet")
+        rows.writeStream.foreachBatch(_append_new_files(bronze_path, ctx))
         .option("checkpointLocation", checkpoint_dir)
-        .partitionBy(S.PROCESSING_DAY)
-        .outputMode("append")
         .trigger(availableNow=True)
-        .start(bronze_path)
+        .start()
     )
 
 

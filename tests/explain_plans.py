@@ -57,19 +57,16 @@ def main(sf_dir: str) -> None:
             "`WindowGroupLimit` on both sides of the exchange: a hot key is cut per map task.",
             survivors)
     section("Quarantine (E1)",
-            "Null-safe anti join against the broadcast survivors (proven small), then the "
-            "distinct: its partial aggregation precedes the only exchange.",
-            Q.quarantine(Q.rename_measure(slice2), survivors, broadcast=True))
-    section("Newer-wins merge, bounded source (M1, broadcast shape)",
-            "Target streamed against the broadcast source; no exchange on the target.",
-            silver_merge(sc.silver(1), survivors, strategy="broadcast"))
+            "Slice and survivors grouped together: NULLs compare as equal, and the partial "
+            "aggregation collapses copies before the exchange.",
+            Q.quarantine(Q.rename_measure(slice2), survivors))
     section("Dimension deltas in one pass (A1 for the three dimensions)",
             "Grouping sets over the silver day slice: one scan, partial aggregation, one "
             "exchange; the aggregate is materialised and each dimension reads its rows.",
             G.dimension_members(sc.silver_day(2, FD.RUN_2)))
     dims = sc.gold_dims(2)
     section("SID lookups (J1/J2, F7)",
-            "Each dimension broadcast after its size check.",
+            "The planner broadcasts dimensions whose measured size allows it.",
             G.fact_rows(sc.silver_day(2, FD.RUN_2), dims))
     section("Report: top names (R1)",
             "Broadcast star join, partial + final aggregation, top-k.",
@@ -80,17 +77,13 @@ def main(sf_dir: str) -> None:
             M.fk_orphans(G.lookup_sids(sc.silver_day(2, FD.RUN_2), sc.gold_dims(1)),
                          sc.gold_dims(1)))
 
-    for key, value in (("lakestar.broadcast.maxRows", "0"),
-                       ("spark.sql.autoBroadcastJoinThreshold", "-1"),
+    for key, value in (("spark.sql.autoBroadcastJoinThreshold", "-1"),
                        ("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")):
         spark.conf.set(key, value)
-    section("Newer-wins merge, unbounded source (M1, shuffle shape, bucketed target)",
+    section("Newer-wins merge (M1, bucketed target)",
             "The target is a bucketed scan read in place; only the source is exchanged, into "
-            "the target's bucket count (here the history has one bucket; when the bucket "
-            "count equals the shuffle partitions, the survivors' window exchange already "
-            "matches and this exchange disappears).",
-            silver_merge(sc.silver(1), survivors, strategy="shuffle",
-                         target_buckets=sc.layout.buckets))
+            "the target's buckets.",
+            silver_merge(sc.silver(1), survivors, target_buckets=sc.layout.buckets))
     keys = sc.silver(2).select(*S.NATURAL_KEY)
     section("Surrogate ids, large input (M4)",
             "Numbering reads the range-partitioned checkpoint; the offsets (one row per "

@@ -112,20 +112,84 @@ def test_command_line_runs_and_reports(spark, tmp_dir):
     assert by_year and all(r["total_count"] > 0 for r in by_year)
 
 
-def test_layout_keeps_its_bucket_count(spark, tmp_dir):
-    first = P.new_layout(spark, tmp_dir, 3)
-    spark.conf.set("lakestar.buckets", "5")
-    try:
-        again = P.new_layout(spark, tmp_dir)
-    finally:
-        spark.conf.unset("lakestar.buckets")
-    assert first.buckets == again.buckets == 3
-    with pytest.raises(ValueError):
-        P.new_layout(spark, tmp_dir, 4)
+def test_bucket_sizing_rule(spark):
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert P.buckets_for(spark, 0) == least            # never a single task by default
+    assert P.buckets_for(spark, 300 << 20) == max(least, 3)
+    assert P.buckets_for(spark, 1 << 50) == 1 << 23    # about 128 MB a bucket, no cap
 
 
-def test_bucket_sizing_rule(spark):
-    cap = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    assert P.buckets_for(spark, 0) == 1
-    assert P.buckets_for(spark, 300 << 20) == min(cap, 3)  # ~128 MB per bucket
-    assert P.buckets_for(spark, 1 << 50) == cap            # never above the shuffle partitions
+def test_mart_is_published_by_name_and_only_when_sound(spark, flow, monkeypatch):
+    layout, _ = flow
+    database, table = S.MART_TABLE_NAMES["fact"]
+    published = spark.read.table(f"{database}.{table}")
+    assert published.count() == P.read_mart(spark, layout, "fact", 2).count()
+    # A mart whose fact names a member that is missing fails the run and keeps its names.
+    monkeypatch.setattr(P.M, "unknown_member_row", lambda dim: dim.where("sid = 0").limit(0))
+    source = P.M.mart_source
+
+    def broken(gold, name):
+        rows = source(gold, name)
+        return rows.where("sid <> 0") if name == "dim_years" else rows
+
+    monkeypatch.setattr(P.M, "mart_source", broken)
+    with pytest.raises(ValueError, match="without member"):
+        P.gold_to_mart(spark, layout, FD.RUN_2, 2, None, 3)
+    assert spark.read.table(f"{database}.{table}").count() == published.count()
+
+
+def test_two_roots_keep_their_own_names(spark, tmp_dir):
+    feed = FD.run_rows(FD.names_feed(spark, SF0001), FD.RUN_1)
+    for name, n in (("a_", 5), ("b_", 7)):
+        P.append_bronze(feed.limit(n), P.Layout(f"{tmp_dir}/{name}", namespace=name))
+    assert spark.read.table("a_bronze.new_york_baby_names").count() == 5
+    assert spark.read.table("b_bronze.new_york_baby_names").count() == 7
+
+
+def test_every_branch_has_rows(spark):
+    """The feed takes each branch that the registered queries claim."""
+    from __spark_entry__ import queries
+
+    q = {n: queries()[n](spark, SF0001) for n in (
+        "unknown_member", "fk_orphans", "lookup_name_sid", "mart_copy_dim_names", "dedup_names",
+        "scan_modified_since")}
+    assert all(q["unknown_member"].where(f"{c} = -1").count() for c in ("nameSid", "yearSid", "locationSid"))
+    assert all(r["orphan_rows"] for r in q["fk_orphans"].collect())
+    assert q["lookup_name_sid"].where("nameSid is null").count()
+    assert q["mart_copy_dim_names"].where("length(first_name) = 265").count()
+    assert q["dedup_names"].where("length(first_name) > 265").count()
+    from lakestar.plans.scenario import Scenario
+
+    sc = Scenario.of(spark, SF0001)
+    for table in ("dim_names", "dim_years", "dim_locations"):
+        assert sc.gold(table, 2).count() > sc.gold(table, 1).count()
+    assert q["scan_modified_since"].count() == sc.gold("fact", 2).count() > sc.gold("fact", 1).count()
+
+
+def test_history_follows_the_input_files(spark, tmp_dir):
+    from lakestar.plans.scenario import FEED_TABLES, Scenario
+
+    for t in FEED_TABLES:
+        spark.read.parquet(f"{SF0001}/{t}.parquet").write.parquet(f"{tmp_dir}/in/{t}.parquet")
+    first = Scenario.of(spark, f"{tmp_dir}/in")
+    assert Scenario.of(spark, f"{tmp_dir}/in") is first
+    half = spark.read.parquet(f"{SF0001}/lineitem.parquet").where("l_orderkey % 2 = 0")
+    half.write.mode("overwrite").parquet(f"{tmp_dir}/in/lineitem.parquet")
+    second = Scenario.of(spark, f"{tmp_dir}/in")
+    assert second is not first and second.bronze().count() < first.bronze().count()
+
+
+def test_compaction_refuses_a_day_that_others_write(spark, tmp_dir, monkeypatch):
+    layout = P.new_layout(spark, tmp_dir)
+    rows = FD.run_rows(FD.names_feed(spark, SF0001), FD.RUN_1).limit(20)
+    P.append_bronze(rows, layout)
+    compacted = P.MT.compacted
+
+    def meanwhile(df, n, keys):
+        P.append_bronze(rows, layout)
+        return compacted(df, n, keys)
+
+    monkeypatch.setattr(P.MT, "compacted", meanwhile)
+    with pytest.raises(RuntimeError, match="changed while"):
+        P.compact_day(spark, layout, FD.RUN_1.day)
+    assert P.read_bronze(spark, layout).count() == 40

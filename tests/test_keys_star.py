@@ -22,13 +22,6 @@ def test_range_numbering_equals_global_row_number(spark, partitions):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
 
 
-def test_small_path_equals_range_path(spark):
-    df = spark.range(0, 200).select((F.col("id") % 13).alias("a"), F.col("id"))
-    small = K.assign_sid(df, ["a", "id"], start=3, small=True)
-    ranged = K.assign_sid(df, ["a", "id"], start=3, num_partitions=4)
-    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, ranged.collect()))
-
-
 def test_next_sid(spark):
     assert K.next_sid(None) == 0
     assert K.next_sid(spark.createDataFrame([(4,), (9,)], "sid long")) == 10
@@ -55,7 +48,7 @@ def test_dim_update_keeps_business_columns_and_sid(spark):
     first = G.merge_star(None, G.delta(_silver(spark, ["A"], "run-1", P1), G.DIM_NAMES),
                          G.DIM_NAMES)
     again = G.merge_star(first, G.delta(_silver(spark, ["A"], "run-2", P2), G.DIM_NAMES),
-                         G.DIM_NAMES, strategy="shuffle")
+                         G.DIM_NAMES)
     (r,) = again.collect()
     assert (r["sid"], r["first_name"], r["sex"], r["_pipeline_run_id"], r["_processing_date"]) == (
         0, "A", "M", "run-2", P2)

@@ -11,44 +11,44 @@ from lakestar.operators import merging as MG
 from lakestar.plans.medallion import silver_merge
 
 
-def _merge(spark, target_rows, source_rows, strategy):
+def _merge(spark, target_rows, source_rows, buckets):
     return silver_merge(silver_rows(spark, target_rows), silver_rows(spark, source_rows),
-                        with_action=True, strategy=strategy)
+                        with_action=True, target_buckets=buckets)
 
 
-STRATEGIES = ["shuffle", "broadcast"]
+BUCKETS = [None, 4]
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_equal_time_leaves_target_unchanged(spark, strategy):
-    out = _merge(spark, [row(count=1, mod=T1)], [row(count=2, mod=T1, run="run-2")], strategy)
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_equal_time_leaves_target_unchanged(spark, buckets):
+    out = _merge(spark, [row(count=1, mod=T1)], [row(count=2, mod=T1, run="run-2")], buckets)
     assert as_set(out, ["count", "_pipeline_run_id", "_action"]) == {(1, "run-1", "unchanged")}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_older_source_leaves_target_unchanged(spark, strategy):
-    out = _merge(spark, [row(count=1, mod=T2)], [row(count=2, mod=T1)], strategy)
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_older_source_leaves_target_unchanged(spark, buckets):
+    out = _merge(spark, [row(count=1, mod=T2)], [row(count=2, mod=T1)], buckets)
     assert as_set(out, ["count", "_action"]) == {(1, "unchanged")}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_newer_source_updates_measure_and_control_columns(spark, strategy):
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_newer_source_updates_measure_and_control_columns(spark, buckets):
     out = _merge(spark, [row(count=1, mod=T1)],
-                 [row(count=2, mod=T2, pd=P2, run="run-2", file="g.csv")], strategy)
+                 [row(count=2, mod=T2, pd=P2, run="run-2", file="g.csv")], buckets)
     assert as_set(out, ["count", "_processing_date", "_pipeline_run_id", "_input_filename",
                         "_input_file_modification_date", "_action"]) == {
         (2, P2, "run-2", "g.csv", T2, "update")}
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_null_key_never_matches(spark, strategy):
-    out = _merge(spark, [row(county=None, count=1)], [row(county=None, count=2, mod=T2)], strategy)
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_null_key_never_matches(spark, buckets):
+    out = _merge(spark, [row(county=None, count=1)], [row(county=None, count=2, mod=T2)], buckets)
     assert sorted(r["_action"] for r in out.collect()) == ["carried", "insert"]
 
 
-@pytest.mark.parametrize("strategy", STRATEGIES)
-def test_unmatched_rows_are_kept_and_inserted(spark, strategy):
-    out = _merge(spark, [row(name="A")], [row(name="B")], strategy)
+@pytest.mark.parametrize("buckets", BUCKETS)
+def test_unmatched_rows_are_kept_and_inserted(spark, buckets):
+    out = _merge(spark, [row(name="A")], [row(name="B")], buckets)
     assert as_set(out, ["first_name", "_action"]) == {("A", "carried"), ("B", "insert")}
 
 
@@ -75,7 +75,7 @@ def test_first_load_inserts_everything(spark):
 
 def test_merge_metrics(spark):
     out = _merge(spark, [row(name="A", mod=T1), row(name="B"), row(name="C")],
-                 [row(name="A", mod=T2), row(name="B"), row(name="D")], "shuffle")
+                 [row(name="A", mod=T2), row(name="B"), row(name="D")], None)
     m = MG.merge_metrics(out).first().asDict()
     assert m == {"inserted": 1, "updated": 1, "unchanged": 1, "carried": 1, "rows_out": 4}
 
@@ -99,14 +99,14 @@ def _to_silver(spark, items, run, pd):
 
 @settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 @given(target=_rows, source=_rows)
-def test_strategies_agree_and_merge_is_idempotent(spark, target, source):
+def test_bucketing_changes_no_row_and_merge_is_idempotent(spark, target, source):
     t = _to_silver(spark, target, "run-1", P1)
     s = _to_silver(spark, source, "run-2", P2)
-    a = silver_merge(t, s, strategy="shuffle")
-    b = silver_merge(t, s, strategy="broadcast")
+    a = silver_merge(t, s)
+    b = silver_merge(t, s, target_buckets=3)
     assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr)
     # Merging the same batch again changes nothing.
-    again = silver_merge(a, s, strategy="shuffle")
+    again = silver_merge(a, s)
     assert sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, a.collect()), key=repr)
     # No key is lost: every target and source key is present.
     keys = {(r["first_name"], r["sex"]) for r in a.collect()}

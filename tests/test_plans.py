@@ -18,23 +18,15 @@ def plan_of(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_broadcast_merge_never_shuffles_the_target(spark):
-    t = silver_rows(spark, [row(name=f"N{i}") for i in range(20)])
-    s = silver_rows(spark, [row(name="N1", mod=T2), row(name="X")])
-    plan = plan_of(silver_merge(t, s, strategy="broadcast"))
-    assert "BroadcastHashJoin" in plan
-    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
-
-
 def test_shuffle_merge_is_one_full_outer_join(spark):
     t = silver_rows(spark, [row(name="A", mod=T1)])
     s = silver_rows(spark, [row(name="A", mod=T2)])
-    df = silver_merge(t, s, strategy="shuffle")
+    df = silver_merge(t, s)
     logical = df._jdf.queryExecution().optimizedPlan().toString()
     assert logical.count("Join FullOuter") == 1
 
 
-def test_dimension_lookups_broadcast_checked_dims(spark):
+def test_small_dimensions_are_broadcast_by_the_planner(spark):
     rows = silver_rows(spark, [row()])
     dims = {
         "dim_names": spark.createDataFrame([(0, "ABEL", "M")], "sid long, first_name string, sex string"),
@@ -48,14 +40,13 @@ def test_dimension_lookups_broadcast_checked_dims(spark):
 
 def test_quarantine_collapses_copies_before_its_only_shuffle(spark):
     df = silver_rows(spark, [row(), row(), row(count=0), row(count=0)])
-    errors = Q.quarantine(df, Q.latest_per_key(Q.quality_filter(df)), broadcast=True)
+    errors = Q.quarantine(df, Q.latest_per_key(Q.quality_filter(df)))
     final = plan_of(errors).split("== Initial Plan ==")[0]
-    assert "BroadcastHashJoin" in final and "LeftAnti" in final
-    # The anti join needs no shuffle; the only exchange of the slice (the distinct's) sits
-    # above its partial aggregation.
+    assert "Join" not in final
+    # Above the window of the survivors there is one exchange, over a partial aggregation.
     lines = [re.sub(r"#\d+L?", "", line) for line in final.splitlines()]
-    anti = next(i for i, line in enumerate(lines) if "LeftAnti" in line)
-    above = [i for i in range(anti) if "Exchange hashpartitioning" in lines[i]]
+    union = next(i for i, line in enumerate(lines) if "Union" in line)
+    above = [i for i in range(union) if "Exchange hashpartitioning" in lines[i]]
     assert len(above) == 1 and "HashAggregate" in lines[above[0] + 1]
     assert sorted(r["count"] for r in errors.collect()) == [0]
 

@@ -45,19 +45,14 @@ _names = st.lists(st.sampled_from(list("ABCDEFGH")), min_size=1, max_size=6)
 
 
 @_cfg
-@given(first=_names, second=_names, large=st.booleans())
-def test_identity_is_unique_dense_and_stable(spark, first, second, large):
-    if large:
-        spark.conf.set("lakestar.broadcast.maxRows", "0")
-    try:
-        b1 = silver_rows(spark, [row(name=n, run="run-1", pd=P1) for n in first])
-        b2 = silver_rows(spark, [row(name=n, run="run-2", pd=P2) for n in second])
-        v1 = G.merge_star(None, G.delta(b1, G.DIM_NAMES), G.DIM_NAMES)
-        v1_rows = {r["first_name"]: r["sid"] for r in v1.collect()}
-        v2 = G.merge_star(v1, G.delta(b2, G.DIM_NAMES), G.DIM_NAMES)
-        v2_rows = {r["first_name"]: r["sid"] for r in v2.collect()}
-    finally:
-        spark.conf.unset("lakestar.broadcast.maxRows")
+@given(first=_names, second=_names)
+def test_identity_is_unique_dense_and_stable(spark, first, second):
+    b1 = silver_rows(spark, [row(name=n, run="run-1", pd=P1) for n in first])
+    b2 = silver_rows(spark, [row(name=n, run="run-2", pd=P2) for n in second])
+    v1 = G.merge_star(None, G.delta(b1, G.DIM_NAMES), G.DIM_NAMES)
+    v1_rows = {r["first_name"]: r["sid"] for r in v1.collect()}
+    v2 = G.merge_star(v1, G.delta(b2, G.DIM_NAMES), G.DIM_NAMES)
+    v2_rows = {r["first_name"]: r["sid"] for r in v2.collect()}
     # Unique and dense from 0.
     assert sorted(v2_rows.values()) == list(range(len(v2_rows)))
     # Stable: names of the first batch keep their ids.

@@ -34,3 +34,20 @@ def test_ingest_reads_each_landing_file_once(spark, tmp_dir):
     assert by_run == {FD.RUN_1.run_id: n1, FD.RUN_2.run_id: run2.count()}
     # The day slice of the new run reads its own partition only.
     assert TB.read_log_day(spark, bronze, S.BRONZE_SCHEMA, FD.RUN_2.day).count() == run2.count()
+
+
+def test_batch_and_streamed_runs_share_a_folder(spark, tmp_dir):
+    from lakestar.plans import medallion as P
+
+    layout = P.new_layout(spark, tmp_dir)
+    feed = FD.names_feed(spark, SF0001)
+    first, second = (FD.landing_rows(FD.run_rows(feed, ctx)) for ctx in FD.RUNS)
+    FS.write_landing(first, layout.landing(FD.FILE_1))
+    ingest_landing(spark, f"{tmp_dir}/landing/*", layout.bronze, f"{tmp_dir}/_ckpt", FD.RUN_1, 300)
+    FS.write_landing(second, f"{tmp_dir}/other/{FD.FILE_2}")
+    P.landing_to_bronze(spark, layout, FD.RUN_2, f"{tmp_dir}/other/{FD.FILE_2}")
+    assert P.read_bronze(spark, layout).count() == first.count() + second.count()
+    assert P.compact_day(spark, layout, FD.RUN_1.day) >= 1
+    # A repeated batch of the same run adds nothing: its files are already there.
+    ingest_landing(spark, f"{tmp_dir}/landing/*", layout.bronze, f"{tmp_dir}/_ckpt2", FD.RUN_1, 300)
+    assert P.read_bronze(spark, layout).count() == first.count() + second.count()
