@@ -544,3 +544,9 @@ def run_mart(spark, sf_dir):
         f.join(n, "nameSid").join(y, "yearSid").join(loc, "locationSid")
         .select("sid", "first_name", "sex", "year", "county", "count")
     )
+
+
+@query
+def run_audit(spark, sf_dir):
+    """The counts that both runs observed while they wrote every layer."""
+    return P.read_audit(spark, _sc(spark, sf_dir).layout)

@@ -108,6 +108,10 @@ class Layout:
     def silver(self) -> str:
         return f"{self.root}/silver/names"
 
+    @property
+    def audit(self) -> str:
+        return f"{self.root}/audit"
+
     def gold(self, table: str) -> str:
         return f"{self.root}/gold/{table}"
 
@@ -176,22 +180,28 @@ def _observe(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return observed, obs
 
 
+def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``df`` with its rows counted while it is written."""
+    obs = Observation()
+    return df.observe(obs, F.count(F.lit(1)).alias("rows")), obs
+
+
 # ---------------------------------------------------------------------------
 # P1: landing -> bronze
 # ---------------------------------------------------------------------------
 def landing_to_bronze(spark: SparkSession, layout: Layout, ctx: RunContext,
                       landing_path: str) -> StepReport:
     rows = FS.require_columns(FS.read_landing(spark, landing_path))
-    bronze = FS.with_audit(FS.with_file_lineage(rows), ctx).select(*S.BRONZE_COLUMNS)
-    TB.append_by_day(bronze, layout.bronze)
-    register_bronze(spark, layout)
-    return StepReport("landing_to_bronze")
+    bronze = FS.with_audit(FS.with_file_lineage(rows), ctx)
+    return StepReport("landing_to_bronze", append_bronze(bronze, layout))
 
 
-def append_bronze(bronze_rows: DataFrame, layout: Layout) -> None:
-    """Append rows that already carry the bronze columns (lineage known upstream)."""
-    TB.append_by_day(bronze_rows.select(*S.BRONZE_COLUMNS), layout.bronze)
+def append_bronze(bronze_rows: DataFrame, layout: Layout) -> dict:
+    """Append rows that already carry the bronze columns; returns the number appended."""
+    rows, obs = _counted(bronze_rows.select(*S.BRONZE_COLUMNS))
+    TB.append_by_day(rows, layout.bronze)
     register_bronze(bronze_rows.sparkSession, layout)
+    return {"bronze": obs.get["rows"]}
 
 
 def read_bronze(spark: SparkSession, layout: Layout) -> DataFrame:
@@ -257,9 +267,11 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
     # Survivors feed both the quarantine and the merge: materialise them once.
     survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
 
-    def quarantine() -> None:
-        TB.append_by_day(Q.quarantine(slice_df, survivors), layout.errors)
+    def quarantine() -> dict:
+        errors, obs = _counted(Q.quarantine(slice_df, survivors))
+        TB.append_by_day(errors, layout.errors)
         register_errors(spark, layout)
+        return {"errors": obs.get["rows"]}
 
     def merge_silver() -> dict:
         current = None if previous is None else read_silver(spark, layout, previous)
@@ -275,8 +287,8 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
         return obs.get
 
     # Both read the same survivors and write different tables: concurrent jobs.
-    _, metrics = _parallel(spark, [quarantine, merge_silver])
-    return StepReport("bronze_to_silver", metrics)
+    errors, merged = _parallel(spark, [quarantine, merge_silver])
+    return StepReport("bronze_to_silver", {**errors, **merged})
 
 
 def read_silver(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
@@ -308,10 +320,13 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
     deltas = (G.dimension_deltas(silver_slice) if mode == "exact"
               else {spec.name: G.delta(silver_slice, spec, mode) for spec in G.DIMS})
 
+    metrics: dict[str, int] = {}
+
     def dimension(spec: G.TableSpec) -> tuple[str, DataFrame]:
         current = None if previous is None else read_gold(spark, layout, spec.name, previous)
-        new = G.merge_star(current, deltas[spec.name], spec)
+        new, obs = _counted(G.merge_star(current, deltas[spec.name], spec))
         path = TB.write_snapshot(new, layout.gold(spec.name), version)
+        metrics[spec.name] = obs.get["rows"]
         publish(spark, layout, S.GOLD_TABLE_NAMES[spec.name], path, spec.schema)
         return spec.name, read_gold(spark, layout, spec.name, version)
 
@@ -319,13 +334,15 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
     current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
     facts = G.fact_rows(silver_slice, dims)
     buckets = layout.target_buckets(spark, layout.gold(G.FACT.name), previous)
-    new_fact = G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT, target_buckets=buckets)
+    new_fact, obs = _counted(
+        G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT, target_buckets=buckets))
     path = TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
                              cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing,
                              deal=buckets != layout.buckets)
+    metrics[G.FACT.name] = obs.get["rows"]
     publish(spark, layout, S.GOLD_TABLE_NAMES[G.FACT.name], path, G.FACT.schema,
             layout.fact_bucketing)
-    return StepReport("silver_to_gold")
+    return StepReport("silver_to_gold", metrics)
 
 
 # ---------------------------------------------------------------------------
@@ -354,6 +371,8 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
     whole gold table.  The new version's primary and foreign keys are checked before its
     names are switched to it: a broken mart fails the run and is never published.
     """
+    metrics: dict[str, int] = {}
+
     def write_table(table: str) -> None:
         gold = read_gold(spark, layout, table, gold_version)
         changed = gold if previous is None else TB.day_slice(gold, ctx.day)
@@ -365,11 +384,12 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
         current = None if previous is None else read_mart(spark, layout, table, previous)
         is_fact = table == G.FACT.name
         buckets = layout.target_buckets(spark, layout.mart(table), previous) if is_fact else None
-        new = M.upsert(current, source, check_unique=False,  # one row per sid already
-                       target_buckets=buckets)
+        new, obs = _counted(M.upsert(current, source, check_unique=False,  # one row per sid
+                                     target_buckets=buckets))
         TB.write_snapshot(new, layout.mart(table), version,
                           bucketing=layout.mart_fact_bucketing if is_fact else None,
                           deal=is_fact and buckets != layout.buckets)
+        metrics[table] = obs.get["rows"]
 
     _parallel(spark, [partial(write_table, t) for t in GOLD_TABLES])
     require_sound_mart(spark, layout, version)
@@ -378,7 +398,7 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
         publish(spark, layout, S.MART_TABLE_NAMES[table], TB.snapshot_path(layout.mart(table), version),
                 MART_SCHEMAS[table], _published(spark, layout, version) if is_fact else None,
                 layout.mart_fact_bucketing.partition_by if is_fact and layout.buckets else ())
-    return StepReport("gold_to_mart")
+    return StepReport("gold_to_mart", metrics)
 
 
 def _published(spark: SparkSession, layout: Layout, version: int) -> TB.Bucketing | None:
@@ -439,8 +459,24 @@ def run_all(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
     if landing_path is not None:
         reports.append(landing_to_bronze(spark, layout, ctx, landing_path))
     elif bronze_rows is not None:
-        append_bronze(bronze_rows, layout)
+        reports.append(StepReport("append_bronze", append_bronze(bronze_rows, layout)))
     reports.append(bronze_to_silver(spark, layout, ctx, previous, version))
     reports.append(silver_to_gold(spark, layout, ctx, version, previous, version))
     reports.append(gold_to_mart(spark, layout, ctx, version, previous, version))
+    record_run(spark, layout, ctx, version, reports)
     return reports
+
+
+AUDIT_SCHEMA = "run_id string, version int, step string, metric string, value long"
+
+
+def record_run(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
+               reports: list[StepReport]) -> None:
+    """Append the run's observed counts to the audit table."""
+    rows = [(ctx.run_id, version, r.step, name, int(value))
+            for r in reports for name, value in sorted(r.metrics.items())]
+    spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(1).write.mode("append").parquet(layout.audit)
+
+
+def read_audit(spark: SparkSession, layout: Layout) -> DataFrame:
+    return spark.read.schema(AUDIT_SCHEMA).parquet(layout.audit)

@@ -505,3 +505,32 @@ SELECT f.sid, n.first_name, n.sex, y.year, l.county, f."count"
 FROM mart_fact_v2 f JOIN mart_names_v2 n ON f.nameSid = n.sid
 JOIN mart_years_v2 y ON f.yearSid = y.sid JOIN mart_locations_v2 l ON f.locationSid = l.sid
 """)
+
+
+def _audit() -> str:
+    counted = []
+    for v in ("1", "2"):
+        merge = {"rows_out": f"silver{v}"}
+        if v == "1":
+            merge["inserted"] = "silver1"
+            zero = ("updated", "unchanged", "carried")
+        else:
+            merge |= {"inserted": "m1_new", "updated": "(SELECT * FROM m1_join WHERE upd)",
+                      "unchanged": "(SELECT * FROM m1_join WHERE s_hit AND NOT upd)",
+                      "carried": "(SELECT * FROM m1_join WHERE NOT s_hit)"}
+            zero = ()
+        rows = [("append_bronze", "bronze", f"(SELECT * FROM feed WHERE _pipeline_run_id = 'run-{v}')"),
+                ("bronze_to_silver", "errors", f"err{v}"),
+                *(("bronze_to_silver", m, t) for m, t in merge.items()),
+                *(("bronze_to_silver", m, "(SELECT 1 WHERE false)") for m in zero)]
+        for table, key in (("names", "dim_names"), ("years", "dim_years"),
+                           ("locations", "dim_locations"), ("fact", "fact")):
+            rows += [("silver_to_gold", key, gold_name(table, f"v{v}")),
+                     ("gold_to_mart", key, f"mart_{table}_v{v}")]
+        counted += [f"SELECT 'run-{v}' AS run_id, {v} AS version, '{step}' AS step, "
+                    f"'{metric}' AS metric, count(*) AS value FROM {source}"
+                    for step, metric, source in rows]
+    return "\nUNION ALL\n".join(counted)
+
+
+oracle("run_audit", _audit())
