@@ -5,7 +5,7 @@ paragraphs labelled by occurrence, and each digest is added to three cells of a
 a cell holds a count, the xor of its digests and the xor of their check values.  Subtracting
 the tables of two versions leaves the cells of the differing paragraphs; peeling cells that
 hold a single digest recovers them, and where peeling gets stuck both tables are built again
-with twice the cells.  Likeness is the Jaccard coefficient that follows from the recovered
+with four times the cells.  Likeness is the Jaccard coefficient that follows from the recovered
 difference.
 
 Versions compared here: each document, the same text with its last quarter replaced by the
@@ -34,8 +34,10 @@ from pyspark.sql import functions as F
 
 from lakestar.llm.common import batches, id_and_text, mix, ship
 
-#: Cells of a fingerprint; a failed peeling doubles them.
-CELLS, HASHES = 24, 3
+#: Cells of a fingerprint; cells of a digest; growth of the tables after a failed peeling.
+CELLS, HASHES, GROWTH = 24, 3, 4
+
+_MULTIPLIERS = (mix(np.arange(1, HASHES + 2, dtype=np.uint64)) | np.uint64(1))[:, None]
 
 # A line, cut after 100 to 300 characters at a sentence end, else after 200 to 400 at a space.
 _PARAGRAPHS = re.compile(r"[^\n]{100,300}?[.!?](?=\s)|[^\n]{200,400}?(?=[^\S\n])|[^\n]{1,400}")
@@ -76,11 +78,10 @@ class Sketch:
 
     def toggle(self, keys: np.ndarray, signs: np.ndarray) -> None:
         """Add (or, with sign -1, remove) digests."""
-        places = _places(keys, len(self.counts))
-        at = places.ravel()
-        np.add.at(self.counts, at, np.tile(signs, HASHES))
-        np.bitwise_xor.at(self.keys, at, np.tile(keys, HASHES))
-        np.bitwise_xor.at(self.checks, at, np.tile(_check(keys), HASHES))
+        at = _places(keys, len(self.counts)).ravel()
+        np.add.at(self.counts, at, np.concatenate([signs] * HASHES))
+        np.bitwise_xor.at(self.keys, at, np.concatenate([keys] * HASHES))
+        np.bitwise_xor.at(self.checks, at, np.concatenate([_check(keys)] * HASHES))
 
     def __sub__(self, other: Sketch) -> Sketch:
         return Sketch(self.counts - other.counts, self.keys ^ other.keys,
@@ -112,15 +113,14 @@ class Sketch:
 
 
 def _check(keys: np.ndarray) -> np.ndarray:
-    return (mix(keys ^ np.uint64(0xC0FFEE)) >> np.uint64(32)).astype(np.uint32)
+    return (keys * _MULTIPLIERS[0, 0] >> np.uint64(32)).astype(np.uint32)
 
 
 def _places(keys: np.ndarray, cells: int) -> np.ndarray:
-    """One cell in each third of the table."""
+    """One cell in each third of the table (digests are uniform: a product's top bits do)."""
     third = cells // HASHES
-    return np.stack([(mix(keys + np.uint64(0x9E3779B97F4A7C15 * i & (1 << 64) - 1))
-                      % np.uint64(third)).astype(np.int64) + (i - 1) * third
-                     for i in range(1, HASHES + 1)])
+    at = (keys * _MULTIPLIERS[1:] >> np.uint64(33)) % np.uint64(third)
+    return at.astype(np.int64) + np.arange(0, cells, third)[:HASHES, None]
 
 
 def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.ndarray, np.ndarray]:
@@ -129,7 +129,7 @@ def difference(a: np.ndarray, b: np.ndarray, cells: int = CELLS) -> tuple[np.nda
         found = (Sketch.of(a, cells) - Sketch.of(b, cells)).peel()
         if found is not None:
             return found
-        cells *= 2
+        cells *= GROWTH
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
