@@ -550,3 +550,16 @@ def run_mart(spark, sf_dir):
 def run_audit(spark, sf_dir):
     """The counts that both runs observed while they wrote every layer."""
     return P.read_audit(spark, _sc(spark, sf_dir).layout)
+
+
+@query
+def compact_day(spark, sf_dir):
+    """Bronze written by several appends a day, then compacted day by day."""
+    feed = FD.names_feed(spark, sf_dir)
+    layout = P.Layout(fresh_workspace(spark, "compact_day"), namespace="compacted_")
+    for ctx in FD.RUNS:
+        rows = FD.run_rows(feed, ctx)
+        for part in ("year % 2 = 0", "year % 2 = 1", "year is null"):
+            P.append_bronze(rows.where(part), layout)
+        P.compact_day(spark, layout, ctx.day)
+    return P.read_bronze(spark, layout)

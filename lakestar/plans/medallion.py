@@ -442,6 +442,23 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     return n
 
 
+def compact_if_fragmented(spark: SparkSession, layout: Layout, day, least_files: int = 16) -> dict:
+    """Compact the day's directories of bronze and errors that hold many small files.
+
+    The trigger is the directory's own listing: at least ``least_files`` files, and more than
+    twice as many as its bytes need.  Returns the number of files written per table.
+    """
+    out = {}
+    for table, path, schema in (("bronze", layout.bronze, S.BRONZE_SCHEMA),
+                                ("errors", layout.errors, SILVER_SCHEMA)):
+        rows = TB.read_log_partition(spark, path, schema, day)
+        files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
+        n, size = files.agg(F.count("*"), F.coalesce(F.sum("file_size"), F.lit(0))).first()
+        if n >= least_files and n > 2 * MT.target_files(size):
+            out[f"compacted_{table}"] = compact_day(spark, layout, day, table)
+    return out
+
+
 def mart_checks(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
     """Foreign-key orphan counts of a mart snapshot."""
     dims = {t: read_mart(spark, layout, t, version) for t in GOLD_TABLES if t != G.FACT.name}
@@ -464,6 +481,7 @@ def run_all(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
     reports.append(silver_to_gold(spark, layout, ctx, version, previous, version))
     reports.append(gold_to_mart(spark, layout, ctx, version, previous, version))
     record_run(spark, layout, ctx, version, reports)
+    compact_if_fragmented(spark, layout, ctx.day)  # last: nothing of the run reads it any more
     return reports
 
 

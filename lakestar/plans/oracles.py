@@ -483,6 +483,7 @@ FROM (SELECT DISTINCT _pipeline_run_id, _processing_date FROM feed)
 
 # Maintenance
 oracle("compact_preserves_rows", "SELECT * FROM silver2")
+oracle("compact_day", f"SELECT {BRONZE} FROM feed")
 
 # The flow
 oracle("run_bronze", f"SELECT {LANDING}, _processing_date, _pipeline_run_id FROM feed")

@@ -193,3 +193,12 @@ def test_compaction_refuses_a_day_that_others_write(spark, tmp_dir, monkeypatch)
     with pytest.raises(RuntimeError, match="changed while"):
         P.compact_day(spark, layout, FD.RUN_1.day)
     assert P.read_bronze(spark, layout).count() == 40
+
+
+def test_a_run_compacts_a_fragmented_day(spark, tmp_dir):
+    layout = P.new_layout(spark, tmp_dir, namespace="frag_")
+    rows = FD.run_rows(FD.names_feed(spark, SF0001), FD.RUN_1)
+    P.append_bronze(rows.repartition(20), layout)
+    P.run_all(spark, layout, FD.RUN_1, 1, bronze_rows=rows.limit(10))
+    assert P.read_bronze(spark, layout).count() == rows.count() + 10
+    assert len(P.read_bronze(spark, layout).inputFiles()) < 5
