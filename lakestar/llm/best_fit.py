@@ -1,21 +1,21 @@
 """Best-fit packing of tokenised documents into sequences of a fixed capacity.
 
 A document's tokens (its ids and the end mark) are one piece, or, where longer than the
-capacity, a first piece of the remainder and full pieces after it.  Full pieces are sequences
-of their own; pieces over half the capacity open one each.  All others are placed in
-bulk-synchronous rounds of a best-fit sweep:
-
-1. documents and open gaps are range-sorted together by size;
-2. every task sweeps its range upwards with a stack: a gap takes the largest waiting document
-   that fits, so a document meets the smallest gap that succeeds it in size, and of several
-   documents in front of one gap the one of highest rank wins;
-3. what is left of a task's range is a run of gaps and a run of documents; the runs of all
-   tasks are matched by their lengths alone (two numbers a task), and the matched rows find
-   each other by a join on their match number;
-4. the gaps shrink, and the next round begins.
-
-A round that matches nothing shows that no gap fits: the largest waiting documents open as
-many sequences as the waiting tokens need, and the rounds go on.
+capacity, a first piece of the remainder and full pieces after it.
+
+Pieces of one length are interchangeable, and so are sequences with the same room left.  So
+documents and gaps are range-sorted as runs: at most ``capacity`` runs of each, however many
+documents there are, counted by one distributed aggregation.  A bulk-synchronous step takes
+the run of longest waiting documents (rank decides between documents that want one gap),
+finds the successor of its length among the gaps, places as many documents as that run of
+gaps holds, and moves the filled gaps to their new lengths; the steps repeat until no
+document waits.  Where no gap fits, new sequences are opened.  The result is that of
+sequential best-fit decreasing.
+
+Every step is an interval: the documents of one length and of certain ranks go to consecutive
+sequences at one offset.  Ranks are dealt in a distributed way (a running number within each
+task, plus the counts of the tasks before it), and one join of length and rank with the
+intervals places every row.
 
 Defined cases: a null or empty text is the end mark alone; repeated rows are packed each; an
 empty table gives no rows; a null id is carried through; extra columns are ignored.
@@ -23,24 +23,30 @@ empty table gives no rows; a null id is carried through; extra columns are ignor
 
 from __future__ import annotations
 
-import math
+import json
 import os
 import re
 import zlib
+from array import array
+from bisect import bisect_left, insort
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestar.llm.common import batches, id_and_text, ship, stored
+from lakestar.llm.token_count import byte_symbols
 
 CAPACITY, END = 2048, 0
+# Fixed value: the pre-split pattern of byte-level BPE files.
+_SPLIT = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Units whose ids a worker keeps, in each of two generations (speed only, not results).
 MEMO = 250_000
-#: Rows of documents and gaps that one task of a sweep takes.
-SWEEP_ROWS = 50_000
+#: Up to so many intervals are broadcast (a few MB); beyond, the join shuffles.
+BROADCAST_INTERVALS = 200_000
 
 # White space as Unicode has it (Python's \s also takes U+001C..U+001F).
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -48,8 +54,28 @@ _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _UNITS = re.compile(f" ?[^{_W}]+|[{_W}]+(?![^{_W}])|[{_W}]").findall
 
 
+class _Memo(dict):
+    """Ids of units; a unit not seen before is looked up among the older ones or encoded."""
+
+    def __init__(self, older: dict, encode):
+        self._older, self._encode = older, encode
+
+    def __missing__(self, unit: str) -> bytes:
+        ids = self._older.get(unit)
+        if ids is None:
+            ids = array("I", self._encode(unit)).tobytes()
+        if len(unit) <= 64:
+            self[unit] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+
+    A text is split at white space as the tokenizer's own pattern splits it, and every unit is
+    encoded once.  Files whose ids rise with their merges, as byte-level files do, are run by
+    the faster of the two libraries that implement them; ids are the same.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -57,35 +83,35 @@ class Encoder:
 
         self._tokenizer = Tokenizer.from_file(path)
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
-        self._young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Units that were seen before are looked up; the others are encoded in one batch."""
-        odd = [i for i, t in enumerate(texts) if any(s in t for s in self._special)]
-        split = [[] if i in odd else _UNITS(t) for i, t in enumerate(texts)]
-        known = {}
-        for units in split:
-            known.update(dict.fromkeys(units))
-        new = []
-        for unit in known:
-            ids = self._young.get(unit) or self._old.get(unit)
-            if ids is None:
-                new.append(unit)
-            else:
-                known[unit] = ids
-        known.update(zip(new, self._ids(new), strict=True))
-        if len(self._young) + len(known) > MEMO:
-            self._old, self._young = self._young, {}
-        self._young.update((u, ids) for u, ids in known.items() if len(u) <= 64)
-        out = [b"".join(map(known.__getitem__, units)) for units in split]
-        for i, ids in zip(odd, self._ids([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        self._encode = _by_ranks(path) or self._plain
+        self._memo = _Memo({}, self._encode)
+
+    def _plain(self, text: str) -> list[int]:
+        return self._tokenizer.encode(text, add_special_tokens=False).ids
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text; one that holds a special string is encoded whole."""
+        if any(s in text for s in self._special):
+            return array("I", self._plain(text)).tobytes()
+        if len(self._memo) > MEMO:
+            self._memo = _Memo(dict(self._memo), self._encode)
+        return b"".join(map(self._memo.__getitem__, _UNITS(text)))
+
+
+def _by_ranks(path: str):
+    """An encoder of plain text by merge ranks, if the file's ids are its merge order."""
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    vocab = model["vocab"]
+    merged = [vocab["".join(m.split(" ") if isinstance(m, str) else m)] for m in model["merges"]]
+    if merged != sorted(set(merged)) or model.get("end_of_word_suffix"):
+        return None
+    byte_of = {symbol: b for b, symbol in enumerate(byte_symbols())}
+    ranks = {bytes(byte_of[c] for c in token): i for token, i in vocab.items()}
+    return tiktoken.Encoding("ranks", pat_str=_SPLIT, mergeable_ranks=ranks,
+                             special_tokens={}).encode_ordinary
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -104,172 +130,105 @@ def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 of every document's pieces; a narrow pass."""
+    """doc_id, piece, start, length, ids_crc32 of every document's pieces; a narrow pass.
+
+    ``task`` and ``nth`` number the pieces of one length within each task.
+    """
     ship(docs.sparkSession)
     end = np.array([END], "<u4").tobytes()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyspark import TaskContext
+
+        task = TaskContext.get().partitionId()
         encoder = _encoder(path)
+        seen: Counter = Counter()
         for part in batches(frames, 256):
             rows = []
-            for doc_id, ids in zip(part["doc_id"], encoder.encode(list(part["text"])), strict=True):
+            for doc_id, ids in zip(part["doc_id"], map(encoder.encode, part["text"]), strict=True):
                 ids += end
                 for i, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, i, start, n, zlib.crc32(ids[4 * start:4 * (start + n)])))
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                    crc = zlib.crc32(ids[4 * start:4 * (start + n)])
+                    rows.append((doc_id, i, start, n, crc, task, seen[n]))
+                    seen[n] += 1
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32",
+                                              "task", "nth"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     return id_and_text(docs).mapInPandas(
-        run, f"doc_id {ids}, piece int, start long, length long, ids_crc32 long")
+        run, f"doc_id {ids}, piece int, start long, length long, ids_crc32 long, task int, nth long")
 
 
-def _sweep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """One task's range, ascending by size, documents (gap false) before gaps of equal size.
+def intervals(waiting: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, ...]]:
+    """(length, first rank, end rank, first sequence, offset) that place runs of documents.
 
-    Yields every row with its match (``bin`` and ``at`` for documents, the rest of the room for
-    gaps) or its place ``rank`` among the task's unmatched documents or gaps.
-    """
-    from pyspark import TaskContext
-
-    task = TaskContext.get().partitionId()
-    frame = pd.concat([f for f in frames if len(f)] or [pd.DataFrame(
-        columns=["size", "gap", "id", "room"])], ignore_index=True)
-    size, gap, ids = (frame[c].to_numpy() for c in ("size", "gap", "id"))
-    bins = np.full(len(frame), -1, np.int64)
-    at, rank, room = bins.copy(), bins.copy(), frame["room"].to_numpy().copy()
-    waiting: list[int] = []
-    unmatched = 0
-    for i in range(len(frame)):
-        if not gap[i]:
-            waiting.append(i)
-        elif waiting:
-            d = waiting.pop()
-            bins[d], at[d] = ids[i], -size[i]  # the place follows from the capacity
-            room[i] = size[i] - size[d]
-        else:
-            rank[i] = unmatched
-            unmatched += 1
-    rank[waiting] = np.arange(len(waiting))
-    out = pd.DataFrame({"id": ids, "gap": gap, "size": size, "room": room, "bin": bins, "at": at,
-                        "task": task, "rank": rank})
-    yield out.astype({"id": "int64", "gap": "bool", "size": "int64", "room": "int64"})
-
-
-def match_runs(runs: list[tuple[int, int, int]]) -> list[tuple[bool, int, int, int, int, int]]:
-    """Match the tasks' leftovers: runs of (task, unmatched gaps, unmatched documents).
-
-    Gives intervals (is gap, task, first rank, end rank, match number of the first, step): a
-    task's gaps meet the documents that wait latest in the tasks before it.
+    ``waiting``: documents of each length.  Best-fit decreasing over whole runs.
     """
-    stack: list[list[int]] = []
-    out = []
-    number = 0
-    for task, gaps, waiting in sorted(runs):
-        first = 0
-        while first < gaps and stack:
-            owner, left = stack[-1]
-            n = min(left, gaps - first)
-            out.append((True, task, first, first + n, number, 1))
-            out.append((False, owner, left - n, left, number + n - 1, -1))
-            number, first = number + n, first + n
-            stack[-1][1] -= n
-            if stack[-1][1] == 0:
-                stack.pop()
-        if waiting:
-            stack.append([task, waiting])
+    gaps: list[int] = []  # distinct rooms left, ascending
+    runs: dict[int, deque[tuple[int, int]]] = {}  # room -> runs of (first sequence, count)
+    out: list[tuple[int, ...]] = []
+    opened = 0
+
+    def add(room: int, first: int, n: int) -> None:
+        if room and n:
+            if room not in runs:
+                insort(gaps, room)
+                runs[room] = deque()
+            runs[room].append((first, n))
+
+    for length in sorted(waiting, reverse=True):
+        rank, left = 0, waiting[length]
+        while left:
+            at = bisect_left(gaps, length)
+            room = gaps[at] if at < len(gaps) else capacity
+            each = room // length
+            need = -(-left // each)
+            if at < len(gaps):
+                first, n = runs[room].popleft()
+                add_back = (first + need, n - need) if n > need else None
+                n = min(n, need)
+                if add_back:
+                    runs[room].appendleft(add_back)
+                elif not runs[room]:
+                    del runs[room]
+                    gaps.pop(at)
+            else:
+                first, n = opened, need
+                opened += need
+            # Each of the n sequences takes a document, then the next, while some wait.
+            for k in range(each):
+                placed = min(left, n)
+                if placed:
+                    out.append((length, rank, rank + placed, first, capacity - room + k * length))
+                # Sequences that get none this time keep the room they have.
+                add(room - k * length, first + placed, n - placed)
+                rank, left, n = rank + placed, left - placed, placed
+            add(room - each * length, first, n)
     return out
 
 
-def place(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """id, sequence_id, offset of every item (unique ``id``, ``size`` up to ``capacity``)."""
-    spark = items.sparkSession
-    ship(spark)
-    big = items.where(F.col("size") > capacity // 2)
-    placed = [big.select("id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
-    events = items.where(F.col("size") <= capacity // 2).select(
-        "size", F.lit(False).alias("gap"), "id", F.lit(0).cast("long").alias("room"))
-    gaps = big.where(F.col("size") < capacity).select(
-        (capacity - F.col("size")).alias("size"), F.lit(True).alias("gap"), "id",
-        F.lit(0).cast("long").alias("room"))
-    events = events.unionByName(gaps)
-    n_rows = events.count()
-    while n_rows:
-        tasks = max(1, math.ceil(n_rows / SWEEP_ROWS))
-        swept = stored(
-            events.repartitionByRange(tasks, "size", "gap", "id")
-            .sortWithinPartitions("size", "gap", "id")
-            .mapInPandas(_sweep, "id long, gap boolean, size long, room long, bin long, "
-                                 "at long, task int, rank long"), "best_fit")
-        free = F.col("rank") >= 0
-        runs = swept.groupBy("task").agg(
-            F.count_if(free & F.col("gap")), F.count_if(free & ~F.col("gap")),
-            F.count_if(F.col("bin") >= 0), F.sum(F.when(free & ~F.col("gap"), F.col("size"))),
-            F.min(F.when(free & ~F.col("gap"), F.col("size")))).collect()
-        links = match_runs([(r[0], r[1], r[2]) for r in runs])
-        crossed = sum(e - s for is_gap, _, s, e, _, _ in links if is_gap)
-        matched = sum(r[3] for r in runs)
-        waiting = sum(r[2] for r in runs) - crossed
-        # Placed by the tasks themselves.
-        placed.append(swept.where("bin >= 0").select(
-            "id", F.col("bin").alias("sequence_id"), (F.col("at") + capacity).alias("offset")))
-        left = swept.where(free & ~F.col("gap"))
-        gaps = swept.where("gap").withColumn("size", F.when(free, F.col("size")).otherwise(F.col("room")))
-        if crossed:
-            table = spark.createDataFrame(
-                links, "is_gap boolean, of int, first long, end long, number long, step int")
-            numbered = swept.where(free).join(F.broadcast(table), (
-                (F.col("task") == F.col("of")) & (F.col("gap") == F.col("is_gap"))
-                & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))), "left")
-            numbered = numbered.withColumn("match", F.when(
-                F.col("step") > 0, F.col("number") + F.col("rank") - F.col("first")).otherwise(
-                F.col("number") - (F.col("rank") - F.col("first"))))
-            pairs = stored(
-                numbered.where("match is not null and not gap").select(
-                    "match", "id", F.col("size").alias("length"))
-                .join(numbered.where("match is not null and gap").select(
-                    "match", F.col("id").alias("bin"), F.col("size").alias("held")), "match"),
-                "best_fit")
-            placed.append(pairs.select("id", F.col("bin").alias("sequence_id"),
-                                       (capacity - F.col("held")).alias("offset")))
-            rest = numbered.where("match is null")
-            left = rest.where("not gap")
-            gaps = (swept.where(F.col("gap") & ~free).withColumn("size", F.col("room"))
-                    .select("size", "id")
-                    .unionByName(rest.where("gap").select("size", "id"))
-                    .unionByName(pairs.select((F.col("held") - F.col("length")).alias("size"),
-                                              F.col("bin").alias("id"))))
-        if not waiting:
-            break
-        zero = F.lit(0).cast("long").alias("room")
-        gaps = gaps.where("size > 0").select("size", F.lit(True).alias("gap"), "id", zero)
-        if matched + crossed == 0:
-            # No gap fits: the largest open sequences.  The waiting rows are in global order.
-            need = math.ceil(sum(r[4] or 0 for r in runs) / capacity)
-            before, starts = 0, []
-            for r in sorted(runs):
-                starts.append((r[0], before))
-                before += r[2]
-            table = spark.createDataFrame(starts, "of int, before long")
-            ranked = left.join(F.broadcast(table), F.col("task") == F.col("of"))
-            opens = (F.col("before") + F.col("rank")) >= before - need
-            placed.append(ranked.where(opens).select(
-                "id", F.col("id").alias("sequence_id"), F.lit(0).cast("long").alias("offset")))
-            gaps = ranked.where(opens).select(
-                (capacity - F.col("size")).alias("size"), F.lit(True).alias("gap"), "id", zero)
-            left = ranked.where(~opens)
-            waiting -= need
-        events = left.select("size", F.lit(False).alias("gap"), "id", zero).unionByName(gaps)
-        n_rows = waiting and events.count()
-    out = placed[0]
-    for more in placed[1:]:
-        out = out.unionByName(more)
-    return out
+def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """``rows`` (with length, and task and nth as :func:`pieces` numbers them) with
+    sequence_id and offset."""
+    spark = rows.sparkSession
+    counts = stored(rows.groupBy("length", "task").agg(F.count("*").alias("n")), "best_fit")
+    sizes = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # <= capacity rows
+    plan = intervals({r["length"]: r["n"] for r in sizes}, capacity)
+    table = spark.createDataFrame(
+        plan, "of long, first long, end long, sequence long, offset long")
+    if len(plan) <= BROADCAST_INTERVALS:
+        table = F.broadcast(table)
+    before = Window.partitionBy("length").orderBy("task").rowsBetween(
+        Window.unboundedPreceding, -1)
+    dealt = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
+    ranked = rows.join(dealt, ["length", "task"]).withColumn("rank", F.col("skip") + F.col("nth"))
+    return ranked.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first"))
+                       & (F.col("rank") < F.col("end"))).withColumn(
+        "sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop(
+        "task", "nth", "skip", "rank", "of", "first", "end", "sequence")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """Every piece of every document with its sequence and offset."""
-    cut_up = stored(pieces(docs, path, capacity).withColumn(
-        "id", F.monotonically_increasing_id()), "pieces")
-    places = place(cut_up.select("id", F.col("length").alias("size")), capacity)
-    return cut_up.join(places, "id").select(
+    return place(stored(pieces(docs, path, capacity), "pieces"), capacity).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -132,11 +132,17 @@ def bfd(sizes, capacity):
 
 
 def packed(spark, sizes, capacity):
-    items = spark.createDataFrame(list(enumerate(sizes)), "id long, size long")
-    rows = best_fit.place(items, capacity).collect()
-    assert sorted(r.id for r in rows) == list(range(len(sizes)))
+    """Place rows that come from three tasks; returns the number of sequences."""
+    seen, rows = {}, []
+    for i, n in enumerate(sizes):
+        task = i % 3
+        rows.append((i, n, task, seen.setdefault((task, n), 0)))
+        seen[task, n] += 1
+    items = spark.createDataFrame(rows, "id long, length long, task int, nth long")
+    out = best_fit.place(items, capacity).collect()
+    assert sorted(r.id for r in out) == list(range(len(sizes)))
     ends = {}
-    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+    for r in sorted(out, key=lambda r: (r.sequence_id, r.offset)):
         assert r.offset == ends.get(r.sequence_id, 0)
         ends[r.sequence_id] = r.offset + sizes[r.id]
     assert max(ends.values(), default=0) <= capacity
@@ -144,28 +150,28 @@ def packed(spark, sizes, capacity):
 
 
 @pytest.mark.parametrize("low,high", [(1, 64), (1, 12), (20, 30), (9, 9)])
-def test_placement_is_close_to_sequential_best_fit(spark, monkeypatch, low, high):
-    monkeypatch.setattr(best_fit, "SWEEP_ROWS", 60)  # several tasks, so that runs are matched across
+def test_placement_is_sequential_best_fit_decreasing(spark, low, high):
     rng = random.Random(low)
     sizes = [rng.randint(low, high) for _ in range(300)]
-    assert packed(spark, sizes, 64) <= math.ceil(1.04 * bfd(sizes, 64))
+    assert packed(spark, sizes, 64) == bfd(sizes, 64)
 
 
-def test_match_runs_is_the_sequential_stack():
+def test_intervals_equal_best_fit_decreasing_in_many_cases():
     rng = random.Random(7)
-    for _ in range(200):
-        runs = [(t, rng.randint(0, 5), rng.randint(0, 5)) for t in range(6)]
-        stack, expected = [], set()
-        for t, gaps, waiting in runs:
-            for g in range(gaps):
-                if stack:
-                    expected.add((stack.pop(), (t, g)))
-            stack += [(t, d) for d in range(waiting)]
-        docs, gaps = {}, {}
-        for is_gap, t, first, end, number, step in best_fit.match_runs(runs):
+    for _ in range(300):
+        capacity = rng.randint(5, 60)
+        low = rng.randint(1, capacity)
+        sizes = [rng.randint(low, capacity) for _ in range(rng.randint(0, 200))]
+        counts = {n: sizes.count(n) for n in set(sizes)}
+        ends, ranks = {}, dict.fromkeys(counts, 0)
+        for n, first, end, sequence, offset in best_fit.intervals(counts, capacity):
+            assert first == ranks[n] and end > first
+            ranks[n] = end
             for i in range(end - first):
-                (gaps if is_gap else docs)[number + step * i] = (t, first + i)
-        assert {(docs[m], gaps[m]) for m in docs} == expected and len(docs) == len(gaps)
+                assert ends.get(sequence + i, 0) == offset
+                ends[sequence + i] = offset + n
+        assert ranks == counts and max(ends.values(), default=0) <= capacity
+        assert len(ends) == bfd(sizes, capacity)
 
 
 def test_pieces_are_the_library_s_ids(spark, texts):
