@@ -254,9 +254,11 @@ def register_external(spark: SparkSession, database: str, table: str, path: str,
     name = f"`{database}`.`{table}`"
     if spark.catalog.tableExists(f"{database}.{table}"):
         location, buckets = _declared(spark, name)
-        if buckets != (clustered[2] if clustered else None):
-            spark.sql(f"DROP TABLE {name}")  # another bucket count: declared anew
-        elif location != _norm(path):
+        same = location == _norm(path)
+        if buckets != (clustered[2] if clustered else None) or (partition_by and not same):
+            # Declared anew: another bucket count, or partitions listed under the old location.
+            spark.sql(f"DROP TABLE {name}")
+        elif not same:
             # Same name, next version: switched in place, readers never miss the table.
             spark.sql(f"ALTER TABLE {name} SET LOCATION '{path}'")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({cols}) USING parquet{parts} LOCATION '{path}'")
