@@ -11,8 +11,10 @@ distinct shingles inside those runs among the distinct shingles of both texts.
 
 Texts with the same words are one class from the start.  Inside a bucket of equal sketches no
 pairs are listed: one member is elected centre and meets the members outside its class.
-Rounds go on, electing the member with most links so far, until a round adds no link; classes
-are the connected components, found by label propagation over checkpointed tables.
+Rounds go on over the buckets that still hold several classes, electing first the members
+with most links, then others by draw, until a round links hardly any text.  Classes are the connected
+components, found by label propagation over checkpointed tables; a later round propagates
+over the classes that its new links join.
 
 Defined cases: texts without words are alike only if equal; texts of fewer than five words are
 one shingle; a null text counts as empty; rows with a null id take no part and get a null
@@ -36,8 +38,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles of a sketch, sketches of a text: a pair at similarity 0.8 is missed by all
 #: sketches with probability (1 - 0.8 ** 3) ** 16, about 1e-5.
 PICKS, SKETCHES = 3, 16
-#: Rounds of elections that always run before a round without new links ends them.
-LEAST_ROUNDS = 3
+#: Rounds of elections that always run; further ones run while a round links more than one in
+#: ``SETTLED`` of the candidate texts.  Centres that a bucket elects in the third round and on.
+LEAST_ROUNDS, SETTLED, SLOTS = 3, 100, 2
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x100000001B3)
@@ -239,58 +242,82 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _elect(members: DataFrame, labels: DataFrame | None, links: DataFrame | None,
-           used: DataFrame | None) -> DataFrame:
-    """bucket, centre (and its class): the member with most links that was not centre before."""
+def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """bucket, key, class: the members of buckets that still hold several classes."""
     if labels is None:
-        ranked = members.withColumn("links", F.lit(0).cast("long")).withColumn("class", F.col("key"))
-    else:
+        return members.select("bucket", "key", F.col("key").alias("class"))
+    named = members.select("bucket", "key").join(labels, "key", "left").withColumn(
+        "class", F.coalesce("class", "key"))
+    mixed = named.groupBy("bucket").agg(
+        F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
+    return stored(named.join(mixed.select("bucket"), "bucket"), "near")
+
+
+def _elect(members: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
+    """bucket, centre, of (its class): the centres of a round.
+
+    The second round takes the member with most links, the others draw by a hash; from the
+    third on one in each slot.
+    """
+    draw = F.xxhash64("key", "bucket", F.lit(turn))
+    if turn == 2:
         degree = (links.select(F.explode(F.array("a", "b")).alias("key"))
                   .groupBy("key").agg(F.count("*").alias("links")))
-        ranked = (members.join(labels, "key", "left").join(degree, "key", "left")
-                  .withColumn("class", F.coalesce("class", "key"))
-                  .withColumn("links", F.coalesce("links", F.lit(0).cast("long"))))
-        open_ = ranked.groupBy("bucket").agg(
-            F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
-        ranked = (ranked.join(open_.select("bucket"), "bucket")
-                  .join(used, ["bucket", "key"], "left_anti"))
-    best = F.max(F.struct("links", F.xxhash64("key", "bucket").alias("draw"), "key", "class"))
-    return ranked.groupBy("bucket").agg(best.alias("c")).select(
-        "bucket", F.col("c.key").alias("centre"), F.col("c.class").alias("of"))
+        members = members.join(degree, "key", "left")
+        rank = F.struct(F.coalesce("links", F.lit(0)).alias("links"), draw.alias("draw"), "key", "class")
+    else:
+        rank = F.struct(F.lit(0).alias("links"), draw.alias("draw"), "key", "class")
+    slots = 1 if turn <= 2 else SLOTS
+    slot = F.pmod(F.xxhash64("key", F.lit(-turn)), F.lit(slots))
+    best = members.groupBy("bucket", slot.alias("slot")).agg(F.max(rank).alias("c"))
+    return best.select("bucket", F.col("c.key").alias("centre"), F.col("c.class").alias("of"))
+
+
+def _merged(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
+    """The labels after new links: components of the classes that the links join."""
+    if labels is None:
+        return components(fresh)
+    ends = []
+    for side in ("a", "b"):
+        fresh = fresh.join(labels.select(F.col("key").alias(side), F.col("class").alias(f"of_{side}")),
+                           side, "left")
+        ends.append(F.coalesce(f"of_{side}", side).alias(side))
+    joined = components(fresh.select(*ends).distinct())
+    known = labels.join(joined.select(F.col("key").alias("class"), F.col("class").alias("now")),
+                        "class", "left").select("key", F.coalesce("now", "class").alias("class"))
+    # Texts that were in no class so far have themselves as key.
+    added = joined.join(labels.select("key"), "key", "left_anti")
+    return stored(known.unionByName(added), "near")
 
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) for every row of ``docs``."""
-    spark = docs.sparkSession
-    ship(spark)
+    ship(docs.sparkSession)
     rows = stored(_sketched(docs), "near")
     texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"),
                                            F.first("sketches").alias("sketches")), "near")
     members = _members(texts)
     words = stored(_words_of(docs, texts.select("key", "doc_id").join(
         members.select("key").distinct(), "key")), "near")
-    links = labels = used = tested = None
-    rounds = 0
-    while True:
-        centres = stored(_elect(members, labels, links, used), "near")
-        met = members.join(centres, "bucket").where(F.col("key") != F.col("centre"))
-        if labels is not None:
-            met = met.join(labels, "key", "left").where(
-                F.coalesce("class", "key") != F.col("of"))
+    candidates = words.count()
+    links = labels = tested = None
+    turn, added = 1, candidates
+    while turn <= LEAST_ROUNDS or added * SETTLED > candidates:
+        members = _open(members, labels)
+        met = members.join(_elect(members, links, turn), "bucket").where(F.col("class") != F.col("of"))
         pairs = met.select(F.least("key", "centre").alias("a"),
                            F.greatest("key", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "near")
         fresh = stored(_verified(pairs, words), "near")
-        rounds += 1
-        added = not fresh.isEmpty()
-        used = _and(used, centres.select("bucket", F.col("centre").alias("key")))
         tested, links = _and(tested, pairs), _and(links, fresh)
+        added = fresh.count()
         if added:
-            labels = components(links)
-        elif labels is None or rounds >= LEAST_ROUNDS:
+            labels = _merged(labels, fresh)
+        elif labels is None:
             break
+        turn += 1
     if labels is None:
         return _classes(docs, rows, texts.select("key", "doc_id", F.col("key").alias("class")))
     return _classes(docs, rows, texts.join(labels, "key", "left").select(
