@@ -93,45 +93,52 @@ def sketches(words: np.ndarray) -> list[int]:
 def _runs(a: np.ndarray, b: np.ndarray, limit: int) -> list[tuple[int, int]] | None:
     """(first place in ``a``, length) of the runs kept by an alignment of at most ``limit`` edits."""
     n, m = len(a), len(b)
-    breaks: dict[int, np.ndarray] = {}
+    goal = m - n
+    if abs(goal) > limit:
+        return None
 
     def slide(i: int, k: int) -> int:
         """The end of the equal run from a[i] and b[i + k]."""
-        if k not in breaks:
-            lo, hi = max(0, -k), min(n, m - k)
-            breaks[k] = np.append(np.flatnonzero(a[lo:hi] != b[lo + k:hi + k]) + lo, hi)
-        at = breaks[k]
-        return int(at[np.searchsorted(at, i)]) if i <= at[-1] else i
-
-    goal = m - n
-    reach: list[dict[int, tuple[int, int, int]]] = []  # by edits: diagonal -> start, end, origin
+        stop, step = min(n, m - k), 32
+        while i < stop:
+            end = min(i + step, stop)
+            unlike = a[i:end] != b[i + k:end + k]
+            at = int(unlike.argmax())
+            if unlike[at]:
+                return i + at
+            i, step = end, step * 4
+        return i
+
+    # By edits: the first diagonal; start, end and origin of every diagonal (negative: unreached).
+    reach: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]] = []
     for d in range(limit + 1):
-        now: dict[int, tuple[int, int, int]] = {}
         # Diagonals from which the goal can still be reached within the limit.
-        for k in range(max(-d, goal - (limit - d), -n), min(d, goal + (limit - d), m) + 1):
-            if d == 0:
-                start, origin = 0, 0
-            else:
-                last = reach[-1]
-                options = [(last[k][1] + 1, k)] if k in last else []
-                if k - 1 in last:
-                    options.append((last[k - 1][1], k - 1))
-                if k + 1 in last:
-                    options.append((last[k + 1][1] + 1, k + 1))
-                options = [o for o in options if o[0] <= n and o[0] + k <= m]
-                if not options:
-                    continue
-                start, origin = max(options)
-            now[k] = (start, slide(start, k), origin)
-        reach.append(now)
-        if goal in now and now[goal][1] >= n:
+        low, high = max(-d, goal - (limit - d), -n), min(d, goal + (limit - d), m)
+        k = np.arange(low, high + 1, dtype=np.int32)
+        if d == 0:
+            start, origin = np.zeros(1, np.int32), k
+        else:
+            first, _, ends, _ = reach[-1]
+            last = np.full(len(k) + 2, -9, np.int32)  # of the diagonals low - 1 to high + 1
+            x, y = max(first, low - 1), min(first + len(ends) - 1, high + 1)
+            last[x - low + 1:y - low + 2] = ends[x - first:y - first + 1]
+            options = np.stack([last[2:] + 1, last[1:-1] + 1, last[:-2]])
+            options[(options > n) | (options + k > m) | (options < 0)] = -9
+            best = options.argmax(axis=0)
+            start, origin = options.max(axis=0), k + 1 - best.astype(np.int32)
+        end = start.copy()
+        inside = np.flatnonzero((start >= 0) & (start < n) & (start + k < m))
+        for x in inside[a[start[inside]] == b[start[inside] + k[inside]]]:
+            end[x] = slide(int(start[x]), int(k[x]))
+        reach.append((low, start, end, origin))
+        if low <= goal <= high and end[goal - low] >= n:
             out = []
-            k = goal
-            for e in range(d, -1, -1):
-                start, end, origin = reach[e][k]
-                if end > start:
-                    out.append((start, end - start))
-                k = origin
+            at = goal
+            for first, starts, ends, origins in reach[::-1]:
+                s, e = int(starts[at - first]), int(ends[at - first])
+                if e > s:
+                    out.append((s, e - s))
+                at = int(origins[at - first])
             return out[::-1]
     return None
 
@@ -150,8 +157,9 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     if (a[:n] == b[:n]).all():
         runs = [(0, n)]  # one text continues the other
     else:
-        # An alignment that keeps ``need`` shingles leaves at most so many words of the longer.
-        runs = _runs(a, b, max(len(a), len(b)) - need - size + 1) or []
+        # An alignment that keeps ``need`` shingles keeps at least ``need + size - 1`` words of
+        # each text; every other word of either text is at most one edit.
+        runs = _runs(a, b, len(a) + len(b) - 2 * (need + size - 1)) or []
     kept = [sa[s:s + k - size + 1] for s, k in runs if k >= size]
     return len(np.unique(np.concatenate(kept))) / union if kept else 0.0
 

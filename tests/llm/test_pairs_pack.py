@@ -58,6 +58,19 @@ def test_aligned_similarity_is_the_jaccard_of_edited_texts():
     assert jaccard(" ".join(a), " ".join(b)) >= 0.8 > order_minhash.similarity(wa, wb)
 
 
+@pytest.mark.parametrize("n, x", [(1000, 81), (1000, 101), (100, 7), (400, 30), (60, 3)])
+def test_moved_head_and_tail_blocks_keep_their_similarity(n, x):
+    rng = random.Random(n + x)
+    a = [f"u{rng.randrange(10 ** 9)}" for _ in range(n)]
+    tail = [f"v{rng.randrange(10 ** 9)}" for _ in range(x)]
+    for b in (a[x:] + tail, tail + a[:n - x], tail[:x // 2] + a[x // 2:n - x // 2] + tail[x // 2:]):
+        j = jaccard(" ".join(a), " ".join(b))
+        assert j >= 0.8
+        wa, wb = (word_hashes(" ".join(w)) for w in (a, b))
+        assert order_minhash.similarity(wa, wb) == pytest.approx(j)
+        assert order_minhash.similarity(wb, wa) == pytest.approx(j)
+
+
 def test_runs_are_an_optimal_alignment():
     rng = random.Random(2)
     for _ in range(150):
