@@ -12,7 +12,11 @@ distinct shingles inside those runs among the distinct shingles of both texts.
 Texts with the same words are one class from the start.  Inside a bucket of equal sketches no
 pairs are listed: one member is elected centre and meets the members outside its class.
 Rounds go on over the buckets that still hold several classes, electing first the members
-with most links, then others by draw, until a round links hardly any text.  Classes are the connected
+with most links, then others by draw, while a round links many texts.  What the elections
+leave is compared in full: every pair of a bucket that is still in different classes and was
+not verified yet, block by block.  There a pair is passed over only when it provably cannot be
+alike: by its numbers of distinct shingles, or by the parities of their hashes, which differ
+in at most as many places as the shingles of the two texts.  Classes are the connected
 components, found by label propagation over checkpointed tables; a later round propagates
 over the classes that its new links join.
 
@@ -39,8 +43,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: sketches with probability (1 - 0.8 ** 3) ** 16, about 1e-5.
 PICKS, SKETCHES = 3, 16
 #: Rounds of elections that always run; further ones run while a round links more than one in
-#: ``SETTLED`` of the candidate texts.  Centres that a bucket elects in the third round and on.
-LEAST_ROUNDS, SETTLED, SLOTS = 3, 100, 2
+#: ``SETTLED`` of the candidate texts (all pairs that they leave are compared afterwards).
+#: Centres that a bucket elects in the third round and on.
+LEAST_ROUNDS, SETTLED, SLOTS = 2, 100, 2
+#: Members of a bucket that are compared in one block; words of a text's shingle parities.
+BLOCK, PARITIES = 1024, 16
 
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0x100000001B3)
@@ -164,6 +171,42 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return len(np.unique(np.concatenate(kept))) / union if kept else 0.0
 
 
+def parities(words: np.ndarray) -> tuple[int, np.ndarray]:
+    """Number of distinct shingles, and the parity of their count in each of the hash places.
+
+    Two texts' parities differ in at most as many places as shingles are in one text only.
+    """
+    h = np.unique(shingles(words))
+    odd = np.bincount((h >> np.uint64(7)) % np.uint64(64 * PARITIES), minlength=64 * PARITIES) & 1
+    return len(h), np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def _near_rows(groups: np.ndarray, sides: np.ndarray, classes: np.ndarray, sizes: np.ndarray,
+               odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one group, sorted by group and size, that may reach ``SIMILARITY``.
+
+    Groups of two sides compare rows across them, others all rows.
+    """
+    first, second = [], []
+    live = np.arange(len(groups))
+    for step in range(1, len(groups)):
+        live = live[live + step < len(groups)]
+        other = live + step
+        # Sizes rise inside a group: a row whose partner is too large needs no further one.
+        on = (groups[other] == groups[live]) & (sizes[live] >= SIMILARITY * sizes[other] - 1e-9)
+        live, other = live[on], other[on]
+        if not len(live):
+            break
+        ask = (classes[live] != classes[other]) & ((sides[live] != sides[other]) | (sides[live] < 0))
+        x, y = live[ask], other[ask]
+        unlike = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1)
+        may = unlike <= (1 - SIMILARITY) / (1 + SIMILARITY) * (sizes[x] + sizes[y]) + 1e-6
+        first.append(x[may])
+        second.append(y[may])
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *first]), np.concatenate([none, *second])
+
+
 # ---- distributed part -------------------------------------------------------------------
 
 
@@ -281,6 +324,58 @@ def _elect(members: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
     return best.select("bucket", F.col("c.key").alias("centre"), F.col("c.class").alias("of"))
 
 
+def _left(members: DataFrame, words: DataFrame) -> DataFrame:
+    """The pairs (a, b) of open buckets' members of different classes that may be alike.
+
+    A bucket of more than ``BLOCK`` members is cut into blocks, and each two of them meet in a
+    group of their own; groups are read as a stream, so a task holds one group at a time.
+    """
+
+    def measured(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches(frames, 1024):
+            found = [parities(np.frombuffer(w, np.uint32)) for w in part["words"]]
+            yield pd.DataFrame({"key": part["key"], "size": [n for n, _ in found],
+                                "odd": [odd.tobytes() for _, odd in found]})
+
+    def compared(rows: pd.DataFrame) -> pd.DataFrame:
+        group = rows[["bucket", "low", "high"]].to_numpy()
+        number = np.concatenate([[0], np.cumsum((group[1:] != group[:-1]).any(axis=1))])
+        odd = np.frombuffer(b"".join(rows["odd"]), np.uint64).reshape(len(rows), PARITIES)
+        x, y = _near_rows(number, rows["side"].to_numpy(), pd.factorize(rows["class"])[0],
+                          rows["size"].to_numpy(), odd)
+        keys = rows["key"].to_numpy()
+        pairs = {(min(p, q), max(p, q)) for p, q in zip(keys[x], keys[y], strict=True)}
+        return pd.DataFrame(sorted(pairs), columns=["a", "b"])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
+        for part in batches(frames, 4096):
+            group = part[["bucket", "low", "high"]].to_numpy()
+            last = (group == group[-1]).all(axis=1)
+            whole = int(len(last) - last[::-1].argmin()) if not last.all() else 0
+            if held and (whole or (held[-1][["bucket", "low", "high"]].to_numpy()[-1] != group[0]).any()):
+                yield compared(pd.concat([*held, part.iloc[:whole]]))
+                held = []
+            elif whole:
+                yield compared(part.iloc[:whole])
+            held.append(part.iloc[whole:])
+        if held:
+            yield compared(pd.concat(held))
+
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("key", "bucket"), F.col("blocks")).cast("int")
+    met = (members.join(sizes, "bucket").withColumn("block", block)
+           .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+           .select("bucket", "key", "class", F.least("block", "with").alias("low"),
+                   F.greatest("block", "with").alias("high"),
+                   F.when(F.col("block") == F.col("with"), -1).otherwise(F.col("block")).alias("side")))
+    facts = stored(words.join(members.select("key").distinct(), "key", "left_semi").mapInPandas(
+        measured, "key binary, size int, odd binary"), "near")
+    return (met.join(facts, "key").repartition("bucket", "low", "high")
+            .sortWithinPartitions("bucket", "low", "high", "size")
+            .mapInPandas(run, "a binary, b binary").distinct())
+
+
 def _merged(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
     """The labels after new links: components of the classes that the links join."""
     if labels is None:
@@ -310,11 +405,16 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
     candidates = words.count()
     links = labels = tested = None
     turn, added = 1, candidates
-    while turn <= LEAST_ROUNDS or added * SETTLED > candidates:
+    while candidates:
         members = _open(members, labels)
-        met = members.join(_elect(members, links, turn), "bucket").where(F.col("class") != F.col("of"))
-        pairs = met.select(F.least("key", "centre").alias("a"),
-                           F.greatest("key", "centre").alias("b")).distinct()
+        last = turn > LEAST_ROUNDS and added * SETTLED <= candidates
+        if last:
+            pairs = _left(members, words)
+        else:
+            met = members.join(_elect(members, links, turn), "bucket").where(
+                F.col("class") != F.col("of"))
+            pairs = met.select(F.least("key", "centre").alias("a"),
+                               F.greatest("key", "centre").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = stored(pairs, "near")
@@ -323,7 +423,7 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
         added = fresh.count()
         if added:
             labels = _merged(labels, fresh)
-        elif labels is None:
+        if last:
             break
         turn += 1
     if labels is None:

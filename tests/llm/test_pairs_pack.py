@@ -120,6 +120,42 @@ def test_classes_equal_brute_force(spark):
     assert found == brute_classes(texts)
 
 
+@pytest.mark.parametrize("block", [16, 1024])
+def test_small_clusters_among_texts_of_one_template_are_all_found(spark, monkeypatch, block):
+    monkeypatch.setattr(order_minhash, "BLOCK", block, raising=False)
+    rng = random.Random(4)
+    passage = prose(rng, 110)
+    rows = []
+    for g in range(150):
+        own = passage + [f"g{g}x{i}" for i in range(30)]
+        rows.append(own)
+        if g % 5 == 0:
+            rows += [vary(rng, own, 2) for _ in range(1 + g % 2)]
+    rng.shuffle(rows)
+    texts = {i: " ".join(w) for i, w in enumerate(rows)}
+    truth = brute_classes(texts)
+    assert len(set(truth.values())) > 120
+    assert classes_of(make(spark, [(i, t, None) for i, t in texts.items()])) == truth
+
+
+def test_pairs_that_are_passed_over_are_not_alike():
+    rng = random.Random(5)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, rng.randint(5, 400))
+        texts += [base, *(vary(rng, base, rng.randint(1, 14)) for _ in range(5))]
+    words = [word_hashes(" ".join(t)) for t in texts]
+    facts = sorted(((*order_minhash.parities(w), i) for i, w in enumerate(words)), key=lambda f: f[0])
+    at = [i for *_, i in facts]
+    n = len(facts)
+    found = order_minhash._near_rows(np.zeros(n), np.full(n, -1), np.arange(n),
+                                     np.array([f[0] for f in facts]), np.stack([f[1] for f in facts]))
+    asked = {frozenset((at[x], at[y])) for x, y in zip(*found)}
+    alike = {frozenset((i, j)) for i, j in itertools.combinations(range(n), 2)
+             if jaccard(" ".join(texts[i]), " ".join(texts[j])) >= 0.8}
+    assert alike <= asked and len(asked) < n * (n - 1) / 20
+
+
 def test_class_edges(spark, edges, empty):
     rows = order_minhash.duplicate_classes(edges).collect()
     assert len(rows) == len(EDGES)
