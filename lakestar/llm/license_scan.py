@@ -5,7 +5,9 @@ of the anchors (by template place) fixes an alignment, and the gaps between anch
 aligned the same way, down to gaps without unique common words, whose equal ends are matched.
 Coverage is the share of template words aligned.  Windows of two template lengths slide over
 the places where enough of the template's words stand together, so a license is found
-anywhere in a text of any length, and as often as it occurs.
+anywhere in a text of any length, and as often as it occurs.  A window that starts at an
+earlier common word may cut the license: of the windows that start inside a match, the one of
+best coverage (then of shortest span) tells its place.
 
 Defined cases: null and empty texts have no license (null, coverage 0); repeated rows are each
 scanned; among templates of equal coverage the longer one wins, then the alphabetically first;
@@ -134,8 +136,8 @@ class Template:
         self.share = np.bincount(words, minlength=vocabulary)
         self.known = np.append(self.share > 0, False)
 
-    def matches(self, numbers: np.ndarray, least: float) -> Iterator[tuple[float, int, int, int]]:
-        """(coverage, aligned words, first word, end word) of each occurrence, left to right."""
+    def matches(self, numbers: np.ndarray, least: float) -> Iterator[list[int]]:
+        """Places of the aligned words of each occurrence, left to right."""
         need = int(np.ceil(least * self.size - 1e-9))
         here = self.known[numbers]
         # Enough template words must stand within two template lengths.
@@ -145,14 +147,25 @@ class Template:
         starts = starts[sums[np.minimum(starts + reach, len(numbers))] - sums[starts] >= need]
         at = 0
         while at < len(starts):
-            s = int(starts[at])
-            pairs = align(numbers[s:s + reach].tolist(), self.words)
-            if len(pairs) >= need:
-                end = s + pairs[-1][0] + 1
-                yield len(pairs) / self.size, len(pairs), s + pairs[0][0], end
-                at = int(np.searchsorted(starts, end))
-            else:
+            best = self._aligned(numbers, int(starts[at]))
+            if len(best) < need:
                 at += 1
+                continue
+            found = set(best)
+            for s in starts[at + 1:int(np.searchsorted(starts, best[-1] + 1))].tolist():
+                if best[-1] - best[0] + 1 == len(best) == self.size:
+                    break  # verbatim
+                other = self._aligned(numbers, s)
+                # An occurrence that follows shares few words with this one.
+                if ((len(other), best[-1] - best[0]) > (len(best), other[-1] - other[0] if other else 0)
+                        and 2 * len(found.intersection(other)) >= len(found)):
+                    best = other
+            yield best
+            at = max(at + 1, int(np.searchsorted(starts, best[-1] + 1)))
+
+    def _aligned(self, numbers: np.ndarray, start: int) -> list[int]:
+        window = numbers[start:start + 2 * self.size].tolist()
+        return [start + i for i, _ in align(window, self.words)]
 
 
 class Scanner:
@@ -176,9 +189,10 @@ class Scanner:
         present = np.bincount(numbers, minlength=len(self.vocabulary) + 1)[:-1]
         # No alignment can cover more words than text and template share.
         bound = np.minimum(self.shares, present).sum(axis=1)
-        found = [(t.name, *m, t.size) for t, b, need in
+        found = [(t.name, m, t.size) for t, b, need in
                  zip(self.templates, bound, self.needs, strict=True) if b >= need
                  for m in t.matches(numbers, self.least)]
+        found = [(n, len(m) / size, len(m), m[0], m[-1] + 1, size) for n, m, size in found]
         return [m[:-1] for m in sorted(found, key=lambda m: (-m[1], -m[5], m[0], m[3]))]
 
 

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 
 from conftest_llm import DATA, EDGES, LONG, make
 from lakestar.llm import language_id, license_scan, quality_fm, queries
+from lakestar.llm.common import word_hashes
 from lakestar.llm.token_count import MergeCounter, token_counts
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -173,6 +174,19 @@ def test_each_template_is_found_inside_a_long_text(name):
     assert sum(m[0] == name for m in twice) >= 2
 
 
+@pytest.mark.parametrize("name", sorted(license_scan.TEMPLATES))
+def test_common_words_before_a_license_do_not_cut_it(name):
+    scanner = license_scan.Scanner()
+    for text in license_scan.TEMPLATES[name]:
+        size = len(word_hashes(text))
+        for gap in (1, size // 2, size - 1, size + size // 5):
+            for lead in dict.fromkeys(("under", "by", "the", text.split()[0], text.split()[-1])):
+                before = " ".join([lead, *(f"q{i}" for i in range(gap))])
+                at = len(word_hashes(before))
+                found = scanner.scan(f"{before} {text} zz end of it")
+                assert found[0] == (name, 1.0, size, at, at + size), (lead, gap)
+
+
 def test_license_rows(spark, edges, empty, duck):
     rows = license_scan.scan_licenses(edges).collect()
     assert len(rows) == len(EDGES) and all(r.license is None and r.coverage == 0 for r in rows)
