@@ -80,6 +80,20 @@ TEMPLATES = {
         "permission notice appear in all copies.",),
 }
 
+# For each template: words that its span must hold (one of those joined by |), and words of
+# other licenses that it must not hold.  The long texts need none.
+NAMING = {
+    "MIT": (("", ""), ("mit", ""), ("mit", "")),
+    "Apache-2.0": (("", ""), ("apache 2", "")),
+    "GPL-3.0": (("", ""), ("gnu|gpl 3", "lesser affero library")),
+    "CC-BY-NC-4.0": (("noncommercial|commercial 4", "sharealike alike noderivatives derivatives"),
+                     ("cc by nc 4", "sa nd")),
+    "CC-BY-4.0": (("attribution 4",
+                   "noncommercial commercial sharealike alike noderivatives derivatives"),
+                  ("cc by 4", "nc sa nd")),
+    "BSD-3-Clause": (("", ""), ("bsd 3 clause", "")),
+}
+
 
 def _rising(values: list[int]) -> list[int]:
     """Places of a longest increasing subsequence (patience piles with back links)."""
@@ -131,8 +145,10 @@ def align(text: list[int], template: list[int]) -> list[tuple[int, int]]:
 class Template:
     """One template as word numbers of the scanner's vocabulary."""
 
-    def __init__(self, name: str, words: list[int], vocabulary: int):
+    def __init__(self, name: str, words: list[int], vocabulary: int, naming: tuple[str, str]):
         self.name, self.words, self.size = name, words, len(words)
+        self.named = [set(word_hashes(w.replace("|", " ")).tolist()) for w in naming[0].split()]
+        self.barred = set(word_hashes(naming[1]).tolist())
         self.share = np.bincount(words, minlength=vocabulary)
         self.known = np.append(self.share > 0, False)
 
@@ -163,6 +179,11 @@ class Template:
             yield best
             at = max(at + 1, int(np.searchsorted(starts, best[-1] + 1)))
 
+    def names(self, span: np.ndarray) -> bool:
+        """Whether the words of a match name this license and no other."""
+        held = set(span.tolist()) if self.named or self.barred else set()
+        return all(held & one for one in self.named) and not held & self.barred
+
     def _aligned(self, numbers: np.ndarray, start: int) -> list[int]:
         window = numbers[start:start + 2 * self.size].tolist()
         return [start + i for i, _ in align(window, self.words)]
@@ -171,13 +192,15 @@ class Template:
 class Scanner:
     """All templates over one vocabulary of word hashes."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = COVERAGE):
-        hashed = [(name, word_hashes(t)) for name, ts in templates.items() for t in ts]
-        self.vocabulary = np.unique(np.concatenate([h for _, h in hashed]))
+    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, least: float = COVERAGE,
+                 naming: dict[str, tuple[tuple[str, str], ...]] = NAMING):
+        hashed = [(name, word_hashes(t), how) for name, ts in templates.items()
+                  for t, how in zip(ts, naming.get(name, (("", ""),) * len(ts)), strict=True)]
+        self.vocabulary = np.unique(np.concatenate([h for _, h, _ in hashed]))
         size = len(self.vocabulary)
         self.least = least
-        self.templates = [Template(n, np.searchsorted(self.vocabulary, h).tolist(), size)
-                          for n, h in hashed]
+        self.templates = [Template(n, np.searchsorted(self.vocabulary, h).tolist(), size, how)
+                          for n, h, how in hashed]
         self.shares = np.array([t.share for t in self.templates])
         self.needs = np.array([least * t.size for t in self.templates]) - 1e-9
 
@@ -189,11 +212,20 @@ class Scanner:
         present = np.bincount(numbers, minlength=len(self.vocabulary) + 1)[:-1]
         # No alignment can cover more words than text and template share.
         bound = np.minimum(self.shares, present).sum(axis=1)
-        found = [(t.name, m, t.size) for t, b, need in
+        found = [(t, m) for t, b, need in
                  zip(self.templates, bound, self.needs, strict=True) if b >= need
                  for m in t.matches(numbers, self.least)]
-        found = [(n, len(m) / size, len(m), m[0], m[-1] + 1, size) for n, m, size in found]
-        return [m[:-1] for m in sorted(found, key=lambda m: (-m[1], -m[5], m[0], m[3]))]
+        found = [m for m in found if m[0].names(hashes[m[1][0]:m[1][-1] + 1])]
+        found.sort(key=lambda m: (-len(m[1]) / m[0].size, -m[0].size, m[0].name, m[1][0]))
+        kept: list[tuple] = []
+        spans: list[set[int]] = []
+        for t, m in found:
+            if any(2 * len(better.intersection(m)) >= len(m) and min(better) <= m[0]
+                   and m[-1] <= max(better) for better in spans):
+                continue
+            kept.append((t.name, len(m) / t.size, len(m), m[0], m[-1] + 1))
+            spans.append(set(m))
+        return kept
 
 
 def scan_licenses(docs: DataFrame, least: float = COVERAGE) -> DataFrame:

@@ -187,6 +187,21 @@ def test_common_words_before_a_license_do_not_cut_it(name):
                 assert found[0] == (name, 1.0, size, at, at + size), (lead, gap)
 
 
+def test_licenses_lists_only_those_that_the_text_names(spark):
+    texts = {name: " ".join(ts) for name, ts in license_scan.TEMPLATES.items()}
+    cases = [(t, name) for name, ts in license_scan.TEMPLATES.items() for t in (*ts, texts[name])]
+    cases += [(f"Licensed under the {name} License.", "") for name in ("ISC", "Foo")]
+    cases += [("Licensed under the BSD 2-Clause License.", ""), ("Licensed under CC BY-SA 4.0.", ""),
+              ("Licensed under the Apache License 2.0.", "Apache-2.0"),
+              ("Licensed under the 3-Clause BSD License.", "BSD-3-Clause"),
+              ("This work is licensed under the GNU Lesser General Public License, version 3.", ""),
+              ("This work is licensed under the GNU General Public License, version 2.", ""),
+              ("Released under the MIT License. Also Licensed under CC BY-NC 4.0.", "CC-BY-NC-4.0,MIT")]
+    docs = make(spark, [(i, t, None) for i, (t, _) in enumerate(cases)])
+    rows = {r.doc_id: r.licenses for r in license_scan.scan_licenses(docs).collect()}
+    assert [(t, rows[i]) for i, (t, _) in enumerate(cases)] == cases
+
+
 def test_license_rows(spark, edges, empty, duck):
     rows = license_scan.scan_licenses(edges).collect()
     assert len(rows) == len(EDGES) and all(r.license is None and r.coverage == 0 for r in rows)
