@@ -395,6 +395,11 @@ def _merged(labels: DataFrame | None, fresh: DataFrame) -> DataFrame:
 
 def duplicate_classes(docs: DataFrame) -> DataFrame:
     """doc_id, class_id (the smallest id of its class) for every row of ``docs``."""
+    return _classes(docs, *_classified(docs))
+
+
+def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, key), and the texts (key, doc_id, class)."""
     ship(docs.sparkSession)
     rows = stored(_sketched(docs), "near")
     texts = stored(rows.groupBy("key").agg(F.min("doc_id").alias("doc_id"),
@@ -427,9 +432,9 @@ def duplicate_classes(docs: DataFrame) -> DataFrame:
             break
         turn += 1
     if labels is None:
-        return _classes(docs, rows, texts.select("key", "doc_id", F.col("key").alias("class")))
-    return _classes(docs, rows, texts.join(labels, "key", "left").select(
-        "key", "doc_id", F.coalesce("class", "key").alias("class")))
+        return rows, texts.select("key", "doc_id", F.col("key").alias("class"))
+    return rows, texts.join(labels, "key", "left").select(
+        "key", "doc_id", F.coalesce("class", "key").alias("class"))
 
 
 def _and(so_far: DataFrame | None, more: DataFrame) -> DataFrame:
@@ -447,10 +452,25 @@ def _classes(docs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: the one of smallest id (rows without id stay)."""
-    classes = stored(duplicate_classes(docs), "near")
-    kept = classes.where(F.col("doc_id") == F.col("class_id"))
+    """``docs`` with one row of each class: the one of smallest id (rows without id stay).
+
+    An id that carries several texts keeps the rows of those that stand for their class.
+    """
+    rows, texts = _classified(docs)
+    kept = stored(texts.groupBy("class").agg(F.min(F.struct("doc_id", "key")).alias("c"))
+                  .select("c.doc_id", "c.key"), "near")
     single = docs.join(kept.select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
-        single = single.dropDuplicates(["doc_id"])
+    repeated = stored(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"), "near")
+    if not repeated.isEmpty():
+
+        @F.pandas_udf("binary")
+        def digest(part: pd.Series) -> pd.Series:
+            return pd.Series([_key(word_hashes(t), t) for t in part])
+
+        several = (single.join(repeated, "doc_id", "left_semi")
+                   .select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"),
+                           F.col("doc_id"), digest(F.coalesce("text", F.lit(""))).alias("key"))
+                   .join(kept, ["doc_id", "key"], "left_semi").dropDuplicates(["doc_id", "key"]))
+        single = (single.join(repeated, "doc_id", "left_anti")
+                  .unionByName(several.select("row.*")))
     return single.unionByName(docs.where("doc_id is null"))

@@ -167,6 +167,16 @@ def test_class_edges(spark, edges, empty):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 5, 7, 8]
 
 
+def test_an_id_with_several_texts_keeps_the_rows_of_their_classes(spark):
+    a, b, c, d = ("alpha beta gamma delta one", "this is another text", "third of them", "and the last")
+    docs = make(spark, [(1, a, "en"), (5, a, "en"), (5, b, "en"), (7, c, "en"), (7, d, "en"), (7, d, "fr"),
+                        (8, b, "en"), (9, None, "en")])
+    kept = order_minhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text or "") for r in kept.collect()) == [
+        (1, a), (5, b), (7, d), (7, c), (9, "")]
+
+
 # ---- packing
 
 
