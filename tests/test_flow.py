@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF0001
+from helpers import SF0001
 from lakestar import schemas as S
 from lakestar.plans import medallion as P
 from lakestar.sources import feed as FD

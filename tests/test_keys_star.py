@@ -97,7 +97,7 @@ def test_exact_hash_handles_nulls(spark):
 
 
 def test_single_pass_dimension_deltas_equal_per_dimension_deltas(spark):
-    from conftest import SF0001
+    from helpers import SF0001
     from lakestar.plans.scenario import Scenario
 
     rows = Scenario.of(spark, SF0001).silver(2)

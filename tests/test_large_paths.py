@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import SF0001
+from helpers import SF0001
 from helpers import T1, T2, row, silver_rows
 from lakestar import schemas as S
 from lakestar.plans import medallion as P

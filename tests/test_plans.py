@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from conftest import SF0001
+from helpers import SF0001
 from helpers import T1, T2, row, silver_rows
 from lakestar.operators import quality as Q
 from lakestar.operators import reports as R

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from conftest import SF0001
+from helpers import SF0001
 from oracle_compare import compare, duck
 
 import __spark_entry__ as E

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conftest import SF0001
+from helpers import SF0001
 from lakestar import schemas as S
 from lakestar.sources import feed as FD
 from lakestar.sources import files as FS
