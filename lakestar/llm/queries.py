@@ -12,10 +12,13 @@ from lakestar.llm import (
     license_scan,
     order_minhash,
     paragraph_sketch,
+    periodic_runs,
     quality_fm,
     secret_ledger,
     soft_mix,
+    spelling_variants,
     token_count,
+    toxic_neighbours,
 )
 from lakestar.llm.common import read_table
 
@@ -75,9 +78,28 @@ def op10_paragraph_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paragraph_sketch.fingerprints(read_table(spark, sf_dir, "documents"))
 
 
+def op11_permuterm_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spelling variants of every frequent word, some words of every document slipping a letter."""
+    return spelling_variants.variants(read_table(spark, sf_dir, "documents"),
+                                      spelling_variants.slips)
+
+
+def op12_toxic_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxic_neighbours.assess(read_table(spark, sf_dir, "documents"),
+                                   read_table(spark, sf_dir, "labels"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document."""
+    return periodic_runs.run_digests(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_language_unigrams, op3_token_counts, op4_secret_ledger,
     op5_order_minhash, op6_soft_mix, op7_quality_fm, op8_best_fit,
-    op9_collision_ann, op10_paragraph_sketch)}
+    op9_collision_ann, op10_paragraph_sketch, op11_permuterm_variants, op12_toxic_neighbours,
+    op13_periodic_runs)}
 
-ORACLES: dict[str, str] = {"op4_secret_ledger": secret_ledger.oracle()}
+ORACLES: dict[str, str] = {"op4_secret_ledger": secret_ledger.oracle(),
+                           "op11_permuterm_variants": spelling_variants.oracle()}
