@@ -8,8 +8,8 @@ at unit length; so one chance hit in a long text points elsewhere than several i
 
 **Index.** Examples stand in blocks of consecutive places; every term has its postings by block
 and, of each block, the greatest weight.  A search visits blocks by falling bound (the query's
-weights times the blocks' greatest) and ends when no bound can reach the k-th best: the result is
-exactly that of scoring every example.  Ties go to the earlier place.
+weights times the blocks' greatest) and leaves out those whose bound cannot reach the k-th best:
+the result is exactly that of scoring every example.  Ties go to the earlier place.
 
 **Score.** The ``NEIGHBOURS`` nearest vote by their cosine, examples of a class that was sampled
 thinner counting more; the vote goes through a logistic curve fitted on the examples, each asked
@@ -47,10 +47,9 @@ TOXIC_DOCS, CLEAN_DOCS = 3000, 6000
 #: examples, with at least that statistic (about one in 10,000 by chance); at most so many.
 SHORTEST, LONGEST, WHOLE, LEAST_SEEN, LEAST_G2, MOST_STEMS = 4, 8, 32, 3, 15.0, 4096
 BACKGROUND, NEIGHBOURS, EVIDENCE = 0.7, 15, 3
-#: Examples of a block; prior weight of the known share in a vote.
-BLOCK, PRIOR = 64, 0.5
-#: Words whose stem a task remembers.
-REMEMBERED = 200_000
+#: Examples of a block; blocks that a search scores first; prior weight of the known share in a
+#: vote.
+BLOCK, FIRST_BLOCKS, PRIOR = 32, 4, 0.5
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Closes a whole word; no letter.
@@ -91,27 +90,25 @@ class Terms:
         self.names, self.idf = names, idf
         self.g2 = g2
         self._at = {name: k + 1 for k, name in enumerate(names)}
-        self._known: dict[str, int] = {}
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_known": {}}
+        #: Only words that begin like a stem can have one.
+        self._heads = {name.removesuffix(_END)[:SHORTEST] for name in names}
 
     def term(self, word: str) -> int:
         """The stem of greatest statistic (ties: the longest), or the background."""
-        found = self._known.get(word)
-        if found is None:
-            options = [self._at[s] for s in stems(word) if s in self._at]
-            found = min(options, key=lambda t: (-self.g2[t - 1], t)) if options else 0
-            if len(self._known) < REMEMBERED:
-                self._known[word] = found
-        return found
+        options = [self._at[s] for s in stems(word) if s in self._at]
+        return min(options, key=lambda t: (-self.g2[t - 1], t)) if options else 0
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms (rising) and weights of a text, at unit length; empty without a word."""
+        words, heads = words_of(text), self._heads
         counts: dict[int, int] = {}
-        for word, n in words_of(text).items():
+        for word in [w for w in words if w[:SHORTEST] in heads]:
             t = self.term(word)
-            counts[t] = counts.get(t, 0) + n
+            if t:
+                counts[t] = counts.get(t, 0) + words[word]
+        rest = words.total() - sum(counts.values())
+        if rest:
+            counts[0] = rest
         terms = np.array(sorted(counts), np.int64)
         if not len(terms):
             return terms, np.empty(0)
@@ -131,42 +128,61 @@ class Index:
         order = np.lexsort((place, terms))
         self.place, self.weight = place[order], weights[order]
         cell = terms[order] * self.n_blocks + self.place // BLOCK
-        #: Of every term and block: where its postings begin, and their greatest weight.
-        self.begin = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1)).reshape(-1)
+        #: Of every term and block: where its postings begin and end, and their greatest weight.
+        cells = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
+        self.begin = cells[:-1].reshape(n_terms, self.n_blocks)
+        self.end = cells[1:].reshape(n_terms, self.n_blocks)
         self.greatest = np.zeros((n_terms, self.n_blocks))
         np.maximum.at(self.greatest.reshape(-1), cell, self.weight)
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int,
                without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples of cosine above 0, nearest first."""
-        places, cosines = np.empty(0, np.int64), np.empty(0)
+        """Places and cosines of the k nearest examples of cosine above 0, nearest first.
+
+        The blocks of highest bound are scored first; then, at once, those whose bound reaches
+        the k-th best found there.
+        """
+        none = np.empty(0, np.int64), np.empty(0)
         if not len(terms) or not self.n:
-            return places, cosines
+            return none
         # Cosines are rounded, so that sums in another order tie; a bound is never the lower.
         bound = np.round(weights @ self.greatest[terms] + 2 * _ROUND, _PLACES)
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or len(places) == k and bound[b] < cosines[-1]:
-                break
-            if len(places) == k and bound[b] == cosines[-1] and b * BLOCK > places[-1]:
-                continue  # at best ties at later places
-            found = self._scores(b, terms, weights)
-            if 0 <= without - b * BLOCK < BLOCK:
-                found[without - b * BLOCK] = 0.0
-            at = np.flatnonzero(found > 0)
-            places = np.concatenate([places, at + b * BLOCK])
-            cosines = np.concatenate([cosines, found[at]])
-            best = np.lexsort((places, -cosines))[:k]
-            places, cosines = places[best], cosines[best]
+        order = np.argsort(-bound, kind="stable")
+        first = order[:FIRST_BLOCKS]
+        places, cosines = self._best(none, first, terms, weights, k, without)
+        rest = order[FIRST_BLOCKS:]
+        if len(places) == k:
+            least, last = cosines[-1], places[-1]
+            above, tie = bound[rest] > least, (bound[rest] == least) & (rest * BLOCK < last)
+            rest = rest[above | tie]
+        if len(rest):
+            return self._best((places, cosines), rest, terms, weights, k, without)
         return places, cosines
 
-    def _scores(self, b: int, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Cosines of a block's examples."""
-        out = np.zeros(BLOCK)
-        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-            x, y = self.begin[t * self.n_blocks + b], self.begin[t * self.n_blocks + b + 1]
-            if x < y:
-                out[self.place[x:y] - b * BLOCK] += w * self.weight[x:y]
-        return np.round(out, _PLACES)
+    def _best(self, so_far: tuple, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray,
+              k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of those found so far and the examples of the blocks."""
+        begin = self.begin[terms][:, blocks]
+        many = self.end[terms][:, blocks] - begin
+        flat = many.reshape(-1)
+        total = int(flat.sum())
+        at = np.arange(total) + np.repeat(begin.reshape(-1) - (np.cumsum(flat) - flat), flat)
+        # Sums run by rising term, as the postings of a term follow those of the one before.
+        sums = np.bincount(self.place[at], np.repeat(weights, many.sum(axis=1)) * self.weight[at],
+                           minlength=self.n)
+        if without >= 0:
+            sums[without] = 0.0
+        places = np.flatnonzero(sums)
+        cosines = np.round(sums[places], _PLACES)
+        if len(places) > k:
+            # All that reach the k-th best; ties are settled below.
+            near = cosines >= np.partition(cosines, len(places) - k)[len(places) - k]
+            places, cosines = places[near], cosines[near]
+        places = np.concatenate([so_far[0], places])
+        cosines = np.concatenate([so_far[1], cosines])
+        best = np.lexsort((places, -cosines))[:k]
+        best = best[cosines[best] > 0]
+        return places[best], cosines[best]
 
 
 @dataclass
@@ -289,10 +305,13 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_docs: int = TOXIC_DOCS,
                                        "weights array<double>").orderBy("doc_id").toPandas()
     found = [(np.array(t, np.int64), np.array(w, float))
              for t, w in zip(rows["terms"], rows["weights"], strict=True)]
-    # Alike examples stand together: by their heaviest stem, then by id.
-    heaviest = [int(t[1:][np.argmax(w[1:])]) if len(t) > 1 and t[0] == 0 else
-                int(t[np.argmax(w)]) if len(t) else -1 for t, w in found]
-    order = np.argsort(np.array(heaviest), kind="stable")
+    # Alike examples stand together: by their heaviest stem, then by its weight, then by id.
+    heaviest, least = np.full(len(found), -1), np.zeros(len(found))
+    for k, (t, w) in enumerate(found):
+        if len(t):
+            at = int(np.argmax(np.where(t > 0, w, -1.0)))
+            heaviest[k], least[k] = t[at], -w[at]
+    order = np.lexsort((least, heaviest))
     found = [found[k] for k in order]
     toxic = rows["toxic"].to_numpy(float)[order]
     weight = np.where(toxic > 0, known[1] / n_toxic, known[0] / n_clean)
