@@ -44,8 +44,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 PICKS, SKETCHES = 3, 16
 #: Rounds of elections that always run; further ones run while a round links more than one in
 #: ``SETTLED`` of the candidate texts (all pairs that they leave are compared afterwards).
-#: Centres that a bucket elects in the third round and on.
-LEAST_ROUNDS, SETTLED, SLOTS = 2, 100, 2
+#: Sketch numbers that the first round reads; centres that a bucket elects in the third and on.
+LEAST_ROUNDS, SETTLED, OPENING, SLOTS = 2, 100, 4, 2
 #: Members of a bucket that are compared in one block; words of a text's shingle parities.
 BLOCK, PARITIES = 1024, 16
 
@@ -232,9 +232,9 @@ def _key(words: np.ndarray, text: str) -> bytes:
 
 
 def _members(texts: DataFrame) -> DataFrame:
-    """bucket, key: the distinct texts in every bucket of equal sketches that holds several."""
+    """bucket, nth, key: the distinct texts in every bucket of equal sketches that holds several."""
     entries = texts.select("key", F.posexplode("sketches").alias("nth", "sketch")).select(
-        F.xxhash64("nth", "sketch").alias("bucket"), "key")
+        F.xxhash64("nth", "sketch").alias("bucket"), "nth", "key")
     shared = entries.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     return stored(entries.join(shared, "bucket"), "near")
 
@@ -307,10 +307,11 @@ def _open(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _elect(members: DataFrame, links: DataFrame | None, turn: int) -> DataFrame:
     """bucket, centre, of (its class): the centres of a round.
 
-    The second round takes the member with most links, the others draw by a hash; from the
-    third on one in each slot.
+    The second round takes the member with most links, the others draw by a hash, the same in
+    all buckets, so that buckets of the same texts elect the same centre; from the third on one
+    in each slot.
     """
-    draw = F.xxhash64("key", "bucket", F.lit(turn))
+    draw = F.xxhash64("key", F.lit(turn))
     if turn == 2:
         degree = (links.select(F.explode(F.array("a", "b")).alias("key"))
                   .groupBy("key").agg(F.count("*").alias("links")))
@@ -411,12 +412,16 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = labels = tested = None
     turn, added = 1, candidates
     while candidates:
-        members = _open(members, labels)
+        if turn == 1:
+            # Texts alike in some sketches mostly are in the others, and meet there in one class.
+            held = _open(members.where(F.col("nth") < OPENING), labels)
+        else:
+            members = held = _open(members, labels)
         last = turn > LEAST_ROUNDS and added * SETTLED <= candidates
         if last:
-            pairs = _left(members, words)
+            pairs = _left(held, words)
         else:
-            met = members.join(_elect(members, links, turn), "bucket").where(
+            met = held.join(_elect(held, links, turn), "bucket").where(
                 F.col("class") != F.col("of"))
             pairs = met.select(F.least("key", "centre").alias("a"),
                                F.greatest("key", "centre").alias("b")).distinct()
