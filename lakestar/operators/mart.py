@@ -43,7 +43,7 @@ def mart_source(gold_versions: DataFrame, table: str, dedup: str = "rownum") ->
 
 def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.SID,),
            check_unique: bool = True,
-           target_buckets: int | None = None) -> DataFrame:
+           target_buckets: int | None = None, with_action: bool = False) -> DataFrame:
     """Matched sid -> overwrite the business columns; new sid -> insert; nothing deleted.
 
     A sid that repeats in the source fails the upsert (``check_unique``), unless the
@@ -59,6 +59,7 @@ def upsert(target: DataFrame | None, source: DataFrame, on: Sequence[str] = (S.S
         columns=source.columns,
         check_unique=check_unique,
         target_buckets=target_buckets,
+        with_action=with_action,
     )
 
 
@@ -89,13 +90,18 @@ def fk_orphans(
 
     A NULL value passes, as in a foreign-key constraint.
 
-    The fact is first reduced to (value, rows) per foreign-key value; the partial
-    aggregation collapses a hot value (say the unknown member) before any shuffle, and
-    only distinct values meet the dimension.
+    One scan and one aggregation for all foreign keys (grouping sets, partial first): it leaves
+    (value, rows) per foreign-key value, so a hot value (say the unknown member) is collapsed
+    before any shuffle, and only distinct values meet the dimensions.
     """
+    columns = [fk for fk, _ in foreign_keys]
+    counted = fact.groupingSets([[fk] for fk in columns], *columns).agg(
+        F.grouping_id().alias("__gid"), F.count(F.lit(1)).alias("n"))
     parts = []
-    for fk, table in foreign_keys:
-        per_value = fact.where(F.col(fk).isNotNull()).groupBy(fk).agg(F.count(F.lit(1)).alias("n"))
+    for at, (fk, table) in enumerate(foreign_keys):
+        # grouping_id: one bit per grouping column, set when the column is rolled up.
+        gid = (1 << len(columns)) - 1 - (1 << (len(columns) - 1 - at))
+        per_value = counted.where((F.col("__gid") == gid) & F.col(fk).isNotNull()).select(fk, "n")
         d = dims[table].select(F.col(sid_col).alias(fk)).distinct()
         orphans = per_value.join(d, fk, "left_anti")
         parts.append(

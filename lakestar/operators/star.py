@@ -150,21 +150,29 @@ def merge_star(
     source: DataFrame,
     spec: TableSpec,
     target_buckets: int | None = None,
+    start: int | None = None,
+    materialised: bool = False,
 ) -> DataFrame:
     """New content of a gold table after merging a de-duplicated ``source`` (a delta).
 
-    The delta is materialised once in the shared checkpoint folder: the key lookup and the
-    merge both read it instead of recomputing the slice.  Only the keys of the unmatched rows
-    are numbered, the measures do not travel through the range sort.
+    The delta is materialised once in the shared checkpoint folder (unless it is already): the
+    key lookup and the merge both read it instead of recomputing the slice.  Only the keys of the
+    unmatched rows are numbered, the measures do not travel through the range sort.  New ids
+    begin at ``start`` (default: after the target's greatest); a target that is only the part of
+    a table that the source's keys fall into needs it.
     """
     out_cols = [f.name for f in spec.schema.fields]
     order = [F.col(c).asc_nulls_first() for c in spec.key] + [F.col(S.KEY_HASH).asc_nulls_first()]
-    src = cut_lineage(source.select(*[c for c in out_cols if c != S.SID]))
+    src = source.select(*[c for c in out_cols if c != S.SID])
+    if not materialised:
+        src = cut_lineage(src)
+    if start is None:
+        start = next_sid(target)
     if target is None:
-        return _conform(assign_sid(src, order, start=S.SID_START), spec.schema)
+        return _conform(assign_sid(src, order, start=start), spec.schema)
     new_keys = unmatched(src.select(*spec.key, S.KEY_HASH), target, [S.KEY_HASH],
                          target_buckets=target_buckets)
-    sids = assign_sid(new_keys, order, start=next_sid(target)).select(S.KEY_HASH, S.SID)
+    sids = assign_sid(new_keys, order, start=start).select(S.KEY_HASH, S.SID)
     src = src.join(sids, S.KEY_HASH, "left")
     merged = merge(
         target,

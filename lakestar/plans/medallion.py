@@ -41,6 +41,7 @@ from lakestar.operators import maintenance as MT
 from lakestar.operators import mart as M
 from lakestar.operators import quality as Q
 from lakestar.operators import star as G
+from lakestar.operators.keys import next_sid
 from lakestar.operators.merging import ACTION, merge
 from lakestar.session import cut_lineage
 from lakestar.sources import files as FS
@@ -228,6 +229,18 @@ def publish(spark: SparkSession, layout: Layout, name: tuple[str, str], path: st
     return _register(spark, layout, database, table, path, schema, partition_by, clustered)
 
 
+def publish_version(spark: SparkSession, layout: Layout, name: tuple[str, str], base: str,
+                    version: int, schema: T.StructType, bucketing=None) -> str:
+    """Point a catalog name at a version of a snapshot table, once it is complete."""
+    if bucketing is None:
+        return publish(spark, layout, name, TB.snapshot_path(base, version), schema)
+    database, table = name
+    database = layout.namespace + database
+    declared = TB.declare_snapshot(spark, base, version, schema, bucketing)
+    return TB.publish_snapshot(spark, database, table, declared, schema.fieldNames(),
+                               f"{layout.root}/catalog/{database}.db")
+
+
 def register_errors(spark: SparkSession, layout: Layout) -> str:
     """Declare the errors folder as an external catalog table, for analysts."""
     database, table = S.ERRORS_TABLE
@@ -274,26 +287,60 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
         return {"errors": obs.get["rows"]}
 
     def merge_silver() -> dict:
-        current = None if previous is None else read_silver(spark, layout, previous)
-        buckets = layout.target_buckets(spark, layout.silver, previous)
+        plan = _touched(spark, layout, layout.silver, layout.silver_bucketing, previous, survivors)
+        current = None if previous is None else read_silver(spark, layout, previous, plan.slices)
         merged, obs = _observe(
-            silver_merge(current, survivors, with_action=True, target_buckets=buckets),
+            silver_merge(current, survivors, with_action=True, target_buckets=plan.buckets),
             "silver_merge")
-        path = TB.write_snapshot(merged.drop(ACTION), layout.silver, version,
-                                 cluster_by=(S.PROCESSING_DATE,),
-                                 bucketing=layout.silver_bucketing,
-                                 deal=buckets != layout.buckets)
-        publish(spark, layout, S.SILVER_TABLE, path, SILVER_SCHEMA, layout.silver_bucketing)
-        return obs.get
+        TB.write_snapshot(merged.drop(ACTION), layout.silver, version,
+                          cluster_by=(S.PROCESSING_DATE,), bucketing=layout.silver_bucketing,
+                          deal=plan.deal, carried=plan.carried,
+                          figures=lambda: {"rows": plan.rows + obs.get["inserted"]})
+        publish_version(spark, layout, S.SILVER_TABLE, layout.silver, version, SILVER_SCHEMA,
+                        layout.silver_bucketing)
+        # Rows of slices that the run did not touch are carried as well.
+        counts, found = obs.get, plan.rows + obs.get["inserted"]
+        return {**counts, "rows_out": found,
+                "carried": found - counts["inserted"] - counts["updated"] - counts["unchanged"]}
 
     # Both read the same survivors and write different tables: concurrent jobs.
     errors, merged = _parallel(spark, [quarantine, merge_silver])
     return StepReport("bronze_to_silver", {**errors, **merged})
 
 
-def read_silver(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
+def read_silver(spark: SparkSession, layout: Layout, version: int,
+                slices: list[int] | None = None) -> DataFrame:
     return TB.read_snapshot(spark, layout.silver, version, SILVER_SCHEMA,
-                            bucketing=_as_stored(layout.silver_bucketing))
+                            bucketing=_as_stored(layout.silver_bucketing), slices=slices)
+
+
+@dataclass(frozen=True)
+class Touched:
+    """How a merge meets the version before: all of it, or the slices of its source's keys.
+
+    ``slices`` None: the whole table is read and written.  ``rows`` of the version before.
+    """
+
+    slices: list[int] | None = None
+    buckets: int | None = None
+    deal: bool = False
+    carried: tuple[int, list[int]] | None = None
+    rows: int = 0
+    note: dict = field(default_factory=dict)
+
+
+def _touched(spark: SparkSession, layout: Layout, base: str, bucketing: TB.Bucketing | None,
+             previous: int | None, source: DataFrame) -> Touched:
+    """The slices that ``source`` changes; a new bucket count writes the whole table anew."""
+    if previous is None:
+        return Touched(deal=bucketing is not None)
+    if bucketing is None:
+        return Touched(rows=TB.read_snapshot(spark, base, previous).count())
+    note = TB.read_note(spark, base, previous)
+    if note["buckets"] != bucketing.buckets:
+        return Touched(None, note["buckets"], True, None, note["rows"], note)
+    hit = TB.slices_hit(source, bucketing)
+    return Touched(hit, note["buckets"], False, (previous, hit), note["rows"], note)
 
 
 def _as_stored(bucketing: TB.Bucketing | None) -> TB.Bucketing | None:
@@ -307,10 +354,11 @@ def read_errors(spark: SparkSession, layout: Layout) -> DataFrame:
 # ---------------------------------------------------------------------------
 # P3: silver -> gold
 # ---------------------------------------------------------------------------
-def read_gold(spark: SparkSession, layout: Layout, table: str, version: int) -> DataFrame:
+def read_gold(spark: SparkSession, layout: Layout, table: str, version: int,
+              slices: list[int] | None = None) -> DataFrame:
     bucketing = layout.fact_bucketing if table == G.FACT.name else None
     return TB.read_snapshot(spark, layout.gold(table), version, GOLD_SCHEMAS[table],
-                            bucketing=_as_stored(bucketing))
+                            bucketing=_as_stored(bucketing), slices=slices)
 
 
 def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_version: int,
@@ -331,17 +379,23 @@ def silver_to_gold(spark: SparkSession, layout: Layout, ctx: RunContext, silver_
         return spec.name, read_gold(spark, layout, spec.name, version)
 
     dims = dict(_parallel(spark, [partial(dimension, spec) for spec in G.DIMS]))
-    current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous)
-    facts = G.fact_rows(silver_slice, dims)
-    buckets = layout.target_buckets(spark, layout.gold(G.FACT.name), previous)
-    new_fact, obs = _counted(
-        G.merge_star(current, G.delta(facts, G.FACT, mode), G.FACT, target_buckets=buckets))
-    path = TB.write_snapshot(new_fact, layout.gold(G.FACT.name), version,
-                             cluster_by=(S.PROCESSING_DATE,), bucketing=layout.fact_bucketing,
-                             deal=buckets != layout.buckets)
-    metrics[G.FACT.name] = obs.get["rows"]
-    publish(spark, layout, S.GOLD_TABLE_NAMES[G.FACT.name], path, G.FACT.schema,
-            layout.fact_bucketing)
+    changed = cut_lineage(G.delta(G.fact_rows(silver_slice, dims), G.FACT, mode))
+    base = layout.gold(G.FACT.name)
+    plan = _touched(spark, layout, base, layout.fact_bucketing, previous, changed)
+    current = None if previous is None else read_gold(spark, layout, G.FACT.name, previous, plan.slices)
+    # Ids go on from the number that the version before recorded; no scan of its ids.
+    start = plan.note["next_sid"] if plan.note else next_sid(current)
+    obs = Observation()
+    new_fact = G.merge_star(current, changed, G.FACT, target_buckets=plan.buckets, start=start,
+                            materialised=True).observe(
+        obs, F.count_if(F.col(S.SID) >= start).alias("inserted"))
+    TB.write_snapshot(new_fact, base, version, cluster_by=(S.PROCESSING_DATE,),
+                      bucketing=layout.fact_bucketing, deal=plan.deal, carried=plan.carried,
+                      figures=lambda: {"rows": plan.rows + obs.get["inserted"],
+                                       "next_sid": start + obs.get["inserted"]})
+    metrics[G.FACT.name] = plan.rows + obs.get["inserted"]
+    publish_version(spark, layout, S.GOLD_TABLE_NAMES[G.FACT.name], base, version, G.FACT.schema,
+                    layout.fact_bucketing)
     return StepReport("silver_to_gold", metrics)
 
 
@@ -355,10 +409,11 @@ MART_SCHEMAS = {
 }
 
 
-def read_mart(spark: SparkSession, layout: Layout, table: str, version: int) -> DataFrame:
+def read_mart(spark: SparkSession, layout: Layout, table: str, version: int,
+              slices: list[int] | None = None) -> DataFrame:
     bucketing = layout.mart_fact_bucketing if table == G.FACT.name else None
     return TB.read_snapshot(spark, layout.mart(table), version, MART_SCHEMAS[table],
-                            bucketing=_as_stored(bucketing))
+                            bucketing=_as_stored(bucketing), slices=slices)
 
 
 def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_version: int,
@@ -368,10 +423,13 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
     A gold row carries the processing date of its last change, so the run's day slice of
     gold is exactly what is new or different since the previous publish; the rest of the
     mart is carried over unchanged.  The first publish has no previous mart and takes the
-    whole gold table.  The new version's primary and foreign keys are checked before its
-    names are switched to it: a broken mart fails the run and is never published.
+    whole gold table.  The new version's keys are checked before its names are switched to it:
+    a broken mart fails the run and is never published.  What is carried passed the check of the
+    version before, and members never leave a dimension, so the check reads the changed rows
+    and the slices they went to.
     """
     metrics: dict[str, int] = {}
+    written: dict[str, tuple[DataFrame, list[int] | None]] = {}
 
     def write_table(table: str) -> None:
         gold = read_gold(spark, layout, table, gold_version)
@@ -381,39 +439,43 @@ def gold_to_mart(spark: SparkSession, layout: Layout, ctx: RunContext, gold_vers
             # Gold sids start at 0, so -1 never clashes; an existing -1 row is matched
             # and rewritten with the same NULL attributes.
             source = source.unionByName(M.unknown_member_row(source))
-        current = None if previous is None else read_mart(spark, layout, table, previous)
         is_fact = table == G.FACT.name
-        buckets = layout.target_buckets(spark, layout.mart(table), previous) if is_fact else None
-        new, obs = _counted(M.upsert(current, source, check_unique=False,  # one row per sid
-                                     target_buckets=buckets))
-        TB.write_snapshot(new, layout.mart(table), version,
-                          bucketing=layout.mart_fact_bucketing if is_fact else None,
-                          deal=is_fact and buckets != layout.buckets)
-        metrics[table] = obs.get["rows"]
+        bucketing = layout.mart_fact_bucketing if is_fact else None
+        if is_fact:
+            source = cut_lineage(source)  # read by the slice list, the upsert and the key check
+            plan = _touched(spark, layout, layout.mart(table), bucketing, previous, source)
+        else:
+            plan = Touched()
+        current = None if previous is None else read_mart(spark, layout, table, previous, plan.slices)
+        new, obs = _observe(M.upsert(current, source, check_unique=False,  # one row per sid
+                                     target_buckets=plan.buckets, with_action=True), f"mart_{table}")
+        TB.write_snapshot(new.drop(ACTION), layout.mart(table), version, bucketing=bucketing,
+                          deal=plan.deal, carried=plan.carried,
+                          figures=lambda: {"rows": plan.rows + obs.get["inserted"]})
+        metrics[table] = plan.rows + obs.get["inserted"] if is_fact else obs.get["rows_out"]
+        written[table] = source, plan.slices
 
     _parallel(spark, [partial(write_table, t) for t in GOLD_TABLES])
-    require_sound_mart(spark, layout, version)
+    require_sound_mart(spark, layout, version, *written[G.FACT.name])
     for table in sorted(GOLD_TABLES, key=G.FACT.name.__eq__):  # the fact after its members
-        is_fact = table == G.FACT.name
-        publish(spark, layout, S.MART_TABLE_NAMES[table], TB.snapshot_path(layout.mart(table), version),
-                MART_SCHEMAS[table], _published(spark, layout, version) if is_fact else None,
-                layout.mart_fact_bucketing.partition_by if is_fact and layout.buckets else ())
+        publish_version(spark, layout, S.MART_TABLE_NAMES[table], layout.mart(table), version,
+                        MART_SCHEMAS[table],
+                        layout.mart_fact_bucketing if table == G.FACT.name else None)
     return StepReport("gold_to_mart", metrics)
 
 
-def _published(spark: SparkSession, layout: Layout, version: int) -> TB.Bucketing | None:
-    if not layout.buckets:
-        return None
-    n = TB.stored_buckets(spark, layout.mart(G.FACT.name), version)
-    return replace(layout.mart_fact_bucketing, buckets=n)
+def require_sound_mart(spark: SparkSession, layout: Layout, version: int,
+                       changed: DataFrame | None = None, slices: list[int] | None = None) -> None:
+    """Fail on a repeated sid, or on a fact row whose key has no member (NULL passes).
 
-
-def require_sound_mart(spark: SparkSession, layout: Layout, version: int) -> None:
-    """Fail on a repeated sid, or on a fact row whose key has no member (NULL passes)."""
+    ``changed``: the fact rows that are new in this version, ``slices``: where they went (both
+    None: the whole fact is checked).  A sid's rows share a slice, so a repeated one shows there.
+    """
     for table in GOLD_TABLES:
-        if not M.pk_violations(read_mart(spark, layout, table, version)).isEmpty():
+        rows = read_mart(spark, layout, table, version, slices if table == G.FACT.name else None)
+        if not M.pk_violations(rows).isEmpty():
             raise ValueError(f"mart {table} version {version}: repeated sid")
-    orphans = [r for r in mart_checks(spark, layout, version).collect() if r["orphan_rows"]]
+    orphans = [r for r in mart_checks(spark, layout, version, changed).collect() if r["orphan_rows"]]
     if orphans:
         raise ValueError(f"mart version {version}: fact rows without member: {orphans}")
 
@@ -459,10 +521,13 @@ def compact_if_fragmented(spark: SparkSession, layout: Layout, day, least_files:
     return out
 
 
-def mart_checks(spark: SparkSession, layout: Layout, version: int) -> DataFrame:
-    """Foreign-key orphan counts of a mart snapshot."""
+def mart_checks(spark: SparkSession, layout: Layout, version: int,
+                fact: DataFrame | None = None) -> DataFrame:
+    """Foreign-key orphan counts of a mart version (of the fact rows given, or of all)."""
     dims = {t: read_mart(spark, layout, t, version) for t in GOLD_TABLES if t != G.FACT.name}
-    return M.fk_orphans(read_mart(spark, layout, G.FACT.name, version), dims)
+    if fact is None:
+        fact = read_mart(spark, layout, G.FACT.name, version)
+    return M.fk_orphans(fact, dims)
 
 
 # ---------------------------------------------------------------------------

@@ -12,15 +12,21 @@
   buckets.  The next merge then finds the target already hash-partitioned on the key and
   shuffles only the source to match: the table that grows with history is never
   shuffled again.
+* Their buckets lie in *slices* (a partition column, the key's hash modulo the slice count,
+  which divides the bucket count).  A merge reads and writes the slices that its source's keys
+  fall into; the new version's catalog entry takes the other slices' partitions from where the
+  versions before left them.  A note beside the versions records which version holds a slice.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
@@ -30,6 +36,8 @@ from lakestar.functions.dates import day_literal, day_predicate
 from lakestar.session import shared_dir
 
 SNAPSHOT_DB = "lakestar_snapshots"
+#: Partition column of bucketed snapshots, and the most slices of a table.
+SLICE, MOST_SLICES = "slice", 1024
 
 
 @dataclass(frozen=True)
@@ -50,6 +58,15 @@ class Bucketing:
     sort_by: tuple[str, ...] = ()
     partition_by: tuple[str, ...] = ()
 
+    @property
+    def slices(self) -> int:
+        """The largest divisor of the bucket count that is at most ``MOST_SLICES``."""
+        return next(n for n in range(min(self.buckets, MOST_SLICES), 0, -1) if self.buckets % n == 0)
+
+    def slice_of(self) -> Column:
+        """A row's slice: buckets are the same hash modulo a multiple, so none spans two slices."""
+        return F.pmod(F.hash(*self.keys), F.lit(self.slices)).alias(SLICE)
+
 
 def path_missing(error: AnalysisException) -> bool:
     """Whether a read failed because its path does not exist (any other failure is real)."""
@@ -73,13 +90,36 @@ def read_number(spark: SparkSession, path: str) -> int | None:
     return int(rows[0]["value"])
 
 
+def _note_path(base: str, version: int) -> str:
+    return f"{base.rstrip('/')}/_versions/v={int(version):06d}"
+
+
+def write_note(spark: SparkSession, base: str, version: int, note: dict) -> None:
+    """What is known of a bucketed version, as one line beside the versions."""
+    (spark.createDataFrame([(json.dumps(note, sort_keys=True),)], "value string").coalesce(1)
+     .write.mode("overwrite").text(_note_path(base, version)))
+
+
+def read_note(spark: SparkSession, base: str, version: int) -> dict:
+    """buckets, from (slice -> the version that holds its files) and the writer's figures."""
+    try:
+        rows = spark.read.text(_note_path(base, version)).collect()
+    except AnalysisException as error:
+        if path_missing(error):
+            raise FileNotFoundError(f"table snapshot {snapshot_path(base, version)} not found, "
+                                    "or written without buckets") from error
+        raise
+    return json.loads(rows[0]["value"])
+
+
 def stored_buckets(spark: SparkSession, base: str, version: int) -> int:
     """The bucket count recorded with a snapshot."""
-    path = snapshot_path(base, version)
-    n = read_number(spark, f"{path}/_buckets")
-    if n is None:
-        raise FileNotFoundError(f"table snapshot {path} not found, or written without buckets")
-    return n
+    return read_note(spark, base, version)["buckets"]
+
+
+def slices_hit(source: DataFrame, bucketing: Bucketing) -> list[int]:
+    """The slices that the source's keys fall into (at most ``MOST_SLICES`` numbers)."""
+    return sorted(r[0] for r in source.select(bucketing.slice_of()).distinct().collect())
 
 
 def snapshot_path(base: str, version: int) -> str:
@@ -154,20 +194,29 @@ def _ensure_snapshot_db(spark: SparkSession) -> None:
 
 def write_snapshot(df: DataFrame, base: str, version: int,
                    partition_by: tuple[str, ...] = (), cluster_by: tuple[str, ...] = (),
-                   bucketing: Bucketing | None = None, deal: bool = False) -> str:
+                   bucketing: Bucketing | None = None, deal: bool = False,
+                   carried: tuple[int, Iterable[int]] | None = None,
+                   figures: Callable[[], dict] | None = None) -> str:
     """Write one snapshot version (overwrite: a re-run rewrites the same version).
 
     ``cluster_by``: rows are sorted inside each task before writing, so Parquet row-group
     statistics on those columns are tight and a later range filter (the day slice on
     ``_processing_date``) skips the row groups of other days.  A local sort, no shuffle.
-    ``bucketing``: hash-bucketed by key, registered in the catalog (external table), the
-    count recorded with the files once they are complete.  ``deal``: the rows are not yet
-    partitioned like the buckets (a first load, or a new count); they are shuffled once so
-    that every task writes one bucket rather than a piece of all.
+    ``bucketing``: hash-bucketed by key in slices, registered in the catalog (external table);
+    the note that makes it a version is written once the files are complete.  ``deal``: the
+    rows are not yet partitioned like the buckets (a first load, or a new count); they are
+    shuffled once so that every task writes one bucket rather than a piece of all.
+    ``carried``: an earlier version and the slices that ``df`` holds; every other slice stays
+    in the files of the earlier version.  ``figures``: what else to note, known after the write.
     """
     path = snapshot_path(base, version)
     if bucketing is not None:
         spark = df.sparkSession
+        held = {}
+        if carried is not None:
+            earlier, written = carried[0], set(carried[1])
+            held = {k: v for k, v in read_note(spark, base, earlier)["from"].items()
+                    if int(k) not in written}
         _ensure_snapshot_db(spark)
         name = snapshot_table(base, version)
         if spark.catalog.tableExists(name):
@@ -175,16 +224,21 @@ def write_snapshot(df: DataFrame, base: str, version: int,
         sort_by = bucketing.sort_by or cluster_by or bucketing.keys
         if deal:
             df = df.repartition(bucketing.buckets, *bucketing.keys)
-        writer = df.write.mode("overwrite")
-        if bucketing.partition_by:
-            writer = writer.partitionBy(*bucketing.partition_by)
         (
-            writer.bucketBy(bucketing.buckets, *bucketing.keys)
+            df.withColumn(SLICE, bucketing.slice_of()).write.mode("overwrite")
+            # The version's folder is its own: an earlier attempt's slices go.
+            .option("partitionOverwriteMode", "static")
+            .partitionBy(SLICE, *bucketing.partition_by)
+            .bucketBy(bucketing.buckets, *bucketing.keys)
             .sortBy(*sort_by)
             .option("path", path)
             .saveAsTable(name)
         )
-        write_number(spark, f"{path}/_buckets", bucketing.buckets)
+        own = {p.split("/")[0].split("=")[1] for p in _partitions(spark, name)}
+        spark.sql(f"DROP TABLE {name}")  # declared with the carried slices when it is read
+        write_note(spark, base, version, {
+            "buckets": bucketing.buckets, "from": held | dict.fromkeys(own, int(version)),
+            **(figures() if figures else {})})
         return path
     if cluster_by:
         df = df.sortWithinPartitions(*cluster_by)
@@ -195,15 +249,65 @@ def write_snapshot(df: DataFrame, base: str, version: int,
     return path
 
 
+def _partitions(spark: SparkSession, name: str) -> list[str]:
+    """The partitions of a catalog table, as ``slice=3`` or ``slice=3/yearSid=7``."""
+    return [r[0] for r in spark.sql(f"SHOW PARTITIONS {name}").collect()]
+
+
+def declare_snapshot(spark: SparkSession, base: str, version: int, schema: T.StructType,
+                     bucketing: Bucketing, note: dict | None = None) -> str:
+    """The catalog entry of a bucketed version, made once per application.
+
+    Its own slices are found in its folder; a slice carried from an earlier version is added with
+    the location of that version's files, which are neither read nor copied.
+    """
+    name = snapshot_table(base, version)
+    _ensure_snapshot_db(spark)
+    if spark.catalog.tableExists(name):
+        return name
+    note = note or read_note(spark, base, version)
+    db, table = name.split(".")
+    path = snapshot_path(base, version)
+    fields = T.StructType([*schema.fields, T.StructField(SLICE, T.IntegerType())])
+    register_external(spark, db, table, path, fields, (SLICE, *bucketing.partition_by),
+                      clustered=(bucketing.keys, bucketing.sort_by or bucketing.keys, note["buckets"]))
+    holders: dict[int, set[str]] = {}
+    for k, holder in note["from"].items():
+        if holder != int(version):
+            holders.setdefault(holder, set()).add(k)
+    adds = []
+    for holder, slices in sorted(holders.items()):
+        there = declare_snapshot(spark, base, holder, schema, bucketing)
+        for part in _partitions(spark, there):
+            values = [p.split("=", 1) for p in part.split("/")]
+            if values[0][1] in slices:
+                spec = ", ".join(f"`{c}` = " + ("NULL" if v == "__HIVE_DEFAULT_PARTITION__" else v)
+                                 for c, v in values)
+                adds.append(f"PARTITION ({spec}) LOCATION '{snapshot_path(base, holder)}/{part}'")
+    for at in range(0, len(adds), 500):
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {' '.join(adds[at:at + 500])}")
+    return name
+
+
 def read_snapshot(spark: SparkSession, base: str, version: int,
                   schema: T.StructType | None = None,
-                  bucketing: Bucketing | None = None) -> DataFrame:
+                  bucketing: Bucketing | None = None,
+                  slices: Iterable[int] | None = None) -> DataFrame:
     """One snapshot version; fails with a clear message when it does not exist.
 
     A bucketed snapshot is read through its catalog entry (declared again when this
-    application has not seen it), so the scan reports its hash partitioning.
+    application has not seen it), so the scan reports its hash partitioning; ``slices``: only
+    the files of these are listed and read.
     """
     path = snapshot_path(base, version)
+    if bucketing is not None:
+        note = read_note(spark, base, version)
+        if bucketing.buckets not in (None, note["buckets"]):
+            raise ValueError(f"{path} has {note['buckets']} buckets, not {bucketing.buckets}")
+        df = spark.read.table(declare_snapshot(spark, base, version, schema, bucketing, note))
+        if slices is not None:
+            df = df.where(F.col(SLICE).isin(list(slices)))
+        return df.select(*schema.fieldNames())
     try:
         reader = spark.read.schema(schema) if schema is not None else spark.read
         df = reader.parquet(path)
@@ -212,24 +316,24 @@ def read_snapshot(spark: SparkSession, base: str, version: int,
         if path_missing(exc):
             raise FileNotFoundError(f"table snapshot {path} not found") from exc
         raise
-    if bucketing is not None:
-        buckets = stored_buckets(spark, base, version)
-        if bucketing.buckets not in (None, buckets):
-            raise ValueError(f"{path} has {buckets} buckets, not {bucketing.buckets}")
-        if schema is None:
-            schema = df.schema
-        _ensure_snapshot_db(spark)
-        name = snapshot_table(base, version)
-        db, table = name.split(".")
-        sort_by = bucketing.sort_by or bucketing.keys
-        register_external(spark, db, table, path, schema, bucketing.partition_by,
-                          clustered=(bucketing.keys, sort_by, buckets))
-        df = spark.read.table(name)
     if schema is not None:
         df = df.select(*schema.fieldNames())
     return df
 
 
+def publish_snapshot(spark: SparkSession, database: str, table: str, source: str,
+                     columns: Iterable[str], db_location: str) -> str:
+    """Point a catalog name at a declared version: a view that is replaced in one step."""
+    spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{database}` LOCATION '{db_location}'")
+    name = f"`{database}`.`{table}`"
+    if (spark.catalog.tableExists(f"{database}.{table}")
+            and spark.catalog.getTable(f"{database}.{table}").tableType != "VIEW"):
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT "
+              f"{', '.join(f'`{c}`' for c in columns)} FROM {source}")
+    return f"{database}.{table}"
+
+
 def register_external(spark: SparkSession, database: str, table: str, path: str,
                       schema: T.StructType, partition_by: tuple[str, ...] = (),
                       db_location: str | None = None,
