@@ -128,6 +128,17 @@ def bronze_append(spark, sf_dir):
     return _sc(spark, sf_dir).bronze()
 
 
+@query
+def bronze_append_twice(spark, sf_dir):
+    """Bronze after both runs were appended, each in two attempts."""
+    feed = FD.names_feed(spark, sf_dir)
+    layout = P.Layout(fresh_workspace(spark, "append_twice"), namespace="twice_")
+    for ctx in FD.RUNS:
+        for _ in range(2):
+            P.append_bronze(FD.run_rows(feed, ctx), layout, batch=ctx.run_id)
+    return P.read_bronze(spark, layout)
+
+
 @query
 def silver_first_load(spark, sf_dir):
     """Merge into a missing silver table = the first run's survivors."""
@@ -563,3 +574,14 @@ def compact_day(spark, sf_dir):
             P.append_bronze(rows.where(part), layout)
         P.compact_day(spark, layout, ctx.day)
     return P.read_bronze(spark, layout)
+
+
+@query
+def table_history(spark, sf_dir):
+    """What wrote every version of every table, its metrics read by name from the map."""
+    metric = F.col("metrics")
+    named = {"output_rows": "numOutputRows", "inserted": "numTargetRowsInserted",
+             "updated": "numTargetRowsUpdated", "copied": "numTargetRowsCopied"}
+    return P.read_history(spark, _sc(spark, sf_dir).layout).select(
+        "table", "version", "operation",
+        *(metric[key].cast("long").alias(name) for name, key in named.items()))

@@ -31,6 +31,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import partial
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +114,10 @@ class Layout:
     def audit(self) -> str:
         return f"{self.root}/audit"
 
+    @property
+    def history(self) -> str:
+        return f"{self.root}/history"
+
     def gold(self, table: str) -> str:
         return f"{self.root}/gold/{table}"
 
@@ -194,13 +199,18 @@ def landing_to_bronze(spark: SparkSession, layout: Layout, ctx: RunContext,
                       landing_path: str) -> StepReport:
     rows = FS.require_columns(FS.read_landing(spark, landing_path))
     bronze = FS.with_audit(FS.with_file_lineage(rows), ctx)
-    return StepReport("landing_to_bronze", append_bronze(bronze, layout))
+    # The landing file of a run is one batch: a second attempt replaces the first one's rows.
+    name = landing_path.rstrip("/").rsplit("/", 1)[-1]
+    return StepReport("landing_to_bronze", append_bronze(bronze, layout, f"{ctx.run_id}:{name}"))
 
 
-def append_bronze(bronze_rows: DataFrame, layout: Layout) -> dict:
-    """Append rows that already carry the bronze columns; returns the number appended."""
+def append_bronze(bronze_rows: DataFrame, layout: Layout, batch: str | None = None) -> dict:
+    """Append rows that already carry the bronze columns; returns the number appended.
+
+    A named ``batch`` may be appended again: it replaces its own rows.
+    """
     rows, obs = _counted(bronze_rows.select(*S.BRONZE_COLUMNS))
-    TB.append_by_day(rows, layout.bronze)
+    TB.append_by_day(rows, layout.bronze, batch=batch)
     register_bronze(bronze_rows.sparkSession, layout)
     return {"bronze": obs.get["rows"]}
 
@@ -213,7 +223,7 @@ def register_bronze(spark: SparkSession, layout: Layout) -> str:
     """Declare the bronze folder as an external catalog table (schema under the root)."""
     database, table = S.BRONZE_TABLE
     return _register(spark, layout, database, table, layout.bronze, S.BRONZE_SCHEMA,
-                     (S.PROCESSING_DAY,))
+                     TB.LOG_PARTITIONS)
 
 
 def publish(spark: SparkSession, layout: Layout, name: tuple[str, str], path: str,
@@ -245,7 +255,7 @@ def register_errors(spark: SparkSession, layout: Layout) -> str:
     """Declare the errors folder as an external catalog table, for analysts."""
     database, table = S.ERRORS_TABLE
     return _register(spark, layout, database, table, layout.errors, SILVER_SCHEMA,
-                     (S.PROCESSING_DAY,))
+                     TB.LOG_PARTITIONS)
 
 
 def _register(spark: SparkSession, layout: Layout, database: str, table: str, path: str,
@@ -282,7 +292,7 @@ def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
 
     def quarantine() -> dict:
         errors, obs = _counted(Q.quarantine(slice_df, survivors))
-        TB.append_by_day(errors, layout.errors)
+        TB.append_by_day(errors, layout.errors, batch=ctx.run_id)
         register_errors(spark, layout)
         return {"errors": obs.get["rows"]}
 
@@ -487,7 +497,8 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     Every run appends its own files to the day's directory; this maintenance step reads
     the directory, sizes the output from the bytes it holds (``_metadata.file_size``),
     materialises the range-clustered rows in the shared checkpoint folder and swaps only
-    that day's directory.  Rows are unchanged.  Refuses when another writer has added files
+    that day's directory, batch by batch.  Rows and their batches are unchanged, so a batch can
+    still be appended again.  Refuses when another writer has added files
     meanwhile.  Returns the number of files written.
     """
     path, schema = {"bronze": (layout.bronze, S.BRONZE_SCHEMA),
@@ -495,13 +506,13 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     day_rows = TB.read_log_partition(spark, path, schema, day)
     before = TB.file_names(day_rows)
     n = MT.target_files(MT.input_bytes(day_rows), file_bytes)
-    keys = [c for c in S.NATURAL_KEY if c in schema.fieldNames()] + [S.PROCESSING_DATE]
+    keys = [S.BATCH, *(c for c in S.NATURAL_KEY if c in schema.fieldNames()), S.PROCESSING_DATE]
     # Cut from the files first: the write replaces the directory it was read from.
     staged = cut_lineage(MT.compacted(day_rows, n, keys))
     if TB.file_names(TB.read_log_partition(spark, path, schema, day)) != before:
         raise RuntimeError(f"{path}: files of {day} changed while they were compacted")
     TB.replace_day(staged, path)
-    return n
+    return len(TB.file_names(TB.read_log_partition(spark, path, schema, day)))
 
 
 def compact_if_fragmented(spark: SparkSession, layout: Layout, day, least_files: int = 16) -> dict:
@@ -535,30 +546,105 @@ def mart_checks(spark: SparkSession, layout: Layout, version: int,
 # ---------------------------------------------------------------------------
 def run_all(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
             landing_path: str | None = None, bronze_rows: DataFrame | None = None) -> list:
-    """One run through every layer; ``version - 1`` is the previous snapshot (if any)."""
+    """One run through every layer; ``version - 1`` is the previous snapshot (if any).
+
+    Every step is recorded with its counts once it is complete, and starts only after the step
+    before it is.  A run that failed is started again with the same arguments: complete steps are
+    not repeated, the failed one replaces what its first attempt left.
+    """
     previous = version - 1 if version > 1 else None
-    reports = []
+    steps: list[tuple[str, Callable[[], StepReport]]] = []
     if landing_path is not None:
-        reports.append(landing_to_bronze(spark, layout, ctx, landing_path))
+        steps.append(("landing_to_bronze",
+                      lambda: landing_to_bronze(spark, layout, ctx, landing_path)))
     elif bronze_rows is not None:
-        reports.append(StepReport("append_bronze", append_bronze(bronze_rows, layout)))
-    reports.append(bronze_to_silver(spark, layout, ctx, previous, version))
-    reports.append(silver_to_gold(spark, layout, ctx, version, previous, version))
-    reports.append(gold_to_mart(spark, layout, ctx, version, previous, version))
-    record_run(spark, layout, ctx, version, reports)
+        steps.append(("append_bronze", lambda: StepReport(
+            "append_bronze", append_bronze(bronze_rows, layout, f"{ctx.run_id}:rows"))))
+    steps += [
+        ("bronze_to_silver", lambda: bronze_to_silver(spark, layout, ctx, previous, version)),
+        ("silver_to_gold", lambda: silver_to_gold(spark, layout, ctx, version, previous, version)),
+        ("gold_to_mart", lambda: gold_to_mart(spark, layout, ctx, version, previous, version)),
+    ]
+    done = completed_steps(spark, layout, ctx, version)
+    reports = []
+    for name, step in steps:
+        if name not in done:
+            done[name] = step().metrics
+            _complete(spark, layout, ctx, version, name, done[name])
+        reports.append(StepReport(name, done[name]))
+    if AUDIT_STEP not in done:
+        record_run(spark, layout, ctx, version, reports)
+        _complete(spark, layout, ctx, version, AUDIT_STEP, {})
     compact_if_fragmented(spark, layout, ctx.day)  # last: nothing of the run reads it any more
     return reports
 
 
 AUDIT_SCHEMA = "run_id string, version int, step string, metric string, value long"
+HISTORY_SCHEMA = ("table string, version int, run_id string, operation string, "
+                  "metrics map<string, string>")
+STEP_SCHEMA = "metrics map<string, bigint>"
+AUDIT_STEP = "record_run"
+
+
+def _step_path(layout: Layout, ctx: RunContext, version: int, step: str) -> str:
+    return f"{layout.root}/steps/run={ctx.run_id}/v={int(version):06d}/step={step}"
+
+
+def _complete(spark: SparkSession, layout: Layout, ctx: RunContext, version: int, step: str,
+              metrics: dict) -> None:
+    """Record a complete step and its counts (one row)."""
+    (spark.createDataFrame([({k: int(v) for k, v in metrics.items()},)], STEP_SCHEMA).coalesce(1)
+     .write.mode("overwrite").parquet(_step_path(layout, ctx, version, step)))
+
+
+def completed_steps(spark: SparkSession, layout: Layout, ctx: RunContext,
+                    version: int) -> dict[str, dict]:
+    """The complete steps of a run and their counts."""
+    try:
+        rows = spark.read.schema(f"{STEP_SCHEMA}, step string").parquet(
+            _step_path(layout, ctx, version, "").rsplit("/", 1)[0]).collect()
+    except AnalysisException as error:
+        if TB.path_missing(error):
+            return {}
+        raise
+    return {r["step"]: dict(r["metrics"]) for r in rows}
 
 
 def record_run(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
                reports: list[StepReport]) -> None:
-    """Append the run's observed counts to the audit table."""
+    """Write the run's observed counts to the audit table and to the tables' history.
+
+    Both are partitioned by run and version; a second attempt replaces its own rows.
+    """
     rows = [(ctx.run_id, version, r.step, name, int(value))
             for r in reports for name, value in sorted(r.metrics.items())]
-    spark.createDataFrame(rows, AUDIT_SCHEMA).coalesce(1).write.mode("append").parquet(layout.audit)
+    history = [(table, version, ctx.run_id, operation, {k: str(v) for k, v in metrics.items()})
+               for r in reports for table, operation, metrics in _operations(r)]
+    for path, found, schema in ((layout.audit, rows, AUDIT_SCHEMA),
+                                (layout.history, history, HISTORY_SCHEMA)):
+        (spark.createDataFrame(found, schema).coalesce(1)
+         .withColumns({"of_run": F.lit(ctx.run_id), "of_version": F.lit(version)})
+         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("of_run", "of_version").parquet(path))
+
+
+def _operations(report: StepReport) -> list[tuple[str, str, dict]]:
+    """(table, operation, metrics) of the tables that a step wrote."""
+    m = report.metrics
+    if report.step in ("append_bronze", "landing_to_bronze"):
+        return [("bronze", "WRITE", {"numOutputRows": m["bronze"]})]
+    if report.step == "bronze_to_silver":
+        merged = {"numOutputRows": m["rows_out"], "numTargetRowsInserted": m["inserted"],
+                  "numTargetRowsUpdated": m["updated"], "numTargetRowsDeleted": 0,
+                  "numTargetRowsCopied": m["unchanged"] + m["carried"]}
+        return [("errors", "WRITE", {"numOutputRows": m["errors"]}), ("silver", "MERGE", merged)]
+    layer = {"silver_to_gold": "gold", "gold_to_mart": "mart"}[report.step]
+    return [(f"{layer}_{t}", "MERGE", {"numOutputRows": n}) for t, n in sorted(m.items())]
+
+
+def read_history(spark: SparkSession, layout: Layout) -> DataFrame:
+    """One row per table and version: the operation that wrote it and its metrics by name."""
+    return spark.read.schema(HISTORY_SCHEMA).parquet(layout.history)
 
 
 def read_audit(spark: SparkSession, layout: Layout) -> DataFrame:

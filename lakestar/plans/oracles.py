@@ -317,6 +317,7 @@ oracle("scan_mart_by_name", "SELECT * FROM mart_fact_v2")
 oracle("incremental_slice", f"SELECT {BRONZE} FROM feed WHERE "
        f"{day_range('_processing_date', DAY2, DAY3)}")
 oracle("bronze_append", f"SELECT {BRONZE} FROM feed")
+oracle("bronze_append_twice", f"SELECT {BRONZE} FROM feed")
 oracle("silver_first_load", "SELECT * FROM surv1")
 oracle("csv_requote_roundtrip", f"SELECT {BRONZE} FROM feed")
 for _table, _key in (("names", "dim_names"), ("years", "dim_years"),
@@ -535,3 +536,30 @@ def _audit() -> str:
 
 
 oracle("run_audit", _audit())
+
+
+def _history() -> str:
+    rows = []
+    for v in ("1", "2"):
+        none = ("NULL",) * 3
+        rows += [("bronze", "WRITE", f"(SELECT * FROM feed WHERE _pipeline_run_id = 'run-{v}')", none),
+                 ("errors", "WRITE", f"err{v}", none)]
+        merged = (("(SELECT count(*) FROM silver1)", "0", "0") if v == "1" else
+                  ("(SELECT count(*) FROM m1_new)", "(SELECT count(*) FROM m1_join WHERE upd)",
+                   "(SELECT count(*) FROM m1_join WHERE NOT upd)"))
+        rows.append(("silver", "MERGE", f"silver{v}", merged))
+        for table, key in (("names", "dim_names"), ("years", "dim_years"),
+                           ("locations", "dim_locations"), ("fact", "fact")):
+            rows += [(f"gold_{key}", "MERGE", gold_name(table, f"v{v}"), none),
+                     (f"mart_{key}", "MERGE", f"mart_{table}_v{v}", none)]
+        for at, r in enumerate(rows):
+            if len(r) == 4:
+                rows[at] = (*r, v)
+    return "\nUNION ALL\n".join(
+        f"SELECT '{t}' AS \"table\", {v} AS version, '{op}' AS operation, "
+        f"(SELECT count(*) FROM {source}) AS output_rows, CAST({m[0]} AS BIGINT) AS inserted, "
+        f"CAST({m[1]} AS BIGINT) AS updated, CAST({m[2]} AS BIGINT) AS copied"
+        for t, op, source, m, v in rows)
+
+
+oracle("table_history", _history())

@@ -43,6 +43,8 @@ BRONZE_COLUMNS = tuple(f.name for f in BRONZE_SCHEMA.fields)
 
 # Partition column of bronze and the errors table (derived, dropped on read).
 PROCESSING_DAY = "_processing_day"
+#: What one append wrote: a second attempt at it replaces its own rows only.
+BATCH = "_batch"
 
 # Catalog names of the layer tables (database, table).
 BRONZE_TABLE = ("bronze", "new_york_baby_names")

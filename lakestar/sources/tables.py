@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from datetime import date
@@ -126,18 +127,30 @@ def snapshot_path(base: str, version: int) -> str:
     return f"{base.rstrip('/')}/v={int(version):06d}"
 
 
-def append_by_day(df: DataFrame, path: str, ts_col: str = S.PROCESSING_DATE) -> None:
-    """Append rows, partitioned by the day of ``ts_col`` (creates the table when missing)."""
+LOG_PARTITIONS = (S.PROCESSING_DAY, S.BATCH)
+
+
+def append_by_day(df: DataFrame, path: str, ts_col: str = S.PROCESSING_DATE,
+                  batch: str | None = None) -> None:
+    """Append rows, partitioned by the day of ``ts_col`` and the batch (creates the table).
+
+    A named ``batch`` is written once: a second attempt replaces what the first left of that day
+    and batch (dynamic partition overwrite), so a failed or repeated append never doubles rows.
+    Without a name every call is a batch of its own.  An attempt without rows replaces nothing.
+    """
+    name = batch if batch is not None else uuid.uuid4().hex[:12]
     (
-        df.withColumn(S.PROCESSING_DAY, F.to_date(F.col(ts_col)))
-        .write.mode("append")
-        .partitionBy(S.PROCESSING_DAY)
+        df.withColumns({S.PROCESSING_DAY: F.to_date(F.col(ts_col)), S.BATCH: F.lit(name)})
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*LOG_PARTITIONS)
         .parquet(path)
     )
 
 
 def _with_day(schema: T.StructType) -> T.StructType:
-    return T.StructType(schema.fields + [T.StructField(S.PROCESSING_DAY, T.DateType())])
+    return T.StructType([*schema.fields, T.StructField(S.PROCESSING_DAY, T.DateType()),
+                         T.StructField(S.BATCH, T.StringType())])
 
 
 def read_log(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -155,7 +168,7 @@ def read_log_day(spark: SparkSession, path: str, schema: T.StructType, day: date
 
 def read_log_partition(spark: SparkSession, path: str, schema: T.StructType,
                        day: date) -> DataFrame:
-    """One day directory of an append-only table, partition column included."""
+    """One day directory of an append-only table, partition columns included."""
     return spark.read.schema(_with_day(schema)).parquet(path).filter(
         F.col(S.PROCESSING_DAY) == day_literal(day))
 
@@ -166,12 +179,12 @@ def file_names(df: DataFrame) -> set[str]:
 
 
 def replace_day(df: DataFrame, path: str) -> None:
-    """Overwrite only the day directories present in ``df`` (dynamic partition overwrite,
+    """Overwrite only the days' batches present in ``df`` (dynamic partition overwrite,
     set on this write so a session default of static overwrite cannot drop other days)."""
     (
         df.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(S.PROCESSING_DAY)
+        .partitionBy(*LOG_PARTITIONS)
         .parquet(path)
     )
 
@@ -347,7 +360,8 @@ def register_external(spark: SparkSession, database: str, table: str, path: str,
     if db_location or not spark.catalog.databaseExists(database):
         spark.sql(f"CREATE SCHEMA IF NOT EXISTS `{database}`{where}")
     fields = list(schema.fields) + [
-        T.StructField(p, T.DateType()) for p in partition_by if p not in schema.fieldNames()
+        T.StructField(p, T.DateType() if p == S.PROCESSING_DAY else T.StringType())
+        for p in partition_by if p not in schema.fieldNames()
     ]
     cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     parts = f" PARTITIONED BY ({', '.join(partition_by)})" if partition_by else ""

@@ -79,14 +79,18 @@ def test_compact_day_keeps_rows_and_other_days(spark, tmp_dir):
     for ctx in FD.RUNS:
         rows = FD.run_rows(feed, ctx)
         for part in range(3):  # several small appends on the same day
-            P.append_bronze(rows.filter(F.col("year") % 3 == part), layout)
+            P.append_bronze(rows.filter(F.col("year") % 3 == part).repartition(4), layout)
     before = {r[0]: r[1] for r in P.read_bronze(spark, layout).groupBy(S.RUN_ID).count().collect()}
     day_dir = os.path.join(local_path(layout.bronze), f"{S.PROCESSING_DAY}={FD.RUN_2.day}")
-    files_before = [f for f in os.listdir(day_dir) if f.endswith(".parquet")]
+
+    def listed():
+        return [f for _, _, files in os.walk(day_dir) for f in files if f.endswith(".parquet")]
+
+    files_before = listed()
 
     written = P.compact_day(spark, layout, FD.RUN_2.day)
 
-    files_after = [f for f in os.listdir(day_dir) if f.endswith(".parquet")]
+    files_after = listed()
     after = {r[0]: r[1] for r in P.read_bronze(spark, layout).groupBy(S.RUN_ID).count().collect()}
     assert after == before  # both days intact, nothing lost or doubled
     assert len(files_after) == written < len(files_before)
@@ -202,3 +206,57 @@ def test_a_run_compacts_a_fragmented_day(spark, tmp_dir):
     P.run_all(spark, layout, FD.RUN_1, 1, bronze_rows=rows.limit(10))
     assert P.read_bronze(spark, layout).count() == rows.count() + 10
     assert len(P.read_bronze(spark, layout).inputFiles()) < 5
+
+
+def test_appends_may_be_repeated(spark, tmp_dir):
+    layout = P.new_layout(spark, tmp_dir, namespace="again_")
+    feed = FD.names_feed(spark, SF0001)
+    landing = f"{tmp_dir}/landing/{FD.FILE_1}"
+    FS.write_landing(FD.landing_rows(FD.run_rows(feed, FD.RUN_1)), landing)
+    for _ in range(2):
+        P.landing_to_bronze(spark, layout, FD.RUN_1, landing)
+        P.bronze_to_silver(spark, layout, FD.RUN_1, None, 1)
+    rows = FD.run_rows(feed, FD.RUN_1).count()
+    once = P.read_errors(spark, layout)
+    assert P.read_bronze(spark, layout).count() == rows
+    assert once.count() == once.distinct().count() > 0
+    assert spark.read.table("again_bronze.new_york_baby_names").count() == rows
+    # Compaction keeps the batches apart, so that a batch can still be repeated.
+    P.compact_day(spark, layout, FD.RUN_1.day)
+    P.landing_to_bronze(spark, layout, FD.RUN_1, landing)
+    assert P.read_bronze(spark, layout).count() == rows
+
+
+def test_a_failed_run_resumes_where_it_failed(spark, tmp_dir, monkeypatch):
+    layout = P.new_layout(spark, tmp_dir, namespace="resume_")
+    feed = FD.names_feed(spark, SF0001)
+    P.run_all(spark, layout, FD.RUN_1, 1, bronze_rows=FD.run_rows(feed, FD.RUN_1))
+    second = FD.run_rows(feed, FD.RUN_2)
+    begun, step = [], P.bronze_to_silver
+    monkeypatch.setattr(P, "bronze_to_silver", lambda *a: begun.append("silver") or step(*a))
+    fact_rows = P.G.fact_rows
+
+    def broken(*args):
+        raise RuntimeError("lost")
+
+    monkeypatch.setattr(P.G, "fact_rows", broken)
+    with pytest.raises(RuntimeError, match="lost"):
+        P.run_all(spark, layout, FD.RUN_2, 2, bronze_rows=second)
+    assert set(P.completed_steps(spark, layout, FD.RUN_2, 2)) == {"append_bronze", "bronze_to_silver"}
+    monkeypatch.setattr(P.G, "fact_rows", fact_rows)
+    for _ in range(2):  # the second time nothing is left to do
+        reports = P.run_all(spark, layout, FD.RUN_2, 2, bronze_rows=second)
+        assert [r.step for r in reports] == ["append_bronze", "bronze_to_silver", "silver_to_gold",
+                                             "gold_to_mart"]
+    assert begun == ["silver"]
+    from lakestar.plans.scenario import Scenario
+
+    straight = Scenario.of(spark, SF0001)
+    for found, expected in (
+            (P.read_bronze(spark, layout), straight.bronze()), (P.read_errors(spark, layout), straight.errors()),
+            (P.read_silver(spark, layout, 2), straight.silver(2)),
+            (P.read_mart(spark, layout, "fact", 2), straight.mart("fact", 2)),
+            (P.read_audit(spark, layout), P.read_audit(spark, straight.layout))):
+        assert found.exceptAll(expected).isEmpty() and expected.exceptAll(found).isEmpty()
+    metrics = P.read_history(spark, layout).where("table = 'silver' and version = 2").first().metrics
+    assert int(metrics["numTargetRowsInserted"]) == reports[1].metrics["inserted"]
