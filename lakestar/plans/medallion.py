@@ -644,8 +644,10 @@ def _operations(report: StepReport) -> list[tuple[str, str, dict]]:
 
 def read_history(spark: SparkSession, layout: Layout) -> DataFrame:
     """One row per table and version: the operation that wrote it and its metrics by name."""
-    return spark.read.schema(HISTORY_SCHEMA).parquet(layout.history)
+    return spark.read.schema(HISTORY_SCHEMA).parquet(layout.history).select(
+        "table", "version", "run_id", "operation", "metrics")
 
 
 def read_audit(spark: SparkSession, layout: Layout) -> DataFrame:
-    return spark.read.schema(AUDIT_SCHEMA).parquet(layout.audit)
+    columns = [c.split()[0] for c in AUDIT_SCHEMA.split(", ")]
+    return spark.read.schema(AUDIT_SCHEMA).parquet(layout.audit).select(*columns)
