@@ -34,6 +34,9 @@ FOLDS, HELD_FOLD = 5, 0
 SAMPLE_DOCS, ROUNDS = 3000, 3
 #: Added to a piece's expected count; probability of a character that is no piece.
 SMOOTHING, UNKNOWN = 0.05, 1e-7
+#: Factor of each letter in the sums, a power of two, so that it changes no digit: with words of
+#: 41 letters no sum leaves the range of doubles while pieces have probabilities above 1e-13.
+SCALE = 2.0 ** 20
 LONGEST_WORD = 40
 #: Words whose likelihoods a worker keeps (speed only, not results).
 MEMO = 400_000
@@ -116,12 +119,15 @@ class Model:
     probs: np.ndarray
 
     def step(self, i: int, j: int, ids: np.ndarray) -> np.ndarray:
-        """Probability of the span from i to j as one piece, for each word and language."""
+        """Probability of the span from i to j as one piece, times ``SCALE`` for each letter."""
         p = self.probs[ids]
-        return np.where((ids == len(self.probs) - 1)[:, None], UNKNOWN, p) if j == i + 1 else p
+        if j == i + 1:
+            p = np.where((ids == len(self.probs) - 1)[:, None], UNKNOWN, p)
+        return p * SCALE ** (j - i)
 
     def forward(self, pieces: Pieces, words: list[str], length: int):
-        """Forward sums [position, word, language] and the lattice they ran over."""
+        """Forward sums [position, word, language], times ``SCALE`` for each letter passed, and
+        the lattice they ran over."""
         sums = np.zeros((length + 1, len(words), len(self.languages)))
         sums[0] = 1.0
         lattice = list(pieces.lattice(words, length))
@@ -136,7 +142,7 @@ class Model:
             for block in range(0, len(at), 4096):
                 rows = at[block:block + 4096]
                 sums, _ = self.forward(pieces, [_START + words[r] for r in rows], length + 1)
-                out[rows] = np.log(sums[-1])
+                out[rows] = np.log(sums[-1]) - (length + 1) * np.log(SCALE)
         return out
 
     def expected_counts(self, pieces: Pieces, words: list[str], n: np.ndarray) -> np.ndarray:

@@ -78,6 +78,26 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(found, [every("▁" + w) for w in words])
 
 
+@pytest.mark.parametrize("total", [1e7, 1e8, 1e10])
+def test_long_words_of_rare_letters_keep_their_likelihood(total):
+    pieces = language_id._pieces(PIECES)
+    rare = language_id.SMOOTHING / total
+    probs = np.full((pieces.size + 1, 2), 1.0 / pieces.size)
+    probs[:, 0] = rare
+    probs[-1] = 0.0
+    model = language_id.Model(["x", "y"], np.zeros(2), probs)
+    words = ["法" * 40, "щ" * 40, "a" * 40, "a"]
+    logs = model.log_likelihoods(pieces, words)
+    assert np.isfinite(logs).all()
+    # At least the segmentation into single letters; at most all segmentations of likeliest pieces.
+    letters = 41 * np.log(min(rare, language_id.UNKNOWN))
+    assert (logs[:3, 0] >= letters - 1e-6).all() and (logs <= 41 * np.log(2)).all()
+    counts = model.expected_counts(pieces, words, np.ones((4, 2)))
+    assert np.isfinite(counts).all() and (counts >= 0).all()
+    _, scores = language_id.Scorer(pieces, model).score(words)
+    assert all(0 <= x <= 1 for x in scores)
+
+
 def test_held_out_languages(spark, duck):
     rows = queries.op2_language_unigrams(spark, DATA).collect()
     truth = dict(duck.execute("select doc_id, lang from documents").fetchall())
