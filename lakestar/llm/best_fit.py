@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakestar.llm.common import batches, id_and_text, ship, stored
@@ -45,8 +45,8 @@ CAPACITY, END = 2048, 0
 _SPLIT = (r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Units whose ids a worker keeps, in each of two generations (speed only, not results).
 MEMO = 250_000
-#: Up to so many intervals are broadcast (a few MB); beyond, the join shuffles.
-BROADCAST_INTERVALS = 200_000
+#: Ranks of one length are joined to their intervals in blocks of so many, so no length is hot.
+RANK_BLOCK = 1 << 16
 
 # White space as Unicode has it (Python's \s also takes U+001C..U+001F).
 _W = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -207,6 +207,10 @@ def intervals(waiting: dict[int, int], capacity: int = CAPACITY) -> list[tuple[i
     return out
 
 
+def _block(rank: str, add: int = 0) -> Column:
+    return F.floor((F.col(rank) + add) / RANK_BLOCK)
+
+
 def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``rows`` (with length, and task and nth as :func:`pieces` numbers them) with
     sequence_id and offset."""
@@ -214,18 +218,18 @@ def place(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     counts = stored(rows.groupBy("length", "task").agg(F.count("*").alias("n")), "best_fit")
     sizes = counts.groupBy("length").agg(F.sum("n").alias("n")).collect()  # <= capacity rows
     plan = intervals({r["length"]: r["n"] for r in sizes}, capacity)
-    table = spark.createDataFrame(
-        plan, "of long, first long, end long, sequence long, offset long")
-    if len(plan) <= BROADCAST_INTERVALS:
-        table = F.broadcast(table)
+    # A written table has a known size, so the planner decides whether it is broadcast.
+    table = stored(spark.createDataFrame(
+        plan, "of long, first long, end long, sequence long, offset long").withColumn(
+        "block", F.explode(F.sequence(_block("first"), _block("end", -1)))), "best_fit")
     before = Window.partitionBy("length").orderBy("task").rowsBetween(
         Window.unboundedPreceding, -1)
     dealt = counts.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
     ranked = rows.join(dealt, ["length", "task"]).withColumn("rank", F.col("skip") + F.col("nth"))
-    return ranked.join(table, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("first"))
-                       & (F.col("rank") < F.col("end"))).withColumn(
+    return ranked.join(table, (F.col("length") == F.col("of")) & (_block("rank") == F.col("block"))
+                       & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end"))).withColumn(
         "sequence_id", F.col("sequence") + F.col("rank") - F.col("first")).drop(
-        "task", "nth", "skip", "rank", "of", "first", "end", "sequence")
+        "task", "nth", "skip", "rank", "of", "first", "end", "sequence", "block")
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:

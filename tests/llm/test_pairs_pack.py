@@ -208,8 +208,9 @@ def packed(spark, sizes, capacity):
     return len(ends)
 
 
-@pytest.mark.parametrize("low,high", [(1, 64), (1, 12), (20, 30), (9, 9)])
-def test_placement_is_sequential_best_fit_decreasing(spark, low, high):
+@pytest.mark.parametrize("low,high,block", [(1, 64, 1 << 16), (1, 12, 7), (20, 30, 1), (9, 9, 64)])
+def test_placement_is_sequential_best_fit_decreasing(spark, monkeypatch, low, high, block):
+    monkeypatch.setattr(best_fit, "RANK_BLOCK", block)
     rng = random.Random(low)
     sizes = [rng.randint(low, high) for _ in range(300)]
     assert packed(spark, sizes, 64) == bfd(sizes, 64)
