@@ -36,8 +36,9 @@ from lakestar.llm.common import stored
 BUCKETS, SMOOTHING, EVIDENCE = 2048, 0.5, 60.0
 #: Learning: at most so many labelled documents (lowest id hashes).
 SAMPLE_DOCS = 4000
-#: Rounds at most, and the residual (share of all tokens) that ends them.
-ROUNDS, TOLERANCE = 30, 5e-4
+#: Rounds at most; the residual (share of all tokens) that ends them, and the change of the
+#: domains' sums in a round (share of all tokens) that does.
+ROUNDS, TOLERANCE, STATIONARY = 60, 5e-4, 1e-4
 #: Target share of tokens for each domain of the labelled table.
 TARGETS = {"high": 0.92, "low": 0.06, "toxic": 0.02}
 
@@ -139,14 +140,26 @@ class Mix:
     targets: list[float]
     reached: list[float]
 
+    def residuals(self) -> list[float]:
+        """Reached minus target sum of each domain, as a share of all tokens."""
+        total = sum(self.targets)
+        return [(a - b) / total if total else 0.0
+                for a, b in zip(self.reached, self.targets, strict=True)]
+
     def rated(self) -> DataFrame:
         """row, tokens, p and rate."""
         return self.rows.withColumn("rate", rate(F.col("p"), self.history))
 
 
 def solve(memberships: DataFrame, shares: list[float], rounds: int = ROUNDS,
-          tolerance: float = TOLERANCE) -> tuple[list[list[float]], list[float], list[float]]:
-    """Projected-gradient rounds over (tokens, p): history of steps, targets, reached sums."""
+          tolerance: float = TOLERANCE, stationary: float = STATIONARY
+          ) -> tuple[list[list[float]], list[float], list[float]]:
+    """Projected-gradient rounds over (tokens, p): history of steps, targets, reached sums.
+
+    The rounds end when the targets are met, when a round hardly moves a sum, or after
+    ``rounds``.  Targets that overlapping posteriors put out of reach are approached ever more
+    slowly; what is left of the gap is the residual.
+    """
     n = len(shares)
 
     def sums(r: Column) -> list[float]:
@@ -159,13 +172,14 @@ def solve(memberships: DataFrame, shares: list[float], rounds: int = ROUNDS,
     total = sum(natural)
     targets = [s / sum(shares) * total for s in shares]
     history: list[list[float]] = []
-    reached = natural
-    while len(history) < rounds:
+    reached, moved = natural, math.inf
+    while total and len(history) < rounds:
         gaps = [a - b for a, b in zip(reached, targets, strict=True)]
-        if total == 0 or max(map(abs, gaps)) <= tolerance * total:
+        if max(map(abs, gaps)) <= tolerance * total or moved <= stationary * total:
             break
         history.append([g / m if m > 0 else 0.0 for g, m in zip(gaps, natural, strict=True)])
-        reached = sums(rate(F.col("p"), history))
+        before, reached = reached, sums(rate(F.col("p"), history))
+        moved = max(abs(a - b) for a, b in zip(reached, before, strict=True))
     return history, targets, reached
 
 
@@ -186,11 +200,14 @@ def fit(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
 
 def mix_rates(docs: DataFrame, labels: DataFrame,
               targets: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, one p_<domain> each, and rate, for every row of ``docs``."""
+    """doc_id, n_tokens, one p_<domain> each, rate, and one residual_<domain> each (the same in
+    all rows: reached minus target tokens, as a share of all), for every row of ``docs``."""
     mix = fit(docs, labels, targets, ["doc_id"])
     return mix.rated().select(
         "row.doc_id", F.col("tokens").alias("n_tokens"),
-        *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(mix.domains)], "rate")
+        *[F.col("p")[d].alias(f"p_{name}") for d, name in enumerate(mix.domains)], "rate",
+        *[F.lit(gap).alias(f"residual_{name}")
+          for name, gap in zip(mix.domains, mix.residuals(), strict=True)])
 
 
 def mixed(docs: DataFrame, labels: DataFrame,

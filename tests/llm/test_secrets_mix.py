@@ -110,6 +110,31 @@ def test_targets_are_met_and_rates_follow_the_projected_steps(spark):
         assert abs(sum(r.tokens * r.p[d] * r.rate for r in rows) - mix.reached[d]) < 1e-6 * total
 
 
+def test_targets_out_of_reach_approach_a_stationary_point(spark):
+    rows = [(10, [0.6, 0.4]), (20, [0.7, 0.3]), (0, [0.5, 0.5]), (5, [0.65, 0.35])] * 3
+    frame = spark.createDataFrame(rows, "tokens long, p array<double>")
+    history, targets, reached = soft_mix.solve(frame, [0.1, 0.9], 400, stationary=1e-6)
+    total = sum(targets)
+    gaps = [a - b for a, b in zip(reached, targets, strict=True)]
+    assert max(map(abs, gaps)) > soft_mix.TOLERANCE * total  # no rates reach them
+    natural = [sum(t * p[d] for t, p in rows) for d in range(2)]
+    rates = [r.rate for r in frame.select(soft_mix.rate(frame["p"], history).alias("rate")).collect()]
+    for (t, p), r in zip(rows, rates, strict=True):
+        slope = sum(x * g / n for x, g, n in zip(p, gaps, natural, strict=True))
+        # One more projected step would not move a document that has tokens.
+        assert t == 0 or abs(max(0.0, r - slope) - r) < 1e-3
+
+
+def test_rates_carry_the_residuals(spark):
+    docs, labels = labelled(spark)
+    targets = {"high": 0.5, "low": 0.3, "toxic": 0.2}
+    rows = soft_mix.mix_rates(docs, labels, targets).collect()
+    total = sum(r.n_tokens for r in rows)
+    for name, share in targets.items():
+        found = sum(r.n_tokens * r[f"p_{name}"] * r.rate for r in rows) / total - share
+        assert {round(r[f"residual_{name}"], 6) for r in rows} == {round(found, 6)}
+
+
 def test_posteriors_equal_brute_force(spark):
     import math
 
