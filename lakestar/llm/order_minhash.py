@@ -42,10 +42,11 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: Shingles of a sketch, sketches of a text: a pair at similarity 0.8 is missed by all
 #: sketches with probability (1 - 0.8 ** 3) ** 16, about 1e-5.
 PICKS, SKETCHES = 3, 16
-#: Rounds of elections that always run; further ones run while a round links more than one in
-#: ``SETTLED`` of the candidate texts (all pairs that they leave are compared afterwards).
+#: Rounds of elections that always run; further ones run while a round links at least one in
+#: ``YIELD`` of the pairs it tests.  Below that most members are unlike their centres, and all
+#: pairs that the rounds leave are compared by parities instead, which is exact and cheaper.
 #: Sketch numbers that the first round reads; centres that a bucket elects in the third and on.
-LEAST_ROUNDS, SETTLED, OPENING, SLOTS = 2, 100, 4, 2
+LEAST_ROUNDS, YIELD, OPENING, SLOTS = 2, 4, 4, 2
 #: Members of a bucket that are compared in one block; words of a text's shingle parities.
 BLOCK, PARITIES = 1024, 16
 
@@ -408,16 +409,15 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = _members(texts)
     words = stored(_words_of(docs, texts.select("key", "doc_id").join(
         members.select("key").distinct(), "key")), "near")
-    candidates = words.count()
     links = labels = tested = None
-    turn, added = 1, candidates
-    while candidates:
+    turn, asked, added = 1, 0, 0
+    while not words.isEmpty():
         if turn == 1:
             # Texts alike in some sketches mostly are in the others, and meet there in one class.
             held = _open(members.where(F.col("nth") < OPENING), labels)
         else:
             members = held = _open(members, labels)
-        last = turn > LEAST_ROUNDS and added * SETTLED <= candidates
+        last = turn > LEAST_ROUNDS and added * YIELD < max(asked, 1)
         if last:
             pairs = _left(held, words)
         else:
@@ -430,7 +430,7 @@ def _classified(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         pairs = stored(pairs, "near")
         fresh = stored(_verified(pairs, words), "near")
         tested, links = _and(tested, pairs), _and(links, fresh)
-        added = fresh.count()
+        asked, added = pairs.count(), fresh.count()
         if added:
             labels = _merged(labels, fresh)
         if last:
