@@ -70,6 +70,26 @@ def scan_csv(spark, sf_dir):
     return FS.read_landing(spark, path)
 
 
+@query
+def scan_csv_inferred(spark, sf_dir):
+    """Landing CSV scanned with inferred types, brought to the declared schema."""
+    path = fresh_workspace(spark, "scan_inferred")
+    FS.write_landing(FD.landing_rows(FD.names_feed(spark, sf_dir)), path)
+    return FS.reconciled(FS.read_landing(spark, path, infer=True), S.LANDING_SCHEMA)
+
+
+@query
+def rescued_values(spark, sf_dir):
+    """Landing CSV whose counts of every fifth year do not parse: their raw text is kept."""
+    path = fresh_workspace(spark, "rescued")
+    rows = FD.landing_rows(FD.names_feed(spark, sf_dir))
+    spoiled = F.when(F.col("year") % 5 == 0, F.concat(F.lit("~"), F.col(S.MEASURE_RAW)))
+    FS.write_landing(rows.withColumn(S.MEASURE_RAW, F.coalesce(
+        spoiled, F.col(S.MEASURE_RAW).cast("string"))), path)
+    return FS.read_landing_rescued(spark, path).select(
+        *S.LANDING_COLUMNS, F.col(FS.RESCUED)[S.MEASURE_RAW].alias("raw_count"))
+
+
 @query
 def scan_table(spark, sf_dir):
     """Whole bronze table through its catalog name (external table over the folder)."""
@@ -190,9 +210,9 @@ def rename_measure(spark, sf_dir):
 
 @query
 def unknown_member(spark, sf_dir):
-    """Second-run silver rows looked up in the first-run dimensions; misses get -1."""
+    """All silver rows looked up in the first-run dimensions; misses get -1."""
     sc = _sc(spark, sf_dir)
-    rows = sc.silver_day(2, FD.RUN_2)
+    rows = sc.silver(2)
     return G.lookup_sids(rows, sc.gold_dims(1)).select(
         *S.NATURAL_KEY, "nameSid", "yearSid", "locationSid", S.MEASURE, S.RUN_ID, S.PROCESSING_DATE
     )
@@ -233,9 +253,9 @@ def quarantine(spark, sf_dir):
 
 @query
 def fk_orphans(spark, sf_dir):
-    """Fact rows of run 2 against the run-1 dimensions: orphans per foreign key."""
+    """All of silver as fact rows against the run-1 dimensions: orphans per foreign key."""
     sc = _sc(spark, sf_dir)
-    facts = G.lookup_sids(sc.silver_day(2, FD.RUN_2), sc.gold_dims(1))
+    facts = G.lookup_sids(sc.silver(2), sc.gold_dims(1))
     return M.fk_orphans(facts, sc.gold_dims(1))
 
 
@@ -276,9 +296,11 @@ def _both_versions(sc: Scenario, table: str) -> DataFrame:
 
 @query
 def mart_dedup_distinct(spark, sf_dir):
-    """Distinct mart rows over both versions of the names dimension."""
+    """Distinct mart rows over both versions of each dimension, stacked."""
     sc = _sc(spark, sf_dir)
-    return M.mart_source(_both_versions(sc, "dim_names"), "dim_names", dedup="distinct")
+    parts = [M.mart_source(_both_versions(sc, spec.name), spec.name, dedup="distinct")
+             .withColumn("dim", F.lit(spec.name)) for spec in G.DIMS]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 @query

@@ -309,6 +309,12 @@ BRONZE = (LANDING + ", _processing_date, _pipeline_run_id, _input_filename, "
 
 # Sources and sinks
 oracle("scan_csv", f"SELECT {LANDING} FROM feed")
+oracle("scan_csv_inferred", f"SELECT {LANDING} FROM feed")
+oracle("rescued_values", """
+SELECT year, first_name, county, sex, CASE WHEN year % 5 = 0 THEN NULL ELSE name_count END AS name_count,
+       CASE WHEN year % 5 = 0 AND name_count IS NOT NULL THEN '~' || name_count::VARCHAR END AS raw_count
+FROM feed
+""")
 oracle("scan_table", f"SELECT {BRONZE} FROM feed")
 oracle("file_lineage", f"SELECT {LANDING}, _input_filename AS landing_file, TRUE AS has_file_time "
        "FROM feed")
@@ -333,7 +339,7 @@ oracle("unknown_member", """
 SELECT x.year, x.first_name, x.county, x.sex, coalesce(n.sid, -1) AS nameSid,
        coalesce(y.sid, -1) AS yearSid, coalesce(l.sid, -1) AS locationSid,
        x."count", x._pipeline_run_id, x._processing_date
-FROM silver2_d2 x
+FROM silver2 x
 LEFT JOIN dim_names_v1 n ON x.first_name = n.first_name AND x.sex = n.sex
 LEFT JOIN dim_years_v1 y ON x.year = y.year
 LEFT JOIN dim_locations_v1 l ON x.county = l.county
@@ -352,7 +358,7 @@ oracle("lookup_location_sid", "SELECT s.*, l.sid AS locationSid FROM silver2 s "
 oracle("quarantine", "SELECT * FROM err1 UNION ALL SELECT * FROM err2")
 _FK = ("nameSid", "dim_names", "dim_names_v1"), ("yearSid", "dim_years", "dim_years_v1"), \
       ("locationSid", "dim_locations", "dim_locations_v1")
-cte("fk_facts", fact_rows("silver2_d2", "v1"))
+cte("fk_facts", fact_rows("silver2", "v1"))
 oracle("fk_orphans", "\nUNION ALL\n".join(
     f"SELECT '{fk}' AS fk_column, '{dim}' AS dim_table, count(*) AS orphan_rows FROM fk_facts f "
     f"WHERE f.{fk} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {tbl} d WHERE d.sid = f.{fk})" for fk, dim, tbl in _FK))
@@ -367,8 +373,9 @@ oracle("dedup_names", "SELECT * FROM dnames_all_delta")
 oracle("dedup_years", "SELECT * FROM dyears_all_delta")
 oracle("dedup_locations", "SELECT * FROM dlocations_all_delta")
 oracle("dedup_fact", f"SELECT * FROM ({fact_delta('fact_rows_all')})")
-oracle("mart_dedup_distinct", "SELECT DISTINCT * FROM (SELECT * FROM mart_names_v1_core "
-       "UNION ALL SELECT * FROM mart_names_src2)")
+oracle("mart_dedup_distinct", "\nUNION ALL BY NAME\n".join(
+    f"SELECT DISTINCT *, 'dim_{_t}' AS dim FROM (SELECT * FROM mart_{_t}_v1_core "
+    f"UNION ALL SELECT * FROM mart_{_t}_src2)" for _t in ("names", "years", "locations")))
 oracle("pk_violations", "SELECT sid, count(*) AS n_rows FROM (SELECT DISTINCT * FROM "
        "(SELECT * FROM mart_fact_v1_core UNION ALL SELECT * FROM mart_fact_src2)) "
        "GROUP BY sid HAVING count(*) > 1")

@@ -13,6 +13,8 @@ from lakestar.functions.dates import RunContext
 
 # Landing file format (comma, double quote, backslash escape, header row).
 CSV_OPTIONS = {"header": "true", "sep": ",", "quote": '"', "escape": "\\"}
+#: Where a scan keeps a line with a value that does not parse, and the raw texts of such values.
+_CORRUPT, RESCUED = "__corrupt_line", "_rescued"
 
 
 def read_landing(
@@ -37,6 +39,52 @@ def read_landing(
     return reader.csv(path)
 
 
+def read_landing_rescued(spark: SparkSession, path: str,
+                         schema: T.StructType = S.LANDING_SCHEMA) -> DataFrame:
+    """Scan a landing CSV and keep the raw text of values that do not parse.
+
+    The declared columns, null where a value does not parse, and ``_rescued``: a map from column
+    name to the raw text of such values (null on rows without any).
+    """
+    if _CORRUPT in schema.fieldNames() or RESCUED in schema.fieldNames():
+        raise ValueError(f"a landing schema cannot hold {_CORRUPT} or {RESCUED}")
+    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    rows = (spark.read.options(**CSV_OPTIONS).option("mode", "PERMISSIVE")
+            .option("columnNameOfCorruptRecord", _CORRUPT).option("enforceSchema", "false")
+            .schema(T.StructType([*schema, T.StructField(_CORRUPT, T.StringType())])).csv(path))
+    raw = F.from_csv(F.col(_CORRUPT), texts.toDDL(),
+                     {k: v for k, v in CSV_OPTIONS.items() if k != "header"})
+    pairs = [F.struct(F.lit(f.name).alias("key"), F.col("__raw")[f.name].alias("value"))
+             for f in schema]
+    lost = F.filter(F.array(*[
+        F.when(F.col(f"`{f.name}`").isNull() & F.col("__raw")[f.name].isNotNull(), pair)
+        for f, pair in zip(schema, pairs, strict=True)]), lambda x: x.isNotNull())
+    return rows.withColumn("__raw", raw).withColumn(
+        RESCUED, F.when(F.col(_CORRUPT).isNotNull(), F.map_from_entries(lost))).select(
+        *(F.col(f"`{c}`") for c in schema.fieldNames()), RESCUED)
+
+
+def reconciled(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df``, of whatever inferred types, as the declared columns in the declared order.
+
+    A missing column is null, an extra one is left out (:func:`schema_differences` lists both),
+    and a value that does not fit the declared type is null.
+    """
+    return df.select(*[
+        (F.col(f"`{f.name}`").try_cast(f.dataType) if f.name in df.columns
+         else F.lit(None).cast(f.dataType)).alias(f.name) for f in schema])
+
+
+def schema_differences(found: T.StructType, declared: T.StructType) -> list[tuple[str, str]]:
+    """(column, ``missing`` | ``extra`` | ``<found type> for <declared type>``) where they differ."""
+    types = {f.name: f.dataType.simpleString() for f in found}
+    wanted = {f.name: f.dataType.simpleString() for f in declared}
+    return ([(c, "missing") for c in wanted if c not in types]
+            + [(c, "extra") for c in types if c not in wanted]
+            + [(c, f"{types[c]} for {t}") for c, t in wanted.items()
+               if c in types and types[c] != t])
+
+
 def require_columns(df: DataFrame, columns: tuple[str, ...] = S.LANDING_COLUMNS) -> DataFrame:
     missing = [c for c in columns if c not in df.columns]
     if missing:

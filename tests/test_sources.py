@@ -83,3 +83,26 @@ def test_snapshot_rewrite_is_idempotent(spark, tmp_dir):
     TB.write_snapshot(df, tmp_dir, 1)
     TB.write_snapshot(df, tmp_dir, 1)
     assert TB.read_snapshot(spark, tmp_dir, 1).count() == 3
+
+
+def test_values_that_do_not_parse_keep_their_raw_text(spark, tmp_path):
+    path = tmp_path / "landing.csv"
+    path.write_text('year,first_name,county,sex,name_count\n"2001","a \\"b\\", c","x","F","12"\n'
+                    '"n/a","d","y","M","1,5"\n"2003","e","","F",""\n')
+    rows = sorted(FS.read_landing_rescued(spark, str(path)).collect(), key=lambda r: r.first_name)
+    assert [(r.year, r.first_name, r.name_count) for r in rows] == [
+        (2001, 'a "b", c', 12), (None, "d", None), (2003, "e", None)]
+    assert [r[FS.RESCUED] for r in rows] == [None, {"year": "n/a", "name_count": "1,5"}, None]
+
+
+def test_inferred_columns_are_brought_to_the_declared_schema(spark):
+    found = spark.createDataFrame([("2001", 7.0, "more"), ("x", 8.0, None)],
+                                  "year string, name_count double, other string")
+    rows = FS.reconciled(found, S.LANDING_SCHEMA)
+    assert [(f.name, f.dataType) for f in rows.schema] == [
+        (f.name, f.dataType) for f in S.LANDING_SCHEMA]
+    assert [tuple(r) for r in rows.collect()] == [(2001, None, None, None, 7),
+                                                  (None, None, None, None, 8)]
+    assert FS.schema_differences(found.schema, S.LANDING_SCHEMA) == [
+        ("first_name", "missing"), ("county", "missing"), ("sex", "missing"), ("other", "extra"),
+        ("year", "string for int"), ("name_count", "double for int")]
