@@ -1,12 +1,17 @@
-"""Small-file compaction."""
+"""Small-file compaction, and when a table is due for it."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Operation of a compaction in the history of tables.
+COMPACT = "COMPACT"
+#: Fixed value: a table is left alone while one of its last 30 operations was a compaction.
+RECENT_OPERATIONS = 30
+
 
 def compacted(df: DataFrame, num_files: int, cluster_by: Sequence[str]) -> DataFrame:
     """``df`` laid out as ``num_files`` range-clustered, sorted partitions.
@@ -39,3 +44,29 @@ def input_bytes_of(files: DataFrame) -> int:
     """Total of ``(file_path, file_size)`` rows, each file counted once."""
     row = files.toDF("p", "b").distinct().agg(F.coalesce(F.sum("b"), F.lit(0)).alias("b")).first()
     return int(row["b"])
+
+
+def compaction_due(history: DataFrame, recent: int = RECENT_OPERATIONS) -> DataFrame:
+    """Per table of a history: what happened since its last compaction, and whether one is due.
+
+    ``operations`` and ``rows_since`` (read from the map of metrics) count what was written after
+    the version that was last compacted (null: never); a compaction is the last operation of its
+    version.  ``due``: none of the last ``recent`` operations was a compaction.
+    """
+    compacts = F.col("operation") == COMPACT
+    last = F.max(F.when(compacts, F.col("version"))).over(Window.partitionBy("table"))
+    later = ~compacts & (F.col("version") > F.coalesce(F.col("compacted_version"), F.lit(-1)))
+    rows = F.col("metrics")["numOutputRows"].cast("long")
+    return (history.withColumn("compacted_version", last)
+            .groupBy("table", "compacted_version")
+            .agg(F.count_if(later).alias("operations"),
+                 F.coalesce(F.sum(F.when(later, rows)), F.lit(0)).alias("rows_since"))
+            .withColumn("due", F.col("compacted_version").isNull()
+                        | (F.col("operations") >= int(recent))))
+
+
+def fragmented(files: DataFrame, least_files: int, file_bytes: int = 256 << 20) -> DataFrame:
+    """Of ``(day, length)`` rows, one per file: the days with many more files than bytes need."""
+    need = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(int(file_bytes))))
+    return (files.groupBy("day").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
+            .where((F.col("files") >= int(least_files)) & (F.col("files") > 2 * need)))

@@ -604,6 +604,43 @@ def table_history(spark, sf_dir):
     metric = F.col("metrics")
     named = {"output_rows": "numOutputRows", "inserted": "numTargetRowsInserted",
              "updated": "numTargetRowsUpdated", "copied": "numTargetRowsCopied"}
-    return P.read_history(spark, _sc(spark, sf_dir).layout).select(
+    written = P.read_history(spark, _sc(spark, sf_dir).layout).where(
+        F.col("operation") != MT.COMPACT)
+    return written.select(
         "table", "version", "operation",
         *(metric[key].cast("long").alias(name) for name, key in named.items()))
+
+
+@query
+def compaction_due(spark, sf_dir):
+    """Guard of the compaction by recent operations (here 3): bronze appended six times and
+    compacted after the first run, all other tables as the two-run history left them."""
+    feed = FD.names_feed(spark, sf_dir)
+    layout = P.Layout(fresh_workspace(spark, "compaction_due"), namespace="due_")
+    version = 0
+    for ctx in FD.RUNS:
+        for part in ("year % 2 = 0", "year % 2 = 1", "year is null"):
+            version += 1
+            appended = P.append_bronze(FD.run_rows(feed, ctx).where(part), layout)
+            P.record_run(spark, layout, ctx, version, [P.StepReport("append_bronze", appended)])
+        if ctx is FD.RUN_1:
+            P.compact_days(spark, layout, ctx, version, "bronze", [ctx.day])
+    others = P.read_history(spark, _sc(spark, sf_dir).layout).where(
+        ~F.col("table").isin("bronze", "errors"))
+    return MT.compaction_due(P.read_history(spark, layout).unionByName(others), recent=3)
+
+
+@query
+def run_errors_rescued(spark, sf_dir):
+    """Errors of a landing file whose counts of every fifth year do not parse, with raw texts."""
+    layout = P.new_layout(spark, fresh_workspace(spark, "errors_rescued"), namespace="rescued_")
+    rows = FD.landing_rows(FD.run_rows(FD.names_feed(spark, sf_dir), FD.RUN_1))
+    spoiled = F.when(F.col("year") % 5 == 0, F.concat(F.lit("~"), F.col(S.MEASURE_RAW)))
+    path = layout.landing(FD.FILE_1)
+    FS.write_landing(rows.withColumn(S.MEASURE_RAW, F.coalesce(
+        spoiled, F.col(S.MEASURE_RAW).cast("string"))), path)
+    P.landing_to_bronze(spark, layout, FD.RUN_1, path)
+    P.bronze_to_silver(spark, layout, FD.RUN_1, None, 1)
+    raw = F.col(FS.RESCUED)[S.MEASURE_RAW]
+    return P.read_rescued_errors(spark, layout).where(raw.isNotNull()).select(
+        *S.NATURAL_KEY, S.MEASURE, raw.alias("raw_count")).distinct()

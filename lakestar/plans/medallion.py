@@ -52,6 +52,10 @@ SILVER_SCHEMA = T.StructType(
     [T.StructField(S.MEASURE if f.name == S.MEASURE_RAW else f.name, f.dataType)
      for f in S.BRONZE_SCHEMA.fields]
 )
+#: Bronze and errors files also keep the raw texts (JSON by column) of values that did not parse.
+_RAW_TEXTS = T.StructField(FS.RESCUED, T.StringType())
+BRONZE_STORED = T.StructType([*S.BRONZE_SCHEMA, _RAW_TEXTS])
+ERRORS_STORED = T.StructType([*SILVER_SCHEMA, _RAW_TEXTS])
 GOLD_SCHEMAS = {spec.name: spec.schema for spec in G.DIMS + (G.FACT,)}
 GOLD_TABLES = tuple(GOLD_SCHEMAS)
 
@@ -197,7 +201,8 @@ def _counted(df: DataFrame) -> tuple[DataFrame, Observation]:
 # ---------------------------------------------------------------------------
 def landing_to_bronze(spark: SparkSession, layout: Layout, ctx: RunContext,
                       landing_path: str) -> StepReport:
-    rows = FS.require_columns(FS.read_landing(spark, landing_path))
+    rows = FS.require_columns(FS.read_landing_rescued(spark, landing_path))
+    rows = rows.withColumn(FS.RESCUED, F.to_json(FS.RESCUED))
     bronze = FS.with_audit(FS.with_file_lineage(rows), ctx)
     # The landing file of a run is one batch: a second attempt replaces the first one's rows.
     name = landing_path.rstrip("/").rsplit("/", 1)[-1]
@@ -207,9 +212,11 @@ def landing_to_bronze(spark: SparkSession, layout: Layout, ctx: RunContext,
 def append_bronze(bronze_rows: DataFrame, layout: Layout, batch: str | None = None) -> dict:
     """Append rows that already carry the bronze columns; returns the number appended.
 
-    A named ``batch`` may be appended again: it replaces its own rows.
+    Raw texts of values that did not parse (a JSON column ``_rescued``) are kept if given.  A named ``batch`` may be appended again: it replaces its own rows.
     """
-    rows, obs = _counted(bronze_rows.select(*S.BRONZE_COLUMNS))
+    if FS.RESCUED not in bronze_rows.columns:
+        bronze_rows = bronze_rows.withColumn(FS.RESCUED, F.lit(None).cast("string"))
+    rows, obs = _counted(bronze_rows.select(*BRONZE_STORED.fieldNames()))
     TB.append_by_day(rows, layout.bronze, batch=batch)
     register_bronze(bronze_rows.sparkSession, layout)
     return {"bronze": obs.get["rows"]}
@@ -254,7 +261,7 @@ def publish_version(spark: SparkSession, layout: Layout, name: tuple[str, str],
 def register_errors(spark: SparkSession, layout: Layout) -> str:
     """Declare the errors folder as an external catalog table, for analysts."""
     database, table = S.ERRORS_TABLE
-    return _register(spark, layout, database, table, layout.errors, SILVER_SCHEMA,
+    return _register(spark, layout, database, table, layout.errors, ERRORS_STORED,
                      TB.LOG_PARTITIONS)
 
 
@@ -286,12 +293,14 @@ def silver_merge(current: DataFrame | None, survivors: DataFrame, with_action: b
 
 def bronze_to_silver(spark: SparkSession, layout: Layout, ctx: RunContext,
                      previous: int | None, version: int) -> StepReport:
-    slice_df = Q.rename_measure(TB.read_log_day(spark, layout.bronze, S.BRONZE_SCHEMA, ctx.day))
+    slice_df = Q.rename_measure(TB.read_log_day(spark, layout.bronze, BRONZE_STORED, ctx.day))
     # Survivors feed both the quarantine and the merge: materialise them once.
-    survivors = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
+    kept = cut_lineage(Q.latest_per_key(Q.quality_filter(slice_df)))
+    survivors = kept.drop(FS.RESCUED)
 
     def quarantine() -> dict:
-        errors, obs = _counted(Q.quarantine(slice_df, survivors))
+        # Rows that differ only in the raw text of a bad value are different errors.
+        errors, obs = _counted(Q.quarantine(slice_df, kept))
         TB.append_by_day(errors, layout.errors, batch=ctx.run_id)
         register_errors(spark, layout)
         return {"errors": obs.get["rows"]}
@@ -361,6 +370,12 @@ def read_errors(spark: SparkSession, layout: Layout) -> DataFrame:
     return TB.read_log(spark, layout.errors, SILVER_SCHEMA)
 
 
+def read_rescued_errors(spark: SparkSession, layout: Layout) -> DataFrame:
+    """Errors with the raw texts of the values that did not parse, as a map by column."""
+    raw = F.from_json(FS.RESCUED, "map<string, string>")
+    return TB.read_log(spark, layout.errors, ERRORS_STORED).withColumn(FS.RESCUED, raw)
+
+
 # ---------------------------------------------------------------------------
 # P3: silver -> gold
 # ---------------------------------------------------------------------------
@@ -501,8 +516,8 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     still be appended again.  Refuses when another writer has added files
     meanwhile.  Returns the number of files written.
     """
-    path, schema = {"bronze": (layout.bronze, S.BRONZE_SCHEMA),
-                    "errors": (layout.errors, SILVER_SCHEMA)}[table]
+    path, schema = {"bronze": (layout.bronze, BRONZE_STORED),
+                    "errors": (layout.errors, ERRORS_STORED)}[table]
     day_rows = TB.read_log_partition(spark, path, schema, day)
     before = TB.file_names(day_rows)
     n = MT.target_files(MT.input_bytes(day_rows), file_bytes)
@@ -515,20 +530,34 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     return len(TB.file_names(TB.read_log_partition(spark, path, schema, day)))
 
 
-def compact_if_fragmented(spark: SparkSession, layout: Layout, day, least_files: int = 16) -> dict:
-    """Compact the day's directories of bronze and errors that hold many small files.
+def compact_days(spark: SparkSession, layout: Layout, ctx: RunContext, version: int, table: str,
+                 days: list) -> int:
+    """Compact days of bronze or errors, recorded as the last operation of the table's version."""
+    files = sum(compact_day(spark, layout, day, table) for day in days)
+    row = (table, version, ctx.run_id, MT.COMPACT,
+           {"numDays": str(len(days)), "numAddedFiles": str(files)})
+    _write_of_run(spark, [row], HISTORY_SCHEMA, layout.history,
+                  f"{ctx.run_id}:{MT.COMPACT}:{table}", version)
+    return files
+
 
-    The trigger is the directory's own listing: at least ``least_files`` files, and more than
-    twice as many as its bytes need.  Returns the number of files written per table.
+def compact_if_due(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
+                   least_files: int = 16, recent: int = MT.RECENT_OPERATIONS) -> dict:
+    """Compact the fragmented days of bronze and errors, if their history says they are due.
+
+    Due: none of the table's last ``recent`` operations was a compaction.  Fragmented: at least
+    ``least_files`` files, and more than twice as many as the day's bytes need.  All days since
+    the last compaction are looked at, by a listing.  Returns the files written per table.
     """
+    due = {r["table"] for r in MT.compaction_due(read_history(spark, layout), recent)
+           .where("due").select("table").collect()}
     out = {}
-    for table, path, schema in (("bronze", layout.bronze, S.BRONZE_SCHEMA),
-                                ("errors", layout.errors, SILVER_SCHEMA)):
-        rows = TB.read_log_partition(spark, path, schema, day)
-        files = rows.select("_metadata.file_path", "_metadata.file_size").distinct()
-        n, size = files.agg(F.count("*"), F.coalesce(F.sum("file_size"), F.lit(0))).first()
-        if n >= least_files and n > 2 * MT.target_files(size):
-            out[f"compacted_{table}"] = compact_day(spark, layout, day, table)
+    for table, path in (("bronze", layout.bronze), ("errors", layout.errors)):
+        if table in due:
+            found = MT.fragmented(TB.log_files(spark, path), least_files)
+            days = [r["day"] for r in found.select("day").orderBy("day").collect()]
+            if days:
+                out[f"compacted_{table}"] = compact_days(spark, layout, ctx, version, table, days)
     return out
 
 
@@ -575,7 +604,7 @@ def run_all(spark: SparkSession, layout: Layout, ctx: RunContext, version: int,
     if AUDIT_STEP not in done:
         record_run(spark, layout, ctx, version, reports)
         _complete(spark, layout, ctx, version, AUDIT_STEP, {})
-    compact_if_fragmented(spark, layout, ctx.day)  # last: nothing of the run reads it any more
+    compact_if_due(spark, layout, ctx, version)  # last: nothing of the run reads it any more
     return reports
 
 
@@ -622,10 +651,16 @@ def record_run(spark: SparkSession, layout: Layout, ctx: RunContext, version: in
                for r in reports for table, operation, metrics in _operations(r)]
     for path, found, schema in ((layout.audit, rows, AUDIT_SCHEMA),
                                 (layout.history, history, HISTORY_SCHEMA)):
-        (spark.createDataFrame(found, schema).coalesce(1)
-         .withColumns({"of_run": F.lit(ctx.run_id), "of_version": F.lit(version)})
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("of_run", "of_version").parquet(path))
+        _write_of_run(spark, found, schema, path, ctx.run_id, version)
+
+
+def _write_of_run(spark: SparkSession, rows: list[tuple], schema: str, path: str, run: str,
+                  version: int) -> None:
+    """Write a run's few rows into its own partition; a second attempt replaces them."""
+    (spark.createDataFrame(rows, schema).coalesce(1)
+     .withColumns({"of_run": F.lit(run), "of_version": F.lit(version)})
+     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("of_run", "of_version").parquet(path))
 
 
 def _operations(report: StepReport) -> list[tuple[str, str, dict]]:

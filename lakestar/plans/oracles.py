@@ -570,3 +570,15 @@ def _history() -> str:
 
 
 oracle("table_history", _history())
+oracle("compaction_due", f"""
+SELECT "table", CAST(NULL AS INTEGER) AS compacted_version, count(*) AS operations,
+       CAST(sum(output_rows) AS BIGINT) AS rows_since, TRUE AS due
+FROM ({_history()}) WHERE "table" NOT IN ('bronze', 'errors') GROUP BY 1
+UNION ALL
+SELECT 'bronze', 3, 3, (SELECT count(*) FROM feed WHERE _pipeline_run_id = 'run-2'), TRUE
+""")
+oracle("run_errors_rescued", """
+SELECT DISTINCT year, first_name, county, sex, CAST(NULL AS INTEGER) AS "count",
+       '~' || name_count::VARCHAR AS raw_count
+FROM feed WHERE _pipeline_run_id = 'run-1' AND year % 5 = 0 AND name_count IS NOT NULL
+""")

@@ -173,6 +173,15 @@ def read_log_partition(spark: SparkSession, path: str, schema: T.StructType,
         F.col(S.PROCESSING_DAY) == day_literal(day))
 
 
+def log_files(spark: SparkSession, path: str) -> DataFrame:
+    """Day and length of every file of an append-only table (a listing: no file is opened)."""
+    day = F.regexp_extract("path", rf"/{S.PROCESSING_DAY}=(\d{{4}}-\d{{2}}-\d{{2}})/", 1)
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet").load(path)
+            .select(F.try_to_timestamp(day, F.lit("yyyy-MM-dd")).cast("date").alias("day"), "length")
+            .where(F.col("day").isNotNull()))
+
+
 def file_names(df: DataFrame) -> set[str]:
     """The files of one day that a frame reads (a listing for maintenance, not data)."""
     return {r[0] for r in df.select("_metadata.file_path").distinct().collect()}

@@ -206,6 +206,43 @@ def test_a_run_compacts_a_fragmented_day(spark, tmp_dir):
     P.run_all(spark, layout, FD.RUN_1, 1, bronze_rows=rows.limit(10))
     assert P.read_bronze(spark, layout).count() == rows.count() + 10
     assert len(P.read_bronze(spark, layout).inputFiles()) < 5
+    # The next run finds a compaction among the last operations and leaves the table alone.
+    second = FD.run_rows(FD.names_feed(spark, SF0001), FD.RUN_2)
+    P.append_bronze(second.repartition(20), layout)
+    P.run_all(spark, layout, FD.RUN_2, 2, bronze_rows=second.limit(10))
+    history = P.read_history(spark, layout).where("table = 'bronze'")
+    assert history.where("operation = 'COMPACT'").select("version").collect() == [(1,)]
+    due = P.MT.compaction_due(history).first()
+    assert (due.compacted_version, due.operations, due.rows_since, due.due) == (1, 1, 10, False)
+    assert len(P.read_bronze(spark, layout).inputFiles()) >= 20
+    assert "compacted_bronze" in P.compact_if_due(spark, layout, FD.RUN_2, 2, recent=1)
+    assert len(P.read_bronze(spark, layout).inputFiles()) < 10
+    assert P.read_bronze(spark, layout).count() == rows.count() + second.count() + 20
+
+
+def test_raw_texts_of_bad_values_reach_the_errors(spark, tmp_dir):
+    layout = P.new_layout(spark, tmp_dir, namespace="raw_")
+    path = layout.landing("raw.csv")
+    spark.createDataFrame(
+        [("2001", "A", "KINGS", "F", "12"), ("2001", "B", "KINGS", "F", "1,5"),
+         ("2001", "B", "KINGS", "F", "1,6"), ("n/a", "C", "KINGS", "F", "x"),
+         ("2001", None, "KINGS", "F", "3")],
+        "year string, first_name string, county string, sex string, name_count string",
+    ).coalesce(1).write.option("header", True).option("quoteAll", True).csv(path)
+    P.run_all(spark, layout, FD.RUN_1, 1, landing_path=path)
+    expected = {(2001, "B", None, '{"name_count":"1,5"}'), (2001, "B", None, '{"name_count":"1,6"}'),
+                (None, "C", None, '{"year":"n/a","name_count":"x"}'), (2001, None, 3, None)}
+    P.compact_day(spark, layout, FD.RUN_1.day)  # the raw texts stay in bronze and in the errors
+    P.compact_day(spark, layout, FD.RUN_1.day, "errors")
+    stored = P.TB.read_log(spark, layout.errors, P.ERRORS_STORED)
+    assert {(r.year, r.first_name, r["count"], r._rescued) for r in stored.collect()} == expected
+    raw = P.TB.read_log(spark, layout.bronze, P.BRONZE_STORED).where("_rescued is not null")
+    assert raw.count() == 3
+    assert P.read_errors(spark, layout).columns == list(S.SILVER_COLUMNS)
+    assert [r.first_name for r in P.read_silver(spark, layout, 1).collect()] == ["A"]
+    maps = {r._rescued["name_count"] for r in P.read_rescued_errors(spark, layout).collect()
+            if r._rescued}
+    assert maps == {"1,5", "1,6", "x"}
 
 
 def test_appends_may_be_repeated(spark, tmp_dir):
