@@ -222,6 +222,33 @@ def test_licenses_lists_only_those_that_the_text_names(spark):
     assert [(t, rows[i]) for i, (t, _) in enumerate(cases)] == cases
 
 
+HEADER = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of "
+          "the GNU {2} Public License as published by the Free Software Foundation{1} either version "
+          "{3} of the License, or (at your option) any later version. This {0} is distributed in the "
+          "hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty "
+          "of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {2} Public License "
+          "for more details.")
+
+
+@pytest.mark.parametrize(("name", "parts"), [
+    ("GPL-2.0", ("program", ";", "General", "2")), ("GPL-3.0", ("program", ":", "General", "3")),
+    ("LGPL-2.1", ("library", ";", "Lesser General", "2.1")),
+    ("LGPL-3.0", ("program", ":", "Lesser General", "3")),
+    ("AGPL-3.0", ("program", ":", "Affero General", "3"))])
+def test_headers_of_one_family_are_told_apart(name, parts):
+    found = license_scan.Scanner().scan("# my file\n" + HEADER.format(*parts) + "\nimport os\n")
+    assert [m[0] for m in found] == [name] and found[0][1] >= 0.97
+
+
+def test_an_edited_text_stays_the_license_of_most_clauses():
+    full = license_scan.TEMPLATES["BSD-3-Clause"][1].replace("copyright holder nor", "Example Org. nor")
+    assert [m[0] for m in license_scan.Scanner().scan("Copyright 2020. " + full)] == ["BSD-3-Clause"]
+    two = license_scan.TEMPLATES["BSD-2-Clause"][0]
+    assert [m[0] for m in license_scan.Scanner().scan(two)] == ["BSD-2-Clause"]
+    mit = license_scan.TEMPLATES["MIT"]
+    assert license_scan.Scanner().scan(mit[1])[0][2] > license_scan.Scanner().scan(mit[0])[0][2]
+
+
 def test_license_rows(spark, edges, empty, duck):
     rows = license_scan.scan_licenses(edges).collect()
     assert len(rows) == len(EDGES) and all(r.license is None and r.coverage == 0 for r in rows)
