@@ -6,9 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Operation of a compaction in the history of tables.
 COMPACT = "COMPACT"
+#: What a compaction's metrics name the files that it left of a day (the day follows).
+FILES_OF_DAY = "numFilesOfDay "
 #: Fixed value: a table is left alone while one of its last 30 operations was a compaction.
 RECENT_OPERATIONS = 30
 
@@ -46,6 +49,34 @@ def input_bytes_of(files: DataFrame) -> int:
     return int(row["b"])
 
 
+def row_bytes(df: DataFrame) -> int:
+    """Bytes of the rows as a task holds them; their files, encoded and compressed, are smaller."""
+    held = F.lit(8 + 8 * len(df.columns)).cast("long")
+    for f in df.schema:
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            held += F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+    return int(df.select(F.coalesce(F.sum(held), F.lit(0)).alias("b")).first()["b"])
+
+
+def files_needed(df: DataFrame, file_bytes: int = 256 << 20) -> int:
+    """Number of files for the rows of a file-based frame, at most about ``file_bytes`` of rows each.
+
+    A file is sorted and written by one task, so the rows it holds count, not the bytes it ends up
+    with: a well compressed day would else come to one task whole.
+    """
+    return target_files(max(input_bytes(df), row_bytes(df)), file_bytes)
+
+
+def files_left(history: DataFrame, table: str) -> DataFrame:
+    """Per day of a table: the files that its last compaction left (day, left)."""
+    found = (history.where((F.col("operation") == COMPACT) & (F.col("table") == table))
+             .select("version", F.explode("metrics").alias("name", "value"))
+             .where(F.startswith("name", F.lit(FILES_OF_DAY))))
+    day = F.substring("name", len(FILES_OF_DAY) + 1, 10).cast("date")
+    return found.groupBy(day.alias("day")).agg(
+        F.max_by(F.col("value").cast("long"), "version").alias("left"))
+
+
 def compaction_due(history: DataFrame, recent: int = RECENT_OPERATIONS) -> DataFrame:
     """Per table of a history: what happened since its last compaction, and whether one is due.
 
@@ -65,8 +96,16 @@ def compaction_due(history: DataFrame, recent: int = RECENT_OPERATIONS) -> DataF
                         | (F.col("operations") >= int(recent))))
 
 
-def fragmented(files: DataFrame, least_files: int, file_bytes: int = 256 << 20) -> DataFrame:
-    """Of ``(day, length)`` rows, one per file: the days with many more files than bytes need."""
+def fragmented(files: DataFrame, least_files: int, file_bytes: int = 256 << 20,
+               left: DataFrame | None = None) -> DataFrame:
+    """Of ``(day, length)`` rows, one per file: the days with many more files than they need.
+
+    A day needs a file per ``file_bytes`` stored, or as many as its last compaction ``left``.
+    """
+    days = files.groupBy("day").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
     need = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(int(file_bytes))))
-    return (files.groupBy("day").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"))
-            .where((F.col("files") >= int(least_files)) & (F.col("files") > 2 * need)))
+    if left is not None:
+        days = days.join(left, "day", "left")
+        need = F.greatest(need, F.col("left"))
+    return (days.where((F.col("files") >= int(least_files)) & (F.col("files") > 2 * need))
+            .select("day", "files", "bytes"))

@@ -510,9 +510,10 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     """Rewrite one day of an append-only table (bronze or errors) as few, full files.
 
     Every run appends its own files to the day's directory; this maintenance step reads
-    the directory, sizes the output from the bytes it holds (``_metadata.file_size``),
-    materialises the range-clustered rows in the shared checkpoint folder and swaps only
-    that day's directory, batch by batch.  Rows and their batches are unchanged, so a batch can
+    the directory, sizes the output from the rows it holds (:func:`~.maintenance.files_needed`:
+    no task sorts or writes more than about ``file_bytes`` of them), materialises the
+    range-clustered rows in the shared checkpoint folder and swaps only that day's directory,
+    batch by batch.  Rows and their batches are unchanged, so a batch can
     still be appended again.  Refuses when another writer has added files
     meanwhile.  Returns the number of files written.
     """
@@ -520,7 +521,7 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
                     "errors": (layout.errors, ERRORS_STORED)}[table]
     day_rows = TB.read_log_partition(spark, path, schema, day)
     before = TB.file_names(day_rows)
-    n = MT.target_files(MT.input_bytes(day_rows), file_bytes)
+    n = MT.files_needed(day_rows, file_bytes)
     keys = [S.BATCH, *(c for c in S.NATURAL_KEY if c in schema.fieldNames()), S.PROCESSING_DATE]
     # Cut from the files first: the write replaces the directory it was read from.
     staged = cut_lineage(MT.compacted(day_rows, n, keys))
@@ -533,9 +534,11 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
 def compact_days(spark: SparkSession, layout: Layout, ctx: RunContext, version: int, table: str,
                  days: list) -> int:
     """Compact days of bronze or errors, recorded as the last operation of the table's version."""
-    files = sum(compact_day(spark, layout, day, table) for day in days)
+    left = {day: compact_day(spark, layout, day, table) for day in days}
+    files = sum(left.values())
     row = (table, version, ctx.run_id, MT.COMPACT,
-           {"numDays": str(len(days)), "numAddedFiles": str(files)})
+           {"numDays": str(len(days)), "numAddedFiles": str(files),
+            **{f"{MT.FILES_OF_DAY}{day}": str(n) for day, n in left.items()}})
     _write_of_run(spark, [row], HISTORY_SCHEMA, layout.history,
                   f"{ctx.run_id}:{MT.COMPACT}:{table}", version)
     return files
@@ -546,15 +549,17 @@ def compact_if_due(spark: SparkSession, layout: Layout, ctx: RunContext, version
     """Compact the fragmented days of bronze and errors, if their history says they are due.
 
     Due: none of the table's last ``recent`` operations was a compaction.  Fragmented: at least
-    ``least_files`` files, and more than twice as many as the day's bytes need.  All days since
-    the last compaction are looked at, by a listing.  Returns the files written per table.
+    ``least_files`` files, and more than twice as many as the day's bytes need or its last
+    compaction left.  All days since the last compaction are looked at, by a listing.  Returns the files written per table.
     """
-    due = {r["table"] for r in MT.compaction_due(read_history(spark, layout), recent)
+    history = read_history(spark, layout)
+    due = {r["table"] for r in MT.compaction_due(history, recent)
            .where("due").select("table").collect()}
     out = {}
     for table, path in (("bronze", layout.bronze), ("errors", layout.errors)):
         if table in due:
-            found = MT.fragmented(TB.log_files(spark, path), least_files)
+            found = MT.fragmented(TB.log_files(spark, path), least_files,
+                                  left=MT.files_left(history, table))
             days = [r["day"] for r in found.select("day").orderBy("day").collect()]
             if days:
                 out[f"compacted_{table}"] = compact_days(spark, layout, ctx, version, table, days)

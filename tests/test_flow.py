@@ -220,6 +220,35 @@ def test_a_run_compacts_a_fragmented_day(spark, tmp_dir):
     assert P.read_bronze(spark, layout).count() == rows.count() + second.count() + 20
 
 
+def test_no_task_of_a_compaction_takes_a_well_compressed_day_whole(spark, tmp_dir):
+    layout = P.new_layout(spark, tmp_dir, namespace="packed_")
+    one = FD.run_rows(FD.names_feed(spark, SF0001), FD.RUN_1).where("first_name is not null").limit(1)
+    rows = one.crossJoin(spark.range(40_000).select()).repartition(20)
+    P.append_bronze(rows, layout)
+    day = P.TB.read_log_partition(spark, layout.bronze, P.BRONZE_STORED, FD.RUN_1.day)
+    bound = 1 << 20
+    held = P.MT.row_bytes(day)
+    assert held > 4 * bound > 8 * P.MT.input_bytes(day)  # stored, the day is far smaller
+    written = P.compact_day(spark, layout, FD.RUN_1.day, file_bytes=bound)
+    in_file = P.TB.read_log(spark, layout.bronze, P.BRONZE_STORED).groupBy(
+        F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert written >= held // bound and in_file < 2 * 40_000 / written
+    assert P.read_bronze(spark, layout).count() == 40_000
+
+
+def test_files_that_a_compaction_left_are_not_compacted_again(spark):
+    files = spark.createDataFrame([(FD.RUN_1.day, 1000)] * 40 + [(FD.RUN_2.day, 1000)] * 41,
+                                  "day date, length long")
+    history = spark.createDataFrame(
+        [("bronze", 1, "r", "COMPACT", {f"{P.MT.FILES_OF_DAY}{FD.RUN_1.day}": "20",
+                                        f"{P.MT.FILES_OF_DAY}{FD.RUN_2.day}": "30"}),
+         ("bronze", 2, "r", "COMPACT", {f"{P.MT.FILES_OF_DAY}{FD.RUN_2.day}": "20"}),
+         ("errors", 3, "r", "COMPACT", {f"{P.MT.FILES_OF_DAY}{FD.RUN_1.day}": "1"})],
+        P.HISTORY_SCHEMA)
+    found = P.MT.fragmented(files, 16, left=P.MT.files_left(history, "bronze"))
+    assert [(r.day, r.files) for r in found.collect()] == [(FD.RUN_2.day, 41)]
+
+
 def test_raw_texts_of_bad_values_reach_the_errors(spark, tmp_dir):
     layout = P.new_layout(spark, tmp_dir, namespace="raw_")
     path = layout.landing("raw.csv")
