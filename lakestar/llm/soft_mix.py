@@ -12,8 +12,9 @@ largest curvature, and the projected gradient step reads
 
     r_i <- max(0, r_i - sum_d p_id (T_d - b_d) / N_d):
 
-a document's rate is a fold over the short history of residuals, so no rate is ever stored;
-one round is one aggregation of D sums over the narrow table of posteriors.
+a document's rate is a fold over the short history of residuals; one round is one aggregation
+of D sums over the narrow table of posteriors.  Every ``WRITTEN`` rounds the rates so far are
+written beside the posteriors, so that a round folds a few steps only, however many came before.
 
 Defined cases: null and empty texts have 0 tokens, the prior as posterior and a rate like any
 other row; rows without a label are not learned from; without any labelled row there is one
@@ -39,6 +40,8 @@ SAMPLE_DOCS = 4000
 #: Rounds at most; the residual (share of all tokens) that ends them, and the change of the
 #: domains' sums in a round (share of all tokens) that does.
 ROUNDS, TOLERANCE, STATIONARY = 60, 5e-4, 1e-4
+#: Rounds after which the rates so far are written.
+WRITTEN = 8
 #: Target share of tokens for each domain of the labelled table.
 TARGETS = {"high": 0.92, "low": 0.06, "toxic": 0.02}
 
@@ -116,10 +119,14 @@ def learn(docs: DataFrame, labels: DataFrame, domains: list[str],
     return Memberships(list(domains), priors, weights)
 
 
-def rate(p: Column, history: list[list[float]]) -> Column:
-    """A document's rate: the projected steps of all rounds, folded over its posterior."""
+def rate(p: Column, history: list[list[float]], start: Column | None = None) -> Column:
+    """A document's rate: the projected steps of rounds, folded over its posterior.
+
+    ``start``: its rate before them (default: before all, 1).
+    """
+    start = F.lit(1.0) if start is None else start
     if not history:
-        return F.lit(1.0)
+        return start
     n = len(history[0])
     steps = F.from_json(F.lit(json.dumps(history)), "array<array<double>>")
 
@@ -127,7 +134,7 @@ def rate(p: Column, history: list[list[float]]) -> Column:
         move = sum((p[d] * g[d] for d in range(1, n)), p[0] * g[0])
         return F.greatest(F.lit(0.0), r - move)
 
-    return F.aggregate(steps, F.lit(1.0), step)
+    return F.aggregate(steps, start, step)
 
 
 @dataclass
@@ -152,18 +159,20 @@ class Mix:
 
 
 def solve(memberships: DataFrame, shares: list[float], rounds: int = ROUNDS,
-          tolerance: float = TOLERANCE, stationary: float = STATIONARY
+          tolerance: float = TOLERANCE, stationary: float = STATIONARY, written: int = WRITTEN
           ) -> tuple[list[list[float]], list[float], list[float]]:
     """Projected-gradient rounds over (tokens, p): history of steps, targets, reached sums.
 
     The rounds end when the targets are met, when a round hardly moves a sum, or after
     ``rounds``.  Targets that overlapping posteriors put out of reach are approached ever more
-    slowly; what is left of the gap is the residual.
+    slowly; what is left of the gap is the residual.  After every ``written`` rounds the rates so
+    far replace the steps that led to them (the same sums: a fold may stop and go on anywhere).
     """
     n = len(shares)
+    held, done = memberships.select("tokens", "p", F.lit(1.0).alias("r")), 0
 
     def sums(r: Column) -> list[float]:
-        row = memberships.agg(*[
+        row = held.agg(*[
             F.coalesce(F.sum(F.col("tokens") * F.col("p")[d] * r), F.lit(0.0)).alias(f"s{d}")
             for d in range(n)]).first()
         return [row[d] for d in range(n)]
@@ -178,7 +187,11 @@ def solve(memberships: DataFrame, shares: list[float], rounds: int = ROUNDS,
         if max(map(abs, gaps)) <= tolerance * total or moved <= stationary * total:
             break
         history.append([g / m if m > 0 else 0.0 for g, m in zip(gaps, natural, strict=True)])
-        before, reached = reached, sums(rate(F.col("p"), history))
+        if len(history) - done == written:
+            held = stored(held.select("tokens", "p", rate(F.col("p"), history[done:],
+                                                          F.col("r")).alias("r")), "soft_mix")
+            done = len(history)
+        before, reached = reached, sums(rate(F.col("p"), history[done:], F.col("r")))
         moved = max(abs(a - b) for a, b in zip(reached, before, strict=True))
     return history, targets, reached
 

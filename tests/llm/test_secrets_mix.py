@@ -125,6 +125,21 @@ def test_targets_out_of_reach_approach_a_stationary_point(spark):
         assert t == 0 or abs(max(0.0, r - slope) - r) < 1e-3
 
 
+def test_written_rates_change_no_figure(spark, monkeypatch):
+    rows = [(10 + i % 7, [0.5 + i % 5 / 10, 0.5 - i % 5 / 10]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "tokens long, p array<double>").coalesce(1)
+    folds, rate = [], soft_mix.rate
+
+    def noted(p, history, *start):
+        folds.append(len(history))
+        return rate(p, history, *start)
+
+    monkeypatch.setattr(soft_mix, "rate", noted)
+    found = soft_mix.solve(frame, [0.1, 0.9], 11, stationary=0.0, written=4)
+    assert len(found[0]) == 11 and max(folds) == 4  # a round folds a few steps only
+    assert found == soft_mix.solve(frame, [0.1, 0.9], 11, stationary=0.0, written=100)
+
+
 def test_rates_carry_the_residuals(spark):
     docs, labels = labelled(spark)
     targets = {"high": 0.5, "low": 0.3, "toxic": 0.2}
