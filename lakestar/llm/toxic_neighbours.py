@@ -9,7 +9,8 @@ at unit length; so one chance hit in a long text points elsewhere than several i
 **Index.** Examples stand in blocks of consecutive places; every term has its postings by block
 and, of each block, the greatest weight.  A search visits blocks by falling bound (the query's
 weights times the blocks' greatest) and leaves out those whose bound cannot reach the k-th best:
-the result is exactly that of scoring every example.  Ties go to the earlier place.
+the result is exactly that of scoring every example.  Where the bounds leave many blocks, the
+terms' postings are read through instead of block by block.  Ties go to the earlier place.
 
 **Score.** The ``NEIGHBOURS`` nearest vote by their cosine, examples of a class that was sampled
 thinner counting more; the vote goes through a logistic curve fitted on the examples, each asked
@@ -51,10 +52,17 @@ BACKGROUND, NEIGHBOURS, EVIDENCE = 0.7, 15, 3
 #: vote.
 BLOCK, FIRST_BLOCKS, PRIOR = 32, 4, 0.5
 
+#: Share of the blocks left by the bounds from which a search reads whole postings; share of the
+#: examples from which a term's postings also stand as one weight per example.
+READ_THROUGH, COMMON = 0.25, 0.1
+
 #: Words whose stem a task remembers.
 REMEMBERED = 200_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: The same runs in texts of code points below 256, by a plain set of characters (faster).
+_LATIN_WORD = re.compile("[" + "".join(
+    re.escape(chr(c)) for c in range(256) if _WORD.match(chr(c))) + "]+")
 #: Closes a whole word; no letter.
 _END = "$"
 _PLACES, _ROUND = 12, 1e-13
@@ -67,7 +75,12 @@ def stems(word: str) -> list[str]:
 
 
 def words_of(text: str) -> Counter:
-    return Counter(_WORD.findall(text.lower()))
+    text = text.lower()
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return Counter(_WORD.findall(text))
+    return Counter(_LATIN_WORD.findall(text))
 
 
 def association(n_toxic: int, n_clean: int) -> Column:
@@ -104,7 +117,7 @@ class Terms:
         """The stem of greatest statistic (ties: the longest), or the background."""
         found = self._known.get(word)
         if found is None:
-            options = [self._at[s] for s in stems(word) if s in self._at]
+            options = [t for t in map(self._at.get, stems(word)) if t]
             found = min(options, key=lambda t: (-self.g2[t - 1], t)) if options else 0
             if len(self._known) < REMEMBERED:
                 self._known[word] = found
@@ -112,10 +125,12 @@ class Terms:
 
     def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Terms (rising) and weights of a text, at unit length; empty without a word."""
-        words, heads = words_of(text), self._heads
+        words, heads, known = words_of(text), self._heads, self._known
         counts: dict[int, int] = {}
         for word in [w for w in words if w[:SHORTEST] in heads]:
-            t = self.term(word)
+            t = known.get(word)
+            if t is None:
+                t = self.term(word)
             if t:
                 counts[t] = counts.get(t, 0) + words[word]
         rest = words.total() - sum(counts.values())
@@ -144,6 +159,12 @@ class Index:
         cells = np.searchsorted(cell, np.arange(n_terms * self.n_blocks + 1))
         self.begin = cells[:-1].reshape(n_terms, self.n_blocks)
         self.end = cells[1:].reshape(n_terms, self.n_blocks)
+        #: Of terms that many examples hold: their weight in every example.
+        self.common = {}
+        for t in np.flatnonzero(np.bincount(terms, minlength=n_terms) > self.n * COMMON).tolist():
+            a, b = self.begin[t, 0], self.end[t, -1]
+            self.common[t] = np.zeros(self.n)
+            self.common[t][self.place[a:b]] = self.weight[a:b]
         self.greatest = np.zeros((n_terms, self.n_blocks))
         np.maximum.at(self.greatest.reshape(-1), cell, self.weight)
 
@@ -163,19 +184,42 @@ class Index:
         first = order[:FIRST_BLOCKS]
         places, cosines = self._best(none, first, terms, weights, k, without)
         rest = order[FIRST_BLOCKS:]
+        least = 0.0
         if len(places) == k:
             least, last = cosines[-1], places[-1]
             above, tie = bound[rest] > least, (bound[rest] == least) & (rest * BLOCK < last)
             rest = rest[above | tie]
+        if len(rest) > READ_THROUGH * self.n_blocks:
+            return self._through(terms, weights, k, without, least)
         if len(rest):
             return self._best((places, cosines), rest, terms, weights, k, without)
         return places, cosines
 
+    def _through(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int,
+                 least: float) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of all examples; ``least``: what the k-th best reaches at any rate."""
+        sums = np.zeros(self.n)
+        # An example stands once in a term's postings; sums run by rising term, as in _best.
+        for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+            if t in self.common:
+                sums += w * self.common[t]
+            else:
+                a, b = self.begin[t, 0], self.end[t, -1]
+                sums[self.place[a:b]] += w * self.weight[a:b]
+        if without >= 0:
+            sums[without] = 0.0
+        places = np.flatnonzero(sums > max(0.0, least - 2 * 10.0 ** -_PLACES))
+        cosines = np.round(sums[places], _PLACES)
+        best = _first(places, cosines, k)
+        best = best[cosines[best] > 0]
+        return places[best], cosines[best]
+
     def _best(self, so_far: tuple, blocks: np.ndarray, terms: np.ndarray, weights: np.ndarray,
               k: int, without: int) -> tuple[np.ndarray, np.ndarray]:
         """The k best of those found so far and the examples of the blocks."""
-        begin = self.begin[terms][:, blocks]
-        many = self.end[terms][:, blocks] - begin
+        cells = terms[:, None], blocks
+        begin = self.begin[cells]
+        many = self.end[cells] - begin
         flat = many.reshape(-1)
         total = int(flat.sum())
         at = np.arange(total) + np.repeat(begin.reshape(-1) - (np.cumsum(flat) - flat), flat)
@@ -186,17 +230,22 @@ class Index:
             sums[without] = 0.0
         places = np.flatnonzero(sums)
         cosines = np.round(sums[places], _PLACES)
-        if len(places) > k:
-            # All that reach the k-th best; ties are settled below.
-            near = cosines >= np.partition(cosines, len(places) - k)[len(places) - k]
-            places, cosines = places[near], cosines[near]
-        places = np.concatenate([so_far[0], places])
-        cosines = np.concatenate([so_far[1], cosines])
-        best = np.lexsort((places, -cosines))[:k]
+        near = _first(places, cosines, k)
+        places = np.concatenate([so_far[0], places[near]])
+        cosines = np.concatenate([so_far[1], cosines[near]])
+        best = _first(places, cosines, k)
         best = best[cosines[best] > 0]
         return places[best], cosines[best]
 
 
+def _first(places: np.ndarray, cosines: np.ndarray, k: int) -> np.ndarray:
+    """Where the k best stand: by falling cosine, ties by rising place."""
+    if len(places) <= k:
+        return np.lexsort((places, -cosines))
+    near = np.flatnonzero(cosines >= np.partition(cosines, len(places) - k)[len(places) - k])
+    return near[np.lexsort((places[near], -cosines[near]))[:k]]
+
+
 @dataclass
 class Examples:
     """The labelled examples in index order, and the curve from votes to scores.

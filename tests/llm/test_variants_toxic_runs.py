@@ -172,6 +172,33 @@ def test_toxic_edges(spark, edges, empty):
     assert {r.score for r in ones} == {1.0}
 
 
+def test_reading_postings_through_finds_the_same(monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def vector():
+        terms = np.sort(rng.choice(40, int(rng.integers(1, 9)), replace=False))
+        weights = rng.integers(1, 5, len(terms)).astype(float)
+        return terms, weights / np.sqrt((weights ** 2).sum())
+
+    index = toxic_neighbours.Index([vector() for _ in range(900)], 40)
+    queries_ = [(*vector(), k - 1) for k in range(200)]
+
+    def found(share):
+        monkeypatch.setattr(toxic_neighbours, "READ_THROUGH", share)
+        return [(p.tolist(), c.tolist()) for p, c in (
+            index.search(t, w, 15, without) for t, w, without in queries_)]
+
+    assert index.common and found(-1.0) == found(2.0)
+
+
+def test_words_of_latin_texts_are_those_of_the_general_rule():
+    for text in ("", "x1y_z \u00b2\u00bd\u00aa\u00ba \u00b5 STRA\u00dfE \u00c9t\u00e9", "\u0130stanbul \u03a9 na\u00efve",
+                 "".join(map(chr, range(256))), "".join(map(chr, range(0x250)))):
+        assert toxic_neighbours.words_of(text) == Counter(
+            toxic_neighbours._WORD.findall(text.lower()))
+    assert toxic_neighbours._LATIN_WORD.findall("\u00c9a 1") == ["\u00c9a"]
+
+
 # ---- periodic runs
 
 
