@@ -5,7 +5,9 @@ holds its vectors' projections as a sorted array.  A query opens a window around
 projection in every array; virtual rehashing widens all windows step by step (each step visits
 only the new rings) and counts, for each vector, the arrays in which it fell into the window.
 A vector whose count reaches ``THRESHOLD`` is verified by its exact inner product.  Widening
-ends when ``k`` plus a ``VERIFIED`` share of the block has been verified.
+ends when ``k`` plus a ``VERIFIED`` share of the block has been verified.  The steps have fixed
+widths and a wider window loses no vector, so a query may begin at the step where the one before
+ended and go in or out from there: it ends at the same step with the same vectors.
 
 Largest inner product becomes smallest distance by one more coordinate that lifts all vectors
 of a block to the same norm.  Blocks and query blocks have bounded sizes; a pair of blocks is
@@ -64,7 +66,32 @@ class Block:
         projected = lifted @ self.directions
         self.order = np.argsort(projected, axis=0, kind="stable").T.copy()
         self.values = np.sort(projected, axis=0).T.copy()
-        self.width = float(np.median(np.abs(projected - np.median(projected, axis=0)))) / 2 or 1.0
+        self.widths = [float(np.median(np.abs(projected - np.median(projected, axis=0)))) / 2 or 1.0]
+        #: Where the last query's widening ended.
+        self.step = 0
+
+    def _window(self, centres: np.ndarray, step: int) -> tuple[list[int], list[int]]:
+        """Of every array, where the window of a step begins and ends."""
+        while len(self.widths) <= step:
+            self.widths.append(self.widths[-1] * WIDEN)
+        width = self.widths[step]
+        return ([int(v.searchsorted(c, "left")) for v, c in zip(self.values, centres - width, strict=True)],
+                [int(v.searchsorted(c, "right")) for v, c in zip(self.values, centres + width, strict=True)])
+
+    def _counts(self, low: list[int], high: list[int]) -> np.ndarray:
+        """Of every vector, the arrays in which it is in the window."""
+        n = len(self.vectors)
+        if 2 * (sum(high) - sum(low)) <= len(self.order) * n:
+            inside = [o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]
+            return np.bincount(np.concatenate(inside), minlength=n)
+        outside = [part for o, a, b in zip(self.order, low, high, strict=True) for part in (o[:a], o[b:])]
+        return len(self.order) - np.bincount(np.concatenate(outside), minlength=n)
+
+    def _rings(self, outer: tuple, inner: tuple) -> np.ndarray:
+        """Of every vector, the arrays in which it is in the outer window but not in the inner."""
+        rings = [part for o, a, b, c, d in zip(self.order, *outer, *inner, strict=True)
+                 for part in (o[a:c], o[d:b])]
+        return np.bincount(np.concatenate(rings), minlength=len(self.vectors))
 
     def candidates(self, query: np.ndarray, wanted: int) -> np.ndarray:
         """Vectors past the collision threshold once ``wanted`` of them have been reached."""
@@ -73,22 +100,23 @@ class Block:
             return np.arange(n)
         scaled = np.append(query * (self.top / np.linalg.norm(query)), 0.0)
         centres = scaled @ self.directions
-        lows = [int(np.searchsorted(v, c)) for v, c in zip(self.values, centres, strict=True)]
-        highs = list(lows)
-        counts = np.zeros(n, np.int64)
-        width = self.width
-        while True:
-            rings = []
-            for j, c in enumerate(centres):
-                low = int(np.searchsorted(self.values[j], c - width, "left"))
-                high = int(np.searchsorted(self.values[j], c + width, "right"))
-                rings += [self.order[j, low:lows[j]], self.order[j, highs[j]:high]]
-                lows[j], highs[j] = min(low, lows[j]), max(high, highs[j])
-            counts += np.bincount(np.concatenate(rings), minlength=n)
-            found = np.flatnonzero(counts >= THRESHOLD)
-            if len(found) >= wanted or all(a == 0 and b == n for a, b in zip(lows, highs, strict=True)):
-                return found
-            width *= WIDEN
+        step = self.step
+        window = self._window(centres, step)
+        counts = self._counts(*window)
+        found = np.flatnonzero(counts >= THRESHOLD)
+        while len(found) >= wanted and step:
+            inner = self._window(centres, step - 1)
+            counts -= self._rings(window, inner)
+            fewer = np.flatnonzero(counts >= THRESHOLD)
+            if len(fewer) < wanted:
+                break
+            step, window, found = step - 1, inner, fewer
+        while len(found) < wanted and (any(window[0]) or min(window[1]) < n):
+            outer = self._window(centres, step + 1)
+            counts += self._rings(outer, window)
+            step, window, found = step + 1, outer, np.flatnonzero(counts >= THRESHOLD)
+        self.step = step
+        return found
 
     def search(self, query_id: int, query: np.ndarray, k: int, share: float) -> list[tuple]:
         """(id, inner product) of the k nearest verified members, ties to the smaller id."""
@@ -96,7 +124,7 @@ class Block:
         found = self.candidates(query, min(n, k + 1 + math.ceil(share * n)))
         if len(found) > k + 1:
             # A matrix product may round by a row's place: it only narrows the choice.
-            near = self.vectors.take(found, axis=0) @ query
+            near = (self.vectors @ query)[found]
             least = np.partition(near, len(near) - k - 1)[len(near) - k - 1]
             found = found[near >= least - 1e-9 * (1 + abs(least))]
         scores = (self.vectors[found] * query).sum(axis=1)

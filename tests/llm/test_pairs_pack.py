@@ -300,6 +300,27 @@ def test_vector_edges(spark):
     assert collision_ann.nearest(vectors(spark, [])).count() == 0
 
 
+def test_a_query_ends_at_the_same_step_wherever_it_begins():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 6)) * rng.uniform(0.1, 3.0, (700, 1))
+    block = collision_ann.Block(np.arange(700), x)
+    lifted = np.column_stack([x, np.sqrt(np.maximum(block.top ** 2 - (x ** 2).sum(axis=1), 0))])
+    projected = lifted @ block.directions
+    for q in x[:40]:
+        centres = np.append(q * block.top / np.linalg.norm(q), 0.0) @ block.directions
+        width = block.widths[0]
+        while True:  # all windows counted anew at every step
+            inside = (np.abs(projected - centres) <= width).sum(axis=1)
+            if (inside >= collision_ann.THRESHOLD).sum() >= 350:
+                break
+            width *= collision_ann.WIDEN
+        expected = {tuple(v) for v in x[inside >= collision_ann.THRESHOLD]}
+        for begin in (0, 3, 9, 40):
+            block.step = begin
+            assert {tuple(v) for v in block.vectors[block.candidates(q, 350)]} == expected
+            assert block.step < 40
+
+
 def test_many_copies_and_several_blocks(spark, monkeypatch):
     monkeypatch.setattr(collision_ann, "BLOCK", 64)
     monkeypatch.setattr(collision_ann, "QUERY_BLOCK", 4)
