@@ -58,13 +58,14 @@ def row_bytes(df: DataFrame) -> int:
     return int(df.select(F.coalesce(F.sum(held), F.lit(0)).alias("b")).first()["b"])
 
 
-def files_needed(df: DataFrame, file_bytes: int = 256 << 20) -> int:
+def files_needed(df: DataFrame, file_bytes: int = 256 << 20, stored: int | None = None) -> int:
     """Number of files for the rows of a file-based frame, at most about ``file_bytes`` of rows each.
 
     A file is sorted and written by one task, so the rows it holds count, not the bytes it ends up
-    with: a well compressed day would else come to one task whole.
+    with: a well compressed day would else come to one task whole.  ``stored``: the total size of
+    the frame's files, if a listing has given it (else the frame is scanned for it).
     """
-    return target_files(max(input_bytes(df), row_bytes(df)), file_bytes)
+    return target_files(max(input_bytes(df) if stored is None else stored, row_bytes(df)), file_bytes)
 
 
 def files_left(history: DataFrame, table: str) -> DataFrame:

@@ -615,17 +615,17 @@ def table_history(spark, sf_dir):
 def compaction_due(spark, sf_dir):
     """Guard of the compaction by recent operations (here 3): bronze appended six times and
     compacted after the first run, all other tables as the two-run history left them."""
-    feed = FD.names_feed(spark, sf_dir)
+    sc = _sc(spark, sf_dir)  # its bronze holds the feed: not joined again for every append
     layout = P.Layout(fresh_workspace(spark, "compaction_due"), namespace="due_")
     version = 0
     for ctx in FD.RUNS:
         for part in ("year % 2 = 0", "year % 2 = 1", "year is null"):
             version += 1
-            appended = P.append_bronze(FD.run_rows(feed, ctx).where(part), layout)
+            appended = P.append_bronze(sc.bronze_day(ctx).where(part), layout)
             P.record_run(spark, layout, ctx, version, [P.StepReport("append_bronze", appended)])
         if ctx is FD.RUN_1:
             P.compact_days(spark, layout, ctx, version, "bronze", [ctx.day])
-    others = P.read_history(spark, _sc(spark, sf_dir).layout).where(
+    others = P.read_history(spark, sc.layout).where(
         ~F.col("table").isin("bronze", "errors"))
     return MT.compaction_due(P.read_history(spark, layout).unionByName(others), recent=3)
 

@@ -520,15 +520,15 @@ def compact_day(spark: SparkSession, layout: Layout, day, table: str = "bronze",
     path, schema = {"bronze": (layout.bronze, BRONZE_STORED),
                     "errors": (layout.errors, ERRORS_STORED)}[table]
     day_rows = TB.read_log_partition(spark, path, schema, day)
-    before = TB.file_names(day_rows)
-    n = MT.files_needed(day_rows, file_bytes)
+    before = TB.day_files(spark, path, day)
+    n = MT.files_needed(day_rows, file_bytes, stored=sum(before.values()))
     keys = [S.BATCH, *(c for c in S.NATURAL_KEY if c in schema.fieldNames()), S.PROCESSING_DATE]
     # Cut from the files first: the write replaces the directory it was read from.
     staged = cut_lineage(MT.compacted(day_rows, n, keys))
-    if TB.file_names(TB.read_log_partition(spark, path, schema, day)) != before:
+    if TB.day_files(spark, path, day) != before:
         raise RuntimeError(f"{path}: files of {day} changed while they were compacted")
     TB.replace_day(staged, path)
-    return len(TB.file_names(TB.read_log_partition(spark, path, schema, day)))
+    return len(TB.day_files(spark, path, day))
 
 
 def compact_days(spark: SparkSession, layout: Layout, ctx: RunContext, version: int, table: str,

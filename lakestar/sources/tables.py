@@ -182,9 +182,16 @@ def log_files(spark: SparkSession, path: str) -> DataFrame:
             .where(F.col("day").isNotNull()))
 
 
-def file_names(df: DataFrame) -> set[str]:
-    """The files of one day that a frame reads (a listing for maintenance, not data)."""
-    return {r[0] for r in df.select("_metadata.file_path").distinct().collect()}
+def day_files(spark: SparkSession, path: str, day: date) -> dict[str, int]:
+    """Path and length of the files of one day of an append-only table (a listing, as above)."""
+    try:
+        files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+                 .option("pathGlobFilter", "*.parquet").load(f"{path}/{S.PROCESSING_DAY}={day:%Y-%m-%d}"))
+    except AnalysisException as error:
+        if path_missing(error):
+            return {}
+        raise
+    return {r["path"]: r["length"] for r in files.select("path", "length").collect()}
 
 
 def replace_day(df: DataFrame, path: str) -> None:
