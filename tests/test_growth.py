@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import os
+import random
+from datetime import datetime
 
-from helpers import SF0001
+from helpers import P1, P2, SF0001, T1, T2, as_set, row, silver_rows
+from lakestar import schemas as S
+from lakestar.operators import quality as Q
 from lakestar.plans import medallion as P
 from lakestar.session import local_path
 from lakestar.sources import feed as FD
@@ -45,3 +49,34 @@ def test_files_of_a_day_are_listed_not_read(spark, tmp_dir, monkeypatch):
     assert TB.day_files(spark, layout.bronze, FD.RUN_2.day) == {}
     monkeypatch.setattr(P.MT, "input_bytes", None)  # a scan for the files' sizes
     assert P.compact_day(spark, layout, FD.RUN_1.day) == 1
+
+
+def test_latest_row_sorts_what_a_hash_aggregation_leaves(spark):
+    df = silver_rows(spark, [row(count=3, mod=T1), row(count=9, mod=T2), row(count=8, mod=T2)])
+    latest = Q.latest_per_key(Q.quality_filter(df))
+    assert as_set(latest, ["count"]) == {(8,)}
+    plan = latest._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    before_any_shuffle = plan.rsplit("Exchange", 1)[1]
+    assert "HashAggregate" in before_any_shuffle and "Sort" not in before_any_shuffle, plan
+    assert "SortAggregate" not in plan
+
+
+def test_latest_row_is_the_windows_first_on_odd_rows(spark):
+    rng = random.Random(5)
+    times = [None, datetime(1, 1, 1), datetime(1969, 12, 31, 23, 59, 59, 999999), datetime(1970, 1, 1),
+             datetime(2024, 3, 31, 2, 30), datetime(2024, 3, 31, 3, 30), datetime(9999, 12, 31, 23, 59, 59, 999999)]
+    rows = [(rng.choice([None, 1, 2]), rng.choice([None, "A"]), rng.choice([None, "K"]), "M",
+             rng.choice([None, 0, 1, -1, 5000, 2**31 - 1, -2**31]), rng.choice([None, P1, P2]),
+             rng.choice([None, "r1", "r2"]), rng.choice([None, "f", "g"]), rng.choice(times))
+            for _ in range(1500)]
+    df = silver_rows(spark, rows).repartition(5)
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "Europe/Berlin")  # an hour that it skips is among the times
+    try:
+        for keys in (S.NATURAL_KEY, ("sex",), ("year", "first_name")):
+            expected = Q.first_per_key(df, keys, Q.latest_order(df.columns, keys))
+            found = Q.latest_per_key(df, keys)
+            assert found.schema.simpleString() == expected.schema.simpleString()
+            assert as_set(found) == as_set(expected) and found.count() == expected.count()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
