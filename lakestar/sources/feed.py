@@ -61,14 +61,23 @@ def in_run_2() -> Column:
 
 def long_name() -> Column:
     """The part name, for some parts repeated beyond the mart's text length."""
-    return F.when(F.col("l_partkey") % 61 == 0, F.repeat("p_name", 40)).otherwise(F.col("p_name"))
+    return F.when(F.col("is_long"), F.repeat("p_name", 40)).otherwise(F.col("p_name"))
 
 
 def names_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bronze-shaped rows of both runs (landing columns + audit/lineage columns)."""
+    q = F.col("l_quantity")
+    ln = F.col("l_linenumber")
+    count = (
+        F.when((ln == 7) & (q > 40), F.lit(0))
+        .when((ln == 6) & (q > 45), F.lit(-1))
+        .when((ln == 5) & (q > 45), F.lit(None))
+        .otherwise(q.cast("int"))
+    )
+    # The values that a line makes by itself go through the shuffles, not what they are made of.
     li = read_table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag",
-        "l_shipdate",
+        "l_orderkey", "l_partkey", "l_shipdate", count.cast("int").alias(S.MEASURE_RAW),
+        _null_if((F.col("l_suppkey") % 83 == 0) & (ln == 1), F.col("l_returnflag")).alias("sex"),
     )
     part = read_table(spark, sf_dir, "part").select("p_partkey", "p_name")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
@@ -80,24 +89,20 @@ def names_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .select("o_orderkey", "o_orderdate", "n_nationkey", "n_name")
     )
-    line_side = li.join(part, li.l_partkey == part.p_partkey)
+    line_side = li.join(part, li.l_partkey == part.p_partkey).select(
+        "l_orderkey", "l_shipdate", S.MEASURE_RAW, "sex", "p_name",
+        (F.col("l_partkey") % 61 == 0).alias("is_long"),
+        (F.col("l_partkey") % 89 == 0).alias("no_county"),
+    )
     rows = line_side.join(order_side, line_side.l_orderkey == order_side.o_orderkey)
 
-    q = F.col("l_quantity")
-    ln = F.col("l_linenumber")
-    count = (
-        F.when((ln == 7) & (q > 40), F.lit(0))
-        .when((ln == 6) & (q > 45), F.lit(-1))
-        .when((ln == 5) & (q > 45), F.lit(None))
-        .otherwise(q.cast("int"))
-    )
     run2 = in_run_2()
     return rows.select(
         _null_if(F.col("l_orderkey") % 101 == 0, F.year("o_orderdate").cast("int")).alias("year"),
         _null_if(F.col("l_orderkey") % 97 == 0, long_name()).alias("first_name"),
-        _null_if(F.col("l_partkey") % 89 == 0, F.col("n_name")).alias("county"),
-        _null_if((F.col("l_suppkey") % 83 == 0) & (ln == 1), F.col("l_returnflag")).alias("sex"),
-        count.cast("int").alias(S.MEASURE_RAW),
+        _null_if(F.col("no_county"), F.col("n_name")).alias("county"),
+        "sex",
+        S.MEASURE_RAW,
         F.when(run2, RUN_2.processing_literal()).otherwise(RUN_1.processing_literal())
         .alias(S.PROCESSING_DATE),
         F.when(run2, F.lit(RUN_2.run_id)).otherwise(F.lit(RUN_1.run_id)).alias(S.RUN_ID),
